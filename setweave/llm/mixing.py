@@ -99,6 +99,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, damping: float = DAM
     return allot(sizes, goal, cap, damping, seed=seed)
 
 
+def mix_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...), each as often as the mix takes it; columns as they are.
+
+    Rows that agree in doc_id, source and size are one document to the sampling and share its copies.
+    """
+    took = mix(docs.select("doc_id", "text", "source"), **how).where("copies > 0")
+    took = took.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_n"))
+    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_w"), "_n")
+    rows = docs.withColumn("_size", n_words(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(took["_d"]) & rows["source"].eqNullSafe(took["_s"]) & (rows["_size"] == took["_w"])
+    rows = rows.join(took, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_pareto_mix(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
