@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import checked_broadcast, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_WORDS = 500_000
+SHARD_WORDS = 2_000_000
 #: Least count of a pair that becomes a rule; most rules a round; rounds inside words, across words.
 LEAST, RULES, ROUNDS_IN, ROUNDS_OVER = 6, 4096, 10, 3
 CACHE_WORDS = 400_000
@@ -300,6 +300,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     within = W.partitionBy("part").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
     starts = shards.select("part", "nth", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("at")).join(sizes, "part")
     starts = starts.select("part", "nth", (F.col("at") + F.col("part_start")).alias("shard_start"))
+    starts = checked_broadcast(starts)  # a row a shard: the shards themselves need not be shuffled
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
