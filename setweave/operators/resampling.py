@@ -30,3 +30,18 @@ def two_sided_p(df: DataFrame, groups: list[str], diff: str) -> DataFrame:
     """min(1, 2 (min(#<=0, #>=0) + 1) / (B + 1))."""
     tail = F.least(F.count_if(F.col(diff) <= 0), F.count_if(F.col(diff) >= 0))
     return df.groupBy(*groups).agg(F.least(F.lit(1.0), 2.0 * (tail + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def binomial_p(a, b):
+    """Exact two-sided sign test of a against b discordant outcomes; 1 without any."""
+    n, k = (a + b).cast("int"), F.least(a, b).cast("int")
+    # term k + 1 from term k: a factor (n - k) / (k + 1); in logarithms, so that no power underflows alone
+    start = F.struct((-n * F.ln(F.lit(2.0))).alias("t"), F.exp(-n * F.ln(F.lit(2.0))).alias("s"))
+
+    def step(acc, i):
+        t = acc["t"] + F.ln((n - i + 1) / i)
+        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(terms, start, step, lambda acc: acc["s"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
