@@ -47,6 +47,19 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that clash with none of df's, in any case."""
+    taken = "".join(df.columns).lower()
+    mark = "_"
+    while mark in taken and any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def columns_of(df: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def n_words(text):
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 
 WINDOW, LITERALS, SHORTEST, COVER = 5, 3, 3, 0.5
 BLOCK_ROWS = 500_000
@@ -114,8 +114,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, liter
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that leak no item."""
-    bad = durable(decontaminate(docs, bench).select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    (key,) = fresh(docs, "leak")
+    bad = durable(decontaminate(docs, bench).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]), "left_anti")
 
 
 def op1_template_decontam(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, durable, n_words, uniform
+from .common import checked_broadcast, columns_of, durable, fresh, n_words, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -106,11 +106,11 @@ def mix_rows(docs: DataFrame, **how) -> DataFrame:
     """
     took = mix(docs.select("doc_id", "text", "source"), **how).where("copies > 0")
     took = took.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_n"))
-    took = took.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_w"), "_n")
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(took["_d"]) & rows["source"].eqNullSafe(took["_s"]) & (rows["_size"] == took["_w"])
-    rows = rows.join(took, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, s, w, n, size, k = fresh(docs, "d", "s", "w", "n", "size", "k")
+    took = took.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(w), F.col("_n").alias(n))
+    rows = docs.withColumn(size, n_words(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(took[d]) & rows["source"].eqNullSafe(took[s]) & (rows[size] == took[w])
+    return rows.join(took, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*columns_of(docs))
 
 
 def op2_pareto_mix(spark, sf_dir: str) -> DataFrame:

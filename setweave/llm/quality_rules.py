@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_of, fresh
+
 TRAIN_ROWS = 8_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 TREES, DEPTH, THRESHOLDS, SEED = 30, 3, 16, 10
@@ -191,14 +193,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that are predicted 1, columns as they are."""
     model = fit_rules(*training_rows(docs, labels, rows))
-    at = docs.schema
-
     # the text passes through Python once and is not returned: Python gives back a row's statistics only
     stat = F.pandas_udf(lambda s: pd.DataFrame([statistics(t) for t in s], columns=STATS) if len(s) else pd.DataFrame(columns=STATS, dtype=float), ", ".join(f"{s} double" for s in STATS))
-    rows_ = docs.withColumn("_stat", stat(F.col("text")))
-    named = rows_.select(*[F.col(f"`{c}`") for c in at.names], *[F.col(f"_stat.{s}").alias(f"_q_{s}") for s in STATS])
-    score = model.score("_q_")
-    return named.where(score >= CUT).select(*[F.col(f"`{c}`") for c in at.names])
+    held, mark = fresh(docs, "stat", "q")
+    named = docs.withColumn(held, stat(F.col("text")))
+    named = named.select(*columns_of(docs), *[F.col(f"{held}.{s}").alias(mark + s) for s in STATS])
+    return named.where(model.score(mark) >= CUT).select(*columns_of(docs))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import columns_of, components, durable, fresh
 
 # The Golay code's generator x^11+x^10+x^6+x^5+x^4+x^2+1, its length and covering radius.
 GENERATOR, BITS, RADIUS = 0b110001110101, 23, 3
@@ -288,6 +288,7 @@ def near_dedup(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
     first = fps.groupBy("f0", "f1", "f2", "f3").agg(F.min(order).alias("w"))
     stay = durable(first.join(groups, ["f0", "f1", "f2", "f3"]).groupBy("group").agg(F.min("w").alias("w")).select("w.least", "w.s"))
     null = -(2**63)  # stands for a null doc_id, so that the join and the removal of repeated rows share one shuffle
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(null)), "_sha": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = rows.join(stay.select(F.coalesce("least", F.lit(null)).alias("_id"), F.col("s").alias("_sha")), ["_id", "_sha"], "left_semi")
-    return kept.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    key, sha = fresh(docs, "id", "sha")
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(null)), sha: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = rows.join(stay.select(F.coalesce("least", F.lit(null)).alias(key), F.col("s").alias(sha)), [key, sha], "left_semi")
+    return kept.dropDuplicates([key, sha]).select(*columns_of(docs))

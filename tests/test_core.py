@@ -155,7 +155,7 @@ def test_query_equals_sql(spark, name):
 
     def rows(df):
         df = df[sorted(df.columns)]
-        tidy = lambda v: "" if v is None or v != v else v if isinstance(v, (str, bool)) else round(float(v), 5)
+        tidy = lambda v: "" if v is None or str(v) in ("<NA>", "nan", "None") else v if isinstance(v, (str, bool)) else round(float(v), 5)
         return sorted(tuple(map(str, map(tidy, r))) for r in df.astype(object).itertuples(index=False))
 
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(SQL[name]).df())
