@@ -40,10 +40,10 @@ from .common import checked_broadcast, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Least count of a pair that becomes a rule; most rules a round; rounds inside words, across words.
 LEAST, RULES, ROUNDS_IN, ROUNDS_OVER = 6, 4096, 10, 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
 SCHEMA = "part int, nth int, n_tokens long, shard binary"
 
