@@ -25,9 +25,10 @@ not read.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,7 @@ END_ID = 1
 SHARD_WORDS = 1_000_000
 #: Least count of a pair that becomes a rule; most rules a round; rounds inside words, across words.
 LEAST, RULES, ROUNDS_IN, ROUNDS_OVER = 6, 4096, 10, 3
-CACHE_WORDS = 250_000
-SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
+CACHE_WORDS = 500_000
 SCHEMA = "part int, nth int, n_tokens long, shard binary"
 
 
@@ -69,51 +69,63 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for piece, i in self.tok.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.stop = {c: self._encode([c])[0] for c in ".,"}
-
-    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Lower-case words of letters: each is one pre-token, whose last piece alone ends in </w>."""
-        out: list[tuple[int, ...]] = []
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]
-            ids = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and (not len(ids) or cut[-1] == len(ids)):
-                at = [0, *cut.tolist()]
-                out += [tuple(ids[s:e]) for s, e in zip(at, at[1:])]
-            else:
-                out += self._encode(part)
-        return out
-
-    def __call__(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each of these distinct words."""
-        cache = self.cache
-        keys, tails = [], []
-        for w in words:
-            tail = ""
-            core = w
-            if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha():
-                core, tail = w[:-1], w[-1]
-            if core.isalpha() and (core.isascii() or max(core) < "İ"):
+        stops = {c: e.ids[0] for c, e in zip(".,", self.tok.encode_batch_fast([".", ","], add_special_tokens=False)) if len(e.ids) == 1}
+        self.stop = stops if len(stops) == 2 else {}
+        self._empty()
+
+    def _empty(self) -> None:
+        #: The place of each cached word, whose ids are ids[at[place] : at[place + 1]].
+        self.place: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids, and how many each word has."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return [i for x in ids for i in x], list(map(len, ids))
+
+    def _letters(self, words: list[str]) -> tuple[list[int], np.ndarray | list[int]]:
+        """As _encode, of lower-case words of letters: each is one pre-token, whose last piece alone ends in </w>."""
+        ids = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        cut = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(cut, prepend=-1)) if len(cut) == len(words) and cut[-1] == len(ids) - 1 else self._encode(words)
+
+    def _learn(self, words: list[str], how) -> None:
+        got = [how(words[i : i + 512]) for i in range(0, len(words), 512)]
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.ids = np.concatenate([self.ids, *(np.array(ids, dtype=np.int64) for ids, _ in got)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in got)]))]).astype(np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words (UTF-8), one word after another, and how many each word has."""
+        keys: list[str] = []
+        tails: list[int] = []
+        plain: set[str] = set()
+        for b in words:
+            w = b.decode()
+            core, tail = (w[:-1], self.stop[w[-1]]) if len(w) > 1 and w[-1] in self.stop else (w, -1)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
                 core = core.lower()
+                plain.add(core)
             else:
-                core, tail = w, ""
+                core, tail = w, -1
             keys.append(core)
             tails.append(tail)
-        new = [k for k in dict.fromkeys(keys) if k not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(keys))
-            plain = [k for k in new if k.isalpha() and (k.isascii() or max(k) < "İ")]
-            cache.update(zip(plain, self._letters(plain)))
-            other = [k for k in new if k not in cache]
-            cache.update(zip(other, self._encode(other)))
-        return [cache[k] + self.stop[t] if t else cache[k] for k, t in zip(keys, tails)]
+        new = [k for k in dict.fromkeys(keys) if k not in self.place]
+        if len(self.place) + len(new) > CACHE_WORDS:
+            self._empty()
+            new = list(dict.fromkeys(keys))
+        self._learn([k for k in new if k in plain], self._letters)
+        self._learn([k for k in new if k not in plain], self._encode)
+        place = np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
+        tail = np.array(tails, dtype=np.int64)
+        has = tail >= 0
+        core_n = self.at[place + 1] - self.at[place]
+        n = core_n + has
+        start = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), dtype=np.int64)
+        out[spread(start, core_n)] = self.ids[spread(self.at[place], core_n)]
+        out[(start + core_n)[has]] = tail[has]
+        return out, n
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -136,7 +148,7 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None,
     """One batch of replacements. joined[i]: seq[i] and seq[i + 1] may pair. (rules, new seq, kept positions)."""
     at = np.flatnonzero(joined)
     key = seq[at] << 32 | seq[at + 1]
-    pairs, inverse = np.unique(key, return_inverse=True)
+    inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
     chosen = np.flatnonzero(count >= LEAST)
     if len(chosen) > RULES:
@@ -159,12 +171,11 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None,
     return np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1), seq[kept], kept
 
 
-def repair(types: list[tuple[int, ...]], codes: np.ndarray, doc_words: np.ndarray, base: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, symbols, symbols of each document) of documents given as codes of word types."""
-    n = np.fromiter(map(len, types), dtype=np.int64, count=len(types))
-    seq = np.fromiter((i for t in types for i in t), dtype=np.int64, count=int(n.sum()))
-    owner = np.repeat(np.arange(len(types)), n)
-    weight = np.bincount(codes, minlength=len(types)).astype(np.int64)
+def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndarray, base: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, symbols, symbols of each document) of documents given as codes of word types; type i has n[i] of the ids in seq."""
+    types = len(n)
+    owner = np.repeat(np.arange(types), n)
+    weight = np.bincount(codes, minlength=types).astype(np.int64)
     rules: list[np.ndarray] = []
     size = base
     for _ in range(ROUNDS_IN):
@@ -175,7 +186,7 @@ def repair(types: list[tuple[int, ...]], codes: np.ndarray, doc_words: np.ndarra
             break
         rules.append(new)
         size += len(new)
-    n = np.bincount(owner, minlength=len(types))
+    n = np.bincount(owner, minlength=types)
     start = np.cumsum(n) - n
     per_word = n[codes]
     doc = np.repeat(np.arange(len(doc_words)), doc_words)
@@ -258,26 +269,25 @@ def encode_shards(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int,
     doc_ids: list[int | None] = []
     counts: list[int] = []
     codes: list[int] = []
-    local: dict[str, int] = {}
+    local = defaultdict[bytes, int](itertools.count().__next__)
 
     def flush() -> pd.DataFrame:
-        nonlocal nth
-        types = enc(list(local))
-        got = repair(types, np.array(codes, dtype=np.int64), np.array(counts, dtype=np.int64), enc.size, end_id)
+        nonlocal nth, local
+        got = repair(*enc(list(local)), np.array(codes, dtype=np.int64), np.array(counts, dtype=np.int64), enc.size, end_id)
         data, n = pack(doc_ids, *got, enc.size)
         out = pd.DataFrame({"part": [part], "nth": [nth], "n_tokens": [n], "shard": [data]})
         nth += 1
-        for x in (doc_ids, counts, codes, local):
+        for x in (doc_ids, counts, codes):
             x.clear()
+        local = defaultdict(itertools.count().__next__)
         return out
 
     for batch in batches:
         for part, doc_id, missing, text in zip(*(batch[c].tolist() for c in ("part", "doc_id", "missing", "text"))):
-            words = SPLIT(text or "")
+            words = bytes(text or b"").split()  # of bytes, split() takes ASCII white space alone
             if doc_ids and len(codes) + len(words) > shard_words:
                 yield flush()
-            add = local.setdefault
-            codes += [add(w, len(local)) for w in words]
+            codes += map(local.__getitem__, words)
             counts.append(len(words))
             doc_ids.append(None if missing else doc_id)
     if doc_ids:
@@ -287,7 +297,7 @@ def encode_shards(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int,
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_words: int = SHARD_WORDS) -> None:
     """Writes docs (doc_id, text) to a new folder, in the format above."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
+    rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.col("text").cast("binary").alias("text"))
     rows.mapInPandas(lambda it: encode_shards(it, tokenizer, end_id, shard_words), SCHEMA).write.parquet(path)
 
 
