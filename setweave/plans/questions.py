@@ -2,7 +2,8 @@
 takes the item `offset + k` places on, skipping the set's own items by a bounded number of tries.
 
 Negative sets keep a set's length and categories; fill-in-the-blank questions hide one item and add
-three of its category. A category is p_brand. Everything is an equi-join on (category, place).
+three of its category. A category is p_brand. Everything is an equi-join on (category, place). A seed
+gives other pools, starts and blanks over the same items.
 """
 
 from pyspark.sql import DataFrame
@@ -16,14 +17,15 @@ TRIES = 6
 BLANKS, DISTRACTORS = 1, 3
 
 
-def _pool(spark, sf) -> DataFrame:
+def _pool(spark, sf, seed="") -> DataFrame:
     """(cat, place, candidate, size): the items of a category in md5 order."""
     w = W.partitionBy("cat")
     p = table(spark, sf, "part").select(F.col("p_brand").alias("cat"), F.col("p_partkey").alias("candidate"))
-    return p.withColumns({"place": (F.row_number().over(w.orderBy(draw("pool", F.col("candidate")), "candidate")) - 1).cast("long"), "size": F.count("*").over(w)})
+    return p.withColumns({"place": (F.row_number().over(w.orderBy(draw(f"pool{seed}", F.col("candidate")), "candidate")) - 1).cast("long"), "size": F.count("*").over(w)})
 
 
-_POOL = f"""{SET_ITEMS}, pool AS (SELECT p_brand AS cat, p_partkey AS candidate, row_number() OVER (PARTITION BY p_brand ORDER BY {draw_sql("pool", "p_partkey")}, p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+def _pool_sql(seed="") -> str:
+    return f"""{SET_ITEMS}, pool AS (SELECT p_brand AS cat, p_partkey AS candidate, row_number() OVER (PARTITION BY p_brand ORDER BY {draw_sql(f"pool{seed}", "p_partkey")}, p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
 n AS (SELECT set_id FROM si GROUP BY set_id HAVING count(*) >= 2), x AS (SELECT set_id, item_id, p_brand AS cat FROM si JOIN n USING (set_id) JOIN part ON item_id = p_partkey)"""
 
 
@@ -34,12 +36,12 @@ def _items(spark, sf) -> DataFrame:
     return si.join(big, "set_id", "left_semi").join(parts, "item_id")
 
 
-def _fill(spark, sf, slots: DataFrame, own: DataFrame, want: int) -> DataFrame:
+def _fill(spark, sf, slots: DataFrame, own: DataFrame, want: int, seed="") -> DataFrame:
     """(set_id, slot..., candidate, k): for each (set_id, cat, n slots) the first n survivors from a set's start."""
-    pool = _pool(spark, sf)
+    pool = _pool(spark, sf, seed)
     sizes = pool.groupBy("cat").agg(F.max("size").alias("size"))
     s = slots.join(sizes, "cat").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") * want + TRIES, F.col("size")) - 1)))
-    s = s.withColumn("place", (draw("start", F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).drop("size")
+    s = s.withColumn("place", (draw(f"start{seed}", F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).drop("size")
     s = s.join(pool.select("cat", "place", "candidate"), ["cat", "place"])
     s = s.join(own.select("set_id", F.col("item_id").alias("candidate")), ["set_id", "candidate"], "left_anti")
     k = F.row_number().over(W.partitionBy("set_id", "cat").orderBy("t")).cast("long")
@@ -55,25 +57,25 @@ def cp_negatives(spark, sf) -> DataFrame:
     return n.join(got, "set_id", "left").select("set_id", "n_items", F.array_join("v", ",").alias("negative"), F.coalesce(F.size("v") == F.col("n_items"), F.lit(False)).alias("complete"))
 
 
-def _fill_sql(slots: str, want: int) -> str:
-    return f"""e AS (SELECT s.set_id, s.cat, s.n, t, ({draw_sql("start", "s.set_id", "s.cat")} + t) % z.size AS place FROM {slots} s JOIN (SELECT cat, max(size) AS size FROM pool GROUP BY cat) z USING (cat), LATERAL (SELECT unnest(range(CAST(least(s.n * {want} + {TRIES}, z.size) AS BIGINT))) AS t)),
+def _fill_sql(slots: str, want: int, seed="") -> str:
+    return f"""e AS (SELECT s.set_id, s.cat, s.n, t, ({draw_sql(f"start{seed}", "s.set_id", "s.cat")} + t) % z.size AS place FROM {slots} s JOIN (SELECT cat, max(size) AS size FROM pool GROUP BY cat) z USING (cat), LATERAL (SELECT unnest(range(CAST(least(s.n * {want} + {TRIES}, z.size) AS BIGINT))) AS t)),
 f AS (SELECT e.*, candidate FROM e JOIN pool USING (cat, place) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.set_id = e.set_id AND x.item_id = candidate)),
 g AS (SELECT *, row_number() OVER (PARTITION BY set_id, cat ORDER BY t) AS k FROM f), got AS (SELECT * FROM g WHERE k <= n * {want})"""
 
 
-NEGATIVES_SQL = f"""WITH {_POOL}, slots AS (SELECT set_id, cat, count(*) AS n FROM x GROUP BY ALL), {_fill_sql("slots", 1)},
+NEGATIVES_SQL = f"""WITH {_pool_sql()}, slots AS (SELECT set_id, cat, count(*) AS n FROM x GROUP BY ALL), {_fill_sql("slots", 1)},
 v AS (SELECT set_id, list_sort(list(candidate)) AS v FROM got GROUP BY set_id)
 SELECT set_id, n_items, array_to_string(v, ',') AS negative, coalesce(len(v) = n_items, FALSE) AS complete FROM (SELECT set_id, count(*) AS n_items FROM x GROUP BY set_id) LEFT JOIN v USING (set_id)"""
 
 
-def fitb_questions(spark, sf) -> DataFrame:
+def fitb_questions(spark, sf, seed="") -> DataFrame:
     """set_id, question (the other items), blank, candidates (4, the right one at correct_index), correct_index = set_id mod 4."""
     x = _items(spark, sf)
-    w = W.partitionBy("set_id").orderBy(draw("blank", F.col("set_id"), F.col("item_id")), "item_id")
+    w = W.partitionBy("set_id").orderBy(draw(f"blank{seed}", F.col("set_id"), F.col("item_id")), "item_id")
     r = x.withColumn("rn", F.row_number().over(w))
     blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat", F.lit(1).cast("long").alias("n"))
     rest = r.where("rn > 1").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"))
-    got = _fill(spark, sf, blank.select("set_id", "cat", "n"), x, DISTRACTORS).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("k", "candidate"))).alias("d"))
+    got = _fill(spark, sf, blank.select("set_id", "cat", "n"), x, DISTRACTORS, seed).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("k", "candidate"))).alias("d"))
     got = got.where(F.size("d") == DISTRACTORS).select("set_id", F.transform("d", lambda s: s["candidate"]).alias("d"))
     at = F.pmod("set_id", F.lit(4)).cast("int")
     out = blank.join(rest, "set_id").join(got, "set_id").withColumn("correct_index", at)
@@ -81,8 +83,12 @@ def fitb_questions(spark, sf) -> DataFrame:
     return out.select("set_id", "question", "blank", F.array_join(c, ",").alias("candidates"), "correct_index")
 
 
-FITB_SQL = f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {draw_sql("blank", "set_id", "item_id")}, item_id) AS rn FROM x),
+def fitb_sql(seed="") -> str:
+    return f"""WITH {_pool_sql(seed)}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {draw_sql(f"blank{seed}", "set_id", "item_id")}, item_id) AS rn FROM x),
 blank AS (SELECT set_id, item_id AS blank, cat, 1 AS n FROM r WHERE rn = 1), rest AS (SELECT set_id, array_to_string(list_sort(list(item_id)), ',') AS question FROM r WHERE rn > 1 GROUP BY set_id),
-{_fill_sql("blank", DISTRACTORS)}, v AS (SELECT set_id, list(candidate ORDER BY k) AS d FROM got GROUP BY set_id HAVING count(*) = {DISTRACTORS})
+{_fill_sql("blank", DISTRACTORS, seed)}, v AS (SELECT set_id, list(candidate ORDER BY k) AS d FROM got GROUP BY set_id HAVING count(*) = {DISTRACTORS})
 SELECT set_id, question, blank, array_to_string(list_concat(list_concat(d[1:CAST(set_id % 4 AS BIGINT)], [blank]), d[CAST(set_id % 4 AS BIGINT) + 1:]), ',') AS candidates, CAST(set_id % 4 AS INTEGER) AS correct_index
 FROM blank JOIN rest USING (set_id) JOIN v USING (set_id)"""
+
+
+FITB_SQL = fitb_sql()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import graph, metrics, resampling, sets
-from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions
+from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions, fitb_sql
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
 
 QUERIES: dict = {}
@@ -329,6 +331,79 @@ def fitb_accuracy(spark, sf):
     return best.groupBy("correct_index").agg(F.count("*").alias("n"), r(F.avg((F.col("predicted_index") == F.col("correct_index")).cast("double"))).alias("accuracy"))
 
 
+#: Seeds of the question sweep.
+SEEDS = (42, 43, 44, 45, 46)
+
+
+@query("WITH q AS (" + " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({fitb_sql(s)})" for s in SEEDS) + f"""), s AS (SELECT seed, set_id, correct_index, CAST(unnest(range(4)) AS INTEGER) AS candidate_index, unnest(string_split(candidates, ',')) AS c FROM q),
+k AS (SELECT *, row_number() OVER (PARTITION BY seed, set_id ORDER BY {draw_sql("fitb", "set_id", "c")} % 10 DESC, candidate_index) AS rn FROM s),
+a AS (SELECT seed, count(*) AS n, avg(CAST(candidate_index = correct_index AS INTEGER)) AS m FROM k WHERE rn = 1 GROUP BY seed)
+SELECT seed, n, round(m, 6) AS accuracy, round(m - avg(m) OVER (), 6) AS from_mean, round(stddev_samp(m) OVER (), 6) AS sd, round(max(m) OVER () - min(m) OVER (), 6) AS spread FROM a""")
+def fitb_seed_sweep(spark, sf):
+    """Fill-in-the-blank questions made anew under each seed from the same items, and how far accuracy moves."""
+    q = [fitb_questions(spark, sf, s).select(F.lit(s).alias("seed"), "set_id", "correct_index", "candidates") for s in SEEDS]
+    q = reduce(DataFrame.unionByName, q).select("seed", "set_id", "correct_index", F.posexplode(F.split("candidates", ",")).alias("candidate_index", "c"))
+    q = q.withColumn("score", draw("fitb", F.col("set_id"), F.col("c")) % 10)
+    best = metrics.first_argmax(q, ["seed", "set_id", "correct_index"], "candidate_index", "score")
+    a = best.groupBy("seed").agg(F.count("*").alias("n"), F.avg((F.col("predicted_index") == F.col("correct_index")).cast("double")).alias("m"))
+    every = W.partitionBy(F.lit(1))  # a row a seed
+    m = F.col("m")
+    return a.select("seed", "n", r(m).alias("accuracy"), r(m - F.avg(m).over(every)).alias("from_mean"), r(F.stddev_samp(m).over(every)).alias("sd"), r(F.max(m).over(every) - F.min(m).over(every)).alias("spread"))
+
+
+@query(f"""WITH q AS ({FITB_SQL}), s AS (SELECT correct_index, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest(string_split(candidates, ',')) AS BIGINT) AS item_id FROM q),
+u AS (SELECT item_id, count(*) AS n FROM s WHERE i <> correct_index GROUP BY item_id)
+SELECT (SELECT count(*) FROM q) AS questions, count(*) AS items, max(n) AS most_reused, round(avg(n), 6) AS mean_reuse, count(*) FILTER (n > 1) AS reused,
+(SELECT count(*) FROM q WHERE correct_index = 0) AS slot_0, (SELECT count(*) FROM q WHERE correct_index = 3) AS slot_3 FROM u""")
+def distractor_usage(spark, sf):
+    """How often questions reuse a distractor, and how many have the right answer in the outer slots."""
+    q = fitb_questions(spark, sf)
+    s = q.select("correct_index", F.posexplode(F.split("candidates", ",")).alias("i", "item_id")).where("i <> correct_index")
+    u = s.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.count("*").alias("n"))
+    u = u.agg(F.count("*").alias("items"), F.max("n").alias("most_reused"), r(F.avg("n")).alias("mean_reuse"), F.count_if(F.col("n") > 1).alias("reused"))
+    n = q.agg(F.count("*").alias("questions"), F.count_if(F.col("correct_index") == 0).alias("slot_0"), F.count_if(F.col("correct_index") == 3).alias("slot_3"))
+    return n.crossJoin(F.broadcast(u))  # one row each
+
+
+@query(f"""WITH n AS ({NEGATIVES_SQL}), {SET_ITEMS}, p AS (SELECT DISTINCT array_to_string(list_sort(list(item_id)), ',') AS items FROM si GROUP BY set_id),
+d AS (SELECT negative, count(*) AS k FROM n WHERE complete GROUP BY negative)
+SELECT (SELECT count(*) FROM n) AS sets, (SELECT count(*) FROM n WHERE complete) AS complete, (SELECT count(*) FROM d JOIN p ON negative = items) AS equal_positive, (SELECT coalesce(sum(k) FILTER (k > 1), 0)::BIGINT FROM d) AS repeated,
+(SELECT count(*) FROM n WHERE complete AND len(list_distinct(string_split(negative, ','))) < n_items) AS repeats_an_item""")
+def protocol_audit(spark, sf):
+    """Balance and validity of the negative sets: completeness, negatives equal to a positive, repeated negatives, repeated items."""
+    n = cp_negatives(spark, sf)
+    p = sets.canonical(set_items(spark, sf)).select(F.array_join("items", ",").alias("negative")).distinct()
+    own = F.count_if(F.col("complete") & (F.size(F.array_distinct(F.split("negative", ","))) < F.col("n_items")))
+    a = n.agg(F.count("*").alias("sets"), F.count_if("complete").alias("complete"), own.alias("repeats_an_item"))
+    d = n.where("complete").groupBy("negative").agg(F.count("*").alias("k"))
+    b = d.join(p.withColumn("hit", F.lit(True)), "negative", "left").agg(F.count("hit").alias("equal_positive"), F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("repeated"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+@query("""WITH x AS (SELECT sha256(text) AS sha, lang, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT a.lang AS lang_a, b.lang AS lang_b, count(*) AS digests, CAST(sum(a.n) AS BIGINT) AS rows_a, CAST(sum(b.n) AS BIGINT) AS rows_b FROM x a JOIN x b ON a.sha = b.sha AND a.lang < b.lang GROUP BY ALL""")
+def corpus_overlap(spark, sf):
+    """Equal contents between every two corpora (here: languages), by digest."""
+    x = table(spark, sf, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "lang").agg(F.count("*").alias("n"))
+    b = x.select("sha", F.col("lang").alias("lang_b"), F.col("n").alias("n_b"))
+    j = x.join(b, "sha").where("lang < lang_b")  # a row a corpus and digest: as many pairs as two corpora, whatever the copies
+    return j.groupBy(F.col("lang").alias("lang_a"), "lang_b").agg(F.count("*").alias("digests"), F.sum("n").alias("rows_a"), F.sum("n_b").alias("rows_b"))
+
+
+@query("""WITH d AS (SELECT sha256(text) AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
+t AS (SELECT CAST(n_chars AS VARCHAR) AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 20)
+SELECT 'copies' AS part, CAST(n AS VARCHAR) AS value, count(*) AS n FROM d WHERE n > 1 GROUP BY n UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'n_chars', value, n FROM t""")
+def content_audit(spark, sf):
+    """The content report: groups of copies by their size, kinds by count, and the 20 commonest lengths (a top-20 report)."""
+    x = table(spark, sf, "documents")
+    d = x.where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")).agg(F.count("*").alias("c")).where("c > 1")
+    parts = [d.groupBy(F.lit("copies").alias("part"), F.col("c").cast("string").alias("value")).agg(F.count("*").alias("n"))]
+    parts += [x.groupBy(F.lit(c).alias("part"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("lang", "source")]
+    top = x.groupBy(F.lit("n_chars").alias("part"), F.col("n_chars").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, [*parts, top.orderBy(F.desc("n"), "value").limit(20)])
+
+
 # ---- resampling and agreement
 
 B = 50

@@ -1,4 +1,7 @@
+import hashlib
 import math
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 from setweave.functions import vectors as V
 from setweave.operators import graph, metrics, resampling, sets
 from setweave.queries import QUERIES, SQL
-from setweave.sources import protocol
+from setweave.sources import archives, protocol
 from setweave.streaming.calibration import windowed_means
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +138,26 @@ def test_protocol_files(spark, tmp_path):
     assert protocol.manifest_matches(spark, str(tmp_path / "out"), held)
 
 
+def test_archives(spark, tmp_path):
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in {"x/one.json": '{"set_id": "s", "n": 3}', "x/bad.json": "{oops", "x/p.jpg": b"\x00\x01", "__MACOSX/x/p.jpg": b"", "x/._p.jpg": b"", "y/q.jpg": b"q", "z/q.jpg": b"r"}.items():
+            z.writestr(name, data)
+    m = {r["entry"]: (r["basename"], r["crc32"], r["size"]) for r in archives.members(spark, path).collect()}
+    assert m["x/p.jpg"] == ("p.jpg", zlib.crc32(b"\x00\x01"), 2) and len(m) == 5
+    j = {r["entry"]: (r["data"], r["problem"]) for r in archives.json_members(spark, path, "set_id string, n int").collect()}
+    assert tuple(j["x/one.json"][0]) == ("s", 3) and j["x/bad.json"] == (None, "malformed JSON")
+    want = spark.createDataFrame([("p.jpg",), ("p.jpg",)], "basename string")
+    got = archives.extract(spark, path, want).collect()
+    assert [(r["content"], r["sha256"]) for r in got] == [(b"\x00\x01", hashlib.sha256(b"\x00\x01").hexdigest())]
+    for name in ("none.jpg", "q.jpg"):
+        with pytest.raises(Exception, match="member"):
+            archives.extract(spark, path, spark.createDataFrame([(name,)], "basename string")).collect()
+    held = spark.createDataFrame([("p.jpg", "0")], "basename string, sha256 string")
+    with pytest.raises(Exception, match="changed member"):
+        archives.unchanged(archives.extract(spark, path, want), held).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_type", "value")
     events.write.parquet(str(tmp_path / "in"))
