@@ -380,14 +380,14 @@ def protocol_audit(spark, sf):
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
-@query("""WITH x AS (SELECT sha256(text) AS sha, lang, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
-SELECT a.lang AS lang_a, b.lang AS lang_b, count(*) AS digests, CAST(sum(a.n) AS BIGINT) AS rows_a, CAST(sum(b.n) AS BIGINT) AS rows_b FROM x a JOIN x b ON a.sha = b.sha AND a.lang < b.lang GROUP BY ALL""")
+@query("""WITH x AS (SELECT sha256(text) AS sha, source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT a.source AS source_a, b.source AS source_b, count(*) AS digests, CAST(sum(a.n) AS BIGINT) AS rows_a, CAST(sum(b.n) AS BIGINT) AS rows_b FROM x a JOIN x b ON a.sha = b.sha AND a.source < b.source GROUP BY ALL""")
 def corpus_overlap(spark, sf):
-    """Equal contents between every two corpora (here: languages), by digest."""
-    x = table(spark, sf, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "lang").agg(F.count("*").alias("n"))
-    b = x.select("sha", F.col("lang").alias("lang_b"), F.col("n").alias("n_b"))
-    j = x.join(b, "sha").where("lang < lang_b")  # a row a corpus and digest: as many pairs as two corpora, whatever the copies
-    return j.groupBy(F.col("lang").alias("lang_a"), "lang_b").agg(F.count("*").alias("digests"), F.sum("n").alias("rows_a"), F.sum("n_b").alias("rows_b"))
+    """Equal contents between every two corpora (here: sources), by digest."""
+    x = table(spark, sf, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "source").agg(F.count("*").alias("n"))
+    b = x.select("sha", F.col("source").alias("source_b"), F.col("n").alias("n_b"))
+    j = x.join(b, "sha").where("source < source_b")  # a row a corpus and digest: as many pairs as two corpora, whatever the copies
+    return j.groupBy(F.col("source").alias("source_a"), "source_b").agg(F.count("*").alias("digests"), F.sum("n").alias("rows_a"), F.sum("n_b").alias("rows_b"))
 
 
 @query("""WITH d AS (SELECT sha256(text) AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
