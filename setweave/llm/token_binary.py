@@ -25,14 +25,15 @@ not read.
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +46,18 @@ SHARD_WORDS = 1_000_000
 #: Least count of a pair that becomes a rule; most rules a round; rounds inside words, across words.
 LEAST, RULES, ROUNDS_IN, ROUNDS_OVER = 6, 4096, 10, 3
 CACHE_WORDS = 500_000
+#: Most bytes of text split into words at a time.
+PIECE_BYTES = 8 << 20
+#: Letters below U+0130, a normaliser that only lower-cases them, and a pattern that keeps a run of them whole.
+LETTERS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SCHEMA = "part int, nth int, n_tokens long, shard binary"
 
 
@@ -69,8 +82,13 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for piece, i in self.tok.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        stops = {c: e.ids[0] for c, e in zip(".,", self.tok.encode_batch_fast([".", ","], add_special_tokens=False)) if len(e.ids) == 1}
-        self.stop = stops if len(stops) == 2 else {}
+        self.stop = {c: self.tok.encode(c, add_special_tokens=False).ids for c in ".,"}
+        #: The same model without the normaliser and the pattern, which leave lower-case letters as they are; None for another tokenizer.
+        self.bare = None
+        steps = json.loads(self.tok.to_str())
+        if (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALISER, PATTERN) and all(len(i) == 1 for i in self.stop.values()):
+            split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, PATTERN["pretokenizers"][1]]}
+            self.bare = Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
         self._empty()
 
     def _empty(self) -> None:
@@ -85,7 +103,7 @@ class WordEncoder:
 
     def _letters(self, words: list[str]) -> tuple[list[int], np.ndarray | list[int]]:
         """As _encode, of lower-case words of letters: each is one pre-token, whose last piece alone ends in </w>."""
-        ids = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         cut = np.flatnonzero(self.ends[ids])
         return (ids, np.diff(cut, prepend=-1)) if len(cut) == len(words) and cut[-1] == len(ids) - 1 else self._encode(words)
 
@@ -95,29 +113,25 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, *(np.array(ids, dtype=np.int64) for ids, _ in got)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in got)]))]).astype(np.int64)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words (UTF-8), one word after another, and how many each word has."""
-        keys: list[str] = []
-        tails: list[int] = []
-        plain: set[str] = set()
-        for b in words:
-            w = b.decode()
-            core, tail = (w[:-1], self.stop[w[-1]]) if len(w) > 1 and w[-1] in self.stop else (w, -1)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-                core = core.lower()
-                plain.add(core)
-            else:
-                core, tail = w, -1
-            keys.append(core)
-            tails.append(tail)
-        new = [k for k in dict.fromkeys(keys) if k not in self.place]
-        if len(self.place) + len(new) > CACHE_WORDS:
+    def __call__(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one word after another, and how many each word has."""
+        keys, tail = words, np.full(len(words), -1, dtype=np.int64)
+        if self.bare:
+            stopped = pc.match_substring_regex(words, f"^{LETTERS}[.,]$")
+            core = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words)
+            keys = pc.if_else(pc.match_substring_regex(core, f"^{LETTERS}$"), pc.utf8_lower(core), core)
+            tail[pc.if_else(stopped, pc.ends_with(words, "."), False).to_numpy(zero_copy_only=False)] = self.stop["."][0]
+            tail[pc.if_else(stopped, pc.ends_with(words, ","), False).to_numpy(zero_copy_only=False)] = self.stop[","][0]
+        coded = keys.dictionary_encode()
+        distinct, plain = (x.to_numpy(zero_copy_only=False).tolist() for x in (coded.dictionary, pc.match_substring_regex(coded.dictionary, f"^{LETTERS}$")))
+        words_of = [(self._letters, [k for k, p in zip(distinct, plain) if p and self.bare]), (self._encode, [k for k, p in zip(distinct, plain) if not (p and self.bare)])]
+        new = [(how, [k for k in keys if k not in self.place]) for how, keys in words_of]
+        if len(self.place) + sum(len(keys) for _, keys in new) > CACHE_WORDS:
             self._empty()
-            new = list(dict.fromkeys(keys))
-        self._learn([k for k in new if k in plain], self._letters)
-        self._learn([k for k in new if k not in plain], self._encode)
-        place = np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
-        tail = np.array(tails, dtype=np.int64)
+            new = words_of
+        for how, missing in new:
+            self._learn(missing, how)
+        place = np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
         has = tail >= 0
         core_n = self.at[place + 1] - self.at[place]
         n = core_n + has
@@ -144,9 +158,13 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def repair_round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One batch of replacements. joined[i]: seq[i] and seq[i + 1] may pair. (rules, new seq, kept positions)."""
-    at = np.flatnonzero(joined)
+def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight: np.ndarray | None, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One batch of replacements. joined[i]: seq[i] and seq[i + 1] may pair. (rules, new seq, kept positions, new alive).
+
+    alive[i]: the pair at i can still be frequent. A count of old symbols never grows, so a pair found
+    rare stays so, and only pairs that were frequent or hold a new symbol are counted in the next round.
+    """
+    at = np.flatnonzero(joined & alive)
     key = seq[at] << 32 | seq[at + 1]
     inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
@@ -154,11 +172,14 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None,
     if len(chosen) > RULES:
         chosen = chosen[np.argsort(-count[chosen], kind="stable")[:RULES]]
     if not len(chosen):
-        return np.zeros((0, 2), dtype=np.int64), seq, np.arange(len(seq))
+        return np.zeros((0, 2), dtype=np.int64), seq, np.arange(len(seq)), alive
+    alive = np.zeros(len(seq), dtype=bool)
+    alive[at] = (count >= LEAST)[inverse]
     rule = np.full(len(pairs), -1, dtype=np.int64)
     rule[chosen] = first + np.arange(len(chosen))
-    hit = rule[inverse] >= 0
-    at, new = at[hit], rule[inverse[hit]]
+    new = rule[inverse]
+    hit = new >= 0
+    at, new = at[hit], new[hit]
     # of overlapping occurrences, every other one from the left
     start = np.concatenate([[True], np.diff(at) > 1])
     nth = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
@@ -168,7 +189,11 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, weight: np.ndarray | None,
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
     kept = np.flatnonzero(keep)
-    return np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1), seq[kept], kept
+    seq = seq[kept]
+    fresh = seq >= first
+    alive = alive[kept] | fresh
+    alive[:-1] |= fresh[1:]
+    return np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1), seq, kept, alive
 
 
 def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndarray, base: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,9 +203,10 @@ def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndar
     weight = np.bincount(codes, minlength=types).astype(np.int64)
     rules: list[np.ndarray] = []
     size = base
+    alive = np.ones(len(seq), dtype=bool)
     for _ in range(ROUNDS_IN):
         joined = np.append(owner[1:] == owner[:-1], False)[: len(seq)]
-        new, seq, kept = repair_round(seq, joined, weight[owner], size)
+        new, seq, kept, alive = repair_round(seq, joined, alive, weight[owner], size)
         owner = owner[kept]
         if not len(new):
             break
@@ -196,9 +222,10 @@ def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndar
     body = np.ones(len(out), dtype=bool)
     body[ends] = False
     out[body] = seq[spread(start[codes], per_word)]
+    alive = np.ones(len(out), dtype=bool)  # across words, all pairs count anew
     for _ in range(ROUNDS_OVER):
         joined = np.append(body[1:] & body[:-1], False)
-        new, out, kept = repair_round(out, joined, None, size)
+        new, out, kept, alive = repair_round(out, joined, alive, None, size)
         body = body[kept]
         if not len(new):
             break
@@ -262,34 +289,61 @@ class Shard:
         return self.flat[spread(self.start[s], self.span[s])]
 
 
-def encode_shards(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, shard_words: int) -> Iterator[pd.DataFrame]:
+def split_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of these texts, one text after another, and how many each text has."""
+    parts = pc.ascii_split_whitespace(texts)
+    words, n = parts.flatten(), parts.value_lengths().to_numpy().astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text gives an empty word
+    owner = np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)]
+    return words.filter(full), np.bincount(owner, minlength=len(n))
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most PIECE_BYTES of text (or of one row)."""
+    size, at = pc.binary_length(batch.column("text")).to_pylist(), 0
+    while at < len(size):
+        end, total = at + 1, size[at]
+        while end < len(size) and total + size[end] <= PIECE_BYTES:
+            total += size[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def encode_shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, shard_words: int) -> Iterator[pa.RecordBatch]:
     """Shards of one partition's rows (part, doc_id, missing, text), which come in order."""
     enc = encoder(tokenizer)
     nth = part = 0
     doc_ids: list[int | None] = []
     counts: list[int] = []
-    codes: list[int] = []
-    local = defaultdict[bytes, int](itertools.count().__next__)
+    held: list[pa.StringArray] = []
+    total = 0
 
-    def flush() -> pd.DataFrame:
-        nonlocal nth, local
-        got = repair(*enc(list(local)), np.array(codes, dtype=np.int64), np.array(counts, dtype=np.int64), enc.size, end_id)
+    def flush() -> pa.RecordBatch:
+        nonlocal nth, total
+        words = pa.concat_arrays(held).dictionary_encode()
+        got = repair(*enc(words.dictionary), words.indices.to_numpy(), np.array(counts, dtype=np.int64), enc.size, end_id)
         data, n = pack(doc_ids, *got, enc.size)
-        out = pd.DataFrame({"part": [part], "nth": [nth], "n_tokens": [n], "shard": [data]})
-        nth += 1
-        for x in (doc_ids, counts, codes):
+        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "nth", "n_tokens", "shard"])
+        nth, total = nth + 1, 0
+        for x in (doc_ids, counts, held):
             x.clear()
-        local = defaultdict(itertools.count().__next__)
         return out
 
     for batch in batches:
-        for part, doc_id, missing, text in zip(*(batch[c].tolist() for c in ("part", "doc_id", "missing", "text"))):
-            words = bytes(text or b"").split()  # of bytes, split() takes ASCII white space alone
-            if doc_ids and len(codes) + len(words) > shard_words:
-                yield flush()
-            codes += map(local.__getitem__, words)
-            counts.append(len(words))
-            doc_ids.append(None if missing else doc_id)
+        for piece in pieces(batch):
+            words, n = split_words(piece.column("text"))
+            at = here = 0  # words of this piece in shards or held; words before this document
+            for part, doc_id, missing, k in zip(*(piece.column(c).to_pylist() for c in ("part", "doc_id", "missing")), n.tolist()):
+                if doc_ids and total + k > shard_words:
+                    held.append(words.slice(at, here - at))
+                    at = here
+                    yield flush()
+                doc_ids.append(None if missing else doc_id)
+                counts.append(k)
+                here += k
+                total += k
+            held.append(words.slice(at))
     if doc_ids:
         yield flush()
 
@@ -297,8 +351,8 @@ def encode_shards(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int,
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_words: int = SHARD_WORDS) -> None:
     """Writes docs (doc_id, text) to a new folder, in the format above."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.col("text").cast("binary").alias("text"))
-    rows.mapInPandas(lambda it: encode_shards(it, tokenizer, end_id, shard_words), SCHEMA).write.parquet(path)
+    rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.mapInArrow(lambda it: encode_shards(it, tokenizer, end_id, shard_words), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
