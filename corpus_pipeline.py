@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from setweave.llm.common import shared_path
 from setweave.llm.decontaminate import drop_leaks
+from setweave.llm.jaccard_dedup import jaccard_dedup
 from setweave.llm.mixing import mix_rows
 from setweave.llm.quality_rules import keep_good
-from setweave.llm.simhash import near_dedup
 from setweave.llm.token_binary import token_binary
 
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup(docs)
+    return jaccard_dedup(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("simhash", dedup), ("decontaminate", decontaminated), ("mix", mixed), ("tokens", tokenised)]
-#: No SQL for fitted rules, four-fold SimHash or Re-Pair: the stages are tested against brute force.
+#: No SQL for fitted rules, exact Jaccard components or Re-Pair: the stages are tested against brute force.
 ORACLE_SQL = None
 
 

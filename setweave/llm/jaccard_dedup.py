@@ -1,0 +1,134 @@
+"""The pipeline's near-dedup: components of exact Jaccard similarity of 0.8 or more on sets of five-word shingles.
+
+Texts of equal sets are one class. Classes meet by prefix filtering: with the shingles of all sets
+in one order, two sets of Jaccard >= 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of
+the larger and of the first n - ceil(8 n / 9) + 1 of the smaller. The order puts shingles common
+in a sample last, so that a passage many texts share is in no prefix unless it is most of a text;
+it decides the work only, never the result. Every link is an intersection of two whole sets.
+
+Pairs are tested twice. First each shingle's classes are tested against one of them (its hub), so
+a group of near copies needs no more pairs than it has prefix rows. Then all pairs that share a
+prefix shingle and are not yet in one component are tested, so no link between components is
+missed; these grow with the square of a group only where its members are not near copies by way
+of each other.
+
+Defined results: texts without words are one class; null doc_id is last; repeated rows stay once;
+an empty table gives no rows; columns are returned unchanged.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import columns_of, components, durable, fresh
+from .simhash import NEAR_SEEDS, NEAR_SHINGLE, shingle_hashes
+
+#: One class in SAMPLE counts for the order; the commonest shingles of it that are broadcast, if in LEAST classes or more.
+SAMPLE, LEAST, COMMONEST = 16, 3, 500_000
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the set of five-word shingles."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE, NEAR_SEEDS[0]).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order by (rank among the sorted common ones, hash), and how many of them are indexed."""
+    n = len(hashes)
+    order = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        order = np.where(common[at] == hashes, rank[at], 0)
+    return hashes[np.lexsort((hashes, order))][: n - -(-4 * n // 5) + 1], n - -(-8 * n // 9) + 1
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, sha, node (of the set), n, hashes of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.iloc[i : i + 1024]
+                sets = [shingle_set(t) for t in part["text"]]
+                node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "sha": part["sha"].array, "node": node, "n": [len(s) for s in sets], "hashes": sets})
+
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sha"))
+    return keyed.mapInPandas(run, "doc_id long, sha long, node long, n long, hashes array<long>")
+
+
+def prefixes(classes: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """h, node, n, indexed of every prefix shingle of classes (node, n, hashes)."""
+    given = classes.sparkSession.sparkContext.broadcast((common, rank))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, rank = given.value
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.iloc[i : i + 1024]
+                cut = [prefix(np.asarray(s, dtype=np.int64), common, rank) for s in part["hashes"]]
+                size = [len(h) for h, _ in cut]
+                yield pd.DataFrame({
+                    "h": np.concatenate([h for h, _ in cut]), "node": np.repeat(part["node"].to_numpy(), size), "n": np.repeat(part["n"].to_numpy(), size),
+                    "indexed": np.concatenate([np.arange(len(h)) < q for h, q in cut]),
+                })
+
+    return classes.mapInPandas(run, "h long, node long, n long, indexed boolean")
+
+
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
+    one = classes.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    two = classes.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    met = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(one, "a").join(two, "b").where(9 * met >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
+def jaccard_links(classes: DataFrame) -> DataFrame:
+    """(a, b) of linked classes (node, n, hashes), whose components are those of all pairs at 0.8 or more."""
+    counts = classes.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= LEAST)
+    top = counts.orderBy(F.desc("count"), "h").limit(COMMONEST).toPandas().sort_values("h")
+    rows = prefixes(classes.where("n > 0"), top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64))
+    hub = F.min(F.struct(F.xxhash64("node").alias("x"), F.col("node").alias("node"), F.col("n").alias("n")))
+    by = W.partitionBy("h")
+    rows = durable(rows.withColumn("hub", hub.over(by)).withColumn("size", F.count("*").over(by)).where("size > 1"))
+    sized = lambda p, q: F.least(p, q) * 5 >= F.greatest(p, q) * 4
+    ordered = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    stars = rows.where((F.col("node") != F.col("hub.node")) & sized(F.col("n"), F.col("hub.n")))
+    stars = durable(stars.select(*ordered(F.col("node"), F.col("hub.node"))).distinct())
+    nodes = durable(rows.select("node").distinct())
+    held = durable(classes.join(nodes, "node", "left_semi").select("node", "hashes"))
+    links = durable(verified(stars, held))
+    comp = components(links)
+    left = rows.select("h", "node", "n", "indexed").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = durable(left.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo < hi").drop("lo", "hi"))
+    small = left.where("indexed").select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    pairs = small.join(left.drop("indexed"), "h").where((F.col("ru") != F.col("root")) & (F.col("nu") <= F.col("n")) & (F.col("nu") * 5 >= F.col("n") * 4))
+    pairs = pairs.select(*ordered(F.col("u"), F.col("node"))).distinct().join(stars, ["a", "b"], "left_anti")
+    return links.unionByName(verified(pairs, held))
+
+
+def jaccard_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) but those that a near copy of less doc_id stands for.
+
+    Of each group the row with the least doc_id stays (null last, then the least text), once.
+    """
+    rows = durable(shingle_sets(docs).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("least"), F.col("sha").alias("s"), F.col("row").alias("row"))
+    first = durable(rows.groupBy("node").agg(F.min(order).alias("w")))
+    classes = rows.join(first.select("w.row"), "row", "left_semi").select("node", "n", "hashes")
+    comp = components(jaccard_links(durable(classes)))
+    groups = first.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
+    stay = durable(groups.agg(F.min("w").alias("w")).select("w.least", "w.s"))
+    null = -(2**63)  # stands for a null doc_id, so that the join and the removal of repeated rows share one shuffle
+    key, sha = fresh(docs, "id", "sha")
+    given = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(null)), sha: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = given.join(stay.select(F.coalesce("least", F.lit(null)).alias(key), F.col("s").alias(sha)), [key, sha], "left_semi")
+    return kept.dropDuplicates([key, sha]).select(*columns_of(docs))

@@ -8,7 +8,7 @@ fingerprint_components() is the contract's operator: 64-bit fingerprints, anchor
 and 23-45 together (2^24 anchors, about 61 probes a fingerprint), compared per anchor by an
 equi-join whose output is linear: a fingerprint has at most 64 + 2016 others within 2 bits.
 
-near_dedup() is the pipeline's: texts are near copies at a similarity of 0.8 or more on sets of
+near_dedup() is an estimate (the pipeline takes jaccard_dedup, which is exact): texts are near copies at a similarity of 0.8 or more on sets of
 five-word shingles. 2 bits of 64 cannot tell that (at 0.8 some 15 % of the bits differ), so it
 takes four 64-bit fingerprints (256 bits), anchors on eight blocks of 23 bits with threshold 1,
 and links fingerprints whose 256 bits differ in at most NEAR_BITS. Per anchor, links are found
@@ -156,7 +156,7 @@ def op7_simhash_anchors(spark, sf_dir: str) -> DataFrame:
     return fingerprint_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-# ---- near copies at a similarity of 0.8, for the pipeline
+# ---- near copies at an estimated similarity of 0.8
 
 
 def set_fingerprint(text: str | None) -> list[int]:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setweave.llm import decontaminate, exact_dedup, language_ppm, mixing, quality_rules, quote_linking, secrets, simhash, token_binary, token_counts
+from setweave.llm import decontaminate, exact_dedup, jaccard_dedup, language_ppm, mixing, quality_rules, quote_linking, secrets, simhash, token_binary, token_counts
 from setweave.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +135,45 @@ def test_near_dedup(docs, empty, corpus):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def jaccard_kept(rows):
+    """doc_ids that stay by brute force: the least of each component of all pairs at 0.8 or more."""
+    rows = sorted(rows)
+    sets = [set(jaccard_dedup.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_dedup_stage_is_exact(spark, docs, empty, corpus):
+    rng = np.random.default_rng(5)
+    own = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    passage = own(200)
+    rows = [(i, " ".join(passage + own(60 if i % 2 else 45))) for i in range(1200)]  # share 0.6 to 0.7: clean
+    base = own(200)
+    for i in range(1200, 1500):  # near copies about 0.8, so that chains and misses both occur
+        words = list(base)
+        for k in rng.integers(0, 200, rng.integers(1, 8)):
+            words[k] = f"v{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0] for r in corpus_pipeline.dedup(spark, df, SF).select("doc_id").collect()}
+    assert got == jaccard_kept(rows) and got >= set(range(1200))
+    got = {r[0] for r in corpus_pipeline.dedup(spark, corpus, SF).select("doc_id").collect()}
+    assert got == jaccard_kept([tuple(r) for r in corpus.select("doc_id", "text").collect()])
+    out = corpus_pipeline.dedup(spark, docs, SF)
+    assert out.columns == docs.columns and out.where("text like 'long words%'").count() == 1
+    assert corpus_pipeline.dedup(spark, empty, SF).count() == 0
+
+
 def test_components_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(chain).collect()}
