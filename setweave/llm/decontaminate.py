@@ -2,8 +2,8 @@
 
 A text becomes a sequence of tokens; numbers, names (capitalised words inside a sentence) and
 units behind a number become typed placeholders, all other words are lower-cased. Windows of
-WINDOW tokens (or a whole shorter item) with at least LITERALS literal words are hashed; the
-documents' windows are joined to the benchmark's, which are broadcast in blocks of at most
+WINDOW tokens (or a whole shorter item) with at least LITERALS literal words are hashed, and those
+with fewer as their lower-cased raw tokens, which match only word for word; the documents' windows are joined to the benchmark's, which are broadcast in blocks of at most
 BLOCK_ROWS windows, whatever the benchmark's size, so that the documents' windows are never
 shuffled. A match is kept if its slots are consistent: along one alignment, each value of an
 item's slots stands for one value of the document's. A document leaks an item if its consistent
@@ -59,15 +59,24 @@ def windows(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(at, lambda i: F.xxhash64(*[F.element_at(toks, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def both_windows(toks: Column, raw: Column, n: int) -> Column:
+    """(p, hash) of all runs of n tokens, and of n raw ones where they differ."""
+    t, r = windows(toks, n), windows(raw, n)
+    placed = lambda h, i: F.struct(i.alias("p"), h.alias("hash"))
+    other = F.filter(F.zip_with(F.transform(r, placed), t, lambda x, h: F.when(x["hash"] != h, x)), lambda x: x.isNotNull())
+    return F.when(toks == raw, F.transform(t, placed)).otherwise(F.concat(F.transform(t, placed), other))
+
+
 def item_windows(bench: DataFrame, window: int, literals: int, shortest: int) -> DataFrame:
-    """item_id, n_tokens, len, q (place), hash, slots (of the window: raw values of placeholders)."""
+    """item_id, n_tokens, len, q (place), win (tokens that are hashed), raw (the window as written), verbatim (win is raw)."""
     b = bench.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("clean", spaced(F.col("text")))
     b = b.select("item_id", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw")).withColumn("n_tokens", F.size("t"))
     b = b.where(F.col("n_tokens") >= shortest).withColumn("len", F.least(F.lit(window), F.col("n_tokens")))
     b = b.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("len"))))
     b = b.withColumn("win", F.slice("t", F.col("q") + 1, F.col("len"))).withColumn("raw", F.slice("raw", F.col("q") + 1, F.col("len")))
     lit = F.size(F.filter("win", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    return b.where(lit >= F.least(F.lit(literals), F.col("len"))).drop("t")
+    verbatim = lit < F.least(F.lit(literals), F.col("len"))
+    return b.withColumn("verbatim", verbatim).withColumn("win", F.when(F.col("verbatim"), F.col("raw")).otherwise(F.col("win"))).drop("t")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literals: int = LITERALS, shortest: int = SHORTEST, cover: float = COVER, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -76,14 +85,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, liter
     hashed = F.when(F.col("len") == window, F.xxhash64(*[F.element_at("win", k + 1) for k in range(window)]))
     for n in range(shortest, window):
         hashed = F.when(F.col("len") == n, F.xxhash64(*[F.element_at("win", k + 1) for k in range(n)])).otherwise(hashed)
-    wins = durable(wins.withColumn("hash", hashed).withColumn("win_id", F.monotonically_increasing_id()))
+    wins = durable(wins.withColumn("hash", hashed))
     sizes = {r[0]: r[1] for r in wins.groupBy("len").count().collect()}  # at most `window` rows
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    toks = base.withColumn("t", tokens(templated(spaced(F.col("text")))))
+    toks = base.withColumn("clean", spaced(F.col("text"))).select("doc_id", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw"))
     found = None
     for n, rows in sorted(sizes.items()):
         blocks = -(-rows // block_rows)
-        seen = toks.select("doc_id", F.posexplode(windows(F.col("t"), n)).alias("p", "hash"))
+        seen = toks.select("doc_id", F.inline(both_windows(F.col("t"), F.col("raw"), n)))
         for k in range(blocks):
             part = wins.where((F.col("len") == n) & (F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)).select("hash").distinct()
             hit = seen.join(F.broadcast(part), "hash", "left_semi").select("doc_id", "p", "hash", F.lit(n).alias("len"))
@@ -99,15 +108,17 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, liter
     slots = slots.select("doc_id", F.col("w.p").alias("p"), F.col("w.hash").alias("hash"), F.col("w.len").alias("len"), F.slice("raw", F.col("w.p") + 1, F.col("w.len")).alias("doc_raw"))
     met = slots.join(wins, ["hash", "len"])
     pair = F.transform(F.arrays_zip("win", "raw", "doc_raw"), lambda x: F.when(x["win"].isin(NUM, NAME, UNIT), F.struct(F.concat(x["win"], x["raw"]).alias("i"), x["doc_raw"].alias("d"))))
-    met = met.select("doc_id", "item_id", "n_tokens", "q", "len", "win_id", (F.col("p") - F.col("q")).alias("shift"), F.filter(pair, lambda x: x.isNotNull()).alias("slots"))
-    lines = met.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(
+    met = met.select("doc_id", "item_id", "n_tokens", "q", "len", "verbatim", (F.col("p") - F.col("q")).alias("shift"), F.filter(pair, lambda x: x.isNotNull()).alias("slots"))
+    lines = met.groupBy("doc_id", "item_id", "n_tokens", "len", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("q"), F.col("q") + F.col("len") - 1)))).alias("places"),
-        F.count("*").alias("n"))
+        F.collect_set(F.when(F.col("verbatim"), F.col("q"))).alias("same_q"), F.collect_set(F.when(~F.col("verbatim"), F.col("q"))).alias("slot_q"))
+    # windows met word for word count whatever the other windows' slots are
     ok = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    same = F.forall("slots", lambda s: F.substring(s["i"], 4, 1 << 30) == s["d"])
-    out = lines.where(ok).groupBy("doc_id", "item_id", "n_tokens").agg(
-        F.sum("n").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_and(same).alias("exact_slots"))
+    same = ~ok | F.forall("slots", lambda s: F.substring(s["i"], 4, 1 << 30) == s["d"])
+    lines = lines.withColumn("q", F.when(ok, F.array_union("same_q", "slot_q")).otherwise(F.col("same_q")))
+    places = F.flatten(F.transform("q", lambda q: F.sequence(q, q + F.col("len") - 1)))
+    out = lines.where(F.size("q") > 0).select("doc_id", "item_id", "n_tokens", F.size("q").alias("n"), places.alias("places"), same.alias("same")).groupBy("doc_id", "item_id", "n_tokens").agg(
+        F.sum("n").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_and("same").alias("exact_slots"))
     out = out.withColumn("coverage", F.col("covered") / F.col("n_tokens")).where(F.col("coverage") >= cover)
     return out.select("doc_id", "item_id", "n_windows", "covered", "coverage", "exact_slots")
 

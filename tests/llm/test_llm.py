@@ -226,6 +226,14 @@ def test_decontamination_slots(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench).count() == 0
 
 
+def test_decontamination_number_dense(spark):
+    texts = ["Solve 3x + 5 = 20", "What is 12 km + 5 km?", "Compute 48 / 6 + 7 * 2 - 10.", "Calculate 12.5 * 8 - 3.", "Add 7 and 9."]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    d = spark.createDataFrame([(i, f"so it was, then. {t} and so on") for i, t in enumerate(texts)] + [(9, "Solve 4x + 6 = 21. Calculate 12.5 * 9 - 3.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["exact_slots"]) for r in decontaminate.decontaminate(d, bench).collect()}
+    assert got == {(i, i): (1.0, True) for i in range(5)}
+
+
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     enc = token_binary.encoder(token_binary.TOKENIZER)
     odd = spark.createDataFrame([(20, "İstanbul <|endoftext|> it's ẞ… can't, U.S.A. x1y2. Ünïcode, naïve."), (21, "日本語。テスト   été \x1c a"), (22, "<|ENDOFTEXT|> ok.,")], "doc_id long, text string")
