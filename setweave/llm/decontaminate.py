@@ -2,8 +2,8 @@
 
 A text becomes a sequence of tokens; numbers, names (capitalised words inside a sentence) and
 units behind a number become typed placeholders, all other words are lower-cased. Windows of
-WINDOW tokens (or a whole shorter item) with at least LITERALS literal words are hashed, and those
-with fewer as their lower-cased raw tokens, which match only word for word; the documents' windows are joined to the benchmark's, which are broadcast in blocks of at most
+WINDOW tokens (or a whole shorter item) with at least LITERALS literal words are hashed, and all
+windows as their lower-cased raw tokens too, which match word for word in any case; the documents' windows are joined to the benchmark's, which are broadcast in blocks of at most
 BLOCK_ROWS windows, whatever the benchmark's size, so that the documents' windows are never
 shuffled. A match is kept if its slots are consistent: along one alignment, each value of an
 item's slots stands for one value of the document's. A document leaks an item if its consistent
@@ -75,8 +75,10 @@ def item_windows(bench: DataFrame, window: int, literals: int, shortest: int) ->
     b = b.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("len"))))
     b = b.withColumn("win", F.slice("t", F.col("q") + 1, F.col("len"))).withColumn("raw", F.slice("raw", F.col("q") + 1, F.col("len")))
     lit = F.size(F.filter("win", lambda t: ~t.isin(NUM, NAME, UNIT)))
-    verbatim = lit < F.least(F.lit(literals), F.col("len"))
-    return b.withColumn("verbatim", verbatim).withColumn("win", F.when(F.col("verbatim"), F.col("raw")).otherwise(F.col("win"))).drop("t")
+    template = F.when(lit >= F.least(F.lit(literals), F.col("len")), F.struct(F.col("win"), F.lit(False).alias("verbatim")))
+    same = F.when(template.isNull() | (F.col("win") != F.col("raw")), F.struct(F.col("raw").alias("win"), F.lit(True).alias("verbatim")))
+    kinds = F.explode(F.filter(F.array(template, same), lambda x: x.isNotNull()))
+    return b.select("item_id", "n_tokens", "len", "q", "raw", kinds.alias("kind")).select("item_id", "n_tokens", "len", "q", "raw", "kind.win", "kind.verbatim")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literals: int = LITERALS, shortest: int = SHORTEST, cover: float = COVER, block_rows: int = BLOCK_ROWS) -> DataFrame:

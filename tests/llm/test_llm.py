@@ -234,6 +234,15 @@ def test_decontamination_number_dense(spark):
     assert got == {(i, i): (1.0, True) for i in range(5)}
 
 
+def test_decontamination_any_case(spark):
+    texts = ["Who won the war between King Henry of England and King Louis of France near the town of Calais?", "What is the name of the river that runs through the old town and into the sea?"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    cases = [str.lower, str.upper, str.title, str]
+    d = spark.createDataFrame([(10 * i + k, f(f"so it was, then {t} and so on")) for i, t in enumerate(texts) for k, f in enumerate(cases)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.decontaminate(d, bench).collect()}
+    assert got == {(10 * i + k, i): 1.0 for i in range(2) for k in range(4)}
+
+
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     enc = token_binary.encoder(token_binary.TOKENIZER)
     odd = spark.createDataFrame([(20, "İstanbul <|endoftext|> it's ẞ… can't, U.S.A. x1y2. Ünïcode, naïve."), (21, "日本語。テスト   été \x1c a"), (22, "<|ENDOFTEXT|> ok.,")], "doc_id long, text string")
