@@ -4,9 +4,10 @@ Base kinds: assign (a credential word, a sign of assignment, a value of 6+ chara
 (AKIA and upper-case letters or digits, 20+), hex (24+). The method: a value's guess cost is the
 least sum, over its segmentations, of the decimal logarithms of the guesses for words (by rank),
 dates, repeats, keyboard walks and brute-force spans. It is taken of the assigned values (the
-least one is reported), and of values in wider credential context (other credential words,
-"Bearer x"), which become spans of kind guess if the cost is at least GUESSES, two kinds of
-characters occur and no base span overlaps.
+least one is reported), and of values in wider credential context (the base words and others,
+any symbols in the value, "=>", "Bearer x"), which become spans of kind guess if the cost is at
+least GUESSES, two kinds of characters occur and no base span or earlier span overlaps. A value
+that is itself a credential word with a sign of assignment is searched in turn.
 
 Defined results: null text is empty and has no span; repeated rows are each searched; an empty
 table gives no rows; other columns are not read.
@@ -31,8 +32,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WIDER = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|login|private_?key|access_?key|client_?key|signing_?key|key)"
-    r"[\"']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20+|basic\x20+)?|bearer\x20+)[\"']?([!-&(-~]{6,})",
+    r"(?:(?:password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|login|private_?key|access_?key|client_?key|signing_?key|key))"
+    r"[\"']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20+|basic\x20+)?|(?<![A-Za-z0-9])bearer\x20+)[\"']?([!-&(-~]{6,})",
     re.I | re.A,
 )
 #: Frequent passwords and parts of them, the likeliest first.
@@ -113,12 +114,18 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     added = []
-    for m in WIDER.finditer(text):
+    m = WIDER.search(text)
+    while m:
         value = m[1].rstrip("\"'.,;:)]}")
         start, end = m.start(1), m.start(1) + len(value)
         classes = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
-        if len(value) >= 6 and classes >= 2 and guess_cost(value) >= GUESSES and not any(s < end and start < e for s, e, _ in base):
+        free = classes >= 2 and not any(s < end and start < e for s, e, _ in base + added[-1:])
+        if free and len(value) >= 6 and guess_cost(value) >= GUESSES:
             added.append((start, end, "guess"))
+            at = m.end()
+        else:  # inside the value again; of one kind of characters, no rest of it has two: only a word at its end, 32 characters at most, matters
+            at = m.start(1) if classes >= 2 else max(m.start(1), m.end() - 32)
+        m = WIDER.search(text, at)
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted(base, key=order), sorted(added, key=order), min(costs, default=None)
 
