@@ -2,11 +2,12 @@
 
 A line's quote level is its number of leading ">" (spaces between allowed). Lines of level 0 are
 a message's own text. A passage is a run of lines of one level; its key is the hash of its words
-in lower case. Own texts are indexed by the key of every line, every paragraph and the whole; a
-quoted passage of level 1 (else its lines) joined to the index within its conversation names the
-original message: the earliest one before the quoting message that holds it. A message replies
-to the original of most matching passages and lines, the latest on ties; without a match it has
-no parent. A conversation's messages are put in reply order: parents always precede replies
+in lower case; one without letters and digits has none. Own texts are indexed by the key of every
+line, every paragraph and the whole; quoted passages of every level, their paragraphs and lines,
+joined to the index within the conversation, name the original message: the earliest one before
+the quoting message that holds them. A message replies to the original of most matching passages
+and lines of the lowest level that has a match, the latest on ties; without a match it has no
+parent. A conversation's messages are put in reply order: parents always precede replies
 since a reply's turn is later, so the order is that of turns, numbered from 0.
 
 The index has one row a (conversation, key), so a line that many messages share joins once; and
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 QUOTE = "^[ \\t]*(?:>[ \\t]*)+"
-MIN_WORDS = 2
+PARAGRAPH = "\\n\\s*\\n"
 
 
 def level(line):
@@ -40,36 +41,42 @@ def normal(text):
 
 
 def parsed(chat: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, own (text without quotes), max_level, keys of own parts, quoted keys."""
+    """conv_id, turn, role, text, own (text without quotes), max_level, keys of own parts, (level, key) of quoted parts."""
     c = chat.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.transform(F.split("text", "\\r?\\n"), lambda x: F.struct(level(x).alias("lv"), F.regexp_replace(x, QUOTE, "").alias("s")))
     c = c.withColumn("lines", lines)
     own = F.filter("lines", lambda x: x["lv"] == 0)
     c = c.withColumn("own", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["s"]), "\n"), "\\n{3,}", "\n\n")))
     quoted = F.filter("lines", lambda x: x["lv"] == 1)
-    # level-1 passages: runs of level-1 lines; anything else ends a run
-    run = F.array_join(F.transform("lines", lambda x: F.when(x["lv"] == 1, x["s"]).otherwise(F.lit("\u0000"))), "\n")
-    passages = F.concat(F.split(run, "\u0000"), F.transform(quoted, lambda x: x["s"]))
-    parts = F.concat(F.array("own"), F.split("own", "\\n\\s*\\n"), F.split("own", "\\n"))
+    parts = F.concat(F.array("own"), F.split("own", PARAGRAPH), F.split("own", "\\n"))
 
     def keys(texts):
-        good = F.filter(F.transform(texts, normal), lambda t: F.size(F.split(t, " ")) >= MIN_WORDS)
+        good = F.filter(F.transform(texts, normal), lambda t: t != "")
         return F.array_distinct(F.transform(good, lambda t: F.sha2(t, 256)))
 
+    def passages(lv):
+        """Runs of lines of this level (anything else ends a run), their paragraphs and lines."""
+        run = F.array_join(F.transform("lines", lambda x: F.when(x["lv"] == lv, x["s"]).otherwise(F.lit("\u0000"))), "\n")
+        runs = F.split(run, "\u0000")
+        lines = F.transform(F.filter("lines", lambda x: x["lv"] == lv), lambda x: x["s"])
+        return F.concat(runs, F.flatten(F.transform(runs, lambda p: F.split(p, PARAGRAPH))), lines)
+
+    levels = F.array_distinct(F.filter(F.transform("lines", lambda x: x["lv"]), lambda v: v > 0))
+    quote_keys = F.flatten(F.transform(levels, lambda lv: F.transform(keys(passages(lv)), lambda k: F.struct(lv.alias("lv"), k.alias("key")))))
     return c.select("conv_id", "turn", "role", "text", "own", F.coalesce(F.array_max(F.transform("lines", lambda x: x["lv"])), F.lit(0)).alias("max_level"),
-                    F.size(quoted).alias("n_quoted"), keys(parts).alias("own_keys"), keys(passages).alias("quote_keys"))
+                    F.size(quoted).alias("n_quoted"), keys(parts).alias("own_keys"), quote_keys.alias("quote_keys"))
 
 
 def link_quotes(chat: DataFrame) -> DataFrame:
     """conv_id, turn, role, parent_turn, n_links, max_level, place, text_own of every message of chat."""
     rows = durable(parsed(chat).withColumn("msg", F.monotonically_increasing_id()))
-    quotes = rows.where(F.size("quote_keys") > 0).select("conv_id", "turn", "msg", F.explode("quote_keys").alias("key"))
+    quotes = rows.where(F.size("quote_keys") > 0).select("conv_id", "turn", "msg", F.inline("quote_keys"))
     wanted = quotes.select("conv_id", "key").distinct()
     index = rows.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode("own_keys").alias("k")).where(F.col("t").isNotNull())
     index = index.join(wanted, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("k") == F.col("key")), "left_semi").groupBy("c", "k").agg(F.min("t").alias("t"))
     met = quotes.join(index, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k"))).where(F.col("t") < F.col("turn"))
-    votes = met.groupBy("msg", "t").agg(F.count("*").alias("n"))
-    best = votes.groupBy("msg").agg(F.max(F.struct("n", "t")).alias("b")).select("msg", F.col("b.t").alias("parent_turn"), F.col("b.n").alias("n_links"))
+    votes = met.groupBy("msg", "lv", "t").agg(F.count("*").alias("n"))
+    best = votes.groupBy("msg").agg(F.max(F.struct((-F.col("lv")).alias("nearest"), "n", "t")).alias("b")).select("msg", F.col("b.t").alias("parent_turn"), F.col("b.n").alias("n_links"))
     # places: rows in order over ranges, counted by partition; a conversation starts at its least row
     order = ("conv_id", "turn", "role", "text")
     slim = rows.select("msg", "conv_id", "turn", "role", "text", "max_level", F.col("own").alias("text_own"))

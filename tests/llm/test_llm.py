@@ -314,6 +314,14 @@ def test_quotes(spark):
     assert len(got) == 6 and quote_linking.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_short_deep_and_split(spark):
+    rows = [(1, 0, "One first par here\nof two lines\n\nTwo second par\n\nThree"), (1, 1, "Yes"), (1, 2, "明天下午三点开会"), (1, 3, ">> Two second par\nfine"), (1, 4, "> Yes\nok"), (1, 5, "> 明天下午三点开会\n好"),
+            (1, 6, "> One first par\n> here of two lines\n>\n> Two\n> second par\nagreed"), (1, 7, ">> One first par here\n>> of two lines\n>> Two second par\n> Yes\nhm"), (1, 8, "> ---\n>\nno")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["parent_turn"] for r in quote_linking.link_quotes(df).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 2, 6: 0, 7: 1, 8: None}
+
+
 def test_secrets_with_symbols():
     for word in ("password", "db_password", "dbPassword", "passwd", "secret", "client_secret", "token", "api_key", "apikey", "pwd"):
         for sign in (": ", "=", " = ", ' => ', "\t= ", '": "', ': "', ": '"):
