@@ -406,7 +406,7 @@ def content_audit(spark, sf):
 
 # ---- resampling and agreement
 
-B = 50
+B = 2000
 
 
 def _bootstrap(spark, sf, unit: str, strata: list[str]) -> DataFrame:

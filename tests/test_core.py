@@ -168,6 +168,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("means").count() == windowed_means(events).count()
 
 
+def test_bootstrap_has_2000_replicates(spark):
+    p = [r["p_value"] * 2001 / 2 for r in QUERIES["boot_paired_diff"](spark, SF).collect()]  # 1 or 2 (k + 1) / (B + 1)
+    assert p and all(x == 1000.5 or abs(x - round(x)) < 0.01 for x in p)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
