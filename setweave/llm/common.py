@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows that checked_broadcast() broadcasts; callers pass rows of at most some 100 bytes.
 BROADCAST_ROWS = 100_000
+#: Most edges that one task joins.
+TASK_EDGES = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,27 +74,56 @@ def uniform(seed: int, *keys):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + 0.5) / float(2**53)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, up) of at most TASK_EDGES edges: up is the least node reachable."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    yield pd.DataFrame({"node": pd.Series(list(root), dtype="int64"), "up": pd.Series([find(x) for x in list(root)], dtype="int64")})
+
+
+def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) of every node in edges (a, b: long): root is the least node reachable.
 
-    Each round takes the least parent among neighbours, then jumps to the parent's parent, so
-    the rounds grow with the logarithm of the diameter. Rounds are durable.
+    Contraction: each node hooks to its least neighbour if that is less, the trees are flattened by
+    pointer jumping, and edges within a tree are dropped, so the next round has the trees' roots for
+    nodes. Both loops take rounds in the logarithm of the component; all rounds are durable. Once at
+    most `task_edges` edges are left, one task joins them.
     """
-    both = durable(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    lab = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(lab.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        step = lab.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("up"))
-        up = lab.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        new = durable(step.join(up, "up").select("node", "old", F.least("up", "top").alias("root")))
-        done = new.where("old <> root").limit(1).count() == 0
-        lab = new.select("node", "root")
-        if done:
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = durable(edges.where("a <> b").select(*ends("a", "b")).distinct())
+    lab = left.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    for nth in range(max_rounds):
+        few = left.limit(task_edges + 1).count() <= task_edges
+        if few:
+            up = left.coalesce(1).mapInPandas(_joined, "node long, up long")
+        else:
+            both = left.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("up")))
+            up = durable(both.groupBy("node").agg(F.least(F.min("up"), F.col("node")).alias("up")))
+            for _ in range(max_rounds):
+                one = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+                new = durable(up.join(one, "up").select("node", "up", "top"))
+                done = new.where("up <> top").isEmpty()
+                up = new.select("node", F.col("top").alias("up"))
+                if done:
+                    break
+            else:
+                raise RuntimeError(f"trees are not flat in {max_rounds} rounds")
+        if nth == 0:
+            lab = up.select("node", F.col("up").alias("root"))
+        else:
+            lab = lab.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        lab = durable(lab)
+        if few:
             return lab
+        a, b = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        left = durable(left.join(a, "a").join(b, "b").where("ua <> ub").select(*ends("ua", "ub")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,41 +8,49 @@ fingerprint_components() is the contract's operator: 64-bit fingerprints, anchor
 and 23-45 together (2^24 anchors, about 61 probes a fingerprint), compared per anchor by an
 equi-join whose output is linear: a fingerprint has at most 64 + 2016 others within 2 bits.
 
-near_dedup() is an estimate (the pipeline takes jaccard_dedup, which is exact): texts are near copies at a similarity of 0.8 or more on sets of
-five-word shingles. 2 bits of 64 cannot tell that (at 0.8 some 15 % of the bits differ), so it
-takes four 64-bit fingerprints (256 bits), anchors on eight blocks of 23 bits with threshold 1,
-and links fingerprints whose 256 bits differ in at most NEAR_BITS. Per anchor, links are found
-by breadth-first search over array blocks and only a spanning forest is emitted, so neither
-pairs nor rows grow with the square of a group.
+near_dedup() is the pipeline's: texts are near copies at a Jaccard similarity of 0.8 or more on
+sets of five-word shingles. 2 bits of 64 cannot tell that (at 0.8 some 15 % of the bits differ),
+so it takes 256 bits, anchors within radius plus 1 of eight blocks of 23 bits (5.3 a block), and
+compares all rows of an anchor. Two texts of similarity 0.8 share an anchor with a probability of
+0.999 and differ in at most NEAR_BITS bits with one of 0.999 (0.99 for sets of five shingles);
+pairs that pass are candidates, and a link is an exact intersection of two whole sets.
+Comparisons within anchors are of packed bits in memory and grow with the square of the rows over
+4,096; the rows that are moved, and the pairs that are tested exactly, do not.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other (in
-near_dedup they are one group of copies only if their texts are equal after lower-casing);
-repeated rows share a fingerprint; component_id is null only if no row of the component has a
-doc_id; an empty table gives no rows; other columns are not read by the first operator and
-are returned unchanged by near_dedup.
+near_dedup texts without words are one class of copies); repeated rows share a fingerprint, and
+near_dedup keeps one of them; component_id is null only if no row of the component has a doc_id;
+an empty table gives no rows; other columns are not read by the first operator and are returned
+unchanged by near_dedup, whatever their names.
 """
-
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, durable, fresh
+from .common import checked_broadcast, columns_of, components, durable, fresh
+from .token_binary import pieces, split_words
 
 # The Golay code's generator x^11+x^10+x^6+x^5+x^4+x^2+1, its length and covering radius.
 GENERATOR, BITS, RADIUS = 0b110001110101, 23, 3
 THRESHOLD = 2
 SHINGLE = 3
-NEAR_SHINGLE, NEAR_SEEDS, NEAR_BITS = 5, (42, 43, 44, 45), 44
-#: Hashes unpacked at a time; rows of an anchor compared at a time.
-CHUNK, BLOCK = 1 << 16, 1 << 11
+#: Shingles, seed, most differing bits of 256 and excess over the radius of the pipeline's near copies.
+NEAR_SHINGLE, NEAR_SEED, NEAR_BITS, NEAR_THRESHOLD = 5, 42, 64, 1
+#: Rows of an anchor from which it is split; pairs compared at a time; hashes unpacked at a time.
+CHUNK_ROWS, CELLS, CHUNK = 100_000, 1 << 20, 1 << 16
+#: Stands for a null doc_id in joins.
+NULL_ID = -(2**63)
 
 
 def remainder(words: np.ndarray) -> np.ndarray:
@@ -155,140 +163,309 @@ def fingerprint_components(docs: DataFrame, threshold: int = THRESHOLD, shingle:
 def op7_simhash_anchors(spark, sf_dir: str) -> DataFrame:
     return fingerprint_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
+# ---- near copies: similarity of 0.8 or more on sets of five-word shingles
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 of words; each distinct one is hashed once."""
+    coded = words.dictionary_encode()
+    own = np.fromiter((xxhash.xxh64_intdigest(w, NEAR_SEED) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return own[coded.indices.to_numpy()] if len(own) else own
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of 64-bit hashes."""
+    x = h * np.uint64(2 * seed + 1) + np.uint64(seed)
+    for shift, factor in ((31, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_sets(texts: pa.Array, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
+    """Of each text (no nulls) the sorted distinct hashes of its shingles; a text of fewer words is one shingle, one of none has none."""
+    words, n = split_words(pc.ascii_lower(texts))
+    h = word_hashes(words)
+    ends = np.cumsum(n)
+    run = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        run += mixed(h[k : k + len(run)], NEAR_SEED + k)
+    run, out = mixed(run, size), []
+    for e, k in zip(ends.tolist(), n.tolist()):
+        if 0 < k < size:
+            few = np.zeros(1, dtype=np.uint64)
+            for j, x in enumerate(h[e - k : e]):
+                few += mixed(np.array([x]), NEAR_SEED + j)
+            out.append(mixed(few, k))
+        else:
+            out.append(np.unique(run[e - k : e - size + 1]) if k else run[:0])
+    return out
 
-# ---- near copies at an estimated similarity of 0.8
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, 4) uint64: SimHashes of 256 bits, a bit set if it is in over half of the set's hashes."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), np.repeat(np.arange(len(sets)), n) << 8
+    bits = np.zeros((len(sets), 256), dtype=bool)
+    for w in range(4):
+        at = (flat if w == 0 else mixed(flat, NEAR_SEED + 16 + w)).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            count = np.bincount(owner + at[:, k], minlength=len(sets) << 8).reshape(-1, 256) @ _BYTE_BITS
+            bits[:, 64 * w + 8 * k : 64 * w + 8 * k + 8] = 2 * count > n[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1, 4)
 
-def set_fingerprint(text: str | None) -> list[int]:
-    """Four fingerprints of the set of five-word shingles. Equal sets have equal ones."""
-    first = np.unique(shingle_hashes(text, NEAR_SHINGLE, NEAR_SEEDS[0]))
-    out = [majority(first)]
-    for seed in NEAR_SEEDS[1:]:  # a mix of the first hash stands for another seed
-        with np.errstate(over="ignore"):
-            x = first * np.uint64(2 * seed + 1) + np.uint64(seed)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-        out.append(majority(x))
-    return out
+
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+FPS = ["f0", "f1", "f2", "f3"]
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of at most 512 rows and some PIECE_BYTES of text."""
+    for i in range(0, batch.num_rows, 512):
+        yield from pieces(batch.slice(i, 512))
+
+
+def fingerprint_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, sha (of the text), node (of the set), n (its size), f0..f3 of every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in parts(batch):
+                sets = shingle_sets(b.column("text"))
+                fp = set_fingerprints(sets).view(np.int64)
+                node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+                cols = [b.column("doc_id"), b.column("sha"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(fp[:, k]) for k in range(4))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sha", "node", "n", *FPS])
+
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sha"))
+    return keyed.mapInArrow(run, "doc_id long, sha long, node long, n long, f0 long, f1 long, f2 long, f3 long")
 
 
 def block_words(fps: np.ndarray) -> list[np.ndarray]:
     """The eight 23-bit blocks of rows of four 64-bit fingerprints."""
-    return [fps[:, w] >> shift & (2**BITS - 1) for w in range(4) for shift in (0, BITS)]
+    return [(fps[:, w] >> np.uint64(shift)).astype(np.int64) & (2**BITS - 1) for w in range(4) for shift in (0, BITS)]
 
 
-def forest(home: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tree edges of the graph on one anchor's rows whose links have a home row at one end and at most `most` differing bits.
+def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor with its block) for all anchors within RADIUS + NEAR_THRESHOLD of a block of a row."""
+    ats, keys = [], []
+    for k, words in enumerate(block_words(fps)):
+        for excess in range(NEAR_THRESHOLD + 1):
+            at, anchor = anchors(words, excess, NEAR_THRESHOLD)
+            ats.append(at)
+            keys.append(anchor << 3 | k)
+    return np.concatenate(ats), np.concatenate(keys)
 
-    Breadth-first: each row is compared as part of a frontier once, against the rows not yet
-    reached; a dense group is reached in one or two steps, so the work stays near linear in it.
-    """
-    left = np.arange(len(fps))
-    us, vs = [], []
-    seeds = np.flatnonzero(home).tolist()[::-1]
-    reached = np.zeros(len(fps), dtype=bool)
-    while seeds and len(left):
-        s = seeds.pop()
-        if reached[s]:
-            continue
-        reached[s] = True
-        front = np.array([s])
-        left = left[left != s]
-        while len(front) and len(left):
-            new = []
-            for i in range(0, len(front), BLOCK):
-                f = front[i : i + BLOCK]
-                for part in np.array_split(left, max(1, -(-len(left) * len(f) // (BLOCK * BLOCK)))):
-                    near = np.bitwise_count(fps[f, None, 0] ^ fps[None, part, 0])
-                    a, b = np.nonzero(near <= most)
-                    full = near[a, b].astype(np.int64) + sum(np.bitwise_count(fps[f[a], w] ^ fps[part[b], w]) for w in range(1, fps.shape[1]))
-                    ok = (full <= most) & (home[f[a]] | home[part[b]])
-                    b, first = np.unique(b[ok], return_index=True)
-                    us.append(f[a[ok][first]])
-                    vs.append(part[b])
-                    new.append(part[b])
-                if new:
-                    left = left[~np.isin(left, new[-1])] if len(new) == 1 else np.setdiff1d(left, np.concatenate(new))
-            front = np.unique(np.concatenate(new)) if new else front[:0]
-            reached[front] = True
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
-
-
-def near_links(classes: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """(a, b) node pairs, a spanning forest of each anchor's links; classes: node long, f0..f3 long."""
-    cols = ["f0", "f1", "f2", "f3"]
-
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.iloc[i : i + 4096]
-                fps, node = part[cols].to_numpy(np.int64), part["node"].to_numpy(np.int64)
-                for k, words in enumerate(block_words(fps)):
-                    for excess in (0, 1):
-                        at, anchor = anchors(words, excess, 1)
-                        yield pd.DataFrame({"anchor": anchor << 3 | k, "home": excess == 0, "node": node[at]} | {c: fps[at, j] for j, c in enumerate(cols)})
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+def as_fps(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in FPS], axis=1).view(np.uint64)
 
-        def links(group: pd.DataFrame) -> pd.DataFrame:
-            node, fps, home = group["node"].to_numpy(), group[cols].to_numpy(np.int64), group["home"].to_numpy(bool)
-            u, v = forest(home, fps, most)
-            return pd.DataFrame({"a": node[u], "b": node[v]})
 
+def replicated(classes: DataFrame, chunk: int) -> DataFrame:
+    """The rows of classes (node, n, f0..f3, more longs) at each of their anchors, as `cell`, sorted by it.
+
+    An anchor of more than `chunk` rows is dealt by node into k chunks and into a cell for every pair of
+    chunks, so that no task holds more than some two chunks of it, and all its pairs still meet.
+    """
+    names = classes.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
+            keys, n = np.unique(anchor_rows(as_fps(batch))[1], return_counts=True)
+            for key, m in zip(keys.tolist(), n.tolist()):
+                seen[key] = seen.get(key, 0) + m
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(seen.keys(), pa.int64()), "rows": pa.array(seen.values(), pa.int64())})
+
+    # anchors are 4,096 a block: 32,768 rows at most, whatever the input
+    sizes = classes.select(*FPS).mapInArrow(count, "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows")).where(F.col("rows") > chunk).collect()
+    split = {r["anchor"]: -(-r["rows"] // chunk) for r in sizes}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(split), dtype=np.int64)
+        ways = np.array([split[k] for k in hot.tolist()], dtype=np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                b = batch.slice(i, 4096)
+                at, anchor = anchor_rows(as_fps(b))
+                cell = anchor << 24
+                if len(hot):
+                    nth = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                    k = np.where(hot[nth] == anchor, ways[nth], 1)
+                    mine = (mixed(b.column("node").to_numpy().view(np.uint64)[at], 7) % k.astype(np.uint64)).astype(np.int64)
+                    rep = np.repeat(np.arange(len(at)), k)
+                    other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+                    lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
+                    at, cell = at[rep], (anchor[rep] << 24) | lo * k[rep] + hi
+                rows = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *rows.columns], ["cell", *names])
+
+    schema = "cell long, " + ", ".join(f"{c} long" for c in names)
+    return classes.mapInArrow(deal, schema).repartition("cell").sortWithinPartitions("cell")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each cell of two rows or more; rows come sorted by cell."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> Iterator[dict[str, np.ndarray]]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        cols = {c: t.column(c).to_numpy() for c in t.column_names}
+        key = cols["cell"]
+        at = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for s, e in zip(at, at[1:] if last else at[1:-1]):
+            if e - s > 1:
+                yield {c: v[s:e] for c, v in cols.items()}
+        held[:] = [] if last else [pa.RecordBatch.from_arrays([pa.array(v[at[-2] :]) for v in cols.values()], list(cols))]
+
+    for batch in batches:
+        if batch.num_rows:
             held.append(batch)
-            if batch["anchor"].iloc[0] == batch["anchor"].iloc[-1]:
+            if held[0].column("cell")[0] != batch.column("cell")[batch.num_rows - 1]:
+                yield from cut(False)
+    if held:
+        yield from cut(True)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits (at most 255 are told apart) of all rows of a and b."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
+
+
+def near_pairs(n: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i0, j0, distances, whether a pair i < j is near) of blocks of rows sorted by n, all pairs of like sizes."""
+    i = 0
+    while i < len(n):
+        e = min(len(n), i + max(1, min(128, CELLS // (len(n) - i))))
+        hi = int(np.searchsorted(n, n[e - 1] * 5 // 4, side="right"))
+        for j in range(i, hi, CELLS // 128):
+            f = min(hi, j + CELLS // 128)
+            d = distances(fps[i:e], fps[j:f])
+            ok = (d <= most) & (n[i:e, None] * 5 >= n[None, j:f] * 4) & (np.arange(i, e)[:, None] < np.arange(j, f)[None])
+            yield i, j, d, ok
+        i = e
+
+
+def hubs(classes: DataFrame, most: int, chunk: int) -> DataFrame:
+    """(node, hub, d): at each anchor, every row that has a near one there is told one hub, the most central row near it, or itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in by_cell(batches):
+            order = np.lexsort((c["node"], c["n"]))
+            n, node, fps = c["n"][order], c["node"][order], np.stack([c[f][order] for f in FPS], axis=1).view(np.uint64)
+            score = np.zeros(len(n), dtype=np.int64)
+            for i, j, d, ok in near_pairs(n, fps, most):
+                if ok.any():
+                    w = np.where(ok, most + 1 - d.astype(np.int64), 0)
+                    score[i : i + len(w)] += w.sum(1)
+                    score[j : j + w.shape[1]] += w.sum(0)
+            left = np.flatnonzero(score)
+            if not len(left):
                 continue
-            rows = pd.concat(held, ignore_index=True)
-            key = rows["anchor"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
-            found = [links(rows.iloc[s:e]) for s, e in zip(cuts, cuts[1:]) if e - s > 1]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-            held = [rows.iloc[cuts[-1] :]]
-        if held:
-            rows = pd.concat(held, ignore_index=True)
-            for _, group in rows.groupby("anchor", sort=False):
-                if len(group) > 1:
-                    yield links(group)
-
-    rep = classes.mapInPandas(replicate, "anchor long, home boolean, node long, f0 long, f1 long, f2 long, f3 long")
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rep.repartition(parts, "anchor").sortWithinPartitions("anchor", F.desc("home")).mapInPandas(compare, "a long, b long").where("a <> b")
-
-
-def near_groups(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """(row key columns f0..f3, group) helper: every distinct set fingerprint with its component's root node."""
-    classes = durable(docs.select("f0", "f1", "f2", "f3").distinct().withColumn("node", F.xxhash64("f0", "f1", "f2", "f3")))
-    comp = components(near_links(classes, most))
-    return classes.join(comp, "node", "left").select("f0", "f1", "f2", "f3", F.coalesce("root", "node").alias("group"))
-
-
-def near_dedup(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) but those that a near copy of less doc_id stands for.
+            left = left[np.lexsort((node[left], -score[left]))]
+            out_node, out_hub, out_d = [], [], []
+            while len(left):
+                h, left = left[0], left[1:]
+                d = distances(fps[h : h + 1], fps[left])[0]
+                ok = (d <= most) & (np.minimum(n[h], n[left]) * 5 >= np.maximum(n[h], n[left]) * 4)
+                out_node.append(np.append(node[left[ok]], node[h]))
+                out_hub.append(np.full(int(ok.sum()) + 1, node[h]))
+                out_d.append(np.append(d[ok], 0).astype(np.int64))
+                left = left[~ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_node, out_hub, out_d)], ["node", "hub", "d"])
+
+    return replicated(classes, chunk).mapInArrow(run, "node long, hub long, d long")
+
+
+def open_pairs(classes: DataFrame, most: int, chunk: int) -> DataFrame:
+    """(a, b): all near pairs of classes (node, n, f0..f3, root, core) of different roots that can have a similarity of 0.8 or more, given core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in by_cell(batches):
+            if (c["root"] == c["root"][0]).all():
+                continue
+            order = np.lexsort((c["node"], c["n"]))
+            n, node, root, core = (c[k][order] for k in ("n", "node", "root", "core"))
+            fps = np.stack([c[f][order] for f in FPS], axis=1).view(np.uint64)
+            for i, j, _, ok in near_pairs(n, fps, most):
+                e, f = i + ok.shape[0], j + ok.shape[1]
+                ok &= root[i:e, None] != root[None, j:f]
+                ok &= 9 * np.minimum(core[i:e, None], core[None, j:f]) >= 4 * (n[i:e, None] + n[None, j:f])
+                u, v = np.nonzero(ok)
+                if len(u):
+                    u, v = node[i + u], node[j + v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    return replicated(classes, chunk).mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have a Jaccard similarity of 0.8 or more."""
+    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    met = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(one, "a").join(two, "b").where(9 * met >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+
 
-    Of each group the row with the least doc_id stays (null last, then the least text), once.
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of the classes in wanted (node, id, sha), from the texts of their first rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in parts(batch):
+                sets = [s.view(np.int64) for s in shingle_sets(b.column("text"))]
+                ends = np.cumsum([0, *map(len, sets)])
+                hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([b.column("node"), hashes], ["node", "hashes"])
+
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
+    rows = given.join(checked_broadcast(wanted), ["id", "sha"]).select("node", "text")
+    return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
+def near_groups(docs: DataFrame, classes: DataFrame, most: int = NEAR_BITS, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(node, root) of every class in a group of two or more; classes: node, n, f0..f3, id and sha of a row of it.
+
+    A class is tested first against one hub, the least distant that any anchor gives, so a group of
+    near copies takes no more pairs than it has classes. Then all near pairs that are in different
+    components so far are tested, but those that a count rules out: `core` is how many shingles of a
+    class others share, and no more than the lesser core of two classes can be common to them.
     """
+    told = durable(hubs(classes.select("node", "n", *FPS), most, chunk).groupBy("node").agg(F.min(F.when(F.col("hub") != F.col("node"), F.struct("d", "hub"))).alias("h")))
+    stars = told.where("h is not null").select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
+    near = durable(classes.join(told.select("node"), "node", "left_semi"))
+    sets = durable(sets_of(docs, near.select("node", "id", "sha")))
+    stars = durable(stars)
+    links = durable(verified(stars, sets))
+    root = components(links)
+    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    left = near.join(root, "node", "left").join(alone, "node", "left")
+    left = left.select("node", "n", *FPS, F.coalesce("root", "node").alias("root"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("core")).where("5 * core >= 4 * n")
+    rest = open_pairs(durable(left), most, chunk).join(stars, ["a", "b"], "left_anti")
+    return components(links.unionByName(verified(durable(rest), sets)))
+
+
+def near_dedup(docs: DataFrame, most: int = NEAR_BITS, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) but those that a near copy of less doc_id stands for.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            f = np.array([set_fingerprint(t) for t in b["text"]], dtype=np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sha": b["sha"]} | {f"f{i}": f[:, i] for i in range(4)})
-
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sha"))
-    fps = durable(keyed.mapInPandas(run, "doc_id long, sha long, f0 long, f1 long, f2 long, f3 long"))
-    groups = near_groups(fps, most)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("least"), F.col("sha").alias("s"))
-    first = fps.groupBy("f0", "f1", "f2", "f3").agg(F.min(order).alias("w"))
-    stay = durable(first.join(groups, ["f0", "f1", "f2", "f3"]).groupBy("group").agg(F.min("w").alias("w")).select("w.least", "w.s"))
-    null = -(2**63)  # stands for a null doc_id, so that the join and the removal of repeated rows share one shuffle
-    key, sha = fresh(docs, "id", "sha")
-    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(null)), sha: F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = rows.join(stay.select(F.coalesce("least", F.lit(null)).alias(key), F.col("s").alias(sha)), [key, sha], "left_semi")
-    return kept.dropDuplicates([key, sha]).select(*columns_of(docs))
+    Of each group the row with the least doc_id stays (null last, then the least digest of the text), once.
+    """
+    rows = durable(fingerprint_rows(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("sha").alias("sha"))
+    same = [F.first(c).alias(c) for c in ("n", *FPS)]
+    classes = durable(rows.groupBy("node").agg(F.min(order).alias("w"), *same))
+    groups = near_groups(docs, classes.where("n > 0").select("node", "n", *FPS, "w.id", "w.sha"), most, chunk)
+    best = classes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w"))
+    held = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "sha").groupBy("id", "sha").agg(F.count("*").alias("copies"))
+    held = held.join(best.select("w.id", "w.sha", F.lit(True).alias("stays")), ["id", "sha"], "left")
+    # most rows stay: the keys of those that go, and of those told more than once, are few beside the texts
+    out = checked_broadcast(held.where("stays is null or copies > 1").select("id", "sha", "stays"))
+    key, sha, stays = fresh(docs, "id", "sha", "stays")
+    out = out.select(F.col("id").alias(key), F.col("sha").alias(sha), F.coalesce("stays", F.lit(False)).alias(stays))
+    given = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), sha: F.xxhash64(F.coalesce("text", F.lit("")))})
+    once = given.join(out, [key, sha], "left")
+    again = once.where(F.col(stays)).dropDuplicates([key, sha])
+    return once.where(F.col(stays).isNull()).select(*columns_of(docs)).unionByName(again.select(*columns_of(docs)))

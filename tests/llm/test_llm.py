@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setweave.llm import decontaminate, exact_dedup, jaccard_dedup, language_ppm, mixing, quality_rules, quote_linking, secrets, simhash, token_binary, token_counts
+from setweave.llm import decontaminate, exact_dedup, language_ppm, mixing, quality_rules, quote_linking, secrets, simhash, token_binary, token_counts
 from setweave.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -112,72 +112,98 @@ def test_anchors_cover_every_close_pair():
         assert all(homes[i] in probes[i] for i in range(len(x)))
 
 
-def test_near_dedup(docs, empty, corpus):
-    kept = simhash.near_dedup(corpus)
-    assert kept.columns == corpus.columns
-    ids = {r[0] for r in kept.select("doc_id").collect()}
-    p = corpus.select("doc_id", "text").toPandas().sort_values("doc_id").reset_index(drop=True)
-    f4 = np.array([simhash.set_fingerprint(t) for t in p["text"]])
-    root = list(range(len(p)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(p)), 2):
-        if sum(np.bitwise_count(f4[i] ^ f4[j]).tolist()) <= simhash.NEAR_BITS:
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-    assert ids == {p["doc_id"][find(i)] for i in range(len(p))}
-    out = simhash.near_dedup(docs)
-    assert out.columns == docs.columns and out.where("text like 'long words%'").count() == 1
-    assert simhash.near_dedup(empty).count() == 0
+def shingles(text):
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def jaccard_kept(rows):
     """doc_ids that stay by brute force: the least of each component of all pairs at 0.8 or more."""
     rows = sorted(rows)
-    sets = [set(jaccard_dedup.shingle_set(t).tolist()) for _, t in rows]
-    root = list(range(len(rows)))
+    sets = [shingles(t) for _, t in rows]
+    root, holders = list(range(len(rows))), defaultdict(list)
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-    return {rows[find(i)][0] for i in range(len(rows))}
+    for i, s in enumerate(sets):
+        met = Counter()
+        for x in s:
+            met.update(holders[x])
+            holders[x].append(i)
+        for j, n in met.items():
+            if 9 * n >= 4 * (len(s) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[find(i)][0] for i in range(len(rows)) if sets[i]}
 
 
-def test_dedup_stage_is_exact(spark, docs, empty, corpus):
+def edited(rng, words, n):
+    words = list(words)
+    for k in rng.integers(0, len(words), n):
+        words[k] = f"v{rng.integers(0, 10**6)}"
+    return words
+
+
+def test_near_dedup(spark, docs, empty, corpus):
     rng = np.random.default_rng(5)
     own = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
-    passage = own(200)
+    passage, base, chain = own(200), own(200), own(200)
     rows = [(i, " ".join(passage + own(60 if i % 2 else 45))) for i in range(1200)]  # share 0.6 to 0.7: clean
-    base = own(200)
-    for i in range(1200, 1500):  # near copies about 0.8, so that chains and misses both occur
-        words = list(base)
-        for k in rng.integers(0, 200, rng.integers(1, 8)):
-            words[k] = f"v{rng.integers(0, 10**6)}"
-        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join(edited(rng, base, rng.integers(1, 8)))) for i in range(1200, 1500)]  # about 0.8: links, misses and chains
+    for i in range(1500, 1540):  # each near the one before only
+        chain = edited(rng, chain, 3)
+        rows.append((i, " ".join(chain)))
+    rows += [(1540 + i, " ".join(x)) for i, x in enumerate((own(5), own(6), own(2)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r[0] for r in corpus_pipeline.dedup(spark, df, SF).select("doc_id").collect()}
-    assert got == jaccard_kept(rows) and got >= set(range(1200))
-    got = {r[0] for r in corpus_pipeline.dedup(spark, corpus, SF).select("doc_id").collect()}
-    assert got == jaccard_kept([tuple(r) for r in corpus.select("doc_id", "text").collect()])
-    out = corpus_pipeline.dedup(spark, docs, SF)
-    assert out.columns == docs.columns and out.where("text like 'long words%'").count() == 1
-    assert corpus_pipeline.dedup(spark, empty, SF).count() == 0
+    want = jaccard_kept(rows)
+    for chunk in (simhash.CHUNK_ROWS, 40):  # unsplit anchors, and split ones
+        got = {r[0] for r in simhash.near_dedup(df, chunk=chunk).select("doc_id").collect()}
+        assert got == want and got >= set(range(1200))
+    texts = [tuple(r) for r in corpus.select("doc_id", "text").collect()]
+    bare = [i for i, t in texts if not lower(t).split()]
+    got = {r[0] for r in simhash.near_dedup(corpus).select("doc_id").collect()}
+    assert got == jaccard_kept(texts) | set(sorted(bare)[:1])
+    out = simhash.near_dedup(docs)
+    assert out.columns == docs.columns and out.where("text like 'long words%'").count() == 1 and out.where("trim(text) = '' or text is null").count() == 1
+    assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [0, 4, 5, 6, 7, 8, 10, 11, 12]
+    assert simhash.near_dedup(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies_takes_few_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 150)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(edited(rng, base, rng.integers(1, 9)))) for i in range(1, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = sum(9 * len(shingles(rows[0][1]) & shingles(t)) >= 4 * (len(shingles(rows[0][1])) + len(shingles(t))) for _, t in rows)
+    fps = simhash.fingerprint_rows(df)
+    told = simhash.hubs(fps.select("node", "n", *simhash.FPS), simhash.NEAR_BITS, simhash.CHUNK_ROWS)
+    assert told.count() <= 50 * len(rows)
+    got = {r[0] for r in simhash.near_dedup(df).select("doc_id").collect()}
+    assert 0 in got and abs(len(got) - (len(rows) - near + 1)) <= 0.02 * near
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 2, 5, 300)]
+    for s, f in zip(sets, simhash.set_fingerprints(sets)):
+        want = sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in s) > len(s))
+        assert int(f[0]) == want
+    a, b = rng.integers(0, 2**63, (6, 4)).astype(np.uint64), rng.integers(0, 2**63, (5, 4)).astype(np.uint64) | np.uint64(1 << 63)
+    assert simhash.distances(a, b).tolist() == [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(u, v)) for v in b] for u in a]
 
 
 def test_components_rounds(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
-    got = {r["node"]: r["root"] for r in components(chain).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[501] == 500
+    rng = np.random.default_rng(8)
+    name = rng.permutation(10**6)[:400].tolist()  # a path whose order is not that of its names
+    pairs = [(i, i + 1) for i in range(200)] + [(500, 501)] + [(10**7 + name[i], 10**7 + name[i + 1]) for i in range(399)] + [(2 * 10**7 + i, 3 * 10**7) for i in range(50)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got, rounds = ({r["node"]: r["root"] for r in components(edges, task_edges=n).collect()} for n in (10_000, 100))
+    assert got == rounds and all(got[i] == 0 for i in range(201)) and got[501] == 500
+    assert {got[10**7 + n] for n in name} == {10**7 + min(name)} and {got[n] for p in pairs[-50:] for n in p} == {2 * 10**7}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def plain_leaks(docs, bench):
