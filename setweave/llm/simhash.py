@@ -49,6 +49,8 @@ SHINGLE = 3
 NEAR_SHINGLE, NEAR_SEED, NEAR_BITS, NEAR_THRESHOLD = 5, 42, 64, 1
 #: Rows of an anchor from which it is split; pairs compared at a time; hashes unpacked at a time.
 CHUNK_ROWS, CELLS, CHUNK = 100_000, 1 << 20, 1 << 16
+#: Parities kept of a candidate's set, in bits.
+PARITIES = 2048
 #: Stands for a null doc_id in joins.
 NULL_ID = -(2**63)
 
@@ -261,7 +263,7 @@ def as_fps(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def replicated(classes: DataFrame, chunk: int) -> DataFrame:
-    """The rows of classes (node, n, f0..f3, more longs) at each of their anchors, as `cell`, sorted by it.
+    """The rows of classes (node, n, f0..f3, more) at each of their anchors, as `cell`, sorted by it.
 
     An anchor of more than `chunk` rows is dealt by node into k chunks and into a cell for every pair of
     chunks, so that no task holds more than some two chunks of it, and all its pairs still meet.
@@ -299,7 +301,7 @@ def replicated(classes: DataFrame, chunk: int) -> DataFrame:
                 rows = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *rows.columns], ["cell", *names])
 
-    schema = "cell long, " + ", ".join(f"{c} long" for c in names)
+    schema = "cell long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     return classes.mapInArrow(deal, schema).repartition("cell").sortWithinPartitions("cell")
 
 
@@ -309,7 +311,7 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
     def cut(last: bool) -> Iterator[dict[str, np.ndarray]]:
         t = pa.Table.from_batches(held).combine_chunks()
-        cols = {c: t.column(c).to_numpy() for c in t.column_names}
+        cols = {c: t.column(c).to_numpy() if t.schema.field(c).type == pa.int64() else np.array(t.column(c).to_pylist(), dtype=object) for c in t.column_names}
         key = cols["cell"]
         at = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
         for s, e in zip(at, at[1:] if last else at[1:-1]):
@@ -379,26 +381,59 @@ def hubs(classes: DataFrame, most: int, chunk: int) -> DataFrame:
     return replicated(classes, chunk).mapInArrow(run, "node long, hub long, d long")
 
 
-def open_pairs(classes: DataFrame, most: int, chunk: int) -> DataFrame:
-    """(a, b): all near pairs of classes (node, n, f0..f3, root, core) of different roots that can have a similarity of 0.8 or more, given core."""
+def first_meeting(one: np.ndarray, two: np.ndarray, cell: int) -> np.ndarray:
+    """Whether the anchor of this cell is the first that two fingerprints (row by row) share."""
+    block, here = cell >> 24 & 7, cell >> 27
+    out = np.ones(len(one), dtype=bool)
+    for k, (x, y) in enumerate(zip(block_words(one)[: block + 1], block_words(two))):
+        for excess in range(NEAR_THRESHOLD + 1):
+            at, anchor = anchors(x, excess, NEAR_THRESHOLD)
+            both = np.bitwise_count(anchor ^ y[at]) <= RADIUS + NEAR_THRESHOLD
+            out[at[both & (anchor < here) if k == block else both]] = False
+    return out
+
+
+def open_pairs(classes: DataFrame, most: int, chunk: int, one: bool = False) -> DataFrame:
+    """(a, b): all near pairs of classes (node, n, f0..f3, root, size, odd) of different roots that can have a similarity of 0.8 or more, given odd.
+
+    odd holds parities of a set's shingles by hash. Two sets that differ in s shingles differ in at most
+    s parities, so pairs that differ in more than a ninth of both sizes are no links. If `one`, each
+    class is told only one such pair, that with a class of the largest component (size).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in by_cell(batches):
             if (c["root"] == c["root"][0]).all():
                 continue
             order = np.lexsort((c["node"], c["n"]))
-            n, node, root, core = (c[k][order] for k in ("n", "node", "root", "core"))
+            n, node, root, size = (c[k][order] for k in ("n", "node", "root", "size"))
+            odd = np.frombuffer(b"".join(c["odd"][order]), dtype=np.uint64).reshape(len(n), -1)
             fps = np.stack([c[f][order] for f in FPS], axis=1).view(np.uint64)
+            by_size = np.lexsort((node, -size))
+            rank, best = np.argsort(by_size), np.full(len(n), len(n))
             for i, j, _, ok in near_pairs(n, fps, most):
-                e, f = i + ok.shape[0], j + ok.shape[1]
-                ok &= root[i:e, None] != root[None, j:f]
-                ok &= 9 * np.minimum(core[i:e, None], core[None, j:f]) >= 4 * (n[i:e, None] + n[None, j:f])
-                u, v = np.nonzero(ok)
-                if len(u):
-                    u, v = node[i + u], node[j + v]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
-
-    return replicated(classes, chunk).mapInArrow(run, "a long, b long").distinct()
+                us, vs = np.nonzero(ok & (root[i : i + ok.shape[0], None] != root[None, j : j + ok.shape[1]]))
+                for at in range(0, len(us), 1 << 14):
+                    u, v = i + us[at : at + (1 << 14)], j + vs[at : at + (1 << 14)]
+                    can = 9 * np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64) <= n[u] + n[v]
+                    u, v = u[can], v[can]
+                    if one:
+                        np.minimum.at(best, u, rank[v])
+                        np.minimum.at(best, v, rank[u])
+                        continue
+                    new = first_meeting(fps[u], fps[v], int(c["cell"][0]))
+                    u, v = node[u[new]], node[v[new]]
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.zeros(len(u), dtype=np.int64))], ["a", "b", "size"])
+            told = np.flatnonzero(best < len(n))
+            if len(told):
+                to = by_size[best[told]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[told], node[to], size[to])], ["a", "b", "size"])
+
+    out = replicated(classes, chunk).mapInArrow(run, "a long, b long, size long")
+    if one:
+        out = out.groupBy("a").agg(F.min(F.struct((-F.col("size")).alias("s"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+    return out.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -410,42 +445,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the classes in wanted (node, id, sha), from the texts of their first rows."""
+    """(node, hashes, odd) of the classes in wanted (node, id, sha), from the texts of their first rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in parts(batch):
                 sets = [s.view(np.int64) for s in shingle_sets(b.column("text"))]
+                odd = [np.packbits(np.bincount((mixed(s.view(np.uint64), 9) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1 > 0).tobytes() for s in sets]
                 ends = np.cumsum([0, *map(len, sets)])
                 hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([b.column("node"), hashes], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), hashes, pa.array(odd, pa.binary())], ["node", "hashes", "odd"])
 
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
     rows = given.join(checked_broadcast(wanted), ["id", "sha"]).select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, hashes array<long>, odd binary").dropDuplicates(["node"])
 
 
 def near_groups(docs: DataFrame, classes: DataFrame, most: int = NEAR_BITS, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(node, root) of every class in a group of two or more; classes: node, n, f0..f3, id and sha of a row of it.
 
-    A class is tested first against one hub, the least distant that any anchor gives, so a group of
-    near copies takes no more pairs than it has classes. Then all near pairs that are in different
-    components so far are tested, but those that a count rules out: `core` is how many shingles of a
-    class others share, and no more than the lesser core of two classes can be common to them.
+    A class is tested first against one hub, the least distant that any anchor gives, then against one
+    class of the largest component so far that it can be linked to, so a group of near copies takes
+    few more pairs than it has classes. Then all near pairs that are still in different components are
+    tested, but those that parities of their shingles rule out.
     """
     told = durable(hubs(classes.select("node", "n", *FPS), most, chunk).groupBy("node").agg(F.min(F.when(F.col("hub") != F.col("node"), F.struct("d", "hub"))).alias("h")))
     stars = told.where("h is not null").select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
     near = durable(classes.join(told.select("node"), "node", "left_semi"))
     sets = durable(sets_of(docs, near.select("node", "id", "sha")))
-    stars = durable(stars)
     links = durable(verified(stars, sets))
-    root = components(links)
-    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
-    left = near.join(root, "node", "left").join(alone, "node", "left")
-    left = left.select("node", "n", *FPS, F.coalesce("root", "node").alias("root"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("core")).where("5 * core >= 4 * n")
-    rest = open_pairs(durable(left), most, chunk).join(stars, ["a", "b"], "left_anti")
-    return components(links.unionByName(verified(durable(rest), sets)))
+    for one in (True, False):
+        root = components(links)
+        size = root.groupBy("root").agg(F.count("*").alias("size"))
+        left = near.join(root.join(size, "root"), "node", "left").join(sets.select("node", "odd"), "node")
+        left = left.select("node", "n", *FPS, F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), "odd")
+        pairs = durable(open_pairs(durable(left), most, chunk, one))
+        links = durable(links.unionByName(verified(pairs, sets)))
+    return components(links)
 
 
 def near_dedup(docs: DataFrame, most: int = NEAR_BITS, chunk: int = CHUNK_ROWS) -> DataFrame:
