@@ -3,19 +3,24 @@
 A text becomes a sequence of tokens; numbers, names (capitalised words inside a sentence) and
 units behind a number become typed placeholders, all other words are lower-cased. Windows of
 WINDOW tokens (or a whole shorter item) with at least LITERALS literal words are hashed, and all
-windows as their lower-cased raw tokens too, which match word for word in any case; the documents' windows are joined to the benchmark's, which are broadcast in blocks of at most
-BLOCK_ROWS windows, whatever the benchmark's size, so that the documents' windows are never
-shuffled. A match is kept if its slots are consistent: along one alignment, each value of an
-item's slots stands for one value of the document's. A document leaks an item if its consistent
-windows cover at least COVER of the item's tokens.
+windows as their lower-cased raw tokens too, which match word for word in any case (a window that
+is too generic as a template is searched for that way only). All windows of a document are made in
+one scan and joined to the benchmark's, which are broadcast in blocks of at most BLOCK_ROWS (one
+block up to that many; each further one is another scan), so the documents' windows are never
+shuffled. Hits are compared token by token, so a hash alone proves nothing, and a template window
+counts if its slots are consistent: along one alignment, each value of an item's slots stands for
+one value of the document's. A document leaks an item if its windows cover at least COVER of the
+item's tokens.
 
 Result: one row a leaking (document, item). Re-parameterised items (other numbers, names,
 units) are found like exact ones; `exact_slots` tells them apart.
 
-Defined results: null and empty texts leak nothing; items of fewer than SHORTEST tokens are not
-searched for; rows that repeat a doc_id are searched as one document of that id; items that
-repeat an item_id likewise; a null doc_id or item_id is an id of its own; empty tables give no
-rows; other columns are not read.
+Defined results: null and empty texts leak nothing; an item of fewer than WINDOW tokens is searched
+for as a whole, one without tokens not at all; rows are judged one by one, a row being its doc_id
+and text: rows that repeat a doc_id do not hide each other, and the one that covers most of an item
+stands for the doc_id; equal rows give one row; items that repeat an item_id are searched apart,
+likewise; a null doc_id or item_id is an id of its own; empty tables give no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import checked_broadcast, durable, fresh
 
-WINDOW, LITERALS, SHORTEST, COVER = 5, 3, 3, 0.5
-BLOCK_ROWS = 500_000
+WINDOW, LITERALS, COVER = 5, 3, 0.5
+BLOCK_ROWS = 2_000_000
 #: Units replaced behind a number.
 UNITS = "km m cm mm mi ft kg g mg lb oz l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur gbp dollars dollar cents percent mph kmh kwh w kw v hz c f k apples miles meters metres grams pounds euros tonnes liters litres"
 NUM, NAME, UNIT = "⟨n⟩", "⟨p⟩", "⟨u⟩"
@@ -67,51 +72,56 @@ def both_windows(toks: Column, raw: Column, n: int) -> Column:
     return F.when(toks == raw, F.transform(t, placed)).otherwise(F.concat(F.transform(t, placed), other))
 
 
-def item_windows(bench: DataFrame, window: int, literals: int, shortest: int) -> DataFrame:
-    """item_id, n_tokens, len, q (place), win (tokens that are hashed), raw (the window as written), verbatim (win is raw)."""
-    b = bench.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("clean", spaced(F.col("text")))
-    b = b.select("item_id", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw")).withColumn("n_tokens", F.size("t"))
-    b = b.where(F.col("n_tokens") >= shortest).withColumn("len", F.least(F.lit(window), F.col("n_tokens")))
+def item_windows(bench: DataFrame, window: int, literals: int) -> DataFrame:
+    """item (of an id and text), item_id, n_tokens, len, q (place), win (tokens that are hashed), raw (the window as written), verbatim (win is raw)."""
+    b = bench.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    b = b.select(F.xxhash64("item_id", "text").alias("item"), "item_id", spaced(F.col("text")).alias("clean"))
+    b = b.select("item", "item_id", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw")).withColumn("n_tokens", F.size("t"))
+    b = b.where("n_tokens > 0").withColumn("len", F.least(F.lit(window), F.col("n_tokens")))
     b = b.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("len"))))
     b = b.withColumn("win", F.slice("t", F.col("q") + 1, F.col("len"))).withColumn("raw", F.slice("raw", F.col("q") + 1, F.col("len")))
     lit = F.size(F.filter("win", lambda t: ~t.isin(NUM, NAME, UNIT)))
     template = F.when(lit >= F.least(F.lit(literals), F.col("len")), F.struct(F.col("win"), F.lit(False).alias("verbatim")))
     same = F.when(template.isNull() | (F.col("win") != F.col("raw")), F.struct(F.col("raw").alias("win"), F.lit(True).alias("verbatim")))
     kinds = F.explode(F.filter(F.array(template, same), lambda x: x.isNotNull()))
-    return b.select("item_id", "n_tokens", "len", "q", "raw", kinds.alias("kind")).select("item_id", "n_tokens", "len", "q", "raw", "kind.win", "kind.verbatim")
+    return b.select("item", "item_id", "n_tokens", "len", "q", "raw", kinds.alias("kind")).select("item", "item_id", "n_tokens", "len", "q", "raw", "kind.win", "kind.verbatim")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literals: int = LITERALS, shortest: int = SHORTEST, cover: float = COVER, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, item_id, n_windows, covered, coverage, exact_slots of every leak."""
-    wins = item_windows(bench, window, literals, shortest)
-    hashed = F.when(F.col("len") == window, F.xxhash64(*[F.element_at("win", k + 1) for k in range(window)]))
-    for n in range(shortest, window):
+def leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, sha (of the text), item_id, n_windows, covered, coverage, exact_slots of every row of docs that leaks an item."""
+    wins = item_windows(bench, window, literals)
+    hashed = F.lit(None).cast("long")
+    for n in range(1, window + 1):
         hashed = F.when(F.col("len") == n, F.xxhash64(*[F.element_at("win", k + 1) for k in range(n)])).otherwise(hashed)
     wins = durable(wins.withColumn("hash", hashed))
     sizes = {r[0]: r[1] for r in wins.groupBy("len").count().collect()}  # at most `window` rows
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    toks = base.withColumn("clean", spaced(F.col("text"))).select("doc_id", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.xxhash64(text).alias("sha"), text.alias("text"))
+    toks = base.withColumn("clean", spaced(F.col("text"))).select("doc_id", "sha", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw"))
+    with_len = lambda n: F.transform(both_windows(F.col("t"), F.col("raw"), n), lambda w: F.struct(w["p"], w["hash"], F.lit(n).alias("len")))
+    lens = sorted(sizes) or [window]
+    seen = toks.select("doc_id", "sha", F.inline(with_len(lens[0]) if len(lens) == 1 else F.concat(*map(with_len, lens))))
+    blocks = max(1, -(-sum(sizes.values()) // block_rows))
     found = None
-    for n, rows in sorted(sizes.items()):
-        blocks = -(-rows // block_rows)
-        seen = toks.select("doc_id", F.inline(both_windows(F.col("t"), F.col("raw"), n)))
-        for k in range(blocks):
-            part = wins.where((F.col("len") == n) & (F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)).select("hash").distinct()
-            hit = seen.join(F.broadcast(part), "hash", "left_semi").select("doc_id", "p", "hash", F.lit(n).alias("len"))
-            found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = base.select("doc_id", F.lit(0).alias("p"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("len")).limit(0)
+    for k in range(blocks):
+        part = wins.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("hash", "len").distinct()
+        hit = seen.join(F.broadcast(part), ["hash", "len"], "left_semi").select("doc_id", "sha", "p", "hash", "len")
+        found = hit if found is None else found.unionByName(hit)
     found = durable(found)
-    # documents with a hit, again, for the values in their slots
-    ids = found.select("doc_id").distinct()
-    again = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", tokens(F.lower(spaced(F.col("text")))).alias("raw"))
-    at = found.groupBy("doc_id").agg(F.collect_list(F.struct("p", "hash", "len")).alias("at"))  # of one document's windows
-    slots = at.join(again, at["doc_id"].eqNullSafe(again["doc_id"])).select(at["doc_id"], F.explode("at").alias("w"), "raw")
-    slots = slots.select("doc_id", F.col("w.p").alias("p"), F.col("w.hash").alias("hash"), F.col("w.len").alias("len"), F.slice("raw", F.col("w.p") + 1, F.col("w.len")).alias("doc_raw"))
-    met = slots.join(wins, ["hash", "len"])
+    # documents with a hit, again, for the tokens and the values in their slots
+    at = found.groupBy(F.col("doc_id").alias("_d"), F.col("sha").alias("_s")).agg(F.collect_set(F.struct("p", "hash", "len")).alias("at"))  # of one document's windows
+    key = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sha") == F.col("_s"))
+    clean = spaced(F.col("text"))
+    again = base.join(found.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s")).distinct(), key, "left_semi").distinct().select("doc_id", "sha", tokens(templated(clean)).alias("t"), tokens(F.lower(clean)).alias("raw"))
+    slots = again.join(at, key).select("doc_id", "sha", F.explode("at").alias("w"), "t", "raw")
+    cut = lambda c: F.slice(c, F.col("w.p") + 1, F.col("w.len"))
+    slots = slots.select("doc_id", "sha", F.col("w.p").alias("p"), F.col("w.hash").alias("hash"), F.col("w.len").alias("len"), cut("t").alias("doc_t"), cut("raw").alias("doc_raw"))
+    met = slots.join(wins, ["hash", "len"]).where((F.col("win") == F.col("doc_raw")) | (~F.col("verbatim") & (F.col("win") == F.col("doc_t"))))
     pair = F.transform(F.arrays_zip("win", "raw", "doc_raw"), lambda x: F.when(x["win"].isin(NUM, NAME, UNIT), F.struct(F.concat(x["win"], x["raw"]).alias("i"), x["doc_raw"].alias("d"))))
-    met = met.select("doc_id", "item_id", "n_tokens", "q", "len", "verbatim", (F.col("p") - F.col("q")).alias("shift"), F.filter(pair, lambda x: x.isNotNull()).alias("slots"))
-    lines = met.groupBy("doc_id", "item_id", "n_tokens", "len", "shift").agg(
+    slots = F.when(F.col("verbatim"), F.array().cast("array<struct<i:string,d:string>>")).otherwise(F.filter(pair, lambda x: x.isNotNull()))
+    doc = ("doc_id", "sha", "item", "item_id", "n_tokens")
+    met = met.select(*doc, "q", "len", "verbatim", (F.col("p") - F.col("q")).alias("shift"), slots.alias("slots"))
+    lines = met.groupBy(*doc, "len", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
         F.collect_set(F.when(F.col("verbatim"), F.col("q"))).alias("same_q"), F.collect_set(F.when(~F.col("verbatim"), F.col("q"))).alias("slot_q"))
     # windows met word for word count whatever the other windows' slots are
@@ -119,17 +129,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, liter
     same = ~ok | F.forall("slots", lambda s: F.substring(s["i"], 4, 1 << 30) == s["d"])
     lines = lines.withColumn("q", F.when(ok, F.array_union("same_q", "slot_q")).otherwise(F.col("same_q")))
     places = F.flatten(F.transform("q", lambda q: F.sequence(q, q + F.col("len") - 1)))
-    out = lines.where(F.size("q") > 0).select("doc_id", "item_id", "n_tokens", F.size("q").alias("n"), places.alias("places"), same.alias("same")).groupBy("doc_id", "item_id", "n_tokens").agg(
+    out = lines.where(F.size("q") > 0).select(*doc, F.size("q").alias("n"), places.alias("places"), same.alias("same")).groupBy(*doc).agg(
         F.sum("n").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_and("same").alias("exact_slots"))
     out = out.withColumn("coverage", F.col("covered") / F.col("n_tokens")).where(F.col("coverage") >= cover)
-    return out.select("doc_id", "item_id", "n_windows", "covered", "coverage", "exact_slots")
+    return out.select("doc_id", "sha", "item_id", "n_windows", "covered", "coverage", "exact_slots")
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_windows, covered, coverage, exact_slots of every leak; options as of leaks()."""
+    most = F.max(F.struct("coverage", "n_windows", "covered", "exact_slots")).alias("m")
+    return leaks(docs, bench, **how).groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "m.n_windows", "m.covered", "m.coverage", "m.exact_slots")
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item."""
-    (key,) = fresh(docs, "leak")
-    bad = durable(decontaminate(docs, bench).select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]), "left_anti")
+    """The rows of docs that leak no item, columns as they are."""
+    key, sha = fresh(docs, "leak", "sha")
+    bad = checked_broadcast(leaks(docs, bench).select(F.col("doc_id").alias(key), F.col("sha").alias(sha)).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad[sha]), "left_anti")
 
 
 def op1_template_decontam(spark, sf_dir: str) -> DataFrame:

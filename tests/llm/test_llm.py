@@ -249,7 +249,55 @@ def test_decontamination_slots(spark, docs, empty):
     got = {(r["doc_id"], r["item_id"]): r["exact_slots"] for r in decontaminate.decontaminate(d, bench).collect()}
     assert got[(1, 1)] is False and got[(2, 1)] is True and (3, 1) not in got and (6, 1) not in got and got[(5, 4)]
     assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(d, bench.limit(0)).count() == 0
-    assert decontaminate.decontaminate(docs, bench).count() == 0
+    assert [tuple(r)[:2] for r in decontaminate.decontaminate(docs, bench).collect()] == [(10, 3)]  # "a b" stands in "a b c d e f g"
+    left = decontaminate.drop_leaks(docs, bench)
+    assert left.columns == docs.columns and left.count() == docs.count() - 1
+
+
+def test_decontamination_of_repeated_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "where does the old river meet the green sea"), (1, "a b"), (None, "12 + 30 = 42 and 7"), (2, "yes")], "item_id long, text string")
+    leak, clean = "he asked where does the old river meet the green sea today", "nothing of the kind is told here at all"
+    d = spark.createDataFrame([(1, leak), (1, clean), (None, clean), (None, leak), (None, "so 12 + 30 = 42 and 7 it is"), (3, "x a B y"), (3, "x a B y"), (4, "Yes!"), (5, clean)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.decontaminate(d, bench).collect()}
+    assert got == {(1, 1): 1.0, (None, 1): 1.0, (None, None): 1.0, (3, 1): 1.0, (4, 2): 1.0}
+    left = decontaminate.drop_leaks(d, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, clean), (1, clean), (5, clean)]
+
+
+def brute_slots(doc, item, window=5, literals=3, cover=0.5):
+    """Whether a document leaks an item (both lists of lower-case words and numbers), by all alignments."""
+    typed = lambda t: "#" if t.isdigit() else t
+    n, covered = min(window, len(item)), set()
+    for shift in range(-len(item), len(doc)):
+        same, slot = set(), set()
+        for q in range(len(item) - n + 1):
+            p = q + shift
+            if p < 0 or p + n > len(doc):
+                continue
+            a, b = item[q : q + n], doc[p : p + n]
+            if sum(not t.isdigit() for t in a) >= min(literals, n) and [*map(typed, a)] == [*map(typed, b)]:
+                slot.add(q)
+            if a == b:
+                same.add(q)
+        pairs = {(item[q + k], doc[q + shift + k]) for q in slot for k in range(n) if item[q + k].isdigit()}
+        for q in (slot | same) if len(pairs) == len({i for i, _ in pairs}) else same:
+            covered |= set(range(q, q + n))
+    return len(covered) >= cover * len(item)
+
+
+def test_decontamination_slots_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    draw = lambda n: [str(rng.integers(1, 4)) if rng.random() < 0.4 else f"w{'abc'[rng.integers(3)]}" for _ in range(n)]
+    items = [draw(rng.integers(4, 10)) for _ in range(40)]
+    docs = []
+    for i in range(160):
+        body = [t if rng.random() < 0.8 else str(rng.integers(1, 4)) for t in items[i % 40]]
+        docs.append(draw(rng.integers(0, 4)) + body + draw(rng.integers(0, 4)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(d, bench).collect()}
+    want = {(i, j) for i, x in enumerate(docs) for j, y in enumerate(items) if brute_slots(x, y)}
+    assert got == want and 0 < len(want) < len(docs) * len(items) / 2
 
 
 def test_decontamination_number_dense(spark):
