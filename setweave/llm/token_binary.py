@@ -2,9 +2,11 @@
 
 Documents are dealt by ranges of doc_id and encoded in ascending order. A shard is a run of
 documents of at most SHARD_WORDS words (one document at least). Within a shard, frequent pairs
-of ids are replaced by nonterminals, batch by batch: first inside the shard's distinct words,
-weighted by their counts (the same pairs as in the text, counted once a word), then in the
-whole sequence, also across words. No rule crosses the end of a document.
+of ids are replaced by nonterminals, round by round until no pair of a document's neighbours is
+told LEAST times: first inside the shard's distinct words, weighted by their counts (the same
+pairs as in the text, counted once a word), then in the whole sequence, also across words. A
+round replaces all frequent pairs, the left one where two overlap. No rule crosses the end of a
+document.
 
 File format: Parquet, one row a shard: part, nth (place of the shard), n_tokens, and `shard`,
 bytes in little-endian order: magic RPR1, counts of documents, rules and symbols (uint32);
@@ -43,8 +45,8 @@ from .common import checked_broadcast, shared_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SHARD_WORDS = 1_000_000
-#: Least count of a pair that becomes a rule; most rules a round; rounds inside words, across words.
-LEAST, RULES, ROUNDS_IN, ROUNDS_OVER = 6, 4096, 10, 3
+#: Least count of a pair that becomes a rule.
+LEAST = 6
 CACHE_WORDS = 500_000
 #: Most bytes of text split into words at a time.
 PIECE_BYTES = 8 << 20
@@ -168,22 +170,20 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight:
     key = seq[at] << 32 | seq[at + 1]
     inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
-    chosen = np.flatnonzero(count >= LEAST)
-    if len(chosen) > RULES:
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")[:RULES]]
-    if not len(chosen):
+    hit = (count >= LEAST)[inverse]
+    if not hit.any():
         return np.zeros((0, 2), dtype=np.int64), seq, np.arange(len(seq)), alive
     alive = np.zeros(len(seq), dtype=bool)
-    alive[at] = (count >= LEAST)[inverse]
-    rule = np.full(len(pairs), -1, dtype=np.int64)
-    rule[chosen] = first + np.arange(len(chosen))
-    new = rule[inverse]
-    hit = new >= 0
-    at, new = at[hit], new[hit]
+    at, inverse = at[hit], inverse[hit]
+    alive[at] = True
     # of overlapping occurrences, every other one from the left
     start = np.concatenate([[True], np.diff(at) > 1])
     nth = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-    at, new = at[nth % 2 == 0], new[nth % 2 == 0]
+    at, inverse = at[nth % 2 == 0], inverse[nth % 2 == 0]
+    used = np.zeros(len(pairs), dtype=bool)
+    used[inverse] = True
+    new = (first - 1 + np.cumsum(used))[inverse]
+    chosen = np.flatnonzero(used)
     seq = seq.copy()
     seq[at] = new
     keep = np.ones(len(seq), dtype=bool)
@@ -204,7 +204,7 @@ def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndar
     rules: list[np.ndarray] = []
     size = base
     alive = np.ones(len(seq), dtype=bool)
-    for _ in range(ROUNDS_IN):
+    while True:
         joined = np.append(owner[1:] == owner[:-1], False)[: len(seq)]
         new, seq, kept, alive = repair_round(seq, joined, alive, weight[owner], size)
         owner = owner[kept]
@@ -223,7 +223,7 @@ def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndar
     body[ends] = False
     out[body] = seq[spread(start[codes], per_word)]
     alive = np.ones(len(out), dtype=bool)  # across words, all pairs count anew
-    for _ in range(ROUNDS_OVER):
+    while True:
         joined = np.append(body[1:] & body[:-1], False)
         new, out, kept, alive = repair_round(out, joined, alive, None, size)
         body = body[kept]

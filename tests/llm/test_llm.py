@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,26 @@ def test_decontamination_any_case(spark):
     assert got == {(10 * i + k, i): 1.0 for i in range(2) for k in range(4)}
 
 
+def test_repair_leaves_no_frequent_pair(corpus):
+    texts = [r[0] or "" for r in corpus.select("text").collect()] + ["a a a a a a a a a a a a a", "na" * 40]
+    enc = token_binary.encoder(token_binary.TOKENIZER)
+    words, n = token_binary.split_words(pa.array(texts))
+    words = words.dictionary_encode()
+    rules, symbols, per_doc = token_binary.repair(*enc(words.dictionary), words.indices.to_numpy(), n, enc.size, 1)
+    left = Counter()
+    for doc in np.split(symbols, np.cumsum(per_doc)[:-1]):
+        at = 0
+        body = doc[:-1].tolist()  # the end id pairs with nothing
+        last = None
+        for p in zip(body, body[1:]):  # of a run of one symbol, every other pair
+            at = at + 1 if p == last else 0
+            left[p] += at % 2 == 0
+            last = p
+    assert len(rules) and max(left.values()) < token_binary.LEAST
+    used = np.unique(np.concatenate([rules.ravel(), symbols]))
+    assert set(range(enc.size, enc.size + len(rules))) <= set(used.tolist())
+
+
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     enc = token_binary.encoder(token_binary.TOKENIZER)
     odd = spark.createDataFrame([(20, "İstanbul <|endoftext|> it's ẞ… can't, U.S.A. x1y2. Ünïcode, naïve."), (21, "日本語。テスト   été \x1c a"), (22, "<|ENDOFTEXT|> ok.,")], "doc_id long, text string")
