@@ -5,7 +5,7 @@ import corpus_pipeline
 from .decontaminate import op1_template_decontam
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_ppm import op5_ppm_language
-from .mixing import op2_pareto_mix
+from .mixing import OP2_SQL, op2_pareto_mix
 from .quality_rules import op10_quality_rules
 from .quote_linking import op6_quote_linking
 from .secrets import op8_secret_guess_cost
@@ -20,4 +20,4 @@ QUERIES = {
         op6_quote_linking, op7_simhash_anchors, op8_secret_guess_cost, op9_exact_dedup, op10_quality_rules,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL = {"op9_exact_dedup": OP9_SQL}
+SQL = {"op2_pareto_mix": OP2_SQL, "op9_exact_dedup": OP9_SQL}

@@ -5,6 +5,7 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -69,6 +70,26 @@ def test_mixing(docs, empty, corpus):
     assert mixing.mix_rows(docs).columns == docs.columns
 
 
+def test_mixing_matches_its_sql(spark, docs, tmp_path):
+    """The plain windows of the SQL, on odd rows: nulls, ties, repeats, an empty source."""
+    rng = np.random.default_rng(4)
+    rows = [(i if rng.random() < 0.9 else None, " w" * int(rng.integers(0, 60)), ["a", "b", "c", "d", None][min(4, int(rng.exponential(1.0)))]) for i in range(3000)]
+    rows += [(7, "w w w", "a")] * 3 + [(None, "", "e"), (None, None, "e"), (None, "same text", "b"), (None, "same text", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for sf, frame in ((str(tmp_path), df), (SF, None)):
+        if frame is None:
+            con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        got = mixing.op2_pareto_mix(spark, sf)
+        want = con.execute(mixing.OP2_SQL).fetchall()
+        names = [c[0] for c in con.description]
+        assert Counter(map(tuple, got.select(*names).collect())) == Counter(want)
+    took = mixing.mix(df).groupBy().agg(F.sum("copies")).first()[0]
+    assert mixing.mix_rows(df).count() == took
+
+
 def test_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 90)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
