@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts word it: U+0020 and U+0009 to U+000D.
@@ -74,6 +75,16 @@ def uniform(seed: int, *keys):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + 0.5) / float(2**53)
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df (made durable) with its rows numbered from 0 in this order, over ranges of it: no task needs more than its range."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = durable(rows.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(sizes), "_part")  # a row a partition
+    return out.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, up) of at most TASK_EDGES edges: up is the least node reachable."""
     root: dict[int, int] = {}

@@ -10,12 +10,12 @@ the languages' probabilities, tempered by the square root of the length.
 Bytes: A-Z are lower-cased, other ASCII bytes but letters become a space, runs of spaces one.
 
 Learned from about SAMPLE_DOCS documents a language, those of least hash, of the rows with a
-non-null lang whose crc32(doc_id as text) mod 3 is not 1. At most CONTEXTS contexts of order 3
-are kept, the most frequent ones; a context that was not kept escapes.
+non-null lang whose crc32(doc_id as text) mod 3 is not 1. All contexts of the sample are kept; a
+model of more than MODEL_BYTES is an error.
 
 Defined results: null texts and texts without a letter are und with score 0; without training
 rows everything is und; ties go to the first language by code point; a null doc_id is not held
-out and not learned from; repeated rows are each predicted; an empty table gives no rows; other
+out and not learned from; repeated rows are each predicted and learned from once; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, uniform
 
-SAMPLE_DOCS, CONTEXTS, FOLDS, HELD_OUT, SEED = 300, 30_000, 3, 1, 5
+SAMPLE_DOCS, FOLDS, HELD_OUT, SEED = 300, 3, 1, 5
+#: Most bytes of the tables of a model, which is broadcast.
+MODEL_BYTES = 1 << 30
 SPACE = 32
 _fold = np.arange(256)
 _fold[65:91] += 32
@@ -44,10 +46,47 @@ def folded(text: str) -> np.ndarray:
     return b[np.concatenate([[True, True, True], (b[3:] != SPACE) | (b[2:-1] != SPACE)])]
 
 
+class Rows:
+    """The place of a key (0 or more) among sorted distinct keys, or -1: an open-addressing table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.key, self.row = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = self._slot(keys[left], step)
+            free = self.key[at] < 0
+            at, here = at[free], left[free]
+            at, first = np.unique(at, return_index=True)
+            self.key[at], self.row[at] = keys[here[first]], here[first]
+            left, step = np.setdiff1d(left, here[first]), step + 1
+        self.steps = step
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left = np.arange(len(keys))
+        for step in range(self.steps):
+            at = self._slot(keys[left], step)
+            here = self.key[at] == keys[left]
+            out[left[here]] = self.row[at[here]]
+            left = left[~here & (self.key[at] >= 0)]
+            if not len(left):
+                break
+        return out
+
+
 class PPM:
-    """Code lengths (bits) of a folded byte in its context, by language."""
+    """Code lengths (bits) of a folded byte in its context, by language.
+
+    Held are the successors seen in any language, with the bits in every language: of order 3 by their
+    four bytes, of order 2 by three; and the bits of the escape from every context. Bytes that were
+    seen in no language after a context take its escape and the next shorter context.
+    """
 
-    def __init__(self, texts: dict[str, list[str]], contexts: int = CONTEXTS):
+    def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         data = {lang: [folded(t) for t in texts[lang]] for lang in self.langs}
         used = np.unique(np.concatenate([np.array([SPACE])] + [b for bs in data.values() for b in bs]))
@@ -61,29 +100,25 @@ class PPM:
                 s = self.symbol[b]
                 keys.append(((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:])
             grams.append(np.unique(np.concatenate(keys), return_counts=True))
-        total: dict[int, int] = {}
-        for keys, n in grams:
-            ctx, at = np.unique(keys // a, return_inverse=True)
-            for c, m in zip(ctx.tolist(), np.bincount(at, weights=n, minlength=len(ctx)).tolist()):
-                total[c] = total.get(c, 0) + m
-        kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:contexts]), dtype=np.int64)
-        self.context = np.full(a**3, -1, dtype=np.int32)
-        self.context[kept] = np.arange(len(kept))
-        bits3, bits4 = [], []
-        for keys, n in grams:
-            below = np.full(a, 8.0)  # order -1
-            c1 = np.bincount(keys % a, weights=n, minlength=a)
-            p0 = self._mix(c1[None, :], below[None, :])
-            p1 = self._mix(np.bincount(keys % a**2, weights=n, minlength=a * a).reshape(a, a), np.broadcast_to(p0, (a, a)))
-            p2 = self._mix(np.bincount(keys % a**3, weights=n, minlength=a**3).reshape(a, a, a), np.broadcast_to(p1[None], (a, a, a)))
-            c4 = np.zeros((len(kept), a))
-            ok = self.context[keys // a] >= 0
-            np.add.at(c4, (self.context[keys[ok] // a], keys[ok] % a), n[ok])
-            bits4.append(self._mix(c4, p2.reshape(a * a, a)[kept % (a * a)]))
-            bits3.append(p2)
-        empty = np.zeros((0,))
-        self.bits3 = np.stack(bits3, -1).astype(np.float32).reshape(a**3, -1) if bits3 else empty
-        self.bits4 = np.stack(bits4, -1).astype(np.float32).reshape(len(kept) * a, -1) if bits4 else empty
+        every = np.unique(np.concatenate([np.zeros(0, dtype=np.int64)] + [k for k, _ in grams]))
+        keys3, contexts3 = np.unique(every % a**3), np.unique(every // a)
+        self.find4, self.find3, self.find_context = Rows(every), Rows(keys3), Rows(contexts3)
+        n = len(self.langs)
+        self.bits1, self.escape2 = np.zeros((a * a, n)), np.zeros((a * a, n))
+        self.bits2, self.bits3, self.escape3 = np.zeros((len(keys3), n)), np.zeros((len(every), n)), np.zeros((len(contexts3), n))
+        self.nbytes = sum(x.nbytes for x in (self.bits1, self.escape2, self.bits2, self.bits3, self.escape3))
+        if self.nbytes > MODEL_BYTES:
+            raise ValueError(f"a model of {self.nbytes} bytes is more than {MODEL_BYTES}: lower `sample`")
+        for at, (keys, count) in enumerate(grams):
+            p0 = self._mix(np.bincount(keys % a, weights=count, minlength=a)[None], np.full((1, a), 8.0))[0]  # order -1: 8 bits
+            p1 = self._mix(np.bincount(keys % a**2, weights=count, minlength=a * a).reshape(a, a), np.broadcast_to(p0, (a, a))).ravel()
+            self.bits1[:, at] = p1
+            own = np.zeros(len(keys3))
+            np.add.at(own, self.find3(keys % a**3), count)
+            self.bits2[:, at], self.escape2[:, at] = self._sparse(own, keys3 // a, a * a, p1[keys3 % (a * a)])
+            own = np.zeros(len(every))
+            own[self.find4(keys)] = count
+            self.bits3[:, at], self.escape3[:, at] = self._sparse(own, self.find_context(every // a), len(contexts3), self.bits2[self.find3(every % a**3), at])
 
     @staticmethod
     def _mix(count: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -93,21 +128,35 @@ class PPM:
             own, esc = -np.log2(count / (n + d)), np.where(n > 0, -np.log2(d / (n + d)), 0.0)
         return np.where(count > 0, own, esc + below)
 
+    @staticmethod
+    def _sparse(count: np.ndarray, context: np.ndarray, contexts: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _mix for successors told with their context: (bits of each, escape of each context)."""
+        n, d = np.bincount(context, weights=count, minlength=contexts), np.bincount(context, weights=count > 0, minlength=contexts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            esc = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
+            own = -np.log2(count / (n + d)[context])
+        return np.where(count > 0, own, esc[context] + below), esc
+
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code lengths of texts, by language."""
-        parts = [self.symbol[folded(t)] for t in texts]
         out = np.zeros((len(texts), len(self.langs)))
         a = self.size
-        for i, s in enumerate(parts):
+        for i, t in enumerate(texts):
+            s = self.symbol[folded(t)]
             if len(s) <= 3:
                 continue
-            tri = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-            ctx = self.context[tri]
-            last = (tri % (a * a)) * a + s[3:]
-            seen = ctx >= 0
-            out[i] = self.bits4[ctx[seen].astype(np.int64) * a + s[3:][seen]].sum(0, dtype=np.float64)
-            if not seen.all():
-                out[i] += self.bits3[last[~seen]].sum(0, dtype=np.float64)
+            keys = ((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:]
+            row = self.find4(keys)
+            out[i] = self.bits3[row[row >= 0]].sum(0)
+            keys = keys[row < 0]
+            if not len(keys):
+                continue
+            context = self.find_context(keys // a)
+            out[i] += self.escape3[context[context >= 0]].sum(0)
+            row = self.find3(keys % a**3)
+            out[i] += self.bits2[row[row >= 0]].sum(0)
+            keys = keys[row < 0]
+            out[i] += self.escape2[keys // a % (a * a)].sum(0) + self.bits1[keys % (a * a)].sum(0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -135,16 +184,16 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, list
     """Some `sample` texts a language (bounded: each language's share of rows is sample / its rows)."""
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     n = checked_broadcast(learn.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n")))
-    part = learn.join(n, F.col("lang") == F.col("_l")).where(uniform(SEED, F.col("doc_id")) * F.col("_n") < sample)
+    part = learn.join(n, F.col("lang") == F.col("_l")).where(uniform(SEED, F.col("doc_id")) * F.col("_n") < sample).select("lang", "text", "doc_id").distinct()
     out: dict[str, list[str]] = {}
-    for r in part.select("lang", "text", "doc_id").toLocalIterator():
+    for r in part.toLocalIterator():
         out.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
     return {k: [t for _, t in sorted(v)] for k, v in out.items()}
 
 
 def predict_language(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang)."""
-    # its size is bounded by CONTEXTS, the number of byte values and that of languages
+    # its size is checked against MODEL_BYTES
     model = docs.sparkSession.sparkContext.broadcast(PPM(training_texts(docs, sample)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,8 @@ Learned from at most TRAIN_ROWS labelled rows, those of least hash of doc_id, wh
 crc32(doc_id as text) mod 5 is not 0. Statistics are of the text alone. Every row is scored.
 
 Defined results: null text counts as empty and is scored like any other; a document labelled
-repeatedly counts once, with the mean label rounded; null labels are ignored; with no label, or
+repeatedly counts once, with the mean label rounded; of several texts of one labelled doc_id that
+of least statistics is learned from; null labels are ignored; with no label, or
 labels of one class, every score is (n1 + 1) / (n + 2); an empty table gives no rows; a null
 doc_id is not held out; other columns are not read.
 """
@@ -17,6 +18,7 @@ doc_id is not held out; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -46,8 +48,7 @@ def statistics(text: str | None) -> list[float]:
     n, size = len(words), max(1, len(data))
     lens = np.fromiter(map(len, words), dtype=np.int64, count=n) if n else np.zeros(1, dtype=np.int64)
     odd = sum(w[-1] < 48 and w[-1] not in b".,)'\"-" or w[-1] in b"|*" for w in words) / max(1, n)
-    pairs = np.fromiter(map(hash, words), dtype=np.int64, count=n)
-    run = float((pairs[1:] == pairs[:-1]).mean()) if n > 1 else 0.0
+    run = sum(map(eq, words[1:], words)) / (n - 1) if n > 1 else 0.0
     lines = data.split(b"\n")
     return [
         float(np.log1p(n)), float(lens.mean()), upper / max(1, letters), sym / size, bars / size, bangs / size, digits / size, stops / size, breaks / size,
@@ -178,7 +179,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
     # at most `rows` rows of two numbers are broadcast and collected
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id", "left_semi")
-    got = with_statistics(chosen).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).limit(rows).toPandas().sort_values("doc_id")
+    one = with_statistics(chosen).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("x"))  # of texts that share a doc_id always the same one
+    got = one.join(F.broadcast(known), "doc_id").select("doc_id", "x.*", "quality").toPandas().sort_values("doc_id")
     return got[STATS].to_numpy(np.float64), got["quality"].to_numpy(np.float64)
 
 

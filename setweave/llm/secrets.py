@@ -2,9 +2,10 @@
 
 Base kinds: assign (a credential word, a sign of assignment, a value of 6+ characters), access
 (AKIA and upper-case letters or digits, 20+), hex (24+). The method: a value's guess cost is the
-least sum, over its segmentations, of the decimal logarithms of the guesses for words (by rank),
-dates, repeats, keyboard walks and brute-force spans. It is taken of the assigned values (the
-least one is reported), and of values in wider credential context (the base words and others,
+least sum, over all its segmentations, of the decimal logarithms of the guesses for words (by rank
+among frequent passwords and the whole words of a public vocabulary), dates, repeats (units of up
+to UNITS characters), keyboard walks and brute-force spans, whatever their lengths. It is taken of the assigned values (the
+least is reported, and how many are weak: under GUESSES), and of values in wider credential context (the base words and others,
 any symbols in the value, "=>", "Bearer x"), which become spans of kind guess if the cost is at
 least GUESSES, two kinds of characters occur and no base span or earlier span overlaps. A value
 that is itself a credential word with a sign of assignment is searched in turn.
@@ -25,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_binary import tokenizer_path
+
 GUESSES = 10.0
-#: Characters of a word, repeat or walk that are looked at in one span.
-SPAN = 64
+#: The public vocabulary whose whole words are the dictionary; the longest unit of a repeat.
+WORDS, UNITS = "word_bpe_49k.json", 8
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -45,68 +48,117 @@ COMMON = (
     "orange banana coffee cookie cheese pepper ginger silver golden diamond tiger lion eagle falcon wolf bear horse jordan michael jennifer thomas robert daniel andrew "
     "joshua matthew charlie maggie bailey the and for you are with this that from have"
 ).split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("013457@$!", "oleastasi")
 #: Rows of keys and runs in which neighbours are a walk.
 WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik,9ol.0p;/")
 NEXT = {(a, b) for row in WALKS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
+_Y, _M, _D, _S = "(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "[-/.]?"
+DATES = [(re.compile(p), math.log10(n)) for p, n in ((_Y, 150), (_Y + _S + _M + _S + _D, 365 * 150), (_D + _S + _M + _S + _Y, 365 * 150))]
 KINDS = ("assign", "access", "hex", "guess")
 
 
 def brute(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
-
-
-@lru_cache(maxsize=100_000)
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses for value; 0 for the empty one."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        for m in (DATE.match(value, i), re.compile(r"(?:19|20)\d\d").match(value, i)):
-            if m:
-                dates.setdefault(i, []).append(m.end())
-    for i in range(n):
-        at = best[i]
-
-        def to(j: int, cost: float) -> None:
-            if at + cost < best[j]:
-                best[j] = at + cost
-
-        to(i + 1, brute(value[i]))
-        for j in range(i + 2, min(n, i + 12) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
-            if rank:
-                changed = (low[i:j] not in RANK) + (value[i:j] != low[i:j])
-                to(j, math.log10(rank + 1) + 0.3 * changed)
-        for j in dates.get(i, ()):
-            to(j, math.log10(150) if j - i == 4 else math.log10(365 * 150))
-        j = i + 1
-        while j < n and value[j] == value[i] and j - i < SPAN:
-            j += 1
-            if j - i >= 3:
-                to(j, brute(value[i]) + math.log10(j - i))
-        for unit in range(2, 9):  # a unit told again
-            j = i + unit
-            while j + unit <= n and value[j : j + unit] == value[i : i + unit] and j - i < SPAN:
-                j += unit
-                to(j, sum(map(brute, value[i : i + unit])) + math.log10((j - i) // unit))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT and j - i < SPAN:
-            j += 1
-            if j - i >= 3:
-                to(j, math.log10(47 * 2) + math.log10(j - i))
-    return best[n]
-
-
-def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], float | None]:
-    """(base spans, added spans, least guess cost of an assigned value), spans as (start, end, kind)."""
+    return math.log10(10 if c in "0123456789" else 26 if c.isalpha() else 33)
+
+
+_ranks: dict[str, dict[str, int]] = {}
+
+
+def ranks(words: str = WORDS) -> dict[str, int]:
+    """Rank of each known word: the frequent passwords, then the whole words of a public vocabulary in its order."""
+    if words not in _ranks:
+        from tokenizers import Tokenizer
+
+        vocab = Tokenizer.from_file(tokenizer_path(words)).get_vocab()
+        whole = sorted((i, w[:-4]) for w, i in vocab.items() if w.endswith("</w>") and re.fullmatch("[a-z]{3,20}", w[:-4]))
+        _ranks[words] = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(w for _, w in whole)]))}
+    return _ranks[words]
+
+
+def dates(value: str) -> dict[int, list[tuple[int, float]]]:
+    """(start, cost) of the dates and years by their end."""
+    out: dict[int, list[tuple[int, float]]] = {}
+    for pattern, cost in DATES:
+        for i in range(len(value)):
+            if value[i] in "0123456789" and (m := pattern.match(value, i)):
+                out.setdefault(m.end(), []).append((i, cost))
+    return out
+
+
+class Track:
+    """Least cost of a span that ends here in a run, over its starts: best[start] + log10(length / unit).
+
+    Of two starts the earlier gains on the later as the run goes on, so a later start is kept only if it
+    is ahead at once, and an earlier one only if its best is less: few are left, whatever the run's length.
+    """
+
+    def __init__(self, unit: int):
+        self.unit, self.starts = unit, [[] for _ in range(unit)]
+
+    def clear(self) -> None:
+        for x in self.starts:
+            x.clear()
+
+    def at(self, end: int, start: int, best: list[float]) -> float:
+        """With one more start, which is a whole number of units before end."""
+        held, cost = self.starts[end % self.unit], lambda i: best[i] + math.log10((end - i) // self.unit)
+        new, least = cost(start), min(map(cost, held), default=math.inf)
+        if new < least:
+            held[:] = [i for i in held if best[i] < best[start]]
+            held.append(start)
+        return min(new, least)
+
+
+def guess_cost(value: str, words: str = WORDS) -> float:
+    """Decimal logarithm of the least guesses for value over all its segmentations; 0 for the empty one."""
+    return _short_cost(value, words) if len(value) <= 64 else _cost(value, words)
+
+
+def _cost(value: str, words: str) -> float:
+    rank, low = ranks(words), value.translate(LOWER)
+    plain, ended = low.translate(LEET), dates(value)
+    longest = max(map(len, rank))
+    each = [brute(c) for c in value]
+    best, sums = [0.0], [0.0]
+    tracks, run = {u: Track(u) for u in range(1, UNITS + 1)}, [0] * (UNITS + 1)
+    walk, steps = Track(1), 0
+    for j in range(1, len(value) + 1):
+        best.append(best[-1] + each[j - 1])
+        sums.append(sums[-1] + each[j - 1])
+        found = [best[-1], *(best[i] + cost for i, cost in ended.get(j, ()))]
+        for i in range(max(0, j - longest), j - 1):
+            r = rank.get(low[i:j]) or rank.get(plain[i:j])
+            if r:
+                found.append(best[i] + math.log10(r + 1) + 0.3 * ((low[i:j] not in rank) + (value[i:j] != low[i:j])))
+        for u, track in tracks.items():  # u characters told again: a run of one three times, of more twice
+            if j <= u or value[j - 1] != value[j - 1 - u]:
+                if run[u]:
+                    run[u] = 0
+                    track.clear()
+                continue
+            run[u] += 1
+            least = 3 if u == 1 else 2 * u
+            if run[u] + u >= least:
+                found.append(sums[j] - sums[j - u] + track.at(j, j - least, best))
+        if j > 1 and (low[j - 2], low[j - 1]) in NEXT:
+            steps += 1
+            if steps >= 2:
+                found.append(math.log10(47 * 2) + walk.at(j, j - 3, best))
+        elif steps:
+            steps = 0
+            walk.clear()
+        best[j] = min(found)
+    return best[-1]
+
+
+_short_cost = lru_cache(maxsize=100_000)(_cost)
+
+
+def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[float]]:
+    """(base spans, added spans, guess costs of the assigned values), spans as (start, end, kind)."""
     base = []
-    costs = []
+    costs: list[float] = []
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= 6:
             base.append((m.start(), m.end(), "assign"))
@@ -127,7 +179,7 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
             at = m.start(1) if classes >= 2 else max(m.start(1), m.end() - 32)
         m = WIDER.search(text, at)
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(added, key=order), min(costs, default=None)
+    return sorted(base, key=order), sorted(added, key=order), costs
 
 
 def told(spans: list[tuple[int, int, str]]) -> str:
@@ -135,20 +187,20 @@ def told(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, least_guess_log10 of every row of docs (doc_id, text)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, least_guess_log10, n_weak of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text in b["text"]:
-                base, added, cost = spans_of(text or "")
+                base, added, costs = spans_of(text or "")
                 n = [sum(k == kind for *_, k in base) for kind in KINDS[:3]]
-                rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(base + added), len(added), cost))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "least_guess_log10"])
+                rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(base + added), len(added), min(costs, default=None), sum(c < GUESSES for c in costs)))
+            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "least_guess_log10", "n_weak"])
             out.insert(0, "doc_id", b["doc_id"].reset_index(drop=True))
-            yield out.astype({c: "int64" for c in ("n_assign", "n_access", "n_hex", "n_guess")} | {"least_guess_log10": "float64"})
+            yield out.astype({c: "int64" for c in ("n_assign", "n_access", "n_hex", "n_guess", "n_weak")} | {"least_guess_log10": "float64"})
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, least_guess_log10 double"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, least_guess_log10 double, n_weak long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
