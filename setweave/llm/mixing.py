@@ -30,7 +30,7 @@ from .common import checked_broadcast, columns_of, durable, fresh, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
-BINS = 16384
+BINS = 2048
 DAMPING = 0.125
 SEED = 20
 #: Odds are whole numbers of this many parts.
