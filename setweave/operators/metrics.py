@@ -1,13 +1,15 @@
 """Ranking, calibration and choice metrics. Each takes columns group..., label (0 or 1) and score.
 
 Scores are first summed by value, so that no window holds more than the distinct scores of a
-group. Groups of one class have no AUC and are left out; empty input gives no rows.
+group. Groups of one class have no AUC and are left out, empty input gives no rows; if `strict`,
+both are errors, as are null and non-finite scores.
 """
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import running
+
 
 def by_score(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
     """groups, score, pos, neg: weighted counts of tied blocks."""
@@ -16,20 +18,30 @@ def by_score(df: DataFrame, groups: list[str], label: str = "label", score: str
     return df.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
 
 
-def roc_auc(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
+def checked(df: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """df, or ValueError if it is empty, a group has one class only, or a score is null or not finite."""
+    s = F.col(score)
+    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
+    n = df.groupBy(*groups).agg(F.count_if(bad).alias("bad"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    n = n.agg(F.count("*").alias("groups"), F.sum("bad").alias("bad"), F.count_if((F.col("p") == 0) | (F.col("n") == 0)).alias("single")).first()
+    if not n["groups"] or n["bad"] or n["single"]:
+        raise ValueError(f"no ranking: {n['groups']} groups, {n['bad']} bad scores, {n['single']} groups of one class")
+    return df
+
+
+def roc_auc(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", weight: Column | None = None, strict: bool = False) -> DataFrame:
     """Area under the ROC curve; ties count half."""
-    b = by_score(df, groups, label, score, weight)
-    w = W.partitionBy(*groups).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    b = b.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    b = by_score(checked(df, groups, label, score) if strict else df, groups, label, score, weight)
+    b = running(b, groups, F.col("score"), {"below": "neg"})
     out = b.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.where("p > 0 and n > 0").select(*groups, (F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def average_precision(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
+def average_precision(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", weight: Column | None = None, strict: bool = False) -> DataFrame:
     """Step-wise average precision; a tied score is one threshold."""
-    b = by_score(df, groups, label, score, weight)
-    w = W.partitionBy(*groups).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    b = b.withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    b = by_score(checked(df, groups, label, score) if strict else df, groups, label, score, weight)
+    b = running(b, groups, F.col("score").desc(), {"tp": "pos", "fp": "neg"})
+    b = b.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("all", F.col("tp") + F.col("fp") + F.col("neg"))
     out = b.groupBy(*groups).agg(F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("s"), F.sum("pos").alias("p"))
     return out.where("p > 0").select(*groups, (F.col("s") / F.col("p")).alias("ap"))
 
@@ -40,6 +52,12 @@ def brier_logloss(df: DataFrame, groups: list[str], label: str = "label", score:
     return df.groupBy(*groups).agg(F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier"), F.avg(-F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("log_loss"))
 
 
+def focal(label: Column, p: Column, gamma: float, alpha: float) -> Column:
+    """Focal cross-entropy of a probability: hard examples weigh by (1 - p of the right class) ** gamma, positives by alpha."""
+    one = alpha * F.pow(1 - p, F.lit(gamma)) * F.ln(p)
+    return -F.when(label == 1, one).otherwise((1 - alpha) * F.pow(p, F.lit(gamma)) * F.ln(1 - p))
+
+
 def accuracy(df: DataFrame, groups: list[str], label: str = "label", score: str = "score", cut: float = 0.5) -> DataFrame:
     """accuracy and balanced_accuracy (the mean of the classes' recalls)."""
     ok = ((F.col(score) >= cut).cast("int") == F.col(label)).cast("double")

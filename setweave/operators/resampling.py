@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import draw
 
+#: Units drawn at a time.
+BLOCK = 4096
+
 
 def unit_counts(units: DataFrame, replicates: int, seed: str, strata: list[str] | None = None) -> DataFrame:
     """strata, replicate, unit_no, w: how often each unit (numbered 0..n-1 within its stratum) is drawn."""
     keys = strata or []
-    n = units.groupBy(*keys).agg(F.count("*").alias("n"))
-    drawn = n.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    n = units.groupBy(*keys).agg(F.count("*").alias("n"))  # a row a stratum
+    spark = units.sparkSession
+    tasks = min(replicates, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = spark.range(0, replicates, 1, tasks).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(n))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(BLOCK).cast("long")))  # no array of all units
+    drawn = drawn.withColumn("from", block).withColumn("k", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + BLOCK) - 1))).drop("from")
     pick = draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("k")) % F.col("n")
     return drawn.select(*keys, "replicate", pick.alias("unit_no")).groupBy(*keys, "replicate", "unit_no").agg(F.count("*").alias("w"))
 

@@ -5,6 +5,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Most rows that are compared pair by pair.
+PAIRED = 20_000
+
+
 def canonical(items: DataFrame, set_id: str = "set_id", item_id: str = "item_id") -> DataFrame:
     """set_id, items: sorted distinct items of each set (sets are of bounded size)."""
     return items.groupBy(set_id).agg(F.array_sort(F.collect_set(item_id)).alias("items"))
@@ -22,6 +26,24 @@ def pairs(items: DataFrame, set_id: str, index: str, value: str) -> DataFrame:
     return a.join(b, set_id).where("_i < _j").select(set_id, "a", "b")
 
 
+def features(items: DataFrame, set_id: str, value: str) -> DataFrame:
+    """set_id, n_pairs, feature: the mean over pairs of |a - b| followed by that of a * b, of sets of two or more items.
+
+    Without making pairs: by dimension, differences follow from the sorted values (the k-th of n counts
+    2k - n + 1 times), products from the sum and the sum of squares. Sets are of bounded size.
+    """
+    x = items.groupBy(set_id).agg(F.collect_list(value).alias("vs")).withColumn("n", F.size("vs")).where("n >= 2")
+    same = F.forall("vs", lambda v: F.size(v) == F.size(F.col("vs")[0]))
+    x = x.withColumn("vs", F.when(same, F.col("vs")).otherwise(F.raise_error(F.lit("vectors of different widths")).cast(x.schema["vs"].dataType)))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    at = lambda d: F.transform("vs", lambda v: v[d].cast("double"))
+    dims = F.sequence(F.lit(0), F.size(F.col("vs")[0]) - 1)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    diff = F.transform(dims, lambda d: add(F.transform(F.array_sort(at(d)), lambda v, k: v * (2 * k - F.col("n") + 1))) / pairs)
+    prod = F.transform(dims, lambda d: (F.pow(add(at(d)), F.lit(2.0)) - add(F.transform(at(d), lambda v: v * v))) / 2 / pairs)
+    return x.select(set_id, pairs.cast("long").alias("n_pairs"), F.concat(diff, prod).alias("feature"))
+
+
 def mode(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, n, n_values: the most frequent value, the least of tied ones."""
     n = df.groupBy(key, value).agg(F.count("*").alias("n"))
@@ -47,6 +69,8 @@ def validated_left_join(left: DataFrame, right: DataFrame, keys: list[str], must
 
 def dominated(df: DataFrame, key: str, metric: str, cost: str) -> DataFrame:
     """key, metric, cost, dominated, dominators: others no worse in both and better in one (metric high, cost low)."""
+    if df.limit(PAIRED + 1).count() > PAIRED:
+        raise ValueError(f"dominators are listed for {PAIRED} rows at most: every pair is compared")
     a = df.select(F.col(key), F.col(metric), F.col(cost))
     b = df.select(F.col(key).alias("_k"), F.col(metric).alias("_m"), F.col(cost).alias("_c"))
     on = (F.col("_m") >= F.col(metric)) & (F.col("_c") <= F.col(cost)) & ((F.col("_m") > F.col(metric)) | (F.col("_c") < F.col(cost)))

@@ -1,9 +1,12 @@
 """Question generation, declaratively: items of a category stand in an md5 order, and slot k of a set
-takes the item `offset + k` places on, skipping the set's own items by a bounded number of tries.
-
-Negative sets keep a set's length and categories; fill-in-the-blank questions hide one item and add
-three of its category. A category is p_brand. Everything is an equi-join on (category, place). A seed
-gives other pools, starts and blanks over the same items.
+takes the item `offset + k` places on, skipping excluded items; as many more places are looked at as
+a category has excluded items, so a slot stays empty only if the category is too small.
+
+Negative sets keep a set's length and categories. One that equals a positive set or another negative
+is made again from another start, ROUNDS times at most; a set that collides in every round is not
+complete. Fill-in-the-blank questions hide one item and add three of its category, none of which
+completes a positive set. A category is p_brand. Everything is an equi-join on (category, place). A
+seed gives other pools, starts and blanks over the same items.
 """
 
 from pyspark.sql import DataFrame
@@ -12,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import draw, draw_sql
 from ..sources.tables import SET_ITEMS, set_items, table
+from ..storage import durable
 
-TRIES = 6
-BLANKS, DISTRACTORS = 1, 3
+ROUNDS, DISTRACTORS = 3, 3
 
 
 def _pool(spark, sf, seed="") -> DataFrame:
@@ -26,46 +29,68 @@ def _pool(spark, sf, seed="") -> DataFrame:
 
 def _pool_sql(seed="") -> str:
     return f"""{SET_ITEMS}, pool AS (SELECT p_brand AS cat, p_partkey AS candidate, row_number() OVER (PARTITION BY p_brand ORDER BY {draw_sql(f"pool{seed}", "p_partkey")}, p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
-n AS (SELECT set_id FROM si GROUP BY set_id HAVING count(*) >= 2), x AS (SELECT set_id, item_id, p_brand AS cat FROM si JOIN n USING (set_id) JOIN part ON item_id = p_partkey)"""
+n AS (SELECT set_id FROM si GROUP BY set_id HAVING count(*) >= 2), x AS (SELECT set_id, item_id, p_brand AS cat FROM si JOIN n USING (set_id) JOIN part ON item_id = p_partkey),
+pos AS (SELECT set_id, list_sort(list(item_id)) AS v FROM x GROUP BY set_id)"""
 
 
 def _items(spark, sf) -> DataFrame:
     si = set_items(spark, sf)
     big = si.groupBy("set_id").count().where("count >= 2").select("set_id")
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("cat"))
-    return si.join(big, "set_id", "left_semi").join(parts, "item_id")
+    return durable(si.join(big, "set_id", "left_semi").join(parts, "item_id"))
 
 
-def _fill(spark, sf, slots: DataFrame, own: DataFrame, want: int, seed="") -> DataFrame:
-    """(set_id, slot..., candidate, k): for each (set_id, cat, n slots) the first n survivors from a set's start."""
-    pool = _pool(spark, sf, seed)
+def _fill(pool: DataFrame, slots: DataFrame, excluded: DataFrame, want: int, start: str) -> DataFrame:
+    """(set_id, cat, candidate, k): for each (set_id, cat, n slots, skip: excluded items of the category) the first n * want survivors."""
     sizes = pool.groupBy("cat").agg(F.max("size").alias("size"))
-    s = slots.join(sizes, "cat").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") * want + TRIES, F.col("size")) - 1)))
-    s = s.withColumn("place", (draw(f"start{seed}", F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).drop("size")
+    s = slots.join(sizes, "cat").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") * want + F.col("skip"), F.col("size")) - 1)))
+    s = s.withColumn("place", (draw(start, F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).drop("size")
     s = s.join(pool.select("cat", "place", "candidate"), ["cat", "place"])
-    s = s.join(own.select("set_id", F.col("item_id").alias("candidate")), ["set_id", "candidate"], "left_anti")
+    s = s.join(excluded, ["set_id", "candidate"], "left_anti")
     k = F.row_number().over(W.partitionBy("set_id", "cat").orderBy("t")).cast("long")
     return s.withColumn("k", k).where(F.col("k") <= F.col("n") * want)
 
 
-def cp_negatives(spark, sf) -> DataFrame:
-    """set_id, n_items, negative (sorted items joined by commas), complete (all slots filled)."""
-    x = _items(spark, sf)
-    slots = x.groupBy("set_id", "cat").agg(F.count("*").alias("n"))
-    got = _fill(spark, sf, slots, x, 1).groupBy("set_id").agg(F.array_sort(F.collect_list("candidate")).alias("v"))
-    n = x.groupBy("set_id").agg(F.count("*").alias("n_items"))
-    return n.join(got, "set_id", "left").select("set_id", "n_items", F.array_join("v", ",").alias("negative"), F.coalesce(F.size("v") == F.col("n_items"), F.lit(False)).alias("complete"))
-
+def _fill_sql(slots: str, excluded: str, want: int, start: str, tag: str = "") -> str:
+    return f"""e{tag} AS (SELECT s.set_id, s.cat, s.n, t, ({draw_sql(start, "s.set_id", "s.cat")} + t) % z.size AS place FROM {slots} s JOIN (SELECT cat, max(size) AS size FROM pool GROUP BY cat) z USING (cat), LATERAL (SELECT unnest(range(CAST(least(s.n * {want} + s.skip, z.size) AS BIGINT))) AS t)),
+f{tag} AS (SELECT e{tag}.*, candidate FROM e{tag} JOIN pool USING (cat, place) WHERE NOT EXISTS (SELECT 1 FROM {excluded} o WHERE o.set_id = e{tag}.set_id AND o.candidate = pool.candidate)),
+g{tag} AS (SELECT *, row_number() OVER (PARTITION BY set_id, cat ORDER BY t) AS k FROM f{tag}), got{tag} AS (SELECT * FROM g{tag} WHERE k <= n * {want})"""
 
-def _fill_sql(slots: str, want: int, seed="") -> str:
-    return f"""e AS (SELECT s.set_id, s.cat, s.n, t, ({draw_sql(f"start{seed}", "s.set_id", "s.cat")} + t) % z.size AS place FROM {slots} s JOIN (SELECT cat, max(size) AS size FROM pool GROUP BY cat) z USING (cat), LATERAL (SELECT unnest(range(CAST(least(s.n * {want} + {TRIES}, z.size) AS BIGINT))) AS t)),
-f AS (SELECT e.*, candidate FROM e JOIN pool USING (cat, place) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.set_id = e.set_id AND x.item_id = candidate)),
-g AS (SELECT *, row_number() OVER (PARTITION BY set_id, cat ORDER BY t) AS k FROM f), got AS (SELECT * FROM g WHERE k <= n * {want})"""
 
-
-NEGATIVES_SQL = f"""WITH {_pool_sql()}, slots AS (SELECT set_id, cat, count(*) AS n FROM x GROUP BY ALL), {_fill_sql("slots", 1)},
-v AS (SELECT set_id, list_sort(list(candidate)) AS v FROM got GROUP BY set_id)
-SELECT set_id, n_items, array_to_string(v, ',') AS negative, coalesce(len(v) = n_items, FALSE) AS complete FROM (SELECT set_id, count(*) AS n_items FROM x GROUP BY set_id) LEFT JOIN v USING (set_id)"""
+def cp_negatives(spark, sf) -> DataFrame:
+    """set_id, n_items, negative (sorted items joined by commas), complete (all slots filled, no positive, no other's negative)."""
+    x = _items(spark, sf)
+    own, pool = x.select("set_id", F.col("item_id").alias("candidate")), durable(_pool(spark, sf))
+    n = x.groupBy("set_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("positive"))
+    n = durable(n)
+    slots = x.groupBy("set_id", "cat").agg(F.count("*").alias("n"), F.count("*").alias("skip"))
+    held = n.select("set_id", F.lit(None).cast("string").alias("negative"), F.lit(False).alias("complete")).limit(0)
+    todo = n.select("set_id")
+    for nth in range(ROUNDS):
+        got = _fill(pool, slots.join(todo, "set_id", "left_semi"), own, 1, f"start{nth or ''}").groupBy("set_id").agg(F.array_sort(F.collect_list("candidate")).alias("v"))
+        got = todo.join(n, "set_id").join(got, "set_id", "left").select("set_id", F.array_join("v", ",").alias("negative"), F.coalesce(F.size("v") == F.col("n_items"), F.lit(False)).alias("full"))
+        got = durable(got)
+        taken = n.select(F.col("positive").alias("negative")).unionByName(held.where("complete").select("negative")).distinct().withColumn("hit", F.lit(True))
+        got = got.join(taken, "negative", "left").join(got.where("full").groupBy("negative").agg(F.min("set_id").alias("first")), "negative", "left")
+        got = durable(got.select("set_id", "negative", "full", (F.col("full") & F.col("hit").isNull() & (F.col("first") == F.col("set_id"))).alias("complete")))
+        done = got if nth == ROUNDS - 1 else got.where("complete or not full")
+        held = durable(held.unionByName(done.select("set_id", "negative", "complete")))
+        todo = got.where("full and not complete").select("set_id")
+    return n.join(held, "set_id").select("set_id", "n_items", "negative", "complete")
+
+
+def _round_sql(nth: int) -> str:
+    todo = "SELECT set_id FROM n" if nth == 0 else f"SELECT set_id FROM a{nth - 1} WHERE full_ AND NOT complete"
+    taken = " UNION ALL ".join(["SELECT array_to_string(v, ',') AS negative FROM pos", *(f"SELECT negative FROM a{k} WHERE complete" for k in range(nth))])
+    return f"""todo{nth} AS ({todo}), slots{nth} AS (SELECT set_id, cat, count(*) AS n, count(*) AS skip FROM x WHERE set_id IN (SELECT set_id FROM todo{nth}) GROUP BY ALL),
+{_fill_sql(f"slots{nth}", "own", 1, f"start{nth or ''}", str(nth))}, v{nth} AS (SELECT set_id, list_sort(list(candidate)) AS v FROM got{nth} GROUP BY set_id),
+b{nth} AS (SELECT set_id, array_to_string(v{nth}.v, ',') AS negative, coalesce(len(v{nth}.v) = len(pos.v), FALSE) AS full_ FROM todo{nth} JOIN pos USING (set_id) LEFT JOIN v{nth} USING (set_id)),
+a{nth} AS (SELECT set_id, negative, full_, coalesce(full_ AND negative NOT IN ({taken}) AND set_id = min(CASE WHEN full_ THEN set_id END) OVER (PARTITION BY negative), FALSE) AS complete FROM b{nth})"""
+
+
+NEGATIVES_SQL = f"""WITH {_pool_sql()}, own AS (SELECT set_id, item_id AS candidate FROM x), {", ".join(map(_round_sql, range(ROUNDS)))},
+held AS ({" UNION ALL ".join(f"SELECT set_id, negative, complete FROM a{k}" + (" WHERE complete OR NOT full_" if k < ROUNDS - 1 else "") for k in range(ROUNDS))})
+SELECT set_id, len(v) AS n_items, negative, complete FROM pos JOIN held USING (set_id)"""
 
 
 def fitb_questions(spark, sf, seed="") -> DataFrame:
@@ -73,9 +98,16 @@ def fitb_questions(spark, sf, seed="") -> DataFrame:
     x = _items(spark, sf)
     w = W.partitionBy("set_id").orderBy(draw(f"blank{seed}", F.col("set_id"), F.col("item_id")), "item_id")
     r = x.withColumn("rn", F.row_number().over(w))
-    blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat", F.lit(1).cast("long").alias("n"))
+    blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat")
     rest = r.where("rn > 1").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"))
-    got = _fill(spark, sf, blank.select("set_id", "cat", "n"), x, DISTRACTORS, seed).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("k", "candidate"))).alias("d"))
+    # items that make a question's others a positive set: those sets less one item
+    whole = x.groupBy("set_id").agg(F.array_sort(F.collect_list("item_id")).alias("v"))
+    less = whole.select("v", F.explode("v").alias("candidate")).select(F.array_join(F.array_except("v", F.array("candidate")), ",").alias("question"), "candidate").distinct()
+    out = durable(x.select("set_id", F.col("item_id").alias("candidate")).unionByName(rest.join(less, "question").select("set_id", "candidate")).distinct())
+    pool = durable(_pool(spark, sf, seed))
+    cats = out.join(pool.select("candidate", "cat"), "candidate").groupBy("set_id", "cat").agg(F.count("*").alias("skip"))
+    slots = blank.select("set_id", "cat", F.lit(1).cast("long").alias("n")).join(cats, ["set_id", "cat"])
+    got = _fill(pool, slots, out, DISTRACTORS, f"start{seed}").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("k", "candidate"))).alias("d"))
     got = got.where(F.size("d") == DISTRACTORS).select("set_id", F.transform("d", lambda s: s["candidate"]).alias("d"))
     at = F.pmod("set_id", F.lit(4)).cast("int")
     out = blank.join(rest, "set_id").join(got, "set_id").withColumn("correct_index", at)
@@ -85,8 +117,11 @@ def fitb_questions(spark, sf, seed="") -> DataFrame:
 
 def fitb_sql(seed="") -> str:
     return f"""WITH {_pool_sql(seed)}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {draw_sql(f"blank{seed}", "set_id", "item_id")}, item_id) AS rn FROM x),
-blank AS (SELECT set_id, item_id AS blank, cat, 1 AS n FROM r WHERE rn = 1), rest AS (SELECT set_id, array_to_string(list_sort(list(item_id)), ',') AS question FROM r WHERE rn > 1 GROUP BY set_id),
-{_fill_sql("blank", DISTRACTORS, seed)}, v AS (SELECT set_id, list(candidate ORDER BY k) AS d FROM got GROUP BY set_id HAVING count(*) = {DISTRACTORS})
+blank AS (SELECT set_id, item_id AS blank, cat FROM r WHERE rn = 1), rest AS (SELECT set_id, array_to_string(list_sort(list(item_id)), ',') AS question FROM r WHERE rn > 1 GROUP BY set_id),
+less0 AS (SELECT v, unnest(v) AS candidate FROM pos), less1 AS (SELECT DISTINCT array_to_string(list_filter(v, lambda i: i <> candidate), ',') AS question, candidate FROM less0),
+own AS (SELECT set_id, item_id AS candidate FROM x UNION SELECT set_id, candidate FROM rest JOIN less1 USING (question)),
+slots AS (SELECT blank.set_id, blank.cat, 1 AS n, count(*) AS skip FROM blank JOIN own USING (set_id) JOIN pool ON pool.candidate = own.candidate AND pool.cat = blank.cat GROUP BY ALL),
+{_fill_sql("slots", "own", DISTRACTORS, f"start{seed}")}, v AS (SELECT set_id, list(candidate ORDER BY k) AS d FROM got GROUP BY set_id HAVING count(*) = {DISTRACTORS})
 SELECT set_id, question, blank, array_to_string(list_concat(list_concat(d[1:CAST(set_id % 4 AS BIGINT)], [blank]), d[CAST(set_id % 4 AS BIGINT) + 1:]), ',') AS candidates, CAST(set_id % 4 AS INTEGER) AS correct_index
 FROM blank JOIN rest USING (set_id) JOIN v USING (set_id)"""
 

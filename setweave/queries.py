@@ -12,6 +12,7 @@ from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import graph, metrics, resampling, sets
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions, fitb_sql
+from .storage import numbered
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
 
 QUERIES: dict = {}
@@ -41,9 +42,10 @@ p AS (SELECT a.set_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs
   list_sum(list_transform(list_zip(a.v, b.v), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS d FROM x a JOIN x b ON a.set_id = b.set_id AND a.item_id < b.item_id)
 SELECT set_id, count(*) AS n_pairs, round(avg(l1), 6) AS mean_l1, round(avg(d), 6) AS mean_dot FROM p GROUP BY set_id""")
 def pair_feature_summary(spark, sf):
-    x = set_items(spark, sf).join(vectors(spark, sf), "item_id")
-    p = sets.pairs(x, "set_id", "item_id", "v").select("set_id", V.l1(F.col("a"), F.col("b")).alias("l1"), V.dot(F.col("a"), F.col("b")).alias("d"))
-    return p.groupBy("set_id").agg(F.count("*").alias("n_pairs"), r(F.avg("l1")).alias("mean_l1"), r(F.avg("d")).alias("mean_dot"))
+    f = sets.features(set_items(spark, sf).join(vectors(spark, sf), "item_id"), "set_id", "v")
+    half = (F.size("feature") / 2).cast("int")
+    part = lambda at: V.total(F.slice("feature", at, half))
+    return f.select("set_id", "n_pairs", r(part(F.lit(1))).alias("mean_l1"), r(part(half + 1)).alias("mean_dot"))
 
 
 @query(f"""WITH {SET_ITEMS}, c AS (SELECT set_id, list_sort(list(item_id)) AS items FROM si GROUP BY set_id)
@@ -145,11 +147,18 @@ def composite_left_join(spark, sf):
     return a.join(b, ["lang", "source"], "left").withColumn("delta", F.col("n_a") - F.coalesce("n_b", F.lit(0)))
 
 
-@query("SELECT n_nationkey, n_name, n AS customers FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def validated_left_join(spark, sf):
-    n = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    left = table(spark, sf, "nation").select("n_nationkey", "n_name").join(n.select("n_nationkey"), "n_nationkey", "left_semi")
-    return sets.validated_left_join(left, n, ["n_nationkey"], "customers")
+    regions = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return region_names(table(spark, sf, "nation"), regions)
+
+
+def region_names(nations: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every nation with its region's name. A nation without a region, and a region told twice, raise."""
+    keyed = nations.select("n_regionkey", F.struct("n_nationkey", "n_name").alias("n"))
+    sides = keyed.groupBy("n_regionkey").agg(F.collect_list("n").alias("n"))  # the few nations of a region: keys are unique
+    out = sets.validated_left_join(sides, regions, ["n_regionkey"], "r_name")
+    return out.select("n_regionkey", "r_name", F.inline("n"))
 
 
 @query("""SELECT count(*) FILTER (l.doc_id IS NULL) AS only_documents, count(*) FILTER (d.doc_id IS NULL) AS only_labels, count(*) FILTER (l.quality <> l.toxic) AS differ,
@@ -380,24 +389,24 @@ def protocol_audit(spark, sf):
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
-@query("""WITH x AS (SELECT sha256(text) AS sha, source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+@query("""WITH x AS (SELECT sha256(coalesce(text, '')) AS sha, source, count(*) AS n FROM documents GROUP BY ALL)
 SELECT a.source AS source_a, b.source AS source_b, count(*) AS digests, CAST(sum(a.n) AS BIGINT) AS rows_a, CAST(sum(b.n) AS BIGINT) AS rows_b FROM x a JOIN x b ON a.sha = b.sha AND a.source < b.source GROUP BY ALL""")
 def corpus_overlap(spark, sf):
     """Equal contents between every two corpora (here: sources), by digest."""
-    x = table(spark, sf, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "source").agg(F.count("*").alias("n"))
+    x = table(spark, sf, "documents").groupBy(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"), "source").agg(F.count("*").alias("n"))
     b = x.select("sha", F.col("source").alias("source_b"), F.col("n").alias("n_b"))
     j = x.join(b, "sha").where("source < source_b")  # a row a corpus and digest: as many pairs as two corpora, whatever the copies
     return j.groupBy(F.col("source").alias("source_a"), "source_b").agg(F.count("*").alias("digests"), F.sum("n").alias("rows_a"), F.sum("n_b").alias("rows_b"))
 
 
-@query("""WITH d AS (SELECT sha256(text) AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
+@query("""WITH d AS (SELECT sha256(coalesce(text, '')) AS value, count(*) AS n FROM documents GROUP BY 1),
 t AS (SELECT CAST(n_chars AS VARCHAR) AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 20)
 SELECT 'copies' AS part, CAST(n AS VARCHAR) AS value, count(*) AS n FROM d WHERE n > 1 GROUP BY n UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang
 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'n_chars', value, n FROM t""")
 def content_audit(spark, sf):
     """The content report: groups of copies by their size, kinds by count, and the 20 commonest lengths (a top-20 report)."""
     x = table(spark, sf, "documents")
-    d = x.where("text IS NOT NULL").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")).agg(F.count("*").alias("c")).where("c > 1")
+    d = x.groupBy(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha")).agg(F.count("*").alias("c")).where("c > 1")
     parts = [d.groupBy(F.lit("copies").alias("part"), F.col("c").cast("string").alias("value")).agg(F.count("*").alias("n"))]
     parts += [x.groupBy(F.lit(c).alias("part"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("lang", "source")]
     top = x.groupBy(F.lit("n_chars").alias("part"), F.col("n_chars").cast("string").alias("value")).agg(F.count("*").alias("n"))
@@ -413,8 +422,10 @@ def _bootstrap(spark, sf, unit: str, strata: list[str]) -> DataFrame:
     """(model, replicate, accuracy) under paired draws of units."""
     ok = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("long")
     base = predictions(spark, sf).groupBy("model", *strata, unit).agg(F.sum(ok).alias("ok"), F.count("*").alias("n"))
-    w = W.partitionBy(*(strata or [F.lit(1)])).orderBy(unit)
-    units = base.select(*strata, unit).distinct().withColumn("unit_no", (F.row_number().over(w) - 1).cast("long"))
+    units = numbered(base.select(*strata, unit).distinct(), "no", *[F.col(c) for c in (*strata, unit)])
+    first = units.groupBy(*strata).agg(F.min("no").alias("first"))  # a row a stratum
+    units = units.crossJoin(F.broadcast(first)) if not strata else units.join(F.broadcast(first), strata)
+    units = units.select(*strata, unit, (F.col("no") - F.col("first")).alias("unit_no"))
     counts = resampling.unit_counts(units.drop("unit_no"), B, "boot", strata)
     drawn = base.join(units, [*strata, unit]).join(counts, [*strata, "unit_no"])
     return drawn.groupBy("model", "replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("accuracy"))
@@ -617,3 +628,6 @@ def run_registry_upsert(spark, sf):
 def mapped_columns(spark, sf):
     code = F.create_map(*[F.lit(x) for k in (("SMALL", 1), ("MEDIUM", 2), ("LARGE", 3)) for x in k])
     return table(spark, sf, "part").select("p_partkey", F.try_element_at(code, "p_type").alias("code"), F.col("p_size").between(10, 20).alias("mid"), (~F.col("p_brand").isin("Brand#11", "Brand#12")).alias("other"), (F.col("p_retailprice") - F.col("p_size")).alias("margin"))
+
+
+from . import more_queries  # noqa: E402,F401

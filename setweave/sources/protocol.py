@@ -62,7 +62,7 @@ def read_compatibility(spark: SparkSession, root: str, split: str) -> DataFrame:
 
 def read_fitb(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(line, question, answers, correct_index): the one answer whose key starts with the question's set_id."""
-    path = first_existing(spark, f"{root}/fill_in_blank_{_split(split)}.json", f"{root}/fill_in_blank_{split}_new.json")
+    path = first_existing(spark, f"{root}/fill_in_blank_{_split(split)}.json", f"{root}/fill_in_the_blank_{split}.json")
     q = spark.read.schema(FITB_SCHEMA).option("multiLine", True).json(path).withColumn("set_id", F.split_part(F.col("question")[0], F.lit("_"), F.lit(1)))
     hits = F.transform("answers", lambda a: F.split_part(a, F.lit("_"), F.lit(1)) == F.col("set_id"))
     n = F.size(F.filter(hits, lambda h: h))
@@ -92,3 +92,19 @@ def manifest_matches(spark: SparkSession, path: str, held: DataFrame) -> bool:
     now = manifest(spark, path).select("path", "sha256")
     held = held.select("path", "sha256")
     return now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty()
+
+
+def once(spark: SparkSession, path: str, work) -> bool:
+    """Runs work(), which writes path, unless a completion marker beside it holds the digests of all its files; whether it ran.
+
+    Files that are not those of the marker are an error: neither kept nor overwritten.
+    """
+    marker = f"{path}.done"
+    at = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not manifest_matches(spark, path, spark.read.parquet(marker)):
+            raise ValueError(f"files at {path} have changed since they were completed")
+        return False
+    work()
+    manifest(spark, path).write.parquet(marker)
+    return True

@@ -13,6 +13,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header; types are inferred without a schema."""
+    reader = spark.read.option("header", True)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
+def append_runs(rows: DataFrame, path: str, settings: list[str], key: str) -> None:
+    """Appends rows to the CSV table at path; other settings than those held, and a key that is held, are errors."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        held = read_csv(spark, path, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+        if not rows.select(settings).distinct().join(held.select(settings).distinct(), settings, "left_anti").isEmpty():
+            raise ValueError(f"settings {settings} differ from those at {path}")
+        if not rows.join(held, key, "left_semi").isEmpty():
+            raise ValueError(f"a {key} is at {path} already")
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def set_items(spark: SparkSession, sf: str) -> DataFrame:
     """(set_id, item_id): the distinct parts of each order."""
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("item_id")).distinct()
