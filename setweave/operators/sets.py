@@ -35,7 +35,7 @@ def features(items: DataFrame, set_id: str, value: str) -> DataFrame:
     x = items.groupBy(set_id).agg(F.collect_list(value).alias("vs")).withColumn("n", F.size("vs")).where("n >= 2")
     same = F.forall("vs", lambda v: F.size(v) == F.size(F.col("vs")[0]))
     x = x.withColumn("vs", F.when(same, F.col("vs")).otherwise(F.raise_error(F.lit("vectors of different widths")).cast(x.schema["vs"].dataType)))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    pairs = F.greatest(F.lit(1.0), F.col("n") * (F.col("n") - 1) / 2)
     at = lambda d: F.transform("vs", lambda v: v[d].cast("double"))
     dims = F.sequence(F.lit(0), F.size(F.col("vs")[0]) - 1)
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
