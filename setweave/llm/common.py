@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import durable, numbered, shared_dir  # noqa: F401  (numbered: for the operators)
+
 #: ASCII white space, as the contracts word it: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,27 +20,11 @@ BROADCAST_ROWS = 100_000
 TASK_EDGES = 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one is made only where none is set."""
-    sc = spark.sparkContext
-    set_ = sc._jsc.sc().getCheckpointDir()
-    if set_.isDefined():
-        return set_.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setweave-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage and outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (made durable), with a broadcast hint if it has at most `rows` rows; else joins shuffle it."""
     df = durable(df)
@@ -75,16 +59,6 @@ def uniform(seed: int, *keys):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + 0.5) / float(2**53)
 
 
-def numbered(df: DataFrame, name: str, *order) -> DataFrame:
-    """df (made durable) with its rows numbered from 0 in this order, over ranges of it: no task needs more than its range."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = durable(rows.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = rows.join(F.broadcast(sizes), "_part")  # a row a partition
-    return out.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
-
-
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, up) of at most TASK_EDGES edges: up is the least node reachable."""
     root: dict[int, int] = {}
