@@ -269,6 +269,8 @@ def replicated(classes: DataFrame, chunk: int) -> DataFrame:
     chunks, so that no task holds more than some two chunks of it, and all its pairs still meet.
     """
     names = classes.columns
+    tasks = max(1, classes.rdd.getNumPartitions())
+    least = max(1, chunk // (2 * tasks))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -276,11 +278,13 @@ def replicated(classes: DataFrame, chunk: int) -> DataFrame:
             keys, n = np.unique(anchor_rows(as_fps(batch))[1], return_counts=True)
             for key, m in zip(keys.tolist(), n.tolist()):
                 seen[key] = seen.get(key, 0) + m
-        yield pa.RecordBatch.from_pydict({"anchor": pa.array(seen.keys(), pa.int64()), "rows": pa.array(seen.values(), pa.int64())})
+        told = [(k, m) for k, m in seen.items() if m >= least]
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array([k for k, _ in told], pa.int64()), "rows": pa.array([m for _, m in told], pa.int64())})
 
+    # a task tells counts of `least` or more, so a sum falls short by half a chunk at most;
     # anchors are 4,096 a block: 32,768 rows at most, whatever the input
-    sizes = classes.select(*FPS).mapInArrow(count, "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows")).where(F.col("rows") > chunk).collect()
-    split = {r["anchor"]: -(-r["rows"] // chunk) for r in sizes}
+    sizes = classes.select(*FPS).mapInArrow(count, "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows")).where(F.col("rows") + least * tasks > chunk).collect()
+    split = {r["anchor"]: -(-(r["rows"] + least * tasks) // chunk) for r in sizes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.array(sorted(split), dtype=np.int64)

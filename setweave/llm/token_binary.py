@@ -47,6 +47,8 @@ END_ID = 1
 SHARD_WORDS = 1_000_000
 #: Least count of a pair that becomes a rule.
 LEAST = 6
+#: Pairs from which on their buckets are counted first, and the bits of a bucket.
+MANY, BUCKET_BITS = 1 << 16, 21
 CACHE_WORDS = 500_000
 #: Most bytes of text split into words at a time.
 PIECE_BYTES = 8 << 20
@@ -168,6 +170,10 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight:
     """
     at = np.flatnonzero(joined & alive)
     key = seq[at] << 32 | seq[at + 1]
+    if len(at) >= MANY:  # rare pairs mostly fall into buckets that are rare in all, and need no count of their own
+        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        can = (np.bincount(bucket, weights=None if weight is None else weight[at], minlength=1 << BUCKET_BITS) >= LEAST)[bucket]
+        at, key = at[can], key[can]
     inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
     hit = (count >= LEAST)[inverse]
