@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
-from .operators import choices, graph, metrics, sets
+from .operators import choices, graph, metrics, resampling, sets
 from .operators.joins import first_variant, gather, paired, remapped
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions
-from .queries import query, r
+from .queries import B, query, r
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
+from .storage import durable
 
 # ---- features and vectors
 
@@ -367,3 +368,61 @@ def weighted_auc_ap(spark, sf):
     w = (1 + F.col("doc_id") % 3).cast("double")
     a, b = metrics.roc_auc(p, ["model"], weight=w, strict=True), metrics.average_precision(p, ["model"], weight=w)
     return a.join(b, "model").select("model", r(F.col("auc")).alias("auc"), r(F.col("ap")).alias("ap"))
+
+
+# ---- intervals of ranking metrics and questions, agreement of ranks
+
+
+@query(f"""WITH {PREDICTIONS}, u AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS unit_no FROM (SELECT DISTINCT doc_id FROM pred)), nn AS (SELECT count(*) AS cnt FROM u),
+d AS (SELECT replicate, {draw_sql("rank", "replicate", "k")} % cnt AS unit_no FROM (SELECT *, unnest(range(cnt)) AS k FROM nn), range({B}) t(replicate)), w AS (SELECT replicate, unit_no, count(*) AS w FROM d GROUP BY ALL),
+b AS (SELECT model, replicate, score, sum(label * w * (1 + doc_id % 3)) AS p, sum((1 - label) * w * (1 + doc_id % 3)) AS n FROM pred JOIN u USING (doc_id) JOIN w USING (unit_no) GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER e AS tp, sum(p + n) OVER e AS t
+  FROM b WINDOW e AS (PARTITION BY model, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT model, replicate, sum(p * (below + n / CAST(2 AS DOUBLE))) / (sum(p) * sum(n)) AS auc, sum(CAST(p AS DOUBLE) * CAST(tp AS DOUBLE) / CAST(t AS DOUBLE)) / CAST(sum(p) AS DOUBLE) AS ap FROM c GROUP BY ALL)
+SELECT model, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(ap, 0.025), 6) AS ap_low, round(quantile_cont(ap, 0.975), 6) AS ap_high FROM m GROUP BY model""")
+def boot_ranking_ci(spark, sf):
+    """Intervals of AUC and average precision under paired draws of documents, which weigh 1 to 3."""
+    p = predictions(spark, sf)
+    counts = resampling.unit_counts(units := resampling.numbered_units(p, "doc_id", []), B, "rank")
+    drawn = p.join(units, "doc_id").join(counts, "unit_no").withColumn("w", F.col("w") * (1 + F.col("doc_id") % 3))
+    keys = ["model", "replicate"]
+    drawn = durable(drawn.groupBy(*keys, "label", "score").agg(F.sum("w").cast("double").alias("w")))
+    each = durable(metrics.roc_auc(drawn, keys, weight=F.col("w")).join(metrics.average_precision(drawn, keys, weight=F.col("w")), keys))
+    ends = lambda m: resampling.interval(each, ["model"], m).select("model", r(F.col("ci_low")).alias(f"{m}_low"), r(F.col("ci_high")).alias(f"{m}_high"))
+    return ends("auc").join(ends("ap"), "model")
+
+
+@query(f"""WITH {_FIVE}, f AS (SELECT question_num, unnest([dimension, 'all']) AS facet, CAST(predicted = archive AS INTEGER) AS ok FROM q),
+u AS (SELECT facet, ok, row_number() OVER (PARTITION BY facet ORDER BY question_num) - 1 AS unit_no FROM f), nn AS (SELECT facet, count(*) AS cnt FROM u GROUP BY facet),
+d AS (SELECT facet, replicate, {draw_sql("facet", "facet", "replicate", "k")} % cnt AS unit_no FROM (SELECT *, unnest(range(cnt)) AS k FROM nn), range({B}) t(replicate)),
+m AS (SELECT facet, replicate, avg(ok) AS accuracy FROM d JOIN u USING (facet, unit_no) GROUP BY ALL)
+SELECT facet, round(quantile_cont(accuracy, 0.025), 6) AS ci_low, round(quantile_cont(accuracy, 0.975), 6) AS ci_high FROM m GROUP BY facet""")
+def boot_question_ci(spark, sf):
+    """Intervals of the five-choice accuracy, of all questions and by facet."""
+    a = choices.answered(five_questions(spark, sf)).select("question_num", F.explode(F.array("dimension", F.lit("all"))).alias("facet"), F.col("archive_correct").cast("long").alias("ok"))
+    units = resampling.numbered_units(a, "question_num", ["facet"])
+    drawn = a.join(units, ["facet", "question_num"]).join(resampling.unit_counts(units, B, "facet", ["facet"]), ["facet", "unit_no"])
+    each = drawn.groupBy("facet", "replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("accuracy"))
+    return resampling.interval(each, ["facet"], "accuracy").select("facet", r(F.col("ci_low")).alias("ci_low"), r(F.col("ci_high")).alias("ci_high"))
+
+
+@query(f"""WITH {PREDICTIONS}, g AS (SELECT lang, model, round(avg(abs(score - label)), 4) AS loss FROM pred GROUP BY ALL),
+k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY loss) + (count(*) OVER (PARTITION BY lang, loss) - 1) / CAST(2 AS DOUBLE) AS rk FROM g),
+j AS (SELECT a.lang AS track_a, b.lang AS track_b, list(a.rk ORDER BY a.model) AS x, list(b.rk ORDER BY a.model) AS y FROM k a JOIN k b ON a.model = b.model AND a.lang < b.lang GROUP BY ALL),
+o AS (SELECT [a, b, c, d] AS p FROM range(1, 5) t(a), range(1, 5) u(b), range(1, 5) v(c), range(1, 5) w(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d),
+z AS (SELECT j.*, list_transform(p, lambda i: y[i]) AS z, [[1, 2], [1, 3], [1, 4], [2, 3], [2, 4], [3, 4]] AS e FROM j, o),
+s AS (SELECT track_a, track_b, list_sum(list_transform(range(1, 5), lambda i: (x[i] - 2.5) * (z[i] - 2.5))) AS dz, list_sum(list_transform(range(1, 5), lambda i: (x[i] - 2.5) * (y[i] - 2.5))) AS dy,
+  list_sum(list_transform(range(1, 5), lambda i: (x[i] - 2.5) * (x[i] - 2.5))) AS xx, list_sum(list_transform(range(1, 5), lambda i: (y[i] - 2.5) * (y[i] - 2.5))) AS yy,
+  list_sum(list_transform(e, lambda t: sign(x[t[1]] - x[t[2]]) * sign(z[t[1]] - z[t[2]]))) AS cz, list_sum(list_transform(e, lambda t: sign(x[t[1]] - x[t[2]]) * sign(y[t[1]] - y[t[2]]))) AS cy,
+  list_sum(list_transform(e, lambda t: abs(sign(x[t[1]] - x[t[2]])))) AS tx, list_sum(list_transform(e, lambda t: abs(sign(y[t[1]] - y[t[2]])))) AS ty FROM z)
+SELECT track_a, track_b, CAST(4 AS BIGINT) AS n, round(any_value(dy) / nullif(sqrt(any_value(xx) * any_value(yy)), 0), 6) AS rho, round(CAST(any_value(cy) AS DOUBLE) / nullif(sqrt(CAST(any_value(tx) * any_value(ty) AS DOUBLE)), 0), 6) AS tau,
+CASE WHEN any_value(xx * yy) > 0 THEN round(avg(CAST(abs(dz) >= abs(dy) AS INTEGER)), 6) END AS rho_p, CASE WHEN any_value(xx * yy) > 0 THEN round(avg(CAST(abs(cz) >= abs(cy) AS INTEGER)), 6) END AS tau_p FROM s GROUP BY ALL""")
+def rank_agreement(spark, sf):
+    """Rank correlations of models between every two tracks (here: languages), with exact p-values."""
+    g = predictions(spark, sf).groupBy("lang", "model").agg(r(F.avg(F.abs(F.col("score") - F.col("label"))), 4).alias("loss"))
+    k = g.withColumn("rk", sets.average_rank("loss", "lang", descending=False))
+    side = lambda s, c: k.select("model", F.col("lang").alias(f"track_{s}"), F.col("rk").alias(c))
+    keys = ["track_a", "track_b"]
+    j = side("a", "x").join(side("b", "y"), "model").where("track_a < track_b").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("model", "x", "y"))).alias("m"))  # a row a model and two tracks
+    out = resampling.rank_agreement(j.select(*keys, F.col("m.x").alias("x"), F.col("m.y").alias("y")), keys)
+    return out.select(*keys, "n", *[r(F.col(c)).alias(c) for c in ("rho", "tau", "rho_p", "tau_p")])

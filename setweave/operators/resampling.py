@@ -4,15 +4,26 @@ Resamples are weights: counts by (replicate, unit), joined to rows that were sum
 first; no replicate's rows are made one by one.
 """
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import draw
+from ..storage import numbered
 
 #: Units drawn at a time.
 BLOCK = 4096
 
 
+def numbered_units(rows: DataFrame, unit: str, strata: list[str]) -> DataFrame:
+    """strata, unit, unit_no: the distinct units of rows, numbered from 0 within their stratum."""
+    units = numbered(rows.select(*strata, unit).distinct(), "no", *[F.col(c) for c in (*strata, unit)])
+    first = units.groupBy(*strata).agg(F.min("no").alias("first"))  # a row a stratum
+    units = units.join(F.broadcast(first), strata) if strata else units.crossJoin(F.broadcast(first))
+    return units.select(*strata, unit, (F.col("no") - F.col("first")).alias("unit_no"))
+
+
 def unit_counts(units: DataFrame, replicates: int, seed: str, strata: list[str] | None = None) -> DataFrame:
     """strata, replicate, unit_no, w: how often each unit (numbered 0..n-1 within its stratum) is drawn."""
     keys = strata or []
@@ -52,3 +63,32 @@ def binomial_p(a, b):
     terms = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
     tail = F.aggregate(terms, start, step, lambda acc: acc["s"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def rank_agreement(ranks: DataFrame, keys: list[str], most: int = 7) -> DataFrame:
+    """keys, n, rho, tau, rho_p, tau_p from ranks (keys, x, y: two arrays of average ranks of the same items).
+
+    rho is Spearman's, tau Kendall's with correction for ties; both are null if all ranks of a side are equal.
+    p-values are exact and two-sided, over all orders of y, of `most` items or fewer; else null.
+    """
+    place = lambda c, i: F.element_at(c, i)
+    at = F.sequence(F.lit(1), F.size("x"))
+    zero = F.lit(0.0)
+
+    def product(a: str, b: str):
+        mean = (F.size("x") + 1) / 2
+        return F.aggregate(F.transform(at, lambda i: (place(a, i) - mean) * (place(b, i) - mean)), zero, lambda s, v: s + v)
+
+    def concord(a: str, b: str):
+        sign = lambda c, i, j: F.signum(place(c, i) - place(c, j))
+        rows = F.transform(at, lambda i: F.aggregate(F.transform(at, lambda j: F.when(i < j, sign(a, i, j) * sign(b, i, j)).otherwise(zero)), zero, lambda s, v: s + v))
+        return F.aggregate(rows, zero, lambda s, v: s + v)
+
+    base = ranks.withColumns({"n": F.size("x"), "d": product("x", "y"), "c": concord("x", "y")})
+    orders = [(k, list(p)) for k in range(2, most + 1) for p in permutations(range(1, k + 1))]  # 5,912 rows for 7
+    orders = ranks.sparkSession.createDataFrame(orders, "n int, p array<int>")
+    told = base.join(F.broadcast(orders), "n").withColumn("z", F.transform("p", lambda i: F.element_at("y", i)))
+    told = told.groupBy(*keys).agg(*[F.avg((F.abs(f("x", "z")) >= F.abs(F.col(c))).cast("double")).alias(n) for n, f, c in (("rho_p", product, "d"), ("tau_p", concord, "c"))])
+    of = lambda f, c: F.try_divide(F.col(c), F.sqrt(f("x", "x") * f("y", "y")))
+    out = base.select(*keys, F.col("n").cast("long").alias("n"), of(product, "d").alias("rho"), of(concord, "c").alias("tau")).join(told, keys, "left")
+    return out.withColumns({f"{c}_p": F.when(F.col(c).isNotNull(), F.col(f"{c}_p")) for c in ("rho", "tau")})

@@ -12,7 +12,6 @@ from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import graph, metrics, resampling, sets
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions, fitb_sql
-from .storage import numbered
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
 
 QUERIES: dict = {}
@@ -422,11 +421,8 @@ def _bootstrap(spark, sf, unit: str, strata: list[str]) -> DataFrame:
     """(model, replicate, accuracy) under paired draws of units."""
     ok = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("long")
     base = predictions(spark, sf).groupBy("model", *strata, unit).agg(F.sum(ok).alias("ok"), F.count("*").alias("n"))
-    units = numbered(base.select(*strata, unit).distinct(), "no", *[F.col(c) for c in (*strata, unit)])
-    first = units.groupBy(*strata).agg(F.min("no").alias("first"))  # a row a stratum
-    units = units.crossJoin(F.broadcast(first)) if not strata else units.join(F.broadcast(first), strata)
-    units = units.select(*strata, unit, (F.col("no") - F.col("first")).alias("unit_no"))
-    counts = resampling.unit_counts(units.drop("unit_no"), B, "boot", strata)
+    units = resampling.numbered_units(base, unit, strata)
+    counts = resampling.unit_counts(units, B, "boot", strata)
     drawn = base.join(units, [*strata, unit]).join(counts, [*strata, "unit_no"])
     return drawn.groupBy("model", "replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("accuracy"))
 

@@ -6,6 +6,7 @@ exactly one right answer) raise when the plan runs.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 SPLITS = ("train", "valid", "test")
 SET_SCHEMA = "set_id string, user_id string, items array<struct<item_id:string,index:int,semantic_category:string>>"
@@ -81,6 +82,21 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     (w.partitionBy(*by) if by else w).format(kind).save(path)
 
 
+def markdown(df: DataFrame, places: int = 4, most: int = 1000) -> str:
+    """A small result as a Markdown table: numbers to the right, fractions to `places`, nulls empty; more than `most` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows")
+
+    def told(v) -> str:
+        text = "" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
+        return text.replace("|", "\\|").replace("\n", " ")
+
+    right = [not isinstance(f.dataType, (StringType, BooleanType)) for f in df.schema]
+    head = [df.columns, ["---:" if x else ":---" for x in right]]
+    return "".join(f"| {' | '.join(cells)} |\n" for cells in [*head, *[[told(v) for v in row] for row in rows]])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, crc32, sha256) of every file below path."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -250,6 +250,57 @@ def test_sign_test(spark):
     assert got == pytest.approx([want[0], 1.0, want[2]])
 
 
+def test_rank_agreement(spark):
+    rng = random.Random(5)
+
+    def ranks(v):
+        return [sum(o < a for o in v) + (sum(o == a for o in v) + 1) / 2 for a in v]
+
+    def both(x, y):
+        n, sign = len(x), lambda d: (d > 0) - (d < 0)
+        pairs = list(itertools.combinations(range(n), 2))
+        return sum((a - (n + 1) / 2) * (b - (n + 1) / 2) for a, b in zip(x, y)), sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in pairs)
+
+    cases = [(f"{n}-{top}", ranks([rng.randrange(top) for _ in range(n)]), ranks([rng.randrange(top) for _ in range(n)])) for n in (2, 4, 5, 8) for top in (3, 50)]
+    cases.append(("flat", [2.0, 2.0, 2.0], [1.0, 2.0, 3.0]))
+    got = {r["k"]: r for r in resampling.rank_agreement(spark.createDataFrame(cases, "k string, x array<double>, y array<double>"), ["k"], most=5).collect()}
+    assert len(got) == len(cases)
+    for k, x, y in cases:
+        own, one, two = both(x, y), both(x, x), both(y, y)
+        for c, name in enumerate(("rho", "tau")):
+            if one[c] * two[c] == 0:
+                assert got[k][name] is None and got[k][f"{name}_p"] is None
+                continue
+            assert got[k][name] == pytest.approx(own[c] / math.sqrt(one[c] * two[c]))
+            if len(x) > 5:
+                assert got[k][f"{name}_p"] is None
+            else:
+                every = [abs(both(x, z)[c]) >= abs(own[c]) for z in itertools.permutations(y)]
+                assert got[k][f"{name}_p"] == pytest.approx(sum(every) / len(every))
+
+
+def test_models_are_kept(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from setweave.operators.learners import fitted, held_model, keep_model, scored
+
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(float(i % 2), [rng.random() + i % 2, rng.random()]) for i in range(40)], "label double, v array<double>").select("label", array_to_vector("v").alias("features"))
+    model = fitted(rows, 40, 1.0)
+    keep_model(model, f"{tmp_path}/model")
+    again = held_model(spark, f"{tmp_path}/model")
+    assert scored(again, rows).exceptAll(scored(model, rows)).isEmpty()
+    with pytest.raises(Exception, match="exist"):
+        keep_model(model, f"{tmp_path}/model")
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("a|b", 1, 0.123456), (None, 2, None)], "name string, n int, x double")
+    assert protocol.markdown(df, 2) == "| name | n | x |\n| :--- | ---: | ---: |\n| a\\|b | 1 | 0.12 |\n|  | 2 |  |\n"
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        protocol.markdown(df, most=1)
+
+
 def test_largest_remainder(spark):
     df = spark.createDataFrame([("train", 5), ("valid", 3), ("test", 3)], "k string, n long")
     assert sum(r["target"] for r in sets.largest_remainder(df, "k", "n", 10).collect()) == 10
