@@ -304,9 +304,9 @@ def split_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return words.filter(full), np.bincount(owner, minlength=len(n))
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most PIECE_BYTES of text (or of one row)."""
-    size, at = pc.binary_length(batch.column("text")).to_pylist(), 0
+def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most PIECE_BYTES of this column's text (or of one row)."""
+    size, at = pc.binary_length(batch.column(column)).to_pylist(), 0
     while at < len(size):
         end, total = at + 1, size[at]
         while end < len(size) and total + size[end] <= PIECE_BYTES:
