@@ -8,6 +8,7 @@ from .language_ppm import op5_ppm_language
 from .mixing import OP2_SQL, op2_pareto_mix
 from .quality_rules import op10_quality_rules
 from .quote_linking import op6_quote_linking
+from .relative_lz import OP12_SQL, op12_relative_lz
 from .rope_fim import OP11_SQL, op11_rope_fim
 from .secrets import op8_secret_guess_cost
 from .simhash import op7_simhash_anchors
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_template_decontam, op2_pareto_mix, op3_viterbi_counts, op4_repair_tokens, op5_ppm_language,
         op6_quote_linking, op7_simhash_anchors, op8_secret_guess_cost, op9_exact_dedup, op10_quality_rules,
-        op11_rope_fim, op13_vector_codes,
+        op11_rope_fim, op12_relative_lz, op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_pareto_mix": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_rope_fim": OP11_SQL, "op13_vector_codes": OP13_SQL}
+SQL = {"op2_pareto_mix": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_rope_fim": OP11_SQL, "op12_relative_lz": OP12_SQL, "op13_vector_codes": OP13_SQL}
