@@ -9,9 +9,9 @@ the languages' probabilities, tempered by the square root of the length.
 
 Bytes: A-Z are lower-cased, other ASCII bytes but letters become a space, runs of spaces one.
 
-Learned from about SAMPLE_DOCS documents a language, those of least hash, of the rows with a
-non-null lang whose crc32(doc_id as text) mod 3 is not 1. All contexts of the sample are kept; a
-model of more than MODEL_BYTES is an error.
+Learned from at most SAMPLE_DOCS texts and some SAMPLE_BYTES a language, those of least hash of doc_id
+and text, of the rows with a non-null lang whose crc32(doc_id as text) mod 3 is not 1; equal rows
+count once. All contexts of the sample are kept; a model of more than MODEL_BYTES is an error.
 
 Defined results: null texts and texts without a letter are und with score 0; without training
 rows everything is und; ties go to the first language by code point; a null doc_id is not held
@@ -26,11 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, uniform
 
 SAMPLE_DOCS, FOLDS, HELD_OUT, SEED = 300, 3, 1, 5
+#: Bytes of text of a language's sample, but for the text that reaches them.
+SAMPLE_BYTES = 16 << 20
 #: Most bytes of the tables of a model, which is broadcast.
 MODEL_BYTES = 1 << 30
 SPACE = 32
@@ -180,15 +183,24 @@ def fold_of(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def training_texts(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Some `sample` texts a language (bounded: each language's share of rows is sample / its rows)."""
+def training_texts(docs: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """At most `sample` texts a language, of least hash, until they reach `most_bytes`; in the order of doc_id and hash.
+
+    Keys alone are ordered, of rows that a first draw by hash leaves: some three times the sample, whatever the rows.
+    """
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    n = checked_broadcast(learn.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n")))
-    part = learn.join(n, F.col("lang") == F.col("_l")).where(uniform(SEED, F.col("doc_id")) * F.col("_n") < sample).select("lang", "text", "doc_id").distinct()
-    out: dict[str, list[str]] = {}
-    for r in part.toLocalIterator():
-        out.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return {k: [t for _, t in sorted(v)] for k, v in out.items()}
+    learn = learn.withColumn("u", uniform(SEED, F.col("doc_id"), F.xxhash64("text")))
+    n = checked_broadcast(learn.groupBy(F.col("lang").alias("_l")).agg(F.approx_count_distinct("u").alias("_n")))
+    few = learn.join(n, F.col("lang") == F.col("_l")).where(F.col("u") * F.col("_n") < 3 * sample + 20).select("lang", "doc_id", "u", F.octet_length("text").alias("size")).distinct()
+    order = W.partitionBy("lang").orderBy("u", "doc_id", "size")  # of the few
+    few = few.withColumns({"nth": F.row_number().over(order), "before": F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    few = few.where((F.col("nth") <= sample) & (F.col("before") < most_bytes)).select(*[F.col(c).alias("_" + c) for c in ("lang", "doc_id", "u")])
+    same = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_doc_id")) & (F.col("u") == F.col("_u"))
+    part = learn.join(checked_broadcast(few), same, "left_semi").select("lang", "doc_id", "u", "text").dropDuplicates(["lang", "doc_id", "u"])
+    out: dict[str, list[tuple]] = {}
+    for r in part.toLocalIterator():  # at most `sample` a language
+        out.setdefault(r["lang"], []).append((r["doc_id"], r["u"], r["text"]))
+    return {k: [t for _, _, t in sorted(v)] for k, v in out.items()}
 
 
 def predict_language(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

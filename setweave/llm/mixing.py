@@ -10,14 +10,18 @@ in that order until their words reach the sum of l * size (the fixed size, count
 
 The cut in a source of any size needs no task that holds the source: words are summed by
 (source, bin of the rank), the bin with the cut is found from these sums, and only that bin's
-rows are ordered. Sums are of whole numbers, so reruns agree to the bit. The plan by (source, size
+keys are ordered. Sums are of whole numbers, so reruns agree to the bit. The plan by (source, size
 class), the cuts and the cut bins' takers are small beside the documents and are broadcast once
 their size is checked, so texts are not shuffled.
 
+Rows that agree in doc_id, text and source have one rank and are counted before they are ordered.
+If the cut falls among them, it takes as many of them as fit, and these are dealt by number: rows are
+numbered within the partition that they are read from, and partitions by their counts.
+
 Defined results: null text has size 0; null is a source of its own, last; documents of size 0
-take 0; the hash of a null doc_id is that of its text; rows that agree in doc_id (or text), source
-and size are taken alike; an empty table gives no rows; other columns are not read (mix_rows
-returns them).
+take 0; u is drawn from doc_id and text; of rows that agree in doc_id, text and source some may be
+taken once more than others, which of them is not told; an empty table gives no rows; other columns
+are not read (mix_rows returns them).
 """
 
 from __future__ import annotations
@@ -44,8 +48,8 @@ def size_class(size):
 
 
 def draw(doc_id, text, seed: int):
-    """A number strictly between 0 and 1 from doc_id, or from the text if that is null."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
+    """A number strictly between 0 and 1 from doc_id and text."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
@@ -101,22 +105,46 @@ def sampling(sizes: DataFrame, goal: DataFrame, cap: float = CAP, damping: float
     cut = binned.where(F.col("end") >= F.col("goal")).groupBy("source").agg(F.min(F.struct("_bin", (F.col("end") - F.col("words")).alias("start"), "goal")).alias("c"))
     cut = checked_broadcast(cut.select(F.col("source").alias("_c"), F.col("c._bin").alias("_cut"), F.col("c.start").alias("_start"), F.col("c.goal").alias("_goal")))
     edge = live.join(cut, live["source"].eqNullSafe(cut["_c"]) & (live["_bin"] == cut["_cut"]))
-    order = W.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("_to", F.col("_start") + F.sum("size").over(order)).where(F.col("_to") - F.col("size") / 2.0 <= F.col("_goal"))
-    takers = checked_broadcast(edge.select(*[F.col(k).alias("_t" + k) for k in KEYS]).distinct())
+    edge = edge.groupBy(*KEYS, "_q", "_start", "_goal").agg(F.count("*").alias("_all"))  # equal rows are one key
+    order = W.partitionBy("source").orderBy("_q", "doc_id", "size", "u").rowsBetween(W.unboundedPreceding, -1)  # of one bin's keys
+    before = F.col("_start") + F.coalesce(F.sum(F.col("size") * F.col("_all")).over(order), F.lit(0))
+    edge = edge.withColumn("_take", F.least(F.col("_all"), F.floor((F.col("_goal") - before) / F.col("size") + 0.5))).where("_take > 0")
+    takers = checked_broadcast(edge.select(*[F.col(k).alias("_t" + k) for k in KEYS], "_take", "_all"))
     return plan, cut, takers
 
 
+def _some(rows: DataFrame) -> DataFrame:
+    """Of the rows with KEYS and _take: `more` is 1 for _take rows of a key, else 0."""
+    rows = durable(rows.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias("_k" + k) for k in KEYS] + [F.col("doc_id").isNull().alias("_n1"), F.col("source").isNull().alias("_n2")]
+    rows = rows.withColumn("_key", F.struct(*own))
+    n = rows.groupBy("_key", "_part").agg(F.count("*").alias("_rows"))
+    ahead = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    n = n.select("_key", "_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    nth = F.col("_before") + F.row_number().over(W.partitionBy("_key", "_part").orderBy("_id"))  # of a partition's rows
+    return rows.join(n, ["_key", "_part"]).withColumn("more", (nth <= F.col("_take")).cast("int")).drop("_key", "_part", "_id", "_before")
+
+
 def taken_copies(rows: DataFrame, plan: DataFrame, cut: DataFrame, takers: DataFrame) -> DataFrame:
     """Adds source_size, target and copies to rows with the columns KEYS."""
     names = rows.columns
     rows = _marked(rows, plan)
     rows = rows.join(cut.select("_c", "_cut"), rows["source"].eqNullSafe(cut["_c"]), "left")
-    same = rows["doc_id"].eqNullSafe(takers["_tdoc_id"]) & rows["source"].eqNullSafe(takers["_tsource"]) & (rows["size"] == takers["_tsize"]) & (rows["u"] == takers["_tu"])
-    rows = rows.join(takers, same, "left")
-    more = F.when(F.col("_q").isNull(), 0).when(F.col("_bin") < F.col("_cut"), 1).when((F.col("_bin") == F.col("_cut")) & F.col("_tu").isNotNull(), 1).otherwise(0)
-    n = F.when(F.col("size") > 0, F.coalesce(F.col("_sure"), F.lit(0)) + more).otherwise(0).cast("long")
-    return rows.select(*names, "source_size", "target", n.alias("copies"))
+
+    def with_takers(takers: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(takers["_tdoc_id"]) & rows["source"].eqNullSafe(takers["_tsource"]) & (rows["size"] == takers["_tsize"]) & (rows["u"] == takers["_tu"])
+        return rows.join(takers, same, "left")
+
+    out = with_takers(takers)
+    # a key a source at most is taken in part: the one that the cut falls on
+    whole = F.when(F.col("_q").isNull(), 0).when(F.col("_bin") < F.col("_cut"), 1).when((F.col("_bin") == F.col("_cut")) & (F.col("_take") == F.col("_all")), 1).otherwise(0)
+    some = takers.where("_take < _all")
+    n = F.when(F.col("size") > 0, F.coalesce(F.col("_sure"), F.lit(0)) + F.col("more")).otherwise(0).cast("long")
+    told = lambda x: x.select(*names, "source_size", "target", n.alias("copies"))
+    if some.isEmpty():
+        return told(out.withColumn("more", whole))
+    cut_off = F.coalesce((F.col("_bin") == F.col("_cut")) & (F.col("_take") < F.col("_all")), F.lit(False))
+    return told(out.where(~cut_off).withColumn("more", whole)).unionByName(told(_some(out.where(cut_off))))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, damping: float = DAMPING, seed: int = SEED) -> DataFrame:
@@ -146,7 +174,7 @@ _M = "[" + ", ".join(f"CAST({2.0 ** (-DAMPING * k)!r} AS DOUBLE)" for k in range
 #: The mix by plain windows over whole sources.
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-  (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({1 << 52} AS DOUBLE) AS u FROM documents),
+  (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({1 << 52} AS DOUBLE) AS u FROM documents),
 k AS (SELECT *, length(bin(greatest(size, 1))) - 1 AS band FROM d),
 s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM k GROUP BY source),
 s1 AS (SELECT *, [CAST(5 AS DOUBLE), 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w FROM s0),
@@ -163,8 +191,8 @@ b4 AS (SELECT source, band, least(CAST(3 AS DOUBLE), level * m) AS copies FROM b
 b AS (SELECT source, band, CAST(floor(copies + CAST(1e-6 AS DOUBLE)) AS BIGINT) AS sure, CAST(least({PARTS - 1}, greatest(0, round((copies - floor(copies + CAST(1e-6 AS DOUBLE))) * {PARTS}))) AS BIGINT) AS l FROM b4),
 r AS (SELECT k.*, sure, l, CASE WHEN l > 0 AND size > 0 THEN (u / (1 - u)) / ((CAST(l AS DOUBLE) / {PARTS}) / (1 - CAST(l AS DOUBLE) / {PARTS})) END AS o FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.band = b.band),
 q AS (SELECT *, o / (1 + o) AS q FROM r),
-e AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / CAST(2 AS DOUBLE)
+e AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size, u ROWS UNBOUNDED PRECEDING) - size / CAST(2 AS DOUBLE)
   <= CAST(sum(CASE WHEN q IS NOT NULL THEN CAST(size AS HUGEINT) * l END) OVER (PARTITION BY source) AS DOUBLE) / {PARTS} AS takes FROM q),
-t AS (SELECT *, CASE WHEN size > 0 THEN sure + CAST(max(CAST(takes AS INTEGER)) OVER (PARTITION BY source, doc_id, size, u) AS BIGINT) ELSE 0 END AS copies FROM e)
+t AS (SELECT *, CASE WHEN size > 0 THEN sure + CAST(takes AS BIGINT) ELSE 0 END AS copies FROM e)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(copies * size AS BIGINT) AS taken, t.source, CAST(copies AS BIGINT) AS copies FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source
 """

@@ -10,7 +10,10 @@ any symbols in the value, "=>", "Bearer x"), which become spans of kind guess if
 least GUESSES, two kinds of characters occur and no base span or earlier span overlaps. A value
 that is itself a credential word with a sign of assignment is searched in turn.
 
-Defined results: null text is empty and has no span; repeated rows are each searched; an empty
+All of it is linear in the text: a run of characters without white space is costed once, from its end,
+for every value that starts in it, and spans are held against base spans by bisection.
+
+Defined results: null text is empty and has no span; texts and values of any length are searched whole; repeated rows are each searched; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -19,9 +22,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +41,13 @@ WORDS, UNITS = "word_bpe_49k.json", 8
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Up to the value, of which at least six characters follow.
 WIDER = re.compile(
     r"(?:(?:password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|login|private_?key|access_?key|client_?key|signing_?key|key))"
-    r"[\"']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20+|basic\x20+)?|(?<![A-Za-z0-9])bearer\x20+)[\"']?([!-&(-~]{6,})",
+    r"[\"']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20+|basic\x20+)?|(?<![A-Za-z0-9])bearer\x20+)[\"']?(?=[!-&(-~]{6})",
     re.I | re.A,
 )
+RUN = re.compile(r"[!-&(-~]+")
 #: Frequent passwords and parts of them, the likeliest first.
 COMMON = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login abc123 iloveyou princess sunshine football baseball shadow superman batman trustno1 "
@@ -58,11 +67,17 @@ DATES = [(re.compile(p), math.log10(n)) for p, n in ((_Y, 150), (_Y + _S + _M +
 KINDS = ("assign", "access", "hex", "guess")
 
 
+_brute: dict[str, float] = {}
+
+
 def brute(c: str) -> float:
-    return math.log10(10 if c in "0123456789" else 26 if c.isalpha() else 33)
+    if c not in _brute:
+        _brute[c] = math.log10(10 if c in "0123456789" else 26 if c.isalpha() else 33)
+    return _brute[c]
 
 
 _ranks: dict[str, dict[str, int]] = {}
+_finders: dict[str, ahocorasick.Automaton] = {}
 
 
 def ranks(words: str = WORDS) -> dict[str, int]:
@@ -76,14 +91,17 @@ def ranks(words: str = WORDS) -> dict[str, int]:
     return _ranks[words]
 
 
-def dates(value: str) -> dict[int, list[tuple[int, float]]]:
-    """(start, cost) of the dates and years by their end."""
-    out: dict[int, list[tuple[int, float]]] = {}
-    for pattern, cost in DATES:
-        for i in range(len(value)):
-            if value[i] in "0123456789" and (m := pattern.match(value, i)):
-                out.setdefault(m.end(), []).append((i, cost))
-    return out
+def backward_words(text: str, words: str) -> Iterator[tuple[int, int, int]]:
+    """(end, start, rank) of all known words in a text that is told backwards, by end; (-1, -1, 0) at last."""
+    if words not in _finders:
+        _finders[words] = ahocorasick.Automaton()
+        for w, r in ranks(words).items():
+            if len(w) > 1:
+                _finders[words].add_word(w[::-1], (len(w), r))
+        _finders[words].make_automaton()
+    for last, (n, r) in _finders[words].iter(text):
+        yield last + 1, last + 1 - n, r
+    yield -1, -1, 0
 
 
 class Track:
@@ -100,7 +118,7 @@ class Track:
         for x in self.starts:
             x.clear()
 
-    def at(self, end: int, start: int, best: list[float]) -> float:
+    def at(self, end: int, start: int, best: array) -> float:
         """With one more start, which is a whole number of units before end."""
         held, cost = self.starts[end % self.unit], lambda i: best[i] + math.log10((end - i) // self.unit)
         new, least = cost(start), min(map(cost, held), default=math.inf)
@@ -112,47 +130,84 @@ class Track:
 
 def guess_cost(value: str, words: str = WORDS) -> float:
     """Decimal logarithm of the least guesses for value over all its segmentations; 0 for the empty one."""
-    return _short_cost(value, words) if len(value) <= 64 else _cost(value, words)
+    return _short_cost(value, words) if len(value) <= 64 else suffix_costs(value, words)[0]
 
 
-def _cost(value: str, words: str) -> float:
-    rank, low = ranks(words), value.translate(LOWER)
-    plain, ended = low.translate(LEET), dates(value)
-    longest = max(map(len, rank))
-    each = [brute(c) for c in value]
-    best, sums = [0.0], [0.0]
-    tracks, run = {u: Track(u) for u in range(1, UNITS + 1)}, [0] * (UNITS + 1)
+def suffix_costs(value: str, words: str = WORDS) -> array:
+    """guess_cost of value[i:] for every i up to its length: the value is read backwards once."""
+    rank, n, back = ranks(words), len(value), value[::-1]
+    low = back.translate(LOWER)
+    plain = low.translate(LEET)
+    best, sums = array("d", bytes(8 * n + 8)), array("d", bytes(8 * n + 8))
+    tracks, run = [(u, 3 if u == 1 else 2 * u, Track(u)) for u in range(1, UNITS + 1)], [0] * (UNITS + 1)
     walk, steps = Track(1), 0
-    for j in range(1, len(value) + 1):
-        best.append(best[-1] + each[j - 1])
-        sums.append(sums[-1] + each[j - 1])
-        found = [best[-1], *(best[i] + cost for i, cost in ended.get(j, ()))]
-        for i in range(max(0, j - longest), j - 1):
-            r = rank.get(low[i:j]) or rank.get(plain[i:j])
-            if r:
-                found.append(best[i] + math.log10(r + 1) + 0.3 * ((low[i:j] not in rank) + (value[i:j] != low[i:j])))
-        for u, track in tracks.items():  # u characters told again: a run of one three times, of more twice
-            if j <= u or value[j - 1] != value[j - 1 - u]:
-                if run[u]:
-                    run[u] = 0
-                    track.clear()
-                continue
-            run[u] += 1
-            least = 3 if u == 1 else 2 * u
-            if run[u] + u >= least:
-                found.append(sums[j] - sums[j - u] + track.at(j, j - least, best))
+    as_low, as_plain = backward_words(low, words), backward_words(plain if plain != low else "", words)
+    end, start, r = next(as_low)
+    end2, start2, r2 = next(as_plain)
+    for j in range(1, n + 1):
+        c = back[j - 1]
+        cost = brute(c)
+        least = best[j - 1] + cost
+        sums[j] = sums[j - 1] + cost
+        while end == j:
+            least = min(least, best[start] + math.log10(r + 1) + 0.3 * (back[start:j] != low[start:j]))
+            end, start, r = next(as_low)
+        while end2 == j:
+            if low[start2:j][::-1] not in rank:
+                least = min(least, best[start2] + math.log10(r2 + 1) + 0.3 * (1 + (back[start2:j] != low[start2:j])))
+            end2, start2, r2 = next(as_plain)
+        if c in "0123456789":
+            for pattern, date in DATES:
+                if m := pattern.match(value, n - j):
+                    least = min(least, best[n - m.end()] + date)
+        for u, fewest, track in tracks:  # u characters told again: a run of one three times, of more twice
+            if j > u and c == back[j - 1 - u]:
+                run[u] += 1
+                if run[u] + u >= fewest:
+                    least = min(least, sums[j] - sums[j - u] + track.at(j, j - fewest, best))
+            elif run[u]:
+                run[u] = 0
+                track.clear()
         if j > 1 and (low[j - 2], low[j - 1]) in NEXT:
             steps += 1
             if steps >= 2:
-                found.append(math.log10(47 * 2) + walk.at(j, j - 3, best))
+                least = min(least, math.log10(47 * 2) + walk.at(j, j - 3, best))
         elif steps:
             steps = 0
             walk.clear()
-        best[j] = min(found)
-    return best[-1]
+        best[j] = least
+    best.reverse()
+    return best
+
+
+@lru_cache(maxsize=100_000)
+def _short_cost(value: str, words: str) -> float:
+    return suffix_costs(value, words)[0]
 
 
-_short_cost = lru_cache(maxsize=100_000)(_cost)
+class Values:
+    """The values that runs of characters without white space hold from any place on, asked for from left to right."""
+
+    def __init__(self, text: str):
+        self.text, self.runs = text, RUN.finditer(text)
+        self.end = -1
+
+    def at(self, start: int) -> tuple[int, int, int]:
+        """(end of the run, end of the value, kinds of characters in it) of the value that starts here."""
+        while self.end <= start:
+            run = next(self.runs)
+            self.end, self.costs, self.first = run.end(), None, 0
+            self.stop = run.start() + len(run[0].rstrip("\"'.,;:)]}"))
+            self.kinds = [next((i for i in range(self.stop - 1, run.start() - 1, -1) if kind(self.text[i])), -1) for kind in (str.isdigit, str.islower, str.isupper)]
+        return self.end, max(start, self.stop), sum(k >= start for k in self.kinds)
+
+    def cost(self, start: int) -> float:
+        """guess_cost of the value that starts here; costs of a run are found once."""
+        if self.stop - start <= 64:
+            return guess_cost(self.text[start : self.stop])
+        if self.costs is None:
+            self.costs, self.first = suffix_costs(self.text[start : self.stop]), start
+        return self.costs[start - self.first]
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[float]]:
@@ -165,21 +220,23 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
             costs.append(guess_cost(m[2]))
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    added = []
+    order = lambda s: (s[0], KINDS.index(s[2]), s[1])
+    base.sort(key=order)
+    starts, ends = [s for s, *_ in base], list(accumulate((e for _, e, _ in base), max))
+    added, values = [], Values(text)
     m = WIDER.search(text)
     while m:
-        value = m[1].rstrip("\"'.,;:)]}")
-        start, end = m.start(1), m.start(1) + len(value)
-        classes = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
-        free = classes >= 2 and not any(s < end and start < e for s, e, _ in base + added[-1:])
-        if free and len(value) >= 6 and guess_cost(value) >= GUESSES:
+        start = m.end()
+        stop, end, classes = values.at(start)
+        k = bisect_left(starts, end)  # base spans that start before the value ends
+        free = classes >= 2 and not (k and ends[k - 1] > start)
+        if free and end - start >= 6 and values.cost(start) >= GUESSES:
             added.append((start, end, "guess"))
-            at = m.end()
+            at = stop
         else:  # inside the value again; of one kind of characters, no rest of it has two: only a word at its end, 32 characters at most, matters
-            at = m.start(1) if classes >= 2 else max(m.start(1), m.end() - 32)
+            at = start if classes >= 2 else max(start, stop - 32)
         m = WIDER.search(text, at)
-    order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(added, key=order), costs
+    return base, added, costs
 
 
 def told(spans: list[tuple[int, int, str]]) -> str:

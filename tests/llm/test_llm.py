@@ -91,6 +91,23 @@ def test_mixing_matches_its_sql(spark, docs, tmp_path):
     assert mixing.mix_rows(df).count() == took
 
 
+@pytest.mark.parametrize("doc_id", [7, 8, 9, None])
+def test_mixing_of_many_equal_rows(spark, doc_id, tmp_path):
+    """2,000 equal rows among others: the cut may fall among them, and the source still comes near its target."""
+    rows = [(doc_id, "w " * 10, "c")] * 2000 + [(1000 + i, "w " * (5 + i % 30), "c") for i in range(500)] + [(5000 + i, "w " * 40, "a") for i in range(300)] + [(9000 + i, "w " * 90, "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix(df).toPandas()
+    g = out.groupby("source").agg(t=("target", "first"), got=("taken", "sum"), most=("size", "max"))
+    assert (abs(g["got"] - g["t"]) <= g["most"]).all() and (out["taken"] <= 3 * out["size"]).all() and len(out) == len(rows)
+    assert mixing.mix_rows(df).count() == out["copies"].sum()
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.OP2_SQL).fetchall()
+    names = [c[0] for c in con.description]
+    assert Counter(map(tuple, mixing.op2_pareto_mix(spark, str(tmp_path)).select(*names).collect())) == Counter(want)
+
+
 def test_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 90)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -401,6 +418,21 @@ def test_language_held_out_accuracy(docs, empty, corpus):
     assert language_ppm.predict_language(empty).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [9, 8])
+def test_language_sample_is_bounded(spark, doc_id):
+    """Thousands of texts of one doc_id, and of one text, give no more than the sample; bytes are bounded too."""
+    free = next(i for i in itertools.count() if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(doc_id, f"the cat number {i}", "en") for i in range(3000)] + [(2 + 3 * i, f"der Hund {i}", "de") for i in range(50)] + [(free, "la souris", "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = zlib.crc32(str(doc_id).encode()) % 3 == 1
+    got = language_ppm.training_texts(df)
+    assert len(got.get("en", [])) == (0 if held else 300) and got["fr"] == ["la souris"] and len(set(got.get("en", []))) == len(got.get("en", []))
+    assert got == language_ppm.training_texts(df.repartition(5))
+    few = language_ppm.training_texts(df, most_bytes=100)
+    assert sum(len(t) for t in few["de"][:-1]) < 100 and 1 <= len(few["de"]) < 20
+    assert language_ppm.predict_language(df).count() == len(rows)
+
+
 def test_ppm_lengths_equal_the_definition():
     model = language_ppm.PPM({"a": ["abracadabra abba", "cab"], "b": ["zebra zoo"]})
     grams = []
@@ -525,6 +557,19 @@ def test_guess_cost_is_the_least_of_all_segmentations():
     assert secrets.guess_cost("ax" * 5000) == pytest.approx(np.log10(26 * 26 * 5000))
 
 
+def test_secrets_of_very_long_texts():
+    """Megabytes without a space, and very many credential words, take time in proportion."""
+    base, added, costs = secrets.spans_of("token=Ab1/" * 100_000)
+    assert (base, added, len(costs)) == ([(0, 1_000_000, "assign")], [], 1)
+    base, added, _ = secrets.spans_of("password=Zx9kQ2vLp7\npwd: 'xK9vL2pQ7zRt4'\n" * 20_000)
+    assert len(base) == 20_000 and len(added) == 20_000
+    assert secrets.spans_of("pwd:Aa" * 50_000) == ([], [(4, 300_000, "guess")], [])
+    assert secrets.spans_of("pin=1" * 900)[1] == []  # one unit told again and again: every rest of it is weak
+    value = "".join(np.random.default_rng(2).choice(list("abcXYZ019-_#"), 300))
+    rest = secrets.suffix_costs(value)
+    assert [rest[i] for i in (0, 7, 250, 299, 300)] == pytest.approx([secrets.guess_cost(value[i:]) for i in (0, 7, 250, 299, 300)])
+
+
 def test_base_spans_match_a_plain_scan():
     rng = np.random.default_rng(14)
     bits = ["password", "Secret", "api_key", "APIKEY", "token", "passwd", '"', "'", " ", ": ", "=", ":", "abc123", "x9", "AKIA", "ABCDEFGHIJKLMNOP", "Q7", "deadbeef", "0123456789abcdef", "\n", "ü", "é😀", "-", "/"]
