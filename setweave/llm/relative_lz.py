@@ -15,12 +15,16 @@ that read them), and only windows whose seed stands in documents of different id
   or single words. A factor of WINDOW words or more is a repeat. A shorter repeat can cross one factor
   boundary at most, since the factor that starts inside it reaches its end, so where two neighbours
   have WINDOW words together, the windows across their boundary are looked up too.
-* A seed of more than HOT pieces would make too large a block. Its windows make blocks of their own,
-  one a window, in which the reference is the least doc_id: an aggregation by the window's digest
-  instead of a task that holds the pieces, and an ordinary join back that may be split anywhere.
+* A seed of more than HOT pieces would make too large a block. Equal pieces of hot seeds are told by
+  digest: all but those of the least doc_id are repeats as a whole. The distinct pieces are references to
+  each other by window: the least doc_id of each window's digest is aggregated, in place of a task that
+  holds the pieces. A bitmap of fixed size of the windows that stand in several of them leaves each piece
+  its runs of windows that can be repeats; equal runs are told by digest in turn, and only the windows of
+  distinct runs are looked up one by one. So a passage in very many documents costs a row a document and
+  seed, not a row a window, and all of it are aggregations and ordinary joins that may be split anywhere.
 
-Nothing is compared by seeds or hashes alone but texts and hot windows (MD5). Work and rows moved are
-in proportion to the words; a text is moved by digest at most twice.
+Nothing is compared by seeds or hashes alone but by whole words, or by MD5 (texts, hot pieces and windows).
+Work and rows moved are in proportion to the words; a text is moved by digest at most twice.
 
 Defined results: null text has no words; a null doc_id is greater than any other, and documents of
 equal doc_ids (or of null ones) are not repeats of each other; repeated rows give equal rows; texts of
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ from .simhash import mixed, word_hashes
 from .token_binary import pieces, split_words
 
 WINDOW, SEED_WORDS, HOT = 50, 16, 400
+#: Bits of the bitmap of windows.
+BITMAP = 1 << 23
 #: Stands for a null doc_id: greater than any other.
 LAST = 2**63 - 1
 FACTOR = 0x9E3779B97F4A7C15
@@ -51,8 +58,10 @@ PLACE_BITS = 28
 
 
 def plain(text: Column) -> Column:
-    """The words of a text, joined by one space."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    """The words of a text, joined by one space. Texts whose words stand apart by one space or line end each need no pattern."""
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    odd = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in ("\t", "\x0b", "\x0c", "\r", "  ")])
+    return F.trim(F.when(odd, F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")).otherwise(text))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -104,11 +113,7 @@ def seeds_of(texts: DataFrame, window: int, size: int) -> DataFrame:
 
 
 def pieces_of(texts: DataFrame, window: int, size: int) -> DataFrame:
-    """(block, id, key, start, seed_at, piece) of texts (id, key, text, cold, hot: seeds).
-
-    A cold seed's block is the seed, and a piece the words of all windows around one place of it. A hot
-    seed's block is the digest of a window, and piece is null.
-    """
+    """(seed, hot, id, key, start, seed_at, count, piece): the words of the `count` windows around each place of a seed that texts (id, key, text, cold, hot: seeds) are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,32 +127,25 @@ def pieces_of(texts: DataFrame, window: int, size: int) -> DataFrame:
                 owner = np.searchsorted(np.cumsum(n), place[first], side="right")
                 seed = runs[place[first]].view(np.int64)
                 begins, at = np.cumsum(n) - n, np.searchsorted(owner, np.arange(len(n) + 1))
-                cold, hot = b.column("cold"), b.column("hot")
-                out: dict[str, list] = {c: [] for c in ("block", "row", "start", "seed_at", "piece")}
+                of = {c: b.column(c) for c in ("cold", "hot")}
+                took, is_hot, text = [], [], []
                 for row in range(b.num_rows):
-                    mine = slice(at[row], at[row + 1])
-                    is_cold, is_hot = (np.isin(seed[mine], c[row].values.to_numpy(zero_copy_only=False)) for c in (cold, hot))
-                    if not (is_cold | is_hot).any():
-                        continue
-                    own = words.slice(begins[row], n[row]).to_pylist()
-                    for i in at[row] + np.flatnonzero(is_cold | is_hot):
-                        s, e = int(start[first[i]] - begins[row]), int(start[last[i]] - begins[row])
-                        if is_cold[i - at[row]]:
-                            out["block"].append(int(seed[i]).to_bytes(8, "little", signed=True))
-                            out["start"].append(s)
-                            out["seed_at"].append(int(place[first[i]] - begins[row]) - s)
-                            out["piece"].append(" ".join(own[s : e + window]))
-                        else:
-                            out["block"] += [hashlib.md5(" ".join(own[k : k + window]).encode()).digest() for k in range(s, e + 1)]
-                            out["start"] += range(s, e + 1)
-                            out["seed_at"] += [0] * (e + 1 - s)
-                            out["piece"] += [None] * (e + 1 - s)
-                        out["row"] += [row] * (len(out["block"]) - len(out["row"]))
-                row = pa.array(out["row"], pa.int64())
-                cols = [pa.array(out["block"], pa.binary()), b.column("id").take(row), b.column("key").take(row), pa.array(out["start"], pa.int64()), pa.array(out["seed_at"], pa.int64()), pa.array(out["piece"], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["block", "id", "key", "start", "seed_at", "piece"])
-
-    return texts.select("id", "key", "text", "cold", "hot").mapInArrow(run, "block binary, id long, key binary, start long, seed_at long, piece string")
+                    mine = seed[at[row] : at[row + 1]]
+                    cold, hot = (np.isin(mine, of[c][row].values.to_numpy(zero_copy_only=False)) for c in ("cold", "hot"))
+                    some = np.flatnonzero(cold | hot)
+                    if len(some):
+                        own = words.slice(begins[row], n[row]).to_pylist()
+                        text += [" ".join(own[s : e + window]) for s, e in zip((start[first[at[row] + some]] - begins[row]).tolist(), (start[last[at[row] + some]] - begins[row]).tolist())]
+                        took.append(at[row] + some)
+                        is_hot.append(hot[some])
+                if not took:
+                    continue
+                took = np.concatenate(took)
+                row, s = pa.array(owner[took]), start[first[took]]
+                cols = [pa.array(seed[took]), pa.array(np.concatenate(is_hot)), b.column("id").take(row), b.column("key").take(row), pa.array(s - begins[owner[took]]), pa.array(place[first[took]] - s), pa.array(last[took] - first[took] + 1), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["seed", "hot", "id", "key", "start", "seed_at", "count", "piece"])
+
+    return texts.select("id", "key", "text", "cold", "hot").mapInArrow(run, "seed long, hot boolean, id long, key binary, start long, seed_at long, count long, piece string")
 
 
 class Block:
@@ -217,7 +215,7 @@ def block_repeats(rows: DataFrame, window: int, size: int) -> DataFrame:
         seed, block = None, None
         for batch in batches:
             keys, starts, counts = [], [], []
-            for this, doc, key, start, seed_at, piece in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "key", "start", "seed_at", "piece"))):
+            for this, doc, key, start, seed_at, piece in zip(*(batch.column(c).to_pylist() for c in ("seed", "id", "key", "start", "seed_at", "piece"))):
                 if this != seed:
                     seed, block = this, Block(window, size)
                 for first, k in block.repeats(doc, seed_at, piece):
@@ -226,21 +224,91 @@ def block_repeats(rows: DataFrame, window: int, size: int) -> DataFrame:
                     counts.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["key", "start", "count"])
 
-    dealt = rows.repartition("block").sortWithinPartitions("block", "id", "seed_at", "start")
+    dealt = rows.repartition("seed").sortWithinPartitions("seed", "id", "seed_at", "start")
     return dealt.mapInArrow(run, "key binary, start long, count long")
 
 
+def window_digests(words: list[str], window: int) -> np.ndarray:
+    """(windows, 2) int64: MD5 of each window."""
+    return np.frombuffer(b"".join(hashlib.md5(" ".join(words[k : k + window]).encode()).digest() for k in range(len(words) - window + 1)), dtype="<i8").reshape(-1, 2)
+
+
+def windows_of(rows: DataFrame, window: int) -> DataFrame:
+    """(b1, b2, digest, id, at): digests of the windows of rows (digest, id, at, piece), `at` places on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "piece"):
+                found = [window_digests(t.split(" "), window) for t in b.column("piece").to_pylist()]
+                if not found:
+                    continue
+                n = np.array([len(x) for x in found])
+                row, both = pa.array(np.repeat(np.arange(len(n)), n)), np.concatenate(found)
+                at = np.repeat(b.column("at").to_numpy(), n) + np.arange(len(both)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), b.column("digest").take(row), b.column("id").take(row), pa.array(at)], ["b1", "b2", "digest", "id", "at"])
+
+    return rows.select("digest", "id", "at", "piece").mapInArrow(run, "b1 long, b2 long, digest binary, id long, at long")
+
+
+def bitmap(windows: DataFrame) -> np.ndarray:
+    """BITMAP bits, of which those are set that b1 of some window names; a fixed number of 64-bit words comes to the driver."""
+    bit = F.col("b1").bitwiseAND(F.lit(BITMAP - 1))
+    rows = windows.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(b1 & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(BITMAP // 64, dtype=np.int64)
+    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return out
+
+
+def runs_of(rows: DataFrame, bits: np.ndarray, window: int) -> DataFrame:
+    """(digest, id, at, count, piece): runs of windows of rows (digest, id, piece) whose bits are set, with their words."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)  # BITMAP bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "piece"):
+                took, at, count, text = [], [], [], []
+                for i, piece in enumerate(b.column("piece").to_pylist()):
+                    words = piece.split(" ")
+                    bit = window_digests(words, window)[:, 0] & (BITMAP - 1)
+                    on = held.value[bit >> 6] >> (bit & 63) & 1
+                    for s, e in np.flatnonzero(np.diff(on, prepend=0, append=0)).reshape(-1, 2).tolist():
+                        took.append(i)
+                        at.append(s)
+                        count.append(e - s)
+                        text.append(" ".join(words[s : e + window - 1]))
+                row = pa.array(took, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("digest").take(row), b.column("id").take(row), pa.array(at, pa.int64()), pa.array(count, pa.int64()), pa.array(text, pa.string())], ["digest", "id", "at", "count", "piece"])
+
+    return rows.select("digest", "id", "piece").mapInArrow(run, "digest binary, id long, at long, count long, piece string")
+
+
+def hot_repeats(rows: DataFrame, window: int) -> DataFrame:
+    """(key, start, count) of the repeats among pieces (id, key, start, count, piece) of hot seeds."""
+    md5 = F.unhex(F.md5("piece"))
+    rows = rows.withColumn("digest", md5)
+    distinct = durable(rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("piece").alias("piece")))
+    copied = distinct.where("id < most").select("digest", F.col("id").alias("least"))
+    whole = rows.select("digest", "id", "key", "start", "count").join(copied, "digest").where("least < id").select("key", "start", "count")
+    shared = windows_of(distinct.withColumn("at", F.lit(0).cast("long")), window).groupBy("b1", "b2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    shared = durable(shared.select("b1", "b2", "least"))
+    runs = durable(runs_of(distinct, bitmap(shared), window).withColumn("run", md5))
+    first = durable(runs.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")))
+    told = runs.select("digest", "id", "at", "count", "run").join(first.where("least < most").select("run", "least"), "run").where("least < id").select("digest", "id", "at", "count")
+    own = runs.join(first.select("run", F.col("least").alias("id")), ["run", "id"], "left_semi")
+    one = windows_of(own, window).join(shared, ["b1", "b2"]).where("least < id").select("digest", "id", "at", F.lit(1).cast("long").alias("count"))
+    part = told.unionByName(one).withColumnRenamed("count", "n")
+    part = rows.select("digest", "id", "key", "start").join(part, ["digest", "id"]).select("key", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("count"))
+    return whole.unionByName(part)
+
+
 def repeats(texts: DataFrame, window: int = WINDOW, size: int = SEED_WORDS, hot: int = HOT) -> DataFrame:
     """(key, start, count): runs of windows of texts (id, key, text; no two with the same words and different ids) that start in a text of smaller id."""
     seeds = durable(seeds_of(texts, window, size))
     shared = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
     shared = durable(shared.select("seed", (F.col("n") > hot).alias("hot")))
     wanted = seeds.join(shared, "seed").groupBy("key").agg(F.collect_set(F.when(~F.col("hot"), F.col("seed"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("seed"))).alias("hot"))  # seeds of one text
-    found = durable(pieces_of(texts.join(wanted, "key"), window, size).dropDuplicates(["key", "start", "id"]))
-    windows = found.where("piece is null").select("block", "id", "key", "start")
-    least = durable(windows.groupBy("block").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("block", "least"))
-    met = windows.join(least, "block").where("least < id").select("key", "start", F.lit(1).cast("long").alias("count"))
-    return block_repeats(found.where("piece is not null"), window, size).unionByName(met)
+    found = durable(pieces_of(texts.join(wanted, "key"), window, size))
+    return block_repeats(found.where("not hot"), window, size).unionByName(hot_repeats(found.where("hot"), window))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, size: int = SEED_WORDS, hot: int = HOT) -> DataFrame:
@@ -272,16 +340,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, size: int = SEED_WORD
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
-    rows = texts.join(copies, "key", "left")
-    copy = F.coalesce(F.col("least") < F.col("id"), F.lit(False))
-    marked = checked_broadcast(runs.select(F.col("key").alias("_key")))
-    own = rows.where(~copy)
+    marked = checked_broadcast(runs.select(F.col("key").alias("_key"), F.lit(True).alias("marked")))
+    rows = texts.join(copies, "key", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("id"), F.lit(False))).join(marked, F.col("key") == F.col("_key"), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     none = F.array().cast("array<struct<start: long, end: long>>")
-    gone = rows.where(copy).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), whole.alias("spans"), F.lit("").alias("kept"))
-    untouched = own.join(marked, own["key"] == marked["_key"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.col("text").alias("kept"))
-    changed = own.join(marked, own["key"] == marked["_key"], "left_semi").select("doc_id", "n_words", "key", "text").join(runs, "key").select("doc_id", "n_words", "text", "runs").mapInArrow(cut, schema)
-    return gone.unionByName(untouched).unionByName(changed)
+    plainly = rows.where(F.col("copy") | F.col("marked").isNull())
+    plainly = plainly.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("copy"), whole).otherwise(none).alias("spans"), F.when(F.col("copy"), "").otherwise(F.col("text")).alias("kept"))
+    changed = rows.where(~F.col("copy") & F.col("marked").isNotNull()).select("doc_id", "n_words", "key", "text").join(runs, "key").select("doc_id", "n_words", "text", "runs").mapInArrow(cut, schema)
+    return plainly.unionByName(changed)
 
 
 def op12_relative_lz(spark, sf_dir: str) -> DataFrame:
