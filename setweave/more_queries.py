@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
-from .operators import choices, graph, metrics, resampling, sets
+from .operators import choices, graph, metrics, multinomial, resampling, sets
 from .operators.joins import first_variant, gather, paired, remapped
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions
 from .queries import B, query, r
@@ -264,8 +264,11 @@ def label_disagreement(spark, sf):
 # ---- splits, graph, protocol
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS s, sha256(coalesce(text, '')) AS i FROM documents UNION SELECT doc_id, concat_ws('/', source, lang, n_chars) FROM documents),
-p AS (SELECT DISTINCT a.s, b.s AS t FROM e a JOIN e b USING (i)), reach AS (SELECT s, t FROM p UNION SELECT reach.s, p.t FROM reach JOIN p ON reach.t = p.s) SELECT s AS set_id, min(t) AS component FROM reach GROUP BY s""")
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT doc_id AS s, sha256(coalesce(text, '')) AS i FROM documents UNION SELECT doc_id, concat_ws('/', source, lang, n_chars) FROM documents),
+p AS (SELECT DISTINCT a.s, b.s AS t FROM e a JOIN e b USING (i)), reach AS (SELECT s, t FROM p UNION SELECT reach.s, p.t FROM reach JOIN p ON reach.t = p.s) SELECT s AS set_id, min(t) AS component FROM reach GROUP BY s"""
+
+
+@query(_COMPONENTS)
 def document_components(spark, sf):
     """Documents that share a text, or a source, language and length, also through others."""
     d = table(spark, sf, "documents")
@@ -373,25 +376,46 @@ def weighted_auc_ap(spark, sf):
 # ---- intervals of ranking metrics and questions, agreement of ranks
 
 
-@query(f"""WITH {PREDICTIONS}, u AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS unit_no FROM (SELECT DISTINCT doc_id FROM pred)), nn AS (SELECT count(*) AS cnt FROM u),
-d AS (SELECT replicate, {draw_sql("rank", "replicate", "k")} % cnt AS unit_no FROM (SELECT *, unnest(range(cnt)) AS k FROM nn), range({B}) t(replicate)), w AS (SELECT replicate, unit_no, count(*) AS w FROM d GROUP BY ALL),
-b AS (SELECT model, replicate, score, sum(label * w * (1 + doc_id % 3)) AS p, sum((1 - label) * w * (1 + doc_id % 3)) AS n FROM pred JOIN u USING (doc_id) JOIN w USING (unit_no) GROUP BY ALL),
-c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER e AS tp, sum(p + n) OVER e AS t
-  FROM b WINDOW e AS (PARTITION BY model, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-m AS (SELECT model, replicate, sum(p * (below + n / CAST(2 AS DOUBLE))) / (sum(p) * sum(n)) AS auc, sum(CAST(p AS DOUBLE) * CAST(tp AS DOUBLE) / CAST(t AS DOUBLE)) / CAST(sum(p) AS DOUBLE) AS ap FROM c GROUP BY ALL)
-SELECT model, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(ap, 0.025), 6) AS ap_low, round(quantile_cont(ap, 0.975), 6) AS ap_high FROM m GROUP BY model""")
+_RANKED = """b AS (SELECT model, replicate, score, sum(label * w * weight) AS p, sum((1 - label) * w * weight) AS n FROM pw JOIN u USING (unit) JOIN w USING (unit_no) GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+m AS (SELECT model, replicate, sum(p * (below + n / CAST(2 AS DOUBLE))) / (sum(p) * sum(n)) AS auc FROM c GROUP BY ALL HAVING sum(p) > 0 AND sum(n) > 0)"""
+
+
+@query(f"""WITH {PREDICTIONS}, pw AS (SELECT *, doc_id AS unit, 1 + doc_id % 3 AS weight FROM pred), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS unit_no FROM (SELECT DISTINCT unit FROM pw)), {multinomial.counts_sql("u", [], "rank", B)}, {_RANKED},
+d AS (SELECT model, replicate, sum(CAST(p AS DOUBLE) * CAST(tp AS DOUBLE) / CAST(t AS DOUBLE)) / CAST(sum(p) AS DOUBLE) AS ap FROM (SELECT *, sum(p) OVER e AS tp, sum(p + n) OVER e AS t FROM b WINDOW e AS (PARTITION BY model, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) WHERE t > 0 GROUP BY ALL)
+SELECT model, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(ap, 0.025), 6) AS ap_low, round(quantile_cont(ap, 0.975), 6) AS ap_high FROM m JOIN d USING (model, replicate) GROUP BY model""")
 def boot_ranking_ci(spark, sf):
     """Intervals of AUC and average precision under paired draws of documents, which weigh 1 to 3."""
     p = predictions(spark, sf)
-    counts = resampling.unit_counts(units := resampling.numbered_units(p, "doc_id", []), B, "rank")
-    drawn = p.join(units, "doc_id").join(counts, "unit_no").withColumn("w", F.col("w") * (1 + F.col("doc_id") % 3))
-    keys = ["model", "replicate"]
-    drawn = durable(drawn.groupBy(*keys, "label", "score").agg(F.sum("w").cast("double").alias("w")))
-    each = durable(metrics.roc_auc(drawn, keys, weight=F.col("w")).join(metrics.average_precision(drawn, keys, weight=F.col("w")), keys))
+    w = 1 + F.col("doc_id") % 3
+    p = p.groupBy("model", "doc_id", "score").agg(F.sum(F.col("label") * w).alias("pos"), F.sum((1 - F.col("label")) * w).alias("neg"))
+    rows = durable(multinomial.with_unit_totals(p, resampling.numbered_units(p, "doc_id", []), [], "doc_id"))
+    each = multinomial.resampled_auc(rows, ["model"], B, "rank", []).join(multinomial.resampled_ap(rows, ["model"], B, "rank", []), ["model", "replicate"])
+    each = durable(each)
     ends = lambda m: resampling.interval(each, ["model"], m).select("model", r(F.col("ci_low")).alias(f"{m}_low"), r(F.col("ci_high")).alias(f"{m}_high"))
     return ends("auc").join(ends("ap"), "model")
 
 
+@query(_COMPONENTS.replace(" SELECT s AS set_id, min(t) AS component FROM reach GROUP BY s", f""", comp AS (SELECT s AS doc_id, min(t) AS unit FROM reach GROUP BY s), {PREDICTIONS}, pw AS (SELECT pred.*, unit, 1 AS weight FROM pred JOIN comp USING (doc_id)),
+u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS unit_no FROM (SELECT DISTINCT unit FROM pw)), {multinomial.counts_sql("u", [], "component", B)}, {_RANKED},
+a AS (SELECT model, replicate, CAST(sum(CAST((score >= 0.5) = (label = 1) AS INTEGER) * w) AS DOUBLE) / sum(w) AS acc FROM pw JOIN u USING (unit) JOIN w USING (unit_no) GROUP BY ALL),
+g AS (SELECT count(*) AS components, max(n) AS largest FROM (SELECT unit, count(DISTINCT doc_id) AS n FROM pw GROUP BY unit))
+SELECT model, any_value(components) AS components, any_value(largest) AS largest, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(acc, 0.025), 6) AS acc_low, round(quantile_cont(acc, 0.975), 6) AS acc_high
+FROM m JOIN a USING (model, replicate), g GROUP BY model"""))
+def boot_component_ci(spark, sf):
+    """Intervals of AUC and accuracy with whole components of documents that share contents as the units: dependent examples are drawn together."""
+    p = predictions(spark, sf).join(document_components(spark, sf).withColumnRenamed("set_id", "doc_id"), "doc_id")
+    ok = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("long")
+    one = p.groupBy("model", "component", "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"), F.sum(ok).alias("ok"), F.count("*").alias("n"))
+    units = resampling.numbered_units(one, "component", [])
+    rows = durable(multinomial.with_unit_totals(one, units, [], "component"))
+    acc = multinomial.resampled_sums(rows, ["model"], ["ok", "n"], B, "component", []).select("model", "replicate", (F.col("ok") / F.col("n")).alias("acc"))
+    each = durable(multinomial.resampled_auc(rows, ["model"], B, "component", []).join(acc, ["model", "replicate"]))
+    size = p.groupBy("component").agg(F.count_distinct("doc_id").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    ends = lambda m: resampling.interval(each, ["model"], m).select("model", r(F.col("ci_low")).alias(f"{m}_low"), r(F.col("ci_high")).alias(f"{m}_high"))
+    return ends("auc").join(ends("acc"), "model").crossJoin(F.broadcast(size))  # size is one row
+
+
 @query(f"""WITH {_FIVE}, f AS (SELECT question_num, unnest([dimension, 'all']) AS facet, CAST(predicted = archive AS INTEGER) AS ok FROM q),
 u AS (SELECT facet, ok, row_number() OVER (PARTITION BY facet ORDER BY question_num) - 1 AS unit_no FROM f), nn AS (SELECT facet, count(*) AS cnt FROM u GROUP BY facet),
 d AS (SELECT facet, replicate, {draw_sql("facet", "facet", "replicate", "k")} % cnt AS unit_no FROM (SELECT *, unnest(range(cnt)) AS k FROM nn), range({B}) t(replicate)),

@@ -1,7 +1,6 @@
-"""Bootstrap resampling with md5 draws, paired across models, and agreement statistics.
+"""Units, intervals and p-values of the bootstrap (its counts: multinomial.py; by facet: unit_counts), and agreement statistics.
 
-Resamples are weights: counts by (replicate, unit), joined to rows that were summed by unit
-first; no replicate's rows are made one by one.
+Resamples are weights of rows that were summed by unit first; no replicate's rows are made one by one.
 """
 
 from itertools import permutations

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
-from .operators import graph, metrics, resampling, sets
+from .operators import graph, metrics, multinomial, resampling, sets
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions, fitb_sql
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
 
@@ -421,22 +421,17 @@ def _bootstrap(spark, sf, unit: str, strata: list[str]) -> DataFrame:
     """(model, replicate, accuracy) under paired draws of units."""
     ok = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("long")
     base = predictions(spark, sf).groupBy("model", *strata, unit).agg(F.sum(ok).alias("ok"), F.count("*").alias("n"))
-    units = resampling.numbered_units(base, unit, strata)
-    counts = resampling.unit_counts(units, B, "boot", strata)
-    drawn = base.join(units, [*strata, unit]).join(counts, [*strata, "unit_no"])
-    return drawn.groupBy("model", "replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("accuracy"))
+    rows = multinomial.with_unit_totals(base, resampling.numbered_units(base, unit, strata), strata, unit)
+    drawn = multinomial.resampled_sums(rows, ["model"], ["ok", "n"], B, "boot", strata)
+    return drawn.select("model", "replicate", (F.col("ok") / F.col("n")).alias("accuracy"))
 
 
 def _bootstrap_sql(unit: str, strata: str = "") -> str:
     s, on = (f"{strata}, ", f"{strata}, ") if strata else ("", "")
     part = f"PARTITION BY {strata}" if strata else ""
-    by = f"GROUP BY {strata}" if strata else ""
-    keys = [k for k in (strata, "replicate", "k") if k]
     return f"""WITH {PREDICTIONS}, base AS (SELECT model, {s}{unit}, sum(CAST((score >= 0.5) = (label = 1) AS INTEGER)) AS ok, count(*) AS n FROM pred GROUP BY ALL),
 u AS (SELECT {s}{unit}, row_number() OVER ({part} ORDER BY {unit}) - 1 AS unit_no FROM (SELECT DISTINCT {s}{unit} FROM base)),
-nn AS (SELECT {s}count(*) AS cnt FROM u {by}),
-d AS (SELECT {s}replicate, {draw_sql("boot", *keys)} % cnt AS unit_no FROM (SELECT *, unnest(range(cnt)) AS k FROM nn), range({B}) t(replicate)),
-w AS (SELECT {s}replicate, unit_no, count(*) AS w FROM d GROUP BY ALL),
+{multinomial.counts_sql("u", [strata] if strata else [], "boot", B)},
 acc AS (SELECT model, replicate, CAST(sum(ok * w) AS DOUBLE) / sum(n * w) AS accuracy FROM base JOIN u USING ({on}{unit}) JOIN w USING ({on}unit_no) GROUP BY ALL)"""
 
 
