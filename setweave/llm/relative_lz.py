@@ -66,9 +66,11 @@ def plain(text: Column) -> Column:
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id, id (never null), text (its words), n_words and key (MD5 of the words) of every row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
-    n = F.when(F.col("text") == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "))) + 1).cast("long")
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", n.alias("n_words"), F.unhex(F.md5("text")).alias("key"))
+    spaces = lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" ")))
+    told = lambda t: F.struct(t.alias("text"), F.when(t == "", 0).otherwise(spaces(t) + 1).cast("long").alias("n_words"), F.unhex(F.md5(t)).alias("key"))
+    doc_id = F.col("doc_id").cast("long")
+    # inline(): a filter on n_words cannot be pushed below it, so that each text is made plain once
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("id"), F.inline(F.transform(F.array(plain(F.col("text"))), told)))
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
