@@ -44,10 +44,66 @@ def learner_chain(spark, sf):
     """Positive and negative sets by split: train-only components, pair features, logistic grid, refit check, test AUC and AP."""
     from .operators.learners import benchmark_chain
 
-    pos = set_items(spark, sf)
+    return benchmark_chain(_examples(spark, sf), vectors(spark, sf), 16)
+
+
+@query()
+def pca_randomised(spark, sf):
+    """Explained variance of the randomised components beside that of the exact ones, and how far the two are apart."""
+    from .operators.learners import train_only_pca
+
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    train = F.col("vec_id") % 10 < 7
+    out, share = train_only_pca(e, 8, train, randomised=True)
+    exact = train_only_pca(e, 8, train)[1]
+    n = out.agg(F.count("*").alias("rows"), F.max(F.abs(V.norm(F.col("pca")) - 1) < 1e-9).alias("unit"))
+    return n.crossJoin(F.broadcast(spark.createDataFrame([(8, round(share, 9), round(exact, 9), abs(share - exact) < 1e-3)], "k int, explained double, exact double, close boolean")))  # one row each
+
+
+def _examples(spark, sf) -> DataFrame:
+    """set_id, item_id, label, split: positive sets and the negatives made of them."""
     neg = cp_negatives(spark, sf).where("complete").select("set_id", F.explode(F.split("negative", ",").cast("array<long>")).alias("item_id"))
-    examples = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))).withColumn("split", split_of(F.col("set_id")))
-    return benchmark_chain(examples, vectors(spark, sf), 16)
+    return set_items(spark, sf).withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))).withColumn("split", split_of(F.col("set_id")))
+
+
+@query()
+def fitb_learner_accuracy(spark, sf):
+    """Accuracy of a fitted chain on fill-in-the-blank questions of the test split, and of scores that are uniform by hash."""
+    from .operators import completion
+    from .operators.learners import fit_chain
+
+    chain = fit_chain(_examples(spark, sf), vectors(spark, sf), 16)
+    q = fitb_questions(spark, sf).where(split_of(F.col("set_id")) == "test").withColumnRenamed("set_id", "key")
+    posed = durable(completion.posed(q, chain.items.withColumnRenamed("pca", "v")))
+    model = completion.completion_scores(posed, chain.raw())
+    chance = model.withColumn("score", uniform("guess", F.col("key"), F.col("candidate_index")))
+    both = model.withColumn("scorer", F.lit("model")).unionByName(chance.withColumn("scorer", F.lit("uniform")))
+    return completion.accuracy(completion.answers(both, "scorer"), "scorer").select("scorer", "n", r(F.col("accuracy")).alias("accuracy"))
+
+
+#: Weights of a linear model of the pair feature of 64 numbers, by md5.
+_GIVEN = f"g AS (SELECT CAST(d AS BIGINT) AS d, {uniform_sql('weight', 'd')} - CAST(0.5 AS DOUBLE) AS wl, {uniform_sql('weight', 'd + 64')} - CAST(0.5 AS DOUBLE) AS wm FROM range(64) t(d))"
+
+
+@query(f"""WITH q AS ({FITB_SQL}), {VECTORS}, c AS (SELECT set_id, correct_index, CAST(unnest(range(4)) AS INTEGER) AS i, unnest(string_split(candidates, ',')) AS c, question FROM q),
+m AS (SELECT set_id, correct_index, i, CAST(unnest(list_append(string_split(question, ','), c)) AS BIGINT) AS item_id FROM c),
+x AS (SELECT m.*, [CAST(y AS DOUBLE) FOR y IN v] AS v FROM m JOIN vec USING (item_id)), {_GIVEN}, w AS (SELECT list(wl ORDER BY d) AS wl, list(wm ORDER BY d) AS wm FROM g),
+p AS (SELECT a.set_id, a.correct_index, a.i, list_sum([abs(z[1] - z[2]) * z[3] + z[1] * z[2] * z[4] FOR z IN list_zip(a.v, b.v, wl, wm)]) AS s FROM x a JOIN x b ON a.set_id = b.set_id AND a.i = b.i AND a.item_id < b.item_id, w),
+s AS (SELECT set_id, correct_index, i, round(avg(s), 9) AS s FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY s DESC, i) AS rn FROM s)
+SELECT correct_index, count(*) AS n, round(avg(CAST(i = correct_index AS INTEGER)), 6) AS accuracy, round(avg(s), 5) AS mean_score FROM k WHERE rn = 1 GROUP BY correct_index""")
+def fitb_given_weights(spark, sf):
+    """Accuracy of a linear model with given weights on every fill-in-the-blank question, by the right answer's slot."""
+    import numpy as np
+
+    from .operators import completion
+    from .operators.learners import Logistic
+
+    rows = spark.range(128).select("id", (uniform("weight", F.col("id")) - 0.5).alias("w")).orderBy("id").collect()  # 128 weights
+    model = Logistic(np.ones(1), np.array([[x["w"] for x in rows]]), np.zeros(1))
+    posed = completion.posed(fitb_questions(spark, sf).withColumnRenamed("set_id", "key"), vectors(spark, sf))
+    s = completion.completion_scores(posed, model).withColumn("score", F.round(F.ln(F.col("score") / (1 - F.col("score"))), 9))
+    a = completion.answers(s)
+    return a.groupBy("correct_index").agg(F.count("*").alias("n"), r(F.avg(F.col("correct").cast("double"))).alias("accuracy"), r(F.avg("best_score"), 5).alias("mean_score"))
 
 
 @query("SELECT label, CAST(d AS BIGINT) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings) GROUP BY ALL")
