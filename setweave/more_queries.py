@@ -8,6 +8,7 @@ from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import choices, graph, metrics, multinomial, resampling, sets
 from .operators.joins import first_variant, gather, paired, remapped
+from .operators.quantiles import quantiles
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions
 from .queries import B, query, r
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
@@ -265,7 +266,29 @@ def consensus_classes(spark, sf):
 SELECT retained, count(*) AS n, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, quantile_cont(n_chars, 0.9) AS p90 FROM d GROUP BY retained""")
 def retained_vs_excluded(spark, sf):
     d = table(spark, sf, "documents").select("n_chars", (split_of(F.col("doc_id")) == "train").alias("retained"))
-    return d.groupBy("retained").agg(F.count("*").alias("n"), r(F.avg("n_chars")).alias("mean"), F.median("n_chars").alias("median"), F.percentile("n_chars", 0.9).alias("p90"))
+    return _spread(d, ["retained"], "n_chars")
+
+
+def _spread(d: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups, n, mean, median, p90 of a value."""
+    d = durable(d)
+    q = quantiles(d, groups, value, [0.5, 0.9]).groupBy(*groups).agg(*[F.max(F.when(F.col("q") == k, F.col("value"))).alias(name) for name, k in (("median", 0.5), ("p90", 0.9))])
+    return sets.rejoined(d.groupBy(*groups).agg(F.count("*").alias("n"), r(F.avg(value)).alias("mean")), q, groups)
+
+
+@query(f"""WITH {SET_ITEMS}, s AS (SELECT set_id, {split_sql("set_id")} = 'train' AS retained, count(*) AS items FROM si GROUP BY set_id),
+u AS (SELECT o_custkey, count(*) AS sets FROM orders GROUP BY o_custkey), f AS (SELECT item_id, count(*) AS sets FROM si GROUP BY item_id),
+x AS (SELECT 'length' AS part, retained, items AS v FROM s UNION ALL SELECT 'activity', retained, sets FROM s JOIN orders ON set_id = o_orderkey JOIN u USING (o_custkey)
+UNION ALL SELECT 'frequency', retained, f.sets FROM si JOIN s USING (set_id) JOIN f USING (item_id))
+SELECT part, retained, count(*) AS n, round(avg(v), 6) AS mean, median(v) AS median, quantile_cont(v, 0.9) AS p90 FROM x GROUP BY ALL""")
+def retention_diagnostics(spark, sf):
+    """Sets that are retained and those that are not: their lengths, how active their users are, how frequent their items."""
+    si, o = set_items(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("set_id"), "o_custkey")
+    s = durable(si.groupBy("set_id").agg(F.count("*").alias("v")).withColumn("retained", split_of(F.col("set_id")) == "train"))
+    activity = s.drop("v").join(o, "set_id").join(o.groupBy("o_custkey").agg(F.count("*").alias("v")), "o_custkey")
+    frequency = si.join(s.drop("v"), "set_id").join(si.groupBy("item_id").agg(F.count("*").alias("v")), "item_id")
+    parts = [x.select(F.lit(name).alias("part"), "retained", "v") for name, x in (("length", s), ("activity", activity), ("frequency", frequency))]
+    return _spread(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["part", "retained"], "v")
 
 
 @query(f"""WITH {PREDICTIONS}, g AS (SELECT lang, model, round(avg(abs(score - label)), 4) AS loss FROM pred GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY loss) AS rk FROM g)

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import before, durable, ranges, running
 
-#: Most rows that are compared pair by pair.
+#: Most rows whose dominators are listed, which compares them pair by pair.
 PAIRED = 20_000
 
 
@@ -78,6 +79,40 @@ def dominated(df: DataFrame, key: str, metric: str, cost: str) -> DataFrame:
     return out.withColumn("dominated", F.col("dominators") != "")
 
 
+def rejoined(df: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns that told has for its keys, null keys too."""
+    told = told.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(told, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def pareto_flags(df: DataFrame, metric: str, cost: str) -> DataFrame:
+    """df with dominated: whether another row is no worse in both and better in one (metric high, cost low).
+
+    A row is dominated if the best metric of any lower cost is as good, or that of its own cost is better: a running
+    maximum over the distinct costs, no pairs of rows. Rows with a null in either are dominated by none and dominate none.
+    """
+    best = df.where(F.col(metric).isNotNull() & F.col(cost).isNotNull()).groupBy(cost).agg(F.max(metric).alias("_best"))
+    best = before(ranges(best, [], F.col(cost)), [], [F.col(cost)], {"_lower": ("max", F.col("_best"))}).drop("_part")
+    best = durable(best).withColumnRenamed(cost, "_c")
+    out = df.join(best, F.col(cost) == F.col("_c"), "left")
+    return out.withColumn("dominated", F.coalesce((F.col("_lower") >= F.col(metric)) | (F.col("_best") > F.col(metric)), F.lit(False))).drop("_c", "_best", "_lower")
+
+
+def ranks(df: DataFrame, groups: list[str], value: str, descending: bool = True) -> DataFrame:
+    """df with rank_min (1 + rows that are better) and rank_avg (the mean place of equal values) within its group; nulls come last.
+
+    Equal values are counted first and places are running sums over the distinct values, so a group, or a tie, of any
+    size is no task's own.
+    """
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    n = running(df.groupBy(*groups, value).agg(F.count("*").alias("_n")), groups, order, {"_before": "_n"})
+    places = durable(n.select(*groups, value, (F.col("_before") + 1).alias("rank_min"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("rank_avg")))
+    return rejoined(df, places, [*groups, value])
+
+
 def largest_remainder(counts: DataFrame, key: str, n: str, whole: int) -> DataFrame:
     """key, target: whole dealt in proportion to n, remainders to the largest, ties by key. One row a key."""
     share = F.col(n) * F.lit(float(whole)) / F.sum(n).over(W.partitionBy(F.lit(1)))
@@ -93,9 +128,10 @@ def average_rank(score: str, *groups: str, descending: bool = True) -> Column:
 
 
 def holm(df: DataFrame, p: str, key: str, *groups: str) -> DataFrame:
-    """Adds p_adjusted: Holm's step-down within each family, a running maximum clipped at 1."""
-    order = W.partitionBy(*groups).orderBy(p, key)
-    m = F.count("*").over(W.partitionBy(*groups))
-    step = df.withColumn("_step", (m - F.row_number().over(order) + 1) * F.col(p))
-    run = F.max("_step").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return step.withColumn("p_adjusted", F.least(F.lit(1.0), run)).drop("_step")
+    """Adds p_adjusted: Holm's step-down within each family, a running maximum clipped at 1; families of any size, over ranges of (p, key), which is unique."""
+    order, families = [F.col(p), F.col(key)], list(groups)
+    rows = before(ranges(df, families, *order), families, order, {"_nth": ("sum", F.lit(1).cast("long"))})
+    m = durable(df.groupBy(*families).agg(F.count("*").alias("_m")))
+    rows = rejoined(rows, m, families).withColumn("_step", (F.col("_m") - F.col("_nth")) * F.col(p))
+    out = before(rows, families, order, {"_max": ("max", F.col("_step"))})
+    return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.greatest("_max", "_step"))).drop("_part", "_nth", "_m", "_step", "_max")

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import graph, metrics, multinomial, resampling, sets
+from .operators.agreement import kendall
+from .operators.quantiles import quantiles
 from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions, fitb_sql
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
+from .storage import before, durable, ranges
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -77,7 +80,10 @@ def value_counts_support(spark, sf):
 SELECT count(*) AS sets, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sd, median(n) AS median, min(n) AS lo, max(n) AS hi, quantile_cont(n, 0.9) AS p90 FROM c""")
 def length_stats(spark, sf):
     c = set_items(spark, sf).groupBy("set_id").agg(F.count("*").alias("n"))
-    return c.agg(F.count("*").alias("sets"), r(F.avg("n")).alias("mean"), r(F.stddev_samp("n")).alias("sd"), F.median("n").alias("median"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.percentile("n", 0.9).alias("p90"))
+    c = durable(c)
+    q = quantiles(c, [], "n", [0.5, 0.9]).agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"), F.max(F.when(F.col("q") == 0.9, F.col("value"))).alias("p90"))
+    n = c.agg(F.count("*").alias("sets"), r(F.avg("n")).alias("mean"), r(F.stddev_samp("n")).alias("sd"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return n.crossJoin(F.broadcast(q)).select("sets", "mean", "sd", "median", "lo", "hi", "p90")  # one row each
 
 
 @query(f"""WITH {SET_ITEMS}, c AS (SELECT set_id, count(*) AS n FROM si GROUP BY set_id)
@@ -176,6 +182,14 @@ def pareto_dominated(spark, sf):
     return sets.dominated(g, "key", "metric", "cost")
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, floor(p_retailprice / 10) AS price FROM part)
+SELECT p_partkey, p_brand, EXISTS (SELECT 1 FROM p b WHERE b.p_size >= a.p_size AND b.price <= a.price AND (b.p_size > a.p_size OR b.price < a.price)) AS dominated FROM p a""")
+def pareto_flags(spark, sf):
+    """Whether another part is no smaller and no dearer, and larger or cheaper: of all parts, without pairs."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.floor(F.col("p_retailprice") / 10).alias("price"))
+    return sets.pareto_flags(p, "p_size", "price").select("p_partkey", "p_brand", "dominated")
+
+
 FACETS = (("tiny", 0, 499), ("short", 500, 1999), ("middle", 2000, 9999), ("long", 10000, 10**9))
 
 
@@ -222,9 +236,8 @@ def set_operations(spark, sf):
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, floor(s_acctbal / 1000) AS level FROM supplier)
 SELECT s_suppkey, s_nationkey, rank() OVER w AS rank_min, rank() OVER w + (count(*) OVER (PARTITION BY s_nationkey, level) - 1) / CAST(2 AS DOUBLE) AS rank_avg FROM s WINDOW w AS (PARTITION BY s_nationkey ORDER BY level DESC)""")
 def rank_min_avg(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("level", F.floor(F.col("s_acctbal") / 1000))
-    w = W.partitionBy("s_nationkey").orderBy(F.desc("level"))
-    return s.select("s_suppkey", "s_nationkey", F.rank().over(w).cast("long").alias("rank_min"), sets.average_rank("level", "s_nationkey").alias("rank_avg"))
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("level"))
+    return sets.ranks(s, ["s_nationkey"], "level").select("s_suppkey", "s_nationkey", "rank_min", "rank_avg")
 
 
 @query(f"""WITH p AS (SELECT p_partkey, p_type, {uniform_sql("p", "p_partkey")} / 50 AS p FROM part),
@@ -500,12 +513,27 @@ def spearman_rho(spark, sf):
 p AS (SELECT j.model_a, j.model_b, sign(j.x - i.x) AS dx, sign(j.y - i.y) AS dy FROM j JOIN j i ON j.model_a = i.model_a AND j.model_b = i.model_b AND j.source < i.source)
 SELECT model_a, model_b, round(sum(dx * dy) / sqrt(CAST(sum(abs(dx)) AS DOUBLE) * sum(abs(dy))), 6) AS tau, count(*) FILTER (dx * dy < 0) AS reversals FROM p GROUP BY ALL""")
 def kendall_tau_reversals(spark, sf):
-    k = _ranks(spark, sf)
+    return kendall(_two_models(_ranks(spark, sf)), ["model_a", "model_b"], "x", "y").select("model_a", "model_b", r(F.col("tau")).alias("tau"), F.col("discordant").alias("reversals"))
+
+
+def _two_models(k: DataFrame) -> DataFrame:
+    """model_a, model_b, source, x, y: the scores s of every two models."""
     a, b = k.select(F.col("model").alias("model_a"), "source", F.col("s").alias("x")), k.select(F.col("model").alias("model_b"), "source", F.col("s").alias("y"))
-    j = a.join(b, "source").where("model_a < model_b")
-    i = j.select("model_a", "model_b", F.col("source").alias("source2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    p = j.join(i, ["model_a", "model_b"]).where("source < source2").select("model_a", "model_b", F.signum(F.col("x") - F.col("x2")).alias("dx"), F.signum(F.col("y") - F.col("y2")).alias("dy"))  # pairs of the few ranked groups
-    return p.groupBy("model_a", "model_b").agg(r(F.sum(F.col("dx") * F.col("dy")) / F.sqrt(F.sum(F.abs("dx")) * F.sum(F.abs("dy")))).alias("tau"), F.count_if(F.col("dx") * F.col("dy") < 0).alias("reversals"))
+    return a.join(b, "source").where("model_a < model_b")
+
+
+@query(f"""WITH RECURSIVE {PREDICTIONS}, k AS (SELECT model, source, round(avg(score * score), 9) AS s FROM pred GROUP BY ALL),
+j AS (SELECT a.model AS model_a, b.model AS model_b, a.source, a.s AS x, b.s AS y FROM k a JOIN k b ON a.source = b.source AND a.model < b.model),
+c AS (SELECT j.model_a, j.model_b, count(*) FILTER ((j.x - i.x) * (j.y - i.y) > 0) AS concordant, count(*) FILTER ((j.x - i.x) * (j.y - i.y) < 0) AS discordant FROM j JOIN j i ON j.model_a = i.model_a AND j.model_b = i.model_b AND j.source < i.source GROUP BY ALL),
+m AS (SELECT 1 AS k, [CAST(1 AS DOUBLE)] AS f UNION ALL SELECT k + 1, [list_sum(f[greatest(1, i - k):least(i, len(f))]) / (k + 1) FOR i IN range(1, len(f) + k + 1)] FROM m WHERE k < (SELECT count(DISTINCT source) FROM j)),
+d AS (SELECT f FROM m ORDER BY k DESC LIMIT 1)
+SELECT model_a, model_b, concordant, discordant, round(CAST(concordant - discordant AS DOUBLE) / (concordant + discordant), 6) AS tau, 'exact' AS p_kind,
+round(CASE WHEN concordant = discordant THEN 1 ELSE least(1, 2 * list_sum(f[1:least(concordant, discordant) + 1])) END, 9) AS p_value FROM c, d""")
+def kendall_exact(spark, sf):
+    """Kendall's tau of every two models over all sources, with the exact p-value."""
+    g = predictions(spark, sf).groupBy("model", "source").agg(r(F.avg(F.col("score") * F.col("score")), 9).alias("s"))
+    k = kendall(_two_models(g), ["model_a", "model_b"], "x", "y")
+    return k.select("model_a", "model_b", "concordant", "discordant", r(F.col("tau")).alias("tau"), "p_kind", r(F.col("p_value"), 9).alias("p_value"))
 
 
 @query("""WITH a AS (SELECT l_linenumber AS k, count(*) / sum(count(*)) OVER () AS p FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_linenumber AS k, count(*) / sum(count(*)) OVER () AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
@@ -562,9 +590,11 @@ def largest_remainder(spark, sf):
 @query(f"""WITH k AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {draw_sql("fraction", "doc_id")}, doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels)
 SELECT quality, fraction, count(*) AS n, min(doc_id) AS first_id FROM k, (SELECT unnest([10, 25, 50, 100]) AS fraction) WHERE rn <= greatest(1, floor(fraction * n / 100.0)) GROUP BY ALL""")
 def label_fraction(spark, sf):
-    w = W.partitionBy("quality")
-    k = table(spark, sf, "labels").withColumns({"rn": F.row_number().over(w.orderBy(draw("fraction", F.col("doc_id")), "doc_id")), "n": F.count("*").over(w)})
-    k = k.withColumn("fraction", F.explode(F.array(*[F.lit(i) for i in (10, 25, 50, 100)]))).where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("n") / 100)))
+    order, by = [draw("fraction", F.col("doc_id")), F.col("doc_id")], ["quality"]
+    d = table(spark, sf, "labels").select("doc_id", "quality")
+    k = before(ranges(d, by, *order), by, order, {"rn": ("sum", F.lit(1).cast("long"))})
+    k = sets.rejoined(k, durable(d.groupBy("quality").agg(F.count("*").alias("n"))), by)
+    k = k.withColumn("fraction", F.explode(F.array(*[F.lit(i) for i in (10, 25, 50, 100)]))).where(F.col("rn") < F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("n") / 100)))
     return k.groupBy("quality", "fraction").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 

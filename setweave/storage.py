@@ -1,4 +1,4 @@
-"""Durable intermediate tables in the folder that the driver and the executors share, and numbering and running sums over ranges."""
+"""Durable intermediate tables in the folder that the driver and the executors share, and numbering and running aggregates over ranges."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,16 +38,34 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
 
 
-def running(df: DataFrame, groups: list[str], order: Column, sums: dict[str, str]) -> DataFrame:
-    """df with, for each new column: old column, the sum of old over the group's rows before, in this order, which has no ties.
+def ranges(df: DataFrame, groups: list[str], *order: Column) -> DataFrame:
+    """df (made durable) dealt by ranges of (groups, order), with the range as `_part`: what before() goes along."""
+    return durable(df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("_part", F.spark_partition_id()))
+
+
+#: How totals of whole ranges, and a total and a range's own value, come together.
+JOINED = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
 
-    Rows are dealt by ranges of (groups, order); a window spans one range, and sums of whole ranges are added.
+def before(rows: DataFrame, groups: list[str], order: list[Column], told: dict[str, tuple[str, Column]]) -> DataFrame:
+    """rows of ranges() with, for each new column: (sum, max or min; column), that aggregate over the group's rows before, in this order, which has no ties.
+
+    A window spans one range, and totals of whole ranges are carried over: no task needs more than its range, whatever
+    the group. A sum over no rows is 0, an extreme null. A null is a group like any other.
     """
-    by = [F.col(g) for g in groups]
-    rows = durable(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
-    tot = rows.groupBy(*groups, "_part").agg(*[F.sum(c).alias("_t" + c) for c in sums.values()])
+    of = {new: (f"_w{k}", f"_b{k}", *told[new]) for k, new in enumerate(told)}
+    tot = rows.groupBy(*groups, "_part").agg(*[JOINED[f][0](c).alias(b) for _, b, f, c in of.values()])
     ahead = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
-    tot = tot.select(*groups, "_part", *[F.coalesce(F.sum("_t" + c).over(ahead), F.lit(0.0)).alias("_b" + c) for c in sums.values()])
-    here = W.partitionBy(*groups, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = rows.withColumns({"_w" + c: F.coalesce(F.sum(c).over(here), F.lit(0.0)) for c in sums.values()}).join(tot, [*groups, "_part"])
-    return out.withColumns({new: F.col("_w" + c) + F.col("_b" + c) for new, c in sums.items()}).drop("_part", *["_w" + c for c in sums.values()], *["_b" + c for c in sums.values()])
+    tot = tot.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_part").alias("_p"), *[JOINED[f][0](b).over(ahead).alias(b) for _, b, f, _ in of.values()])
+    here = W.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumns({w: JOINED[f][0](c).over(here) for w, _, f, c in of.values()})
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    out = out.join(tot, same).withColumns({new: JOINED[f][1](F.col(w), F.col(b)) for new, (w, b, f, _) in of.items()})
+    return out.drop("_p", *[f"_g{k}" for k in range(len(groups))], *[w for w, *_ in of.values()], *[b for _, b, *_ in of.values()])
+
+
+def running(df: DataFrame, groups: list[str], order: Column, sums: dict[str, str]) -> DataFrame:
+    """df with, for each new column: old column, the sum of old over the group's rows before, in this order, which has no ties."""
+    return before(ranges(df, groups, order), groups, [order], {new: ("sum", F.col(old)) for new, old in sums.items()}).drop("_part")

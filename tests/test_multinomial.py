@@ -67,12 +67,14 @@ def test_metrics_equal_brute_force(scores, spark):
     base = M.with_unit_totals(base, units, strata, "unit")
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "7")  # ties straddle ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         auc = {(r["model"], r["replicate"]): r["auc"] for r in M.resampled_auc(base, ["model"], B, "x", strata).collect()}
         ap = {(r["model"], r["replicate"]): r["ap"] for r in M.resampled_ap(base, ["model"], B, "x", strata).collect()}
         sums = {(r["model"], r["replicate"]): (r["pos"], r["n"]) for r in M.resampled_sums(base, ["model"], ["pos", "n"], B, "x", strata).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert not any(m == "c" for m, _ in auc) and len(auc) == 2 * B
     for m in "ab":
         own = [r for r in rows if r[0] == m]
