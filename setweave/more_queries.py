@@ -9,7 +9,7 @@ from .functions.keys import draw, draw_sql, uniform, uniform_sql
 from .operators import choices, graph, metrics, multinomial, resampling, sets
 from .operators.joins import first_variant, gather, paired, remapped
 from .operators.quantiles import quantiles
-from .plans.questions import FITB_SQL, NEGATIVES_SQL, cp_negatives, fitb_questions
+from .plans.questions import CLASS_SQL, FITB_SQL, NEGATIVES_SQL, class_questions, cp_negatives, fitb_questions, item_classes
 from .queries import B, query, r
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
 from .storage import durable
@@ -231,19 +231,34 @@ def encoder_lookup(spark, sf):
 
 
 @query(f"""WITH {PREDICTIONS}, p AS (SELECT pred.*, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'middle' ELSE 'long' END AS length_group FROM pred JOIN documents USING (doc_id)),
-e AS (SELECT model, length_group FROM p GROUP BY ALL HAVING count(*) >= 200 AND sum(label) > 0 AND sum(label) < count(*)),
+e AS (SELECT model, length_group FROM p GROUP BY ALL HAVING sum(label) > 0 AND sum(label) < count(*)),
 b AS (SELECT model, length_group, score, sum(label) AS p, sum(1 - label) AS n FROM p JOIN e USING (model, length_group) GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, length_group ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
 SELECT model, length_group, CAST(sum(p + n) AS BIGINT) AS rows_, round(sum(p * (below + n / CAST(2 AS DOUBLE))) / (sum(p) * sum(n)), 6) AS auc FROM c GROUP BY ALL""")
 def length_group_auc(spark, sf):
-    """AUC by length group, of groups of 200 rows or more and both classes."""
+    """AUC by length group, of groups of both classes."""
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "middle").otherwise("long").alias("length_group"))
     p = predictions(spark, sf).join(d, "doc_id")
     keys = ["model", "length_group"]
-    big = p.groupBy(*keys).agg(F.count("*").alias("rows_"), F.sum("label").alias("pos")).where("rows_ >= 200 and pos > 0 and pos < rows_").select(*keys, "rows_")
+    big = p.groupBy(*keys).agg(F.count("*").alias("rows_"), F.sum("label").alias("pos")).where("pos > 0 and pos < rows_").select(*keys, "rows_")
     return metrics.roc_auc(p.join(big, keys, "left_semi"), keys).join(big, keys).select(*keys, "rows_", r(F.col("auc")).alias("auc"))
 
 
+@query(f"""WITH n AS ({NEGATIVES_SQL}), o AS (SELECT DISTINCT l_orderkey AS set_id, l_partkey AS item_id FROM lineitem),
+x AS (SELECT set_id, 1 AS label, item_id FROM o UNION ALL SELECT set_id, 0, CAST(unnest(string_split(negative, ',')) AS BIGINT) FROM n WHERE complete),
+c AS (SELECT DISTINCT set_id, label, p_brand AS category, round(0.3 * label + CAST(0.7 AS DOUBLE) * {uniform_sql("contains", "set_id", "label")}, 3) AS score FROM x JOIN part ON p_partkey = item_id),
+e AS (SELECT category FROM c GROUP BY category HAVING count(*) >= 200 AND sum(label) > 0 AND sum(label) < count(*)),
+b AS (SELECT category, score, sum(label) AS p, sum(1 - label) AS n FROM c JOIN e USING (category) GROUP BY ALL), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY category ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
+SELECT category, CAST(sum(p + n) AS BIGINT) AS examples, round(sum(p * (below + n / CAST(2 AS DOUBLE))) / (sum(p) * sum(n)), 6) AS auc FROM r GROUP BY category""")
+def contains_category_auc(spark, sf):
+    """AUC over the sets that contain a category, of categories in 200 sets or more and both classes."""
+    x = _examples(spark, sf).select("set_id", "label", "item_id").join(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category")), "item_id")
+    c = x.select("set_id", "label", "category").distinct()
+    c = durable(c.withColumn("score", r(0.3 * F.col("label") + 0.7 * uniform("contains", F.col("set_id"), F.col("label")), 3)))
+    n = c.groupBy("category").agg(F.count("*").alias("examples"), F.sum("label").alias("pos")).where("examples >= 200 and pos > 0 and pos < examples").select("category", "examples")
+    return metrics.roc_auc(c.join(n, "category", "left_semi"), ["category"]).join(n, "category").select("category", "examples", r(F.col("auc")).alias("auc"))
+
+
 @query(f"""WITH q AS ({FITB_SQL}), s AS (SELECT set_id, blank, correct_index, CAST(unnest(range(4)) AS INTEGER) AS i, unnest(string_split(candidates, ',')) AS c FROM q),
 k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {draw_sql("fitb", "set_id", "c")} % 10 DESC, i) AS rn FROM s)
 SELECT p_brand AS category, count(*) AS n, round(avg(CAST(i = correct_index AS INTEGER)), 6) AS accuracy FROM k JOIN part ON p_partkey = blank WHERE rn = 1 GROUP BY p_brand HAVING count(*) >= 100""")
@@ -432,6 +447,51 @@ def question_safeguards(spark, sf):
     return by.agg(F.count("*").alias("questions"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
+@query(CLASS_SQL)
+def fitb_class_questions(spark, sf):
+    """Fill-in-the-blank questions in which items of one class stand for the same thing."""
+    return class_questions(spark, sf)
+
+
+@query(f"""WITH q AS ({CLASS_SQL}), k AS (SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS cls, p_brand FROM part),
+c AS (SELECT set_id, question, blank, correct_index, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest(string_split(candidates, ',')) AS BIGINT) AS item_id FROM q), o AS (SELECT DISTINCT l_orderkey AS set_id, l_partkey AS item_id FROM lineitem),
+f AS (SELECT set_id, array_to_string(list_sort(list(item_id)), ',') AS items, array_to_string(list_sort(list(cls)), ',') AS classes FROM o JOIN k USING (item_id) GROUP BY set_id),
+m AS (SELECT set_id, i, CAST(unnest(string_split(question, ',')) AS BIGINT) AS item_id FROM c WHERE i <> correct_index UNION ALL SELECT set_id, i, item_id FROM c WHERE i <> correct_index),
+d AS (SELECT set_id, i, array_to_string(list_sort(list(item_id)), ',') AS items, array_to_string(list_sort(list(cls)), ',') AS classes FROM m JOIN k USING (item_id) GROUP BY ALL),
+w AS (SELECT c.*, k.cls, k.p_brand FROM c JOIN k USING (item_id)), oc AS (SELECT DISTINCT set_id, cls FROM o JOIN k USING (item_id)), n AS (SELECT correct_index, count(*) AS n FROM q GROUP BY 1)
+SELECT (SELECT count(*) FROM q) AS questions, (SELECT max(n) - min(n) FROM n) AS slot_spread, (SELECT count(*) FROM w JOIN k b ON b.item_id = blank WHERE w.p_brand <> b.p_brand) AS other_category,
+(SELECT count(*) FROM w JOIN o USING (set_id, item_id) WHERE i <> correct_index) AS own_by_id, (SELECT count(*) FROM w JOIN oc USING (set_id, cls) WHERE i <> correct_index) AS own_by_class,
+(SELECT count(*) FROM (SELECT set_id FROM w GROUP BY set_id HAVING count(DISTINCT item_id) < 4)) AS repeated_by_id, (SELECT count(*) FROM (SELECT set_id FROM w GROUP BY set_id HAVING count(DISTINCT cls) < 4)) AS repeated_by_class,
+(SELECT count(*) FROM d WHERE items IN (SELECT items FROM f)) AS positive_by_id, (SELECT count(*) FROM d WHERE classes IN (SELECT classes FROM f)) AS positive_by_class""")
+def class_safeguards(spark, sf):
+    """Questions by class whose distractors break a rule, by id and by class: own item, repeated, one that completes a positive set."""
+    q = durable(class_questions(spark, sf))
+    k = item_classes(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_brand"), "item_id")
+    k = durable(k)
+    c = q.select("set_id", "question", "blank", "correct_index", F.posexplode(F.split("candidates", ",")).alias("i", "c")).withColumn("item_id", F.col("c").cast("long")).join(k, "item_id")
+    c = durable(c.join(k.select(F.col("item_id").alias("blank"), F.col("p_brand").alias("blank_brand")), "blank"))
+    own = set_items(spark, sf).join(k.select("item_id", "cls"), "item_id")
+    told = lambda x, *by: x.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"), F.array_join(F.array_sort(F.collect_list("cls")), ",").alias("classes"))
+    whole = durable(told(own, "set_id"))
+    wrong = c.where("i <> correct_index")
+    parts = wrong.select("set_id", "i", F.explode(F.split("question", ",").cast("array<long>")).alias("item_id")).unionByName(wrong.select("set_id", "i", "item_id"))
+    done = durable(told(parts.join(k.select("item_id", "cls"), "item_id"), "set_id", "i"))
+    by = c.groupBy("set_id").agg(F.count_distinct("item_id").alias("ids"), F.count_distinct("cls").alias("classes"), F.count_if(F.col("p_brand") != F.col("blank_brand")).alias("other"))
+    n = q.groupBy("correct_index").agg(F.count("*").alias("n"))
+    one = [
+        n.agg(F.sum("n").alias("questions"), (F.max("n") - F.min("n")).alias("slot_spread")),
+        by.agg(F.sum("other").alias("other_category"), F.count_if(F.col("ids") < 4).alias("repeated_by_id"), F.count_if(F.col("classes") < 4).alias("repeated_by_class")),
+        wrong.join(own.select("set_id", "item_id"), ["set_id", "item_id"], "left_semi").agg(F.count("*").alias("own_by_id")),
+        wrong.join(own.select("set_id", "cls"), ["set_id", "cls"], "left_semi").agg(F.count("*").alias("own_by_class")),
+        done.join(whole.select("items"), "items", "left_semi").agg(F.count("*").alias("positive_by_id")),
+        done.join(whole.select("classes"), "classes", "left_semi").agg(F.count("*").alias("positive_by_class")),
+    ]
+    out = one[0]
+    for x in one[1:]:
+        out = out.crossJoin(F.broadcast(x))  # one row each
+    return out
+
+
 @query(f"""WITH {PREDICTIONS} SELECT model, count(*) AS n, count(*) - count(DISTINCT doc_id) AS repeated_ids, count(*) FILTER (score NOT BETWEEN 0 AND 1 OR score IS NULL) AS bad_scores, count(DISTINCT label) AS labels,
 (SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) - count(*) AS missing FROM pred GROUP BY model""")
 def package_checks(spark, sf):

@@ -3,10 +3,14 @@ takes the item `offset + k` places on, skipping excluded items; as many more pla
 a category has excluded items, so a slot stays empty only if the category is too small.
 
 Negative sets keep a set's length and categories. One that equals a positive set or another negative
-is made again from another start, ROUNDS times at most; a set that collides in every round is not
-complete. Fill-in-the-blank questions hide one item and add three of its category, none of which
+is made again from another start until none is left, or ROUNDS times; a set that still collides is not
+complete (the SQL writes SQL_ROUNDS rounds out). Fill-in-the-blank questions hide one item and add three of its category, none of which
 completes a positive set. A category is p_brand. Everything is an equi-join on (category, place). A
 seed gives other pools, starts and blanks over the same items.
+
+Questions by class hold items of one class (here: equal vectors) for the same thing: no distractor has the
+class of an own item or of another distractor, and none completes a positive set class for class. The right
+answers' slots go round by the questions' numbers.
 """
 
 from pyspark.sql import DataFrame
@@ -15,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import draw, draw_sql
 from ..sources.tables import SET_ITEMS, set_items, table
-from ..storage import durable
+from ..storage import durable, numbered
 
-ROUNDS, DISTRACTORS = 3, 3
+ROUNDS, SQL_ROUNDS, DISTRACTORS = 100, 6, 3
 
 
 def _pool(spark, sf, seed="") -> DataFrame:
@@ -67,15 +71,19 @@ def cp_negatives(spark, sf) -> DataFrame:
     held = n.select("set_id", F.lit(None).cast("string").alias("negative"), F.lit(False).alias("complete")).limit(0)
     todo = n.select("set_id")
     for nth in range(ROUNDS):
+        if todo.isEmpty():
+            break
         got = _fill(pool, slots.join(todo, "set_id", "left_semi"), own, 1, f"start{nth or ''}").groupBy("set_id").agg(F.array_sort(F.collect_list("candidate")).alias("v"))
         got = todo.join(n, "set_id").join(got, "set_id", "left").select("set_id", F.array_join("v", ",").alias("negative"), F.coalesce(F.size("v") == F.col("n_items"), F.lit(False)).alias("full"))
         got = durable(got)
         taken = n.select(F.col("positive").alias("negative")).unionByName(held.where("complete").select("negative")).distinct().withColumn("hit", F.lit(True))
         got = got.join(taken, "negative", "left").join(got.where("full").groupBy("negative").agg(F.min("set_id").alias("first")), "negative", "left")
         got = durable(got.select("set_id", "negative", "full", (F.col("full") & F.col("hit").isNull() & (F.col("first") == F.col("set_id"))).alias("complete")))
-        done = got if nth == ROUNDS - 1 else got.where("complete or not full")
-        held = durable(held.unionByName(done.select("set_id", "negative", "complete")))
-        todo = got.where("full and not complete").select("set_id")
+        last = got.where("full and not complete")
+        held = durable(held.unionByName(got.where("complete or not full").select("set_id", "negative", "complete")))
+        todo = last.select("set_id")
+    else:
+        held = held.unionByName(last.select("set_id", "negative", "complete"))
     return n.join(held, "set_id").select("set_id", "n_items", "negative", "complete")
 
 
@@ -88,8 +96,8 @@ b{nth} AS (SELECT set_id, array_to_string(v{nth}.v, ',') AS negative, coalesce(l
 a{nth} AS (SELECT set_id, negative, full_, coalesce(full_ AND negative NOT IN ({taken}) AND set_id = min(CASE WHEN full_ THEN set_id END) OVER (PARTITION BY negative), FALSE) AS complete FROM b{nth})"""
 
 
-NEGATIVES_SQL = f"""WITH {_pool_sql()}, own AS (SELECT set_id, item_id AS candidate FROM x), {", ".join(map(_round_sql, range(ROUNDS)))},
-held AS ({" UNION ALL ".join(f"SELECT set_id, negative, complete FROM a{k}" + (" WHERE complete OR NOT full_" if k < ROUNDS - 1 else "") for k in range(ROUNDS))})
+NEGATIVES_SQL = f"""WITH {_pool_sql()}, own AS (SELECT set_id, item_id AS candidate FROM x), {", ".join(map(_round_sql, range(SQL_ROUNDS)))},
+held AS ({" UNION ALL ".join(f"SELECT set_id, negative, complete FROM a{k}" + (" WHERE complete OR NOT full_" if k < SQL_ROUNDS - 1 else "") for k in range(SQL_ROUNDS))})
 SELECT set_id, len(v) AS n_items, negative, complete FROM pos JOIN held USING (set_id)"""
 
 
@@ -127,3 +135,56 @@ FROM blank JOIN rest USING (set_id) JOIN v USING (set_id)"""
 
 
 FITB_SQL = fitb_sql()
+
+
+def item_classes(spark, sf) -> DataFrame:
+    """(item_id, cls): parts that share a vector are one class."""
+    n = table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")).crossJoin(F.broadcast(n)).select("item_id", (F.col("item_id") % F.col("n")).alias("cls"))  # n is one row
+
+
+def without_one(v):
+    """All arrays that a sorted array leaves without one of its elements, with that element: (rest, one)."""
+    at = F.sequence(F.lit(1), F.size(v))
+    rest = lambda i: F.concat(F.slice(v, F.lit(1), i - 1), F.slice(v, i + 1, F.greatest(F.size(v) - i, F.lit(0))))
+    return F.inline(F.array_distinct(F.transform(at, lambda i: F.struct(rest(i).alias("rest"), F.element_at(v, i).alias("one")))))
+
+
+def class_questions(spark, sf, seed="class") -> DataFrame:
+    """set_id, question, blank, candidates, correct_index, as fitb_questions but by class; correct_index is the question's number mod 4."""
+    classes = durable(item_classes(spark, sf))
+    x = durable(_items(spark, sf).join(classes, "item_id"))
+    pool = durable(_pool(spark, sf, seed).join(classes.withColumnRenamed("item_id", "candidate"), "candidate"))
+    w = W.partitionBy("set_id").orderBy(draw(f"blank{seed}", F.col("set_id"), F.col("item_id")), "item_id")  # sets are of bounded size
+    r = x.withColumn("rn", F.row_number().over(w))
+    blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat")
+    rest = r.where("rn > 1").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"), F.array_sort(F.collect_list("cls")).alias("rest"))
+    less = x.groupBy("set_id").agg(F.array_sort(F.collect_list("cls")).alias("v")).select(without_one(F.col("v"))).withColumnRenamed("one", "cls").distinct()
+    out = durable(x.select("set_id", "cls").unionByName(rest.join(less, "rest").select("set_id", "cls")).distinct())
+    held = pool.groupBy("cat", "cls").agg(F.count("*").alias("m"))
+    size = pool.groupBy("cat").agg(F.max("size").alias("size")).join(held.groupBy("cat").agg(F.max("m").alias("most")), "cat")
+    skip = out.join(blank.select("set_id", "cat"), "set_id").join(held, ["cat", "cls"]).groupBy("set_id", "cat").agg(F.sum("m").alias("skip"))
+    s = blank.select("set_id", "cat").join(skip, ["set_id", "cat"]).join(size, "cat")
+    s = s.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(DISTRACTORS * F.col("most") + F.col("skip"), F.col("size")) - 1)))
+    s = s.withColumn("place", (draw(f"start{seed}", F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).select("set_id", "cat", "t", "place")
+    s = s.join(pool.select("cat", "place", "candidate", "cls"), ["cat", "place"]).join(out, ["set_id", "cls"], "left_anti")
+    s = s.groupBy("set_id", "cls").agg(F.min(F.struct("t", "candidate")).alias("c"))  # the first of a class
+    got = s.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, DISTRACTORS).alias("d")).where(F.size("d") == DISTRACTORS)
+    got = got.select("set_id", F.transform("d", lambda c: c["candidate"]).alias("d"))
+    place = numbered(blank.select("set_id"), "nth", draw(f"order{seed}", F.col("set_id")), F.col("set_id")).select("set_id", F.pmod("nth", F.lit(4)).cast("int").alias("correct_index"))
+    q = blank.join(rest.select("set_id", "question"), "set_id").join(got, "set_id").join(place, "set_id")
+    c = F.concat(F.slice("d", F.lit(1), F.col("correct_index")), F.array("blank"), F.slice("d", F.col("correct_index") + 1, F.lit(DISTRACTORS) - F.col("correct_index")))
+    return q.select("set_id", "question", "blank", F.array_join(c, ",").alias("candidates"), "correct_index")
+
+
+CLASS_SQL = f"""WITH {_pool_sql("class")}, k AS (SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS cls FROM part), xc AS (SELECT x.*, cls FROM x JOIN k USING (item_id)),
+pc AS (SELECT pool.*, cls FROM pool JOIN k ON candidate = item_id), r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {draw_sql("blankclass", "set_id", "item_id")}, item_id) AS rn FROM xc),
+blank AS (SELECT set_id, item_id AS blank, cat, CAST((row_number() OVER (ORDER BY {draw_sql("orderclass", "set_id")}, set_id) - 1) % 4 AS INTEGER) AS slot FROM r WHERE rn = 1),
+rest AS (SELECT set_id, array_to_string(list_sort(list(item_id)), ',') AS question, list_sort(list(cls)) AS rest FROM r WHERE rn > 1 GROUP BY set_id),
+v AS (SELECT set_id, list_sort(list(cls)) AS v FROM xc GROUP BY set_id), less AS (SELECT DISTINCT list_concat(v[1:CAST(i - 1 AS BIGINT)], v[CAST(i + 1 AS BIGINT):]) AS rest, v[i] AS cls FROM (SELECT v, unnest(range(1, len(v) + 1)) AS i FROM v)),
+o AS (SELECT set_id, cls FROM xc UNION SELECT set_id, less.cls FROM rest JOIN less USING (rest)), h AS (SELECT cat, cls, count(*) AS m FROM pc GROUP BY ALL), z AS (SELECT cat, sum(m) AS size, max(m) AS most FROM h GROUP BY cat),
+s AS (SELECT blank.set_id, blank.cat, sum(m) AS skip FROM blank JOIN o USING (set_id) JOIN h ON h.cat = blank.cat AND h.cls = o.cls GROUP BY ALL),
+e AS (SELECT set_id, cat, t, ({draw_sql("startclass", "set_id", "cat")} + t) % CAST(size AS BIGINT) AS place FROM s JOIN z USING (cat), LATERAL (SELECT unnest(range(CAST(least({DISTRACTORS} * most + skip, size) AS BIGINT))) AS t)),
+f AS (SELECT e.set_id, cls, min(t) AS t, arg_min(candidate, t) AS candidate FROM e JOIN pc USING (cat, place) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.set_id = e.set_id AND o.cls = pc.cls) GROUP BY ALL),
+g AS (SELECT set_id, (list(candidate ORDER BY t))[1:{DISTRACTORS}] AS d FROM f GROUP BY set_id HAVING count(*) >= {DISTRACTORS})
+SELECT set_id, question, blank, array_to_string(list_concat(list_concat(d[1:slot], [blank]), d[slot + 1:]), ',') AS candidates, slot AS correct_index FROM blank JOIN rest USING (set_id) JOIN g USING (set_id)"""
