@@ -4,9 +4,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def draw(seed: int | str, *keys: Column) -> Column:
-    """A whole number from 0 to 2^32 - 1."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+def draw(seed: int | str | Column, *keys: Column) -> Column:
+    """A whole number from 0 to 2^32 - 1. A seed that is a column differs by row."""
+    text = F.concat_ws(":", seed if isinstance(seed, Column) else F.lit(str(seed)), *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

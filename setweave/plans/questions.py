@@ -19,16 +19,22 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import draw, draw_sql
 from ..sources.tables import SET_ITEMS, set_items, table
-from ..storage import durable, numbered
+from ..storage import before, durable, ranges
 
 ROUNDS, SQL_ROUNDS, DISTRACTORS = 100, 6, 3
 
 
+def pool_of(items: DataFrame) -> DataFrame:
+    """items (seed, cat, candidate, ...) with place, its number from 0 in the md5 order of its category under the seed, and size, the category's; durable."""
+    by, order = ["seed", "cat"], [draw(F.concat(F.lit("pool"), F.col("seed")), F.col("candidate")), F.col("candidate")]
+    p = before(ranges(items, by, *order), by, order, {"place": ("sum", F.lit(1).cast("long"))}).drop("_part")
+    return durable(p.join(items.groupBy(*by).agg(F.count("*").alias("size")), by))
+
+
 def _pool(spark, sf, seed="") -> DataFrame:
     """(cat, place, candidate, size): the items of a category in md5 order."""
-    w = W.partitionBy("cat")
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("cat"), F.col("p_partkey").alias("candidate"))
-    return p.withColumns({"place": (F.row_number().over(w.orderBy(draw(f"pool{seed}", F.col("candidate")), "candidate")) - 1).cast("long"), "size": F.count("*").over(w)})
+    items = table(spark, sf, "part").select(F.lit(str(seed)).alias("seed"), F.col("p_brand").alias("cat"), F.col("p_partkey").alias("candidate"))
+    return pool_of(items).drop("seed")
 
 
 def _pool_sql(seed="") -> str:
@@ -63,8 +69,12 @@ g{tag} AS (SELECT *, row_number() OVER (PARTITION BY set_id, cat ORDER BY t) AS
 
 def cp_negatives(spark, sf) -> DataFrame:
     """set_id, n_items, negative (sorted items joined by commas), complete (all slots filled, no positive, no other's negative)."""
-    x = _items(spark, sf)
-    own, pool = x.select("set_id", F.col("item_id").alias("candidate")), durable(_pool(spark, sf))
+    return negatives_of(_items(spark, sf), _pool(spark, sf))
+
+
+def negatives_of(x: DataFrame, pool: DataFrame, seed="") -> DataFrame:
+    """cp_negatives() of sets x (set_id, item_id, cat) over a pool (cat, place, candidate, size)."""
+    own = x.select("set_id", F.col("item_id").alias("candidate"))
     n = x.groupBy("set_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("positive"))
     n = durable(n)
     slots = x.groupBy("set_id", "cat").agg(F.count("*").alias("n"), F.count("*").alias("skip"))
@@ -73,7 +83,7 @@ def cp_negatives(spark, sf) -> DataFrame:
     for nth in range(ROUNDS):
         if todo.isEmpty():
             break
-        got = _fill(pool, slots.join(todo, "set_id", "left_semi"), own, 1, f"start{nth or ''}").groupBy("set_id").agg(F.array_sort(F.collect_list("candidate")).alias("v"))
+        got = _fill(pool, slots.join(todo, "set_id", "left_semi"), own, 1, f"start{seed}{nth or ''}").groupBy("set_id").agg(F.array_sort(F.collect_list("candidate")).alias("v"))
         got = todo.join(n, "set_id").join(got, "set_id", "left").select("set_id", F.array_join("v", ",").alias("negative"), F.coalesce(F.size("v") == F.col("n_items"), F.lit(False)).alias("full"))
         got = durable(got)
         taken = n.select(F.col("positive").alias("negative")).unionByName(held.where("complete").select("negative")).distinct().withColumn("hit", F.lit(True))
@@ -101,26 +111,48 @@ held AS ({" UNION ALL ".join(f"SELECT set_id, negative, complete FROM a{k}" + ("
 SELECT set_id, len(v) AS n_items, negative, complete FROM pos JOIN held USING (set_id)"""
 
 
-def fitb_questions(spark, sf, seed="") -> DataFrame:
-    """set_id, question (the other items), blank, candidates (4, the right one at correct_index), correct_index = set_id mod 4."""
-    x = _items(spark, sf)
-    w = W.partitionBy("set_id").orderBy(draw(f"blank{seed}", F.col("set_id"), F.col("item_id")), "item_id")
+def fitb_questions(spark, sf, *seeds) -> DataFrame:
+    """set_id, question (the other items), blank, candidates (4, the right one at correct_index), correct_index = set_id mod 4; under several seeds in one plan, with seed."""
+    given = seeds or ("",)
+    each = F.explode(F.array(*[F.lit(str(s)) for s in given]))
+    x = _items(spark, sf).select(each.alias("seed"), "*").withColumn("cls", F.col("item_id"))
+    items = table(spark, sf, "part").select(each.alias("seed"), F.col("p_brand").alias("cat"), F.col("p_partkey").alias("candidate"), F.col("p_partkey").alias("cls"))
+    out = questions_of(durable(x), pool_of(items), F.pmod("set_id", F.lit(4)).cast("int"))
+    return out if len(given) > 1 else out.drop("seed")
+
+
+def questions_of(x: DataFrame, pool: DataFrame, slot=None) -> DataFrame:
+    """seed, set_id, question, blank, candidates, correct_index of sets x (seed, set_id, item_id, cat, cls) over a pool (seed, cat, place, candidate, cls, size).
+
+    correct_index is `slot`, or the question's number in md5 order mod 4. Items of one class stand for the same thing.
+    """
+    key, of = ["seed", "set_id"], lambda name: F.concat(F.lit(name), F.col("seed"))
+    w = W.partitionBy(*key).orderBy(draw(of("blank"), F.col("set_id"), F.col("item_id")), "item_id")  # sets are of bounded size
     r = x.withColumn("rn", F.row_number().over(w))
-    blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat")
-    rest = r.where("rn > 1").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"))
-    # items that make a question's others a positive set: those sets less one item
-    whole = x.groupBy("set_id").agg(F.array_sort(F.collect_list("item_id")).alias("v"))
-    less = whole.select("v", F.explode("v").alias("candidate")).select(F.array_join(F.array_except("v", F.array("candidate")), ",").alias("question"), "candidate").distinct()
-    out = durable(x.select("set_id", F.col("item_id").alias("candidate")).unionByName(rest.join(less, "question").select("set_id", "candidate")).distinct())
-    pool = durable(_pool(spark, sf, seed))
-    cats = out.join(pool.select("candidate", "cat"), "candidate").groupBy("set_id", "cat").agg(F.count("*").alias("skip"))
-    slots = blank.select("set_id", "cat", F.lit(1).cast("long").alias("n")).join(cats, ["set_id", "cat"])
-    got = _fill(pool, slots, out, DISTRACTORS, f"start{seed}").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("k", "candidate"))).alias("d"))
-    got = got.where(F.size("d") == DISTRACTORS).select("set_id", F.transform("d", lambda s: s["candidate"]).alias("d"))
-    at = F.pmod("set_id", F.lit(4)).cast("int")
-    out = blank.join(rest, "set_id").join(got, "set_id").withColumn("correct_index", at)
+    blank = r.where("rn = 1").select(*key, F.col("item_id").alias("blank"), "cat")
+    rest = r.where("rn > 1").groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"), F.array_sort(F.collect_list("cls")).alias("rest"))
+    # classes that make a question's others a positive set: those sets less one class
+    less = x.groupBy(*key).agg(F.array_sort(F.collect_list("cls")).alias("v")).select("seed", without_one(F.col("v"))).withColumnRenamed("one", "cls").distinct()
+    out = durable(x.select(*key, "cls").unionByName(rest.join(less, ["seed", "rest"]).select(*key, "cls")).distinct())
+    held = pool.groupBy("seed", "cat", "cls").agg(F.count("*").alias("m"))
+    size = pool.groupBy("seed", "cat").agg(F.max("size").alias("size")).join(held.groupBy("seed", "cat").agg(F.max("m").alias("most")), ["seed", "cat"])
+    skip = out.join(blank.select(*key, "cat"), key).join(held, ["seed", "cat", "cls"]).groupBy(*key, "cat").agg(F.sum("m").alias("skip"))
+    s = blank.select(*key, "cat").join(skip, [*key, "cat"]).join(size, ["seed", "cat"])
+    s = s.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(DISTRACTORS * F.col("most") + F.col("skip"), F.col("size")) - 1)))
+    s = s.withColumn("place", (draw(of("start"), F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).select(*key, "cat", "t", "place")
+    s = s.join(pool.select("seed", "cat", "place", "candidate", "cls"), ["seed", "cat", "place"]).join(out, [*key, "cls"], "left_anti")
+    s = s.groupBy(*key, "cls").agg(F.min(F.struct("t", "candidate")).alias("c"))  # the first of a class
+    got = s.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("c")), 1, DISTRACTORS).alias("d")).where(F.size("d") == DISTRACTORS)
+    got = got.select(*key, F.transform("d", lambda c: c["candidate"]).alias("d"))
+    q = blank.join(rest.select(*key, "question"), key).join(got, key)
+    if slot is None:
+        order = [draw(of("order"), F.col("set_id")), F.col("set_id")]
+        nth = before(ranges(blank.select(*key), ["seed"], *order), ["seed"], order, {"nth": ("sum", F.lit(1).cast("long"))})
+        q = q.join(nth.select(*key, F.pmod("nth", F.lit(4)).cast("int").alias("correct_index")), key)
+    else:
+        q = q.withColumn("correct_index", slot)
     c = F.concat(F.slice("d", F.lit(1), F.col("correct_index")), F.array("blank"), F.slice("d", F.col("correct_index") + 1, F.lit(DISTRACTORS) - F.col("correct_index")))
-    return out.select("set_id", "question", "blank", F.array_join(c, ",").alias("candidates"), "correct_index")
+    return q.select(*key, "question", "blank", F.array_join(c, ",").alias("candidates"), "correct_index")
 
 
 def fitb_sql(seed="") -> str:
@@ -153,28 +185,9 @@ def without_one(v):
 def class_questions(spark, sf, seed="class") -> DataFrame:
     """set_id, question, blank, candidates, correct_index, as fitb_questions but by class; correct_index is the question's number mod 4."""
     classes = durable(item_classes(spark, sf))
-    x = durable(_items(spark, sf).join(classes, "item_id"))
-    pool = durable(_pool(spark, sf, seed).join(classes.withColumnRenamed("item_id", "candidate"), "candidate"))
-    w = W.partitionBy("set_id").orderBy(draw(f"blank{seed}", F.col("set_id"), F.col("item_id")), "item_id")  # sets are of bounded size
-    r = x.withColumn("rn", F.row_number().over(w))
-    blank = r.where("rn = 1").select("set_id", F.col("item_id").alias("blank"), "cat")
-    rest = r.where("rn > 1").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("question"), F.array_sort(F.collect_list("cls")).alias("rest"))
-    less = x.groupBy("set_id").agg(F.array_sort(F.collect_list("cls")).alias("v")).select(without_one(F.col("v"))).withColumnRenamed("one", "cls").distinct()
-    out = durable(x.select("set_id", "cls").unionByName(rest.join(less, "rest").select("set_id", "cls")).distinct())
-    held = pool.groupBy("cat", "cls").agg(F.count("*").alias("m"))
-    size = pool.groupBy("cat").agg(F.max("size").alias("size")).join(held.groupBy("cat").agg(F.max("m").alias("most")), "cat")
-    skip = out.join(blank.select("set_id", "cat"), "set_id").join(held, ["cat", "cls"]).groupBy("set_id", "cat").agg(F.sum("m").alias("skip"))
-    s = blank.select("set_id", "cat").join(skip, ["set_id", "cat"]).join(size, "cat")
-    s = s.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(DISTRACTORS * F.col("most") + F.col("skip"), F.col("size")) - 1)))
-    s = s.withColumn("place", (draw(f"start{seed}", F.col("set_id"), F.col("cat")) + F.col("t")) % F.col("size")).select("set_id", "cat", "t", "place")
-    s = s.join(pool.select("cat", "place", "candidate", "cls"), ["cat", "place"]).join(out, ["set_id", "cls"], "left_anti")
-    s = s.groupBy("set_id", "cls").agg(F.min(F.struct("t", "candidate")).alias("c"))  # the first of a class
-    got = s.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, DISTRACTORS).alias("d")).where(F.size("d") == DISTRACTORS)
-    got = got.select("set_id", F.transform("d", lambda c: c["candidate"]).alias("d"))
-    place = numbered(blank.select("set_id"), "nth", draw(f"order{seed}", F.col("set_id")), F.col("set_id")).select("set_id", F.pmod("nth", F.lit(4)).cast("int").alias("correct_index"))
-    q = blank.join(rest.select("set_id", "question"), "set_id").join(got, "set_id").join(place, "set_id")
-    c = F.concat(F.slice("d", F.lit(1), F.col("correct_index")), F.array("blank"), F.slice("d", F.col("correct_index") + 1, F.lit(DISTRACTORS) - F.col("correct_index")))
-    return q.select("set_id", "question", "blank", F.array_join(c, ",").alias("candidates"), "correct_index")
+    x = durable(_items(spark, sf).join(classes, "item_id").withColumn("seed", F.lit(seed)))
+    items = table(spark, sf, "part").select(F.lit(seed).alias("seed"), F.col("p_brand").alias("cat"), F.col("p_partkey").alias("candidate"))
+    return questions_of(x, pool_of(items.join(classes.withColumnRenamed("item_id", "candidate"), "candidate"))).drop("seed")
 
 
 CLASS_SQL = f"""WITH {_pool_sql("class")}, k AS (SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS cls FROM part), xc AS (SELECT x.*, cls FROM x JOIN k USING (item_id)),

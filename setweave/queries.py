@@ -362,8 +362,7 @@ a AS (SELECT seed, count(*) AS n, avg(CAST(candidate_index = correct_index AS IN
 SELECT seed, n, round(m, 6) AS accuracy, round(m - avg(m) OVER (), 6) AS from_mean, round(stddev_samp(m) OVER (), 6) AS sd, round(max(m) OVER () - min(m) OVER (), 6) AS spread FROM a""")
 def fitb_seed_sweep(spark, sf):
     """Fill-in-the-blank questions made anew under each seed from the same items, and how far accuracy moves."""
-    q = [fitb_questions(spark, sf, s).select(F.lit(s).alias("seed"), "set_id", "correct_index", "candidates") for s in SEEDS]
-    q = reduce(DataFrame.unionByName, q).select("seed", "set_id", "correct_index", F.posexplode(F.split("candidates", ",")).alias("candidate_index", "c"))
+    q = fitb_questions(spark, sf, *SEEDS).select(F.col("seed").cast("int").alias("seed"), "set_id", "correct_index", F.posexplode(F.split("candidates", ",")).alias("candidate_index", "c"))
     q = q.withColumn("score", draw("fitb", F.col("set_id"), F.col("c")) % 10)
     best = metrics.first_argmax(q, ["seed", "set_id", "correct_index"], "candidate_index", "score")
     a = best.groupBy("seed").agg(F.count("*").alias("n"), F.avg((F.col("predicted_index") == F.col("correct_index")).cast("double")).alias("m"))
