@@ -1,8 +1,10 @@
 """ZIP archives: member lists, JSON members, and extraction of the members that are referenced.
 
-Archives are read by Spark alone (`binaryFile`), a row an archive, so each is at most 2 GB; a larger one is split before.
-Members come out in batches of BATCH_BYTES. Folders, `__MACOSX` and `._` members are skipped. Files that are no
-ZIP archive raise; damaged members are rows with a `problem`.
+An archive of any size is read by ranges of its bytes: a task opens it, reads its directory from the tail, and
+unpacks the members that begin in its range, so tasks share an archive and none holds it. Paths are opened by
+pyarrow's file systems (local and mounted folders, S3, GCS, HDFS); in another store that only Spark reads, an archive
+is a row of `binaryFile`, of 2 GB at most. Folders, `__MACOSX` and `._` members are skipped. Files that are no ZIP
+archive raise; damaged members are rows with a `problem`.
 """
 
 from __future__ import annotations
@@ -13,9 +15,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bytes of an archive whose members one task unpacks.
+RANGE_BYTES = 64 << 20
 BATCH_BYTES = 32 << 20
 MEMBER = "archive string, entry string, basename string, crc32 long, size long"
 CONTENT = MEMBER + ", content binary, problem string"
@@ -30,29 +37,91 @@ def _row(archive: str, i: zipfile.ZipInfo) -> tuple:
     return archive, i.filename, i.filename.rpartition("/")[2], i.CRC, i.file_size
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for path, data in zip(b["path"], b["content"]):
-            with zipfile.ZipFile(io.BytesIO(data)) as zf:
-                yield pd.DataFrame([_row(path, i) for i in _listed(zf)], columns=["archive", "entry", "basename", "crc32", "size"])
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
 
 
-def _contents(suffix: str):
+def _read(zf: zipfile.ZipFile, i: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    """(content, problem) of a member."""
+    try:
+        return zf.read(i), None
+    except DAMAGED as e:
+        return None, f"unreadable member: {type(e).__name__}"
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path, and the path in it; a store that it does not know raises."""
+    return fs.FileSystem.from_uri(path)
+
+
+class Range(InputPartition):
+    """The members of an archive that begin at lo or later, and before hi."""
+
+    def __init__(self, path: str, lo: int, hi: int):
+        self.path, self.lo, self.hi = path, lo, hi
+
+
+class ZipReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.suffix, self.unpack, self.step = options["path"], options.get("suffix", ""), options.get("unpack", "true") == "true", int(options.get("range", RANGE_BYTES))
+
+    def partitions(self) -> list[Range]:
+        store, at = opened(self.path)
+        info = store.get_file_info(at)
+        if info.type == fs.FileType.Directory:
+            found = sorted((x for x in store.get_file_info(fs.FileSelector(at)) if x.is_file and not x.base_name.startswith(("_", "."))), key=lambda x: x.path)
+        elif info.type == fs.FileType.File:
+            found = [info]
+        else:
+            raise FileNotFoundError(self.path)
+        return [Range(x.path, lo, lo + self.step) for x in found for lo in range(0, max(1, x.size), self.step)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        names = ["archive", "entry", "basename", "crc32", "size", "content", "problem"][: 7 if self.unpack else 5]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        rows, held = [], 0
+        with opened(self.path)[0].open_input_file(part.path) as f, zipfile.ZipFile(f) as zf:
+            for i in _listed(zf):
+                if not part.lo <= i.header_offset < part.hi or not i.filename.lower().endswith(self.suffix):
+                    continue
+                content, problem = _read(zf, i) if self.unpack else (None, None)
+                rows.append((*_row(part.path, i), content, problem)[: len(names)])
+                held += len(content or b"")
+                if held >= BATCH_BYTES or len(rows) >= 10_000:
+                    yield told(rows)
+                    rows, held = [], 0
+        if rows:
+            yield told(rows)
+
+
+class ZipMembers(DataSource):
+    """spark.read.format("zip_members").load(path); options suffix (lower case), unpack (false: the list alone), range (bytes a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_members"
+
+    def schema(self) -> str:
+        return CONTENT if self.options.get("unpack", "true") == "true" else MEMBER
+
+    def reader(self, schema) -> ZipReader:
+        return ZipReader(dict(self.options))
+
+
+def _whole(suffix: str, unpack: bool):
+    """The members of archives that come whole, as rows of binaryFile."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["archive", "entry", "basename", "crc32", "size", "content", "problem"]
+        names = ["archive", "entry", "basename", "crc32", "size", "content", "problem"][: 7 if unpack else 5]
         for b in batches:
             for path, data in zip(b["path"], b["content"]):
                 rows, held = [], 0
                 with zipfile.ZipFile(io.BytesIO(data)) as zf:
                     for i in _listed(zf):
-                        if not i.filename.lower().endswith(suffix):
-                            continue
-                        try:
-                            content, problem = zf.read(i), None
-                        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
-                            content, problem = None, f"unreadable member: {type(e).__name__}"
-                        rows.append((*_row(path, i), content, problem))
-                        held += len(content or b"")
+                        if i.filename.lower().endswith(suffix):
+                            content, problem = _read(zf, i) if unpack else (None, None)
+                            rows.append((*_row(path, i), content, problem)[: len(names)])
+                            held += len(content or b"")
                         if held >= BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
@@ -62,18 +131,23 @@ def _contents(suffix: str):
     return read
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _scan(spark: SparkSession, path: str, suffix: str, unpack: bool, range_bytes: int) -> DataFrame:
+    try:
+        opened(path)
+    except (pa.ArrowException, OSError):
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_whole(suffix, unpack), CONTENT if unpack else MEMBER)
+    spark.dataSource.register(ZipMembers)
+    return spark.read.format("zip_members").option("suffix", suffix).option("unpack", str(unpack).lower()).option("range", range_bytes).load(path)
 
 
-def members(spark: SparkSession, path: str) -> DataFrame:
+def members(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(archive, entry, basename, crc32, size) from the archives' directories; nothing is unpacked."""
-    return _archives(spark, path).mapInPandas(_members, MEMBER)
+    return _scan(spark, path, "", False, range_bytes)
 
 
-def contents(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+def contents(spark: SparkSession, path: str, suffix: str = "", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """members() with content and problem (null, or why content is null) of the entries that end in suffix (lower case)."""
-    return _archives(spark, path).mapInPandas(_contents(suffix), CONTENT)
+    return _scan(spark, path, suffix, True, range_bytes)
 
 
 def json_members(spark: SparkSession, path: str, schema: str) -> DataFrame:
