@@ -1,5 +1,7 @@
 """More queries with their SQL: feature matrix and learners, checked joins, five-choice tasks, splits and packers, protocol reports."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from .operators.quantiles import quantiles
 from .plans.questions import CLASS_SQL, FITB_SQL, NEGATIVES_SQL, class_questions, cp_negatives, fitb_questions, item_classes
 from .queries import B, query, r
 from .sources.tables import PREDICTIONS, SET_ITEMS, VECTORS, predictions, set_items, split_of, split_sql, table, vectors
-from .storage import durable
+from .storage import durable, shared_dir
 
 # ---- features and vectors
 
@@ -370,6 +372,18 @@ def document_components(spark, sf):
     return graph.set_components(e)
 
 
+@query("""WITH RECURSIVE k AS (SELECT doc_id, lang || '/' || n_chars AS item_id, lang || '/' || source || '/' || (n_chars // 3) AS cls FROM documents),
+e AS (SELECT doc_id AS s, item_id AS i FROM k UNION SELECT k.doc_id, c.cls FROM k JOIN (SELECT DISTINCT item_id, min(cls) OVER (PARTITION BY item_id) AS cls FROM k) c USING (item_id)),
+p AS (SELECT DISTINCT a.s, b.s AS t FROM e a JOIN e b USING (i)), reach AS (SELECT s, t FROM p UNION SELECT reach.s, p.t FROM reach JOIN p ON reach.t = p.s), c AS (SELECT s, min(t) AS component FROM reach GROUP BY s),
+n AS (SELECT component, count(*) AS n FROM c GROUP BY component) SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, round(max(n) / sum(n), 6) AS largest_share FROM n""")
+def class_component_stats(spark, sf):
+    """Components of documents that share a language and length, where lengths of one source and class are one item as well."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("set_id"), F.concat_ws("/", "lang", "n_chars").alias("item_id"), F.concat_ws("/", "lang", "source", F.floor(F.col("n_chars") / 3)).alias("cls"))
+    classes = d.groupBy("item_id").agg(F.min("cls").alias("cls"))
+    n = graph.set_components(d.select("set_id", "item_id"), classes=classes).groupBy("component").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"), r(F.max("n") / F.sum("n")).alias("largest_share"))
+
+
 @query(f"WITH {SET_ITEMS} SELECT item_id, min(set_id) AS first_set, count(*) AS sets FROM si GROUP BY item_id")
 def first_set_map(spark, sf):
     return set_items(spark, sf).groupBy("item_id").agg(F.min("set_id").alias("first_set"), F.count("*").alias("sets"))
@@ -398,6 +412,31 @@ def packed_sets(spark, sf):
     return graph.pack_sets(d, {"train": n // 2, "valid": n // 20, "test": n // 10})
 
 
+@query(f"""WITH {SET_ITEMS}, b AS (SELECT set_id FROM si GROUP BY set_id HAVING count(*) >= 2), x AS (SELECT {split_sql("set_id")} AS split, set_id, item_id FROM si JOIN b USING (set_id))
+SELECT split, count(DISTINCT set_id) AS sets, count(DISTINCT item_id) AS items, count(DISTINCT set_id) AS positives, count(DISTINCT set_id) AS negatives, count(DISTINCT set_id) AS questions,
+(count(DISTINCT set_id) + 3) // 4 AS slot_0, count(DISTINCT set_id) // 4 AS slot_3, CAST(0 AS BIGINT) AS unresolved FROM x GROUP BY split""")
+def regenerated_protocol(spark, sf):
+    """A protocol assembled from given splits, its questions made anew, and read back from its files; the files go afterwards."""
+    from .sources import assembly, protocol
+
+    x = set_items(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category")), "item_id")
+    at = F.row_number().over(W.partitionBy("set_id").orderBy("item_id"))  # sets are of bounded size
+    x = x.select(split_of(F.col("set_id")).alias("split"), F.col("set_id").cast("string").alias("set_id"), at.alias("index"), F.col("item_id").cast("string").alias("item_id"), "category", F.count("*").over(W.partitionBy("set_id")).alias("n"))
+    path = f"{shared_dir(spark)}/protocol-{uuid.uuid4().hex}"
+    assembly.assemble(x.where("n >= 2").drop("n"), path, 42)
+    out = None
+    for s in protocol.SPLITS:
+        sets_, cp, q = protocol.read_sets(spark, path, s), protocol.read_compatibility(spark, path, s), protocol.read_fitb(spark, path, s)
+        used = cp.select(F.explode("keys").alias("key")).unionByName(q.select(F.explode(F.concat("question", "answers")).alias("key")))
+        one = sets_.agg(F.count_distinct("set_id").alias("sets"), F.count_distinct("item_id").alias("items")).crossJoin(F.broadcast(cp.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))))
+        one = one.crossJoin(F.broadcast(q.agg(F.count("*").alias("questions"), F.count_if(F.col("correct_index") == 0).alias("slot_0"), F.count_if(F.col("correct_index") == 3).alias("slot_3"))))
+        one = one.crossJoin(F.broadcast(used.join(protocol.item_keys(sets_), "key", "left_anti").agg(F.count("*").alias("unresolved")))).select(F.lit(s).alias("split"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    out = durable(out)
+    assembly.remove(spark, path)
+    return out
+
+
 _SPLITS = f"x AS (SELECT l_orderkey AS set_id, l_partkey AS item_id, {split_sql('l_orderkey')} AS split FROM lineitem GROUP BY ALL)"
 
 

@@ -10,12 +10,17 @@ from ..functions.keys import draw
 from ..storage import durable
 
 
-def set_components(items: DataFrame, set_id: str = "set_id", item_id: str = "item_id", max_rounds: int = 60) -> DataFrame:
-    """set_id, component (its least set_id): sets that share items, also through others.
+def set_components(items: DataFrame, set_id: str = "set_id", item_id: str = "item_id", max_rounds: int = 60, classes: DataFrame | None = None) -> DataFrame:
+    """set_id, component (its least set_id): sets that share items, also through others; with classes (item_id, cls), items of one class are one item.
 
     Min-label over set -> item -> set with a pointer jump each round; both steps aggregate
     before they join, so an item of very many sets costs one row a set. Rounds are durable.
     """
+    if classes is not None:
+        own = classes.select(F.col("item_id").alias("_i"), F.col("cls").cast("string").alias("_c"))
+        one = F.coalesce(F.concat(F.lit("c:"), "_c"), F.concat(F.lit("i:"), F.col(item_id).cast("string")))
+        items = items.join(own, F.col(item_id) == F.col("_i"), "left").withColumn("_one", one)
+        item_id = "_one"
     edges = durable(items.select(F.col(set_id).alias("s"), F.col(item_id).alias("i")).distinct())
     lab = edges.select("s").distinct().withColumn("c", F.col("s"))
     for _ in range(max_rounds):

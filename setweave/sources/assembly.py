@@ -29,6 +29,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def write_lists(rows: DataFrame, value: Column, order: list[Column], path: str) -> None:
     """Files that are a JSON list each, of `value` of the rows, in this order over the files; refuses to overwrite."""
 
@@ -65,7 +70,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def step(spark: SparkSession, root: str, part: str, work: Callable[[str], None]) -> bool:
@@ -73,8 +78,7 @@ def step(spark: SparkSession, root: str, part: str, work: Callable[[str], None])
     path, marker = f"{root}/{part}", f"{root}/done/{part}.json"
     if exists(spark, marker) and exists(spark, path) and json.loads(read_text(spark, marker)) == files_of(spark, path):
         return False
-    fs, at = _fs(spark, path)
-    fs.delete(at, True)
+    remove(spark, path)
     work(path)
     write_text(spark, marker, json.dumps(files_of(spark, path), sort_keys=True))
     return True

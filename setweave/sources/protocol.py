@@ -34,6 +34,9 @@ def read_sets(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(set_id, user_id, index, item_id, category, key); key is set_id_index."""
     names = [_split(split)] + (["validation"] if split == "valid" else [])
     path = first_existing(spark, *[f"{root}/{n}.json" for n in names])
+    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("head"))
+    if not head.where("head not in ('[', '')").isEmpty():
+        raise ValueError(f"{path} is no list of sets")
     s = spark.read.schema(SET_SCHEMA).option("multiLine", True).json(path)
     s = s.select("set_id", "user_id", F.explode("items").alias("i"))
     return s.select("set_id", "user_id", "i.index", "i.item_id", F.coalesce(F.nullif("i.semantic_category", F.lit("")), F.lit("<missing>")).alias("category"), F.concat_ws("_", "set_id", "i.index").alias("key"))

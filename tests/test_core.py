@@ -199,6 +199,16 @@ def test_components_match_union_find(spark):
     assert all(k == min(v) for k, v in got.items())
 
 
+def test_components_of_item_classes(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (4, "f"), (5, None), (6, "g")]
+    items = spark.createDataFrame(rows, "set_id int, item_id string")
+    classes = spark.createDataFrame([("b", "x"), ("c", "x"), ("d", "y"), ("f", "y"), ("g", None)], "item_id string, cls string")
+    got = {r["set_id"]: r["component"] for r in graph.set_components(items.where("item_id is not null"), classes=classes).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 6: 6}
+    alone = {r["set_id"]: r["component"] for r in graph.set_components(items.where("item_id is not null")).collect()}
+    assert alone == {1: 1, 2: 2, 3: 3, 4: 4, 6: 6}
+
+
 def test_best_fit():
     sizes = [("a", 50), ("b", 7), ("c", 7), ("d", 3), ("e", 3), ("f", 1)]
     got = graph.best_fit(sizes, {"train": 50, "valid": 10, "test": 11})
@@ -323,6 +333,9 @@ def test_protocol_files(spark, tmp_path):
         protocol.resolve(spark.createDataFrame([(1, ["s7_99"])], "line long, keys array<string>"), ["line"], "keys", keys).collect()
     with pytest.raises(ValueError):
         protocol.read_sets(spark, root, "holdout")
+    (tmp_path / "train.json").write_text(json.dumps(sets_[0]))
+    with pytest.raises(ValueError, match="no list"):
+        protocol.read_sets(spark, root, "train")
     for text in ("2 s7_4", "x s7_4"):
         (tmp_path / "compatibility_test.txt").write_text(text)
         with pytest.raises(Exception, match="label"):
