@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, columns_of, components, durable, fresh
+from .common import checked_broadcast, columns_of, components, durable, fresh, tidied
 from .token_binary import pieces, split_words
 
 # The Golay code's generator x^11+x^10+x^6+x^5+x^4+x^2+1, its length and covering radius.
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = 42) -> Dat
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [majority(shingle_hashes(t, shingle, seed)) for t in b["text"]]}).astype({"fp": "int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), "doc_id long, fp long")
 
 
 def covering_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -239,7 +239,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sha", "node", "n", *FPS])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sha"))
-    return keyed.mapInArrow(run, "doc_id long, sha long, node long, n long, f0 long, f1 long, f2 long, f3 long")
+    return keyed.mapInArrow(tidied(run), "doc_id long, sha long, node long, n long, f0 long, f1 long, f2 long, f3 long")
 
 
 def block_words(fps: np.ndarray) -> list[np.ndarray]:
@@ -283,7 +283,7 @@ def replicated(classes: DataFrame, chunk: int) -> DataFrame:
 
     # a task tells counts of `least` or more, so a sum falls short by half a chunk at most;
     # anchors are 4,096 a block: 32,768 rows at most, whatever the input
-    sizes = classes.select(*FPS).mapInArrow(count, "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows")).where(F.col("rows") + least * tasks > chunk).collect()
+    sizes = classes.select(*FPS).mapInArrow(tidied(count), "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows")).where(F.col("rows") + least * tasks > chunk).collect()
     split = {r["anchor"]: -(-(r["rows"] + least * tasks) // chunk) for r in sizes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def replicated(classes: DataFrame, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *rows.columns], ["cell", *names])
 
     schema = "cell long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(deal, schema).repartition("cell").sortWithinPartitions("cell")
+    return classes.mapInArrow(tidied(deal), schema).repartition("cell").sortWithinPartitions("cell")
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -382,7 +382,7 @@ def hubs(classes: DataFrame, most: int, chunk: int) -> DataFrame:
                 left = left[~ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_node, out_hub, out_d)], ["node", "hub", "d"])
 
-    return replicated(classes, chunk).mapInArrow(run, "node long, hub long, d long")
+    return replicated(classes, chunk).mapInArrow(tidied(run), "node long, hub long, d long")
 
 
 def first_meeting(one: np.ndarray, two: np.ndarray, cell: int) -> np.ndarray:
@@ -434,7 +434,7 @@ def open_pairs(classes: DataFrame, most: int, chunk: int, one: bool = False) ->
                 to = by_size[best[told]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[told], node[to], size[to])], ["a", "b", "size"])
 
-    out = replicated(classes, chunk).mapInArrow(run, "a long, b long, size long")
+    out = replicated(classes, chunk).mapInArrow(tidied(run), "a long, b long, size long")
     if one:
         out = out.groupBy("a").agg(F.min(F.struct((-F.col("size")).alias("s"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
     return out.select("a", "b").distinct()
@@ -463,7 +463,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
     rows = given.join(checked_broadcast(wanted), ["id", "sha"]).select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>, odd binary").dropDuplicates(["node"])
+    return rows.mapInArrow(tidied(run), "node long, hashes array<long>, odd binary").dropDuplicates(["node"])
 
 
 def near_groups(docs: DataFrame, classes: DataFrame, most: int = NEAR_BITS, chunk: int = CHUNK_ROWS) -> DataFrame:

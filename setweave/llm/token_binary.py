@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, shared_path
+from .common import checked_broadcast, shared_path, tidied
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -49,7 +49,8 @@ SHARD_WORDS = 1_000_000
 LEAST = 6
 #: Pairs from which on their buckets are counted first, and the bits of a bucket.
 MANY, BUCKET_BITS = 1 << 16, 21
-CACHE_WORDS = 500_000
+#: Most words that are kept with their ids, and their most characters.
+CACHE_WORDS, CACHE_CHARS = 200_000, 8 << 20
 #: Most bytes of text split into words at a time.
 PIECE_BYTES = 8 << 20
 #: Letters below U+0130, a normaliser that only lower-cases them, and a pattern that keeps a run of them whole.
@@ -75,7 +76,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of words, by the tokenizers library, with a cache of at most CACHE_WORDS words."""
+    """Ids of words, by the tokenizers library, with a cache of at most CACHE_WORDS words and CACHE_CHARS characters, besides those of one call."""
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -98,6 +99,7 @@ class WordEncoder:
     def _empty(self) -> None:
         #: The place of each cached word, whose ids are ids[at[place] : at[place + 1]].
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
@@ -130,9 +132,11 @@ class WordEncoder:
         distinct, plain = (x.to_numpy(zero_copy_only=False).tolist() for x in (coded.dictionary, pc.match_substring_regex(coded.dictionary, f"^{LETTERS}$")))
         words_of = [(self._letters, [k for k, p in zip(distinct, plain) if p and self.bare]), (self._encode, [k for k, p in zip(distinct, plain) if not (p and self.bare)])]
         new = [(how, [k for k in keys if k not in self.place]) for how, keys in words_of]
-        if len(self.place) + sum(len(keys) for _, keys in new) > CACHE_WORDS:
+        self.chars += sum(len(k) for _, keys in new for k in keys)
+        if len(self.place) + sum(len(keys) for _, keys in new) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._empty()
             new = words_of
+            self.chars = sum(len(k) for _, keys in new for k in keys)
         for how, missing in new:
             self._learn(missing, how)
         place = np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
@@ -356,9 +360,9 @@ def encode_shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_words: int = SHARD_WORDS) -> None:
     """Writes docs (doc_id, text) to a new folder, in the format above."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = rows.select(F.spark_partition_id().alias("part"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text"))
-    rows.mapInArrow(lambda it: encode_shards(it, tokenizer, end_id, shard_words), SCHEMA).write.parquet(path)
+    rows.mapInArrow(tidied(lambda it: encode_shards(it, tokenizer, end_id, shard_words)), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -380,7 +384,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(s.doc_ids, dtype="Int64"), "start": at + s.tokens[:-1], "n_tokens": np.diff(s.tokens), "ids_crc32": np.array(crc, dtype=np.int64), "part": part, "nth": nth})
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth int"
-    return shards.select("part", "nth", "shard").join(starts, ["part", "nth"]).mapInPandas(decode, schema)
+    return shards.select("part", "nth", "shard").join(starts, ["part", "nth"]).mapInPandas(tidied(decode), schema)
 
 
 def token_binary(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

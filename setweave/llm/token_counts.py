@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .token_binary import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-MARK, UNK_PENALTY, CACHE_WORDS = "▁", 10.0, 600_000
+MARK, UNK_PENALTY, CACHE_WORDS, CACHE_CHARS = "▁", 10.0, 600_000, 64
 #: Unicode's white space.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = re.compile(f"[^{SPACE}]+").findall
@@ -42,7 +42,7 @@ def vocabulary(name: str = MODEL) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """counter[word] is its number of tokens; at most CACHE_WORDS words are kept."""
+    """counter[word] is its number of tokens; at most CACHE_WORDS words are kept, of CACHE_CHARS characters at most."""
 
     def __init__(self, vocab: list[tuple[str, float]], unk_id: int = 0):
         super().__init__()
@@ -84,7 +84,9 @@ class Counter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        n = self[word] = sum(map(self.segment, PARTS(word if word.startswith(MARK) else MARK + word)))
+        n = sum(map(self.segment, PARTS(word if word.startswith(MARK) else MARK + word)))
+        if len(word) <= CACHE_CHARS:
+            self[word] = n
         return n
 
 
