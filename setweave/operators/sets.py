@@ -1,5 +1,9 @@
 """Operators over item sets in long form (set_id, item_id): canonical sets, pairs, modes, joins with checks."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,22 +31,43 @@ def pairs(items: DataFrame, set_id: str, index: str, value: str) -> DataFrame:
     return a.join(b, set_id).where("_i < _j").select(set_id, "a", "b")
 
 
+def pair_means(v: np.ndarray) -> np.ndarray:
+    """(sets, 2 * width): the mean over pairs of |a - b|, then of a * b, of sets (sets, n, width) of n vectors each.
+
+    Without making pairs: by dimension, differences follow from the sorted values (the k-th of n counts 2k - n + 1
+    times), products from the sum and the sum of squares.
+    """
+    n = v.shape[1]
+    times = 2.0 * np.arange(n) - n + 1
+    apart = np.einsum("k,skd->sd", times, np.sort(v, axis=1))
+    total = v.sum(axis=1)
+    return np.concatenate([apart, (total * total - np.einsum("skd,skd->sd", v, v)) / 2], axis=1) / max(1.0, n * (n - 1) / 2)
+
+
 def features(items: DataFrame, set_id: str, value: str) -> DataFrame:
-    """set_id, n_pairs, feature: the mean over pairs of |a - b| followed by that of a * b, of sets of two or more items.
+    """set_id, n_pairs, feature: the mean over pairs of |a - b| followed by that of a * b, of sets of two or more items. Sets are of bounded size.
 
-    Without making pairs: by dimension, differences follow from the sorted values (the k-th of n counts
-    2k - n + 1 times), products from the sum and the sum of squares. Sets are of bounded size.
+    Sets of like size are one matrix to NumPy; vectors of different widths in a set, and null components, are errors.
     """
+
+    @F.pandas_udf("array<double>")
+    def told(sets_: pd.Series) -> pd.Series:
+        out, like = [None] * len(sets_), {}
+        for i, vs in enumerate(sets_):
+            widths = {len(v) for v in vs}
+            if len(widths) != 1:
+                raise ValueError("vectors of different widths")
+            like.setdefault((len(vs), widths.pop()), []).append(i)
+        for at in like.values():
+            for k in range(0, len(at), 512):
+                some = at[k : k + 512]
+                for i, f in zip(some, pair_means(np.stack([np.stack(list(sets_.iloc[i])).astype(np.float64) for i in some]))):
+                    out[i] = f
+        return pd.Series(out, dtype=object)
+
     x = items.groupBy(set_id).agg(F.collect_list(value).alias("vs")).withColumn("n", F.size("vs")).where("n >= 2")
-    same = F.forall("vs", lambda v: F.size(v) == F.size(F.col("vs")[0]))
-    x = x.withColumn("vs", F.when(same, F.col("vs")).otherwise(F.raise_error(F.lit("vectors of different widths")).cast(x.schema["vs"].dataType)))
-    pairs = F.greatest(F.lit(1.0), F.col("n") * (F.col("n") - 1) / 2)
-    at = lambda d: F.transform("vs", lambda v: v[d].cast("double"))
-    dims = F.sequence(F.lit(0), F.size(F.col("vs")[0]) - 1)
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    diff = F.transform(dims, lambda d: add(F.transform(F.array_sort(at(d)), lambda v, k: v * (2 * k - F.col("n") + 1))) / pairs)
-    prod = F.transform(dims, lambda d: (F.pow(add(at(d)), F.lit(2.0)) - add(F.transform(at(d), lambda v: v * v))) / 2 / pairs)
-    return x.select(set_id, pairs.cast("long").alias("n_pairs"), F.concat(diff, prod).alias("feature"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return x.select(set_id, pairs.cast("long").alias("n_pairs"), told("vs").alias("feature"))
 
 
 def mode(df: DataFrame, key: str, value: str) -> DataFrame:

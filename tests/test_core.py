@@ -209,6 +209,20 @@ def test_components_of_item_classes(spark):
     assert alone == {1: 1, 2: 2, 3: 3, 4: 4, 6: 6}
 
 
+def test_reports_that_must_hold(spark):
+    from setweave.operators import checks
+
+    good = spark.createDataFrame([(10, 0, 0)], "sets long, overlaps long, bad long")
+    assert checks.valid(good, ["overlaps", "bad"]).first()["sets"] == 10
+    bad = spark.createDataFrame([("train", 2, 0), ("test", 1, None)], "split string, overlaps long, bad long")
+    assert checks.violations(bad, ["overlaps", "bad"]) == {"overlaps": 3, "bad": 0}
+    with pytest.raises(ValueError, match="bad 0, overlaps 3"):
+        checks.valid(bad, ["overlaps", "bad"])
+    report = QUERIES["class_safeguards"](spark, SF)
+    wrong = [c for c in report.columns if c not in ("questions", "slot_spread")]
+    assert checks.valid(report, wrong).first()["questions"] > 1000
+
+
 def test_best_fit():
     sizes = [("a", 50), ("b", 7), ("c", 7), ("d", 3), ("e", 3), ("f", 1)]
     got = graph.best_fit(sizes, {"train": 50, "valid": 10, "test": 11})
