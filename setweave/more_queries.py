@@ -384,6 +384,42 @@ def class_component_stats(spark, sf):
     return n.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"), r(F.max("n") / F.sum("n")).alias("largest_share"))
 
 
+_AT = "CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH {SET_ITEMS}, c AS (SELECT set_id, {split_sql("set_id")} AS split, list_sort(list(item_id)) AS items FROM si GROUP BY set_id),
+k AS (SELECT *, first_value(set_id) OVER w AS kept, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY items ORDER BY {_AT}, set_id)) SELECT kept AS kept_set_id, set_id AS removed_set_id, split FROM k WHERE rn > 1""")
+def duplicate_sets(spark, sf):
+    """Sets with the items of an earlier one, in the order of splits, and which of them stays."""
+    from .sources.assembly import duplicate_log
+
+    x = set_items(spark, sf).withColumn("split", split_of(F.col("set_id")))
+    return duplicate_log(x, F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2))
+
+
+@query(f"""WITH {SET_ITEMS}, x AS (SELECT 'item' AS kind, {split_sql("l_orderkey")} AS split, CAST(l_partkey AS VARCHAR) AS k FROM lineitem UNION SELECT 'user', {split_sql("o_orderkey")}, CAST(o_custkey AS VARCHAR) FROM orders
+UNION SELECT 'set', {split_sql("set_id")}, array_to_string(list_sort(list(item_id)), ',') FROM si GROUP BY set_id UNION SELECT 'digest', {split_sql("doc_id")}, sha256(coalesce(text, '')) FROM documents)
+SELECT kind, a.split AS split_a, b.split AS split_b, count(*) AS shared FROM x a JOIN x b USING (kind, k) WHERE a.split < b.split GROUP BY ALL""")
+def split_overlap_kinds(spark, sf):
+    """What every two splits share: items, users, whole sets, contents by digest."""
+    part = lambda kind, split, k, df: df.select(F.lit(kind).alias("kind"), split_of(F.col(split)).alias("split"), k.cast("string").alias("k"))
+    x = part("item", "l_orderkey", F.col("l_partkey"), table(spark, sf, "lineitem")).unionByName(part("user", "o_orderkey", F.col("o_custkey"), table(spark, sf, "orders")))
+    x = x.unionByName(part("set", "set_id", F.array_join("items", ","), sets.canonical(set_items(spark, sf))))
+    x = x.unionByName(part("digest", "doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), table(spark, sf, "documents")))
+    x = x.groupBy("kind", "k").agg(F.array_sort(F.collect_set("split")).alias("s"))
+    a = x.select("kind", F.explode("s").alias("split_a"), "s").select("kind", "split_a", F.explode("s").alias("split_b"))  # three splits at most
+    return a.where("split_a < split_b").groupBy("kind", "split_a", "split_b").agg(F.count("*").alias("shared"))
+
+
+@query("""SELECT event_id, CAST(json_object('k', coalesce(json_extract_string(props, '$.k'), '<missing>'), 'type', event_type, 'user', CAST(user_id AS VARCHAR)) AS VARCHAR) AS told FROM events""")
+def merged_maps(spark, sf):
+    """Maps parsed, given defaults, merged and written as JSON."""
+    e = table(spark, sf, "events")
+    held = F.from_json("props", "map<string,string>")
+    both = F.map_concat(F.create_map(F.lit("k"), F.coalesce(F.try_element_at(held, F.lit("k")), F.lit("<missing>"))), F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")))
+    return e.select("event_id", F.to_json(both).alias("told"))
+
+
 @query(f"WITH {SET_ITEMS} SELECT item_id, min(set_id) AS first_set, count(*) AS sets FROM si GROUP BY item_id")
 def first_set_map(spark, sf):
     return set_items(spark, sf).groupBy("item_id").agg(F.min("set_id").alias("first_set"), F.count("*").alias("sets"))
