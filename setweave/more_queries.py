@@ -455,7 +455,7 @@ def regenerated_protocol(spark, sf):
     """A protocol assembled from given splits, its questions made anew, and read back from its files; the files go afterwards."""
     from .sources import assembly, protocol
 
-    x = set_items(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category")), "item_id")
+    x = set_items(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category")), "item_id")
     at = F.row_number().over(W.partitionBy("set_id").orderBy("item_id"))  # sets are of bounded size
     x = x.select(split_of(F.col("set_id")).alias("split"), F.col("set_id").cast("string").alias("set_id"), at.alias("index"), F.col("item_id").cast("string").alias("item_id"), "category", F.count("*").over(W.partitionBy("set_id")).alias("n"))
     path = f"{shared_dir(spark)}/protocol-{uuid.uuid4().hex}"
