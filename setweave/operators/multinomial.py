@@ -5,13 +5,16 @@ lower half Binomial(c, its share) of them, the upper half the rest, and so on do
 the counts are multinomial whatever the order of splitting. The split of a range is drawn by md5 of
 seed, stratum, range and replicate, by inversion of the binomial's distribution, so a task that needs
 some units' counts of all replicates walks down to these units alone and finds what any other task
-would. No rows by unit and replicate are ever made, moved or joined.
+would. No rows by unit and replicate are ever made, moved or joined. A task goes along a range of units
+and keeps the splits above it; rows that are then sorted by score bring their unit's counts along, packed
+(some bits a replicate), so counts are drawn once.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,23 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.digests import md5_words
 from ..storage import durable
 
 #: Units whose counts of all replicates are held at a time; draws up to which splits come from one table.
 AT_A_TIME, FEW = 256, 12
+#: Least size of a range whose split is kept for the units that come next, and how many are.
+WIDE, KEPT = 64, 96
 
 
-def uniforms(key: str, replicates: int) -> np.ndarray:
-    """A number strictly between 0 and 1 for each replicate: 32 bits of md5, four a digest."""
-    digests = b"".join(hashlib.md5(f"{key}:{k}".encode()).digest() for k in range(-(-replicates // 4)))
-    return (np.frombuffer(digests, dtype=">u4")[:replicates] + 0.5) / 2.0**32
+def uniforms(keys: list[str], replicates: int) -> np.ndarray:
+    """(keys, replicates): numbers strictly between 0 and 1, 32 bits of md5 each, four a digest."""
+    words = md5_words([f"{key}:".encode() for key in keys], np.arange(-(-replicates // 4)))
+    return (words.reshape(len(keys), -1)[:, :replicates] + 0.5) / 2.0**32
 
 
-@lru_cache(maxsize=4096)
 def binomial_cdf(c: int, half: int, size: int) -> tuple[int, np.ndarray]:
-    """(first, chances of first, first + 1, ... successes or fewer) of c trials with a chance of half / size; those before are below 1e-60."""
+    """(first, chances of first, first + 1, ... successes or fewer) of c trials with a chance of half / size; those before are below 1e-20."""
     p = half / size
-    spread = 18 * math.sqrt(c * p * (1 - p)) + 40
+    spread = 10 * math.sqrt(c * p * (1 - p)) + 40
     first, last = max(0, int(c * p - spread)), min(c - 1, int(c * p + spread))
     j = np.arange(first, last, dtype=np.float64)
     start = math.lgamma(c + 1) - math.lgamma(first + 1) - math.lgamma(c - first + 1) + first * math.log(p) + (c - first) * math.log(1 - p)
@@ -45,6 +50,10 @@ def binomial_cdf(c: int, half: int, size: int) -> tuple[int, np.ndarray]:
     return first, np.cumsum(np.exp(start + np.concatenate([[0.0], np.cumsum(steps)])))
 
 
+#: binomial_cdf of few trials, which come again and again.
+held_cdf = lru_cache(maxsize=4096)(binomial_cdf)
+
+
 @lru_cache(maxsize=64)
 def few_cdfs(half: int, size: int) -> np.ndarray:
     """binomial_cdf of 0 to FEW trials as rows, ones behind."""
@@ -56,29 +65,58 @@ def few_cdfs(half: int, size: int) -> np.ndarray:
 
 def lower_half(c: np.ndarray, half: int, size: int, u: np.ndarray) -> np.ndarray:
     """How many of c draws fall into the lower `half` of `size` units: the number of successes whose chance, with all below, is less than u."""
-    k = (few_cdfs(half, size)[np.minimum(c, FEW)] < u[:, None]).sum(axis=1)
-    for v in np.unique(c[c > FEW]).tolist():
-        first, cdf = binomial_cdf(v, half, size)
-        k[c == v] = first + np.searchsorted(cdf, u[c == v], side="left")
+    few = np.minimum(c, FEW)
+    k, table = np.zeros(len(c), dtype=np.int64), few_cdfs(half, size).T
+    for j in range(int(few.max(initial=0))):
+        k += table[j][few] < u
+    many = np.flatnonzero(c > FEW)
+    many = many[np.argsort(c[many], kind="stable")]
+    values, starts = np.unique(c[many], return_index=True)
+    for v, own in zip(values.tolist(), np.split(many, starts[1:])):
+        first, cdf = (held_cdf if v < 2048 else binomial_cdf)(v, half, size)
+        k[own] = first + np.searchsorted(cdf, u[own], side="left")
     return np.minimum(k, c)
 
 
+#: Splits of wide ranges that this process met last: (seed, units, replicates, range) -> draws in the lower half.
+_splits: OrderedDict[tuple, np.ndarray] = OrderedDict()
+
+
 def unit_weights(units: np.ndarray, n: int, replicates: int, seed: str) -> np.ndarray:
-    """(units, replicates) int64: how often each of these units (sorted, of 0 to n - 1) is drawn."""
+    """(units, replicates) int64: how often each of these units (sorted, of 0 to n - 1) is drawn. Ranges are split level by level, those of a level together."""
     out = np.zeros((len(units), replicates), dtype=np.int64)
-    todo = [(0, n, np.full(replicates, n, dtype=np.int64), 0, len(units))]
+    todo = [(0, n, np.full(replicates, n, dtype=np.int64), 0, len(units))] if len(units) else []
     while todo:
-        lo, hi, c, i, j = todo.pop()
-        if hi - lo == 1:
-            out[i] = c
-            continue
-        half = (hi - lo) // 2
-        k = lower_half(c, half, hi - lo, uniforms(f"{seed}:{lo}:{hi}", replicates))
-        m = i + int(np.searchsorted(units[i:j], lo + half))
-        if i < m:
-            todo.append((lo, lo + half, k, i, m))
-        if m < j:
-            todo.append((lo + half, hi, c - k, m, j))
+        for lo, hi, c, i, _ in todo:
+            if hi - lo == 1:
+                out[i] = c
+        todo = [x for x in todo if x[1] - x[0] > 1]
+        lower: dict[int, np.ndarray] = {}
+        for at, (lo, hi, *_) in enumerate(todo):
+            key = (seed, n, replicates, lo, hi)
+            if key in _splits:
+                _splits.move_to_end(key)
+                lower[at] = _splits[key]
+        new = [at for at in range(len(todo)) if at not in lower]
+        for size in {todo[at][1] - todo[at][0] for at in new}:
+            like = [at for at in new if todo[at][1] - todo[at][0] == size]
+            u = uniforms([f"{seed}:{todo[at][0]}:{todo[at][1]}" for at in like], replicates)
+            k = lower_half(np.concatenate([todo[at][2] for at in like]), size // 2, size, u.ravel()).reshape(len(like), replicates)
+            for at, own in zip(like, k):
+                lower[at] = own
+                if size >= WIDE:
+                    _splits[(seed, n, replicates, *todo[at][:2])] = own.copy()
+                    if len(_splits) > KEPT:
+                        _splits.popitem(last=False)
+        below = []
+        for at, (lo, hi, c, i, j) in enumerate(todo):
+            mid = lo + (hi - lo) // 2
+            m = i + int(np.searchsorted(units[i:j], mid))
+            if i < m:
+                below.append((lo, mid, lower[at], i, m))
+            if m < j:
+                below.append((mid, hi, c - lower[at], m, j))
+        todo = below
     return out
 
 
@@ -100,6 +138,27 @@ def with_unit_totals(rows: DataFrame, units: DataFrame, strata: list[str], unit:
     return rows.join(F.broadcast(n), strata) if strata else rows.crossJoin(F.broadcast(n))
 
 
+def tasks_of(df: DataFrame) -> int:
+    """A number of ranges that Spark does not make fewer of for small rows: each row is thousands of draws."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _by_unit(rows: DataFrame, columns: list[str], strata: list[str]) -> DataFrame:
+    """These columns of rows, dealt by ranges of units, in their order."""
+    return rows.select(*dict.fromkeys(columns)).repartitionByRange(tasks_of(rows), *[F.col(s) for s in strata], F.col("unit_no")).sortWithinPartitions(*strata, "unit_no")
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Counts of all replicates as bytes; those of 256 or more take two or four bytes each."""
+    return zlib.compress(counts.astype(next(t for t in ("<u1", "<u2", "<u4") if counts.max(initial=0) <= np.iinfo(t).max)).tobytes(), 1)
+
+
+def unpack(packed: bytes, replicates: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // replicates}")
+
+
 def resampled_sums(rows: DataFrame, groups: list[str], values: list[str], replicates: int, seed: str, strata: list[str]) -> DataFrame:
     """groups, replicate, values: sums of rows (groups, strata, unit_no, n_units, values) under each replicate's counts. A task tells a row a group and replicate."""
     kinds = dict(rows.dtypes)
@@ -118,16 +177,15 @@ def resampled_sums(rows: DataFrame, groups: list[str], values: list[str], replic
             yield pd.DataFrame({**{g: [k] * replicates for g, k in zip(groups, key)}, "replicate": np.arange(replicates), **dict(zip(values, got))})
 
     schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["replicate long"] + [f"`{v}` double" for v in values])
-    dealt = rows.select(*dict.fromkeys([*groups, *strata, "unit_no", "n_units", *values])).repartitionByRange(*[F.col(s) for s in strata], F.col("unit_no")).sortWithinPartitions(*strata, "unit_no")
-    return dealt.mapInPandas(run, schema).groupBy(*groups, "replicate").agg(*[F.sum(v).alias(v) for v in values])
+    return _by_unit(rows, [*groups, *strata, "unit_no", "n_units", *values], strata).mapInPandas(run, schema).groupBy(*groups, "replicate").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def _weighted(batches: Iterator[pd.DataFrame], groups: list[str], strata: list[str], replicates: int, seed: str) -> Iterator[tuple]:
+def _weighted(batches: Iterator[pd.DataFrame], groups: list[str], replicates: int) -> Iterator[tuple]:
     """(group, score, pos, neg) of the runs of equal scores in batches that come in order; pos and neg by replicate. A run may be told in pieces."""
     for batch in batches:
         for at in range(0, len(batch), AT_A_TIME):
             b = batch.iloc[at : at + AT_A_TIME].reset_index(drop=True)
-            w = weights_of(b, strata, replicates, seed).astype(np.float64)
+            w = np.stack([unpack(x, replicates) for x in b["w"]]).astype(np.float64)
             keys = list(b[groups].itertuples(index=False, name=None)) if groups else [()] * len(b)
             score, pos, neg = (b[c].to_numpy(np.float64) for c in ("score", "pos", "neg"))
             cut = [0, *(i for i in range(1, len(b)) if keys[i] != keys[i - 1] or score[i] != score[i - 1]), len(b)]
@@ -135,14 +193,24 @@ def _weighted(batches: Iterator[pd.DataFrame], groups: list[str], strata: list[s
                 yield keys[i], float(score[i]), pos[i:j] @ w[i:j], neg[i:j] @ w[i:j]
 
 
-def _ranged(rows: DataFrame, groups: list[str], strata: list[str]) -> DataFrame:
-    """rows with `part`, the range of (groups, score, unit) that they are dealt to, in order within it; durable."""
+def ranged(rows: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str]) -> DataFrame:
+    """rows with w, their unit's packed counts, and `part`, the range of (groups, score, unit) that they are dealt to, in order within it; durable."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_A_TIME):
+                b = batch.iloc[at : at + AT_A_TIME].reset_index(drop=True)
+                yield b.assign(w=[pack(c) for c in weights_of(b, strata, replicates, seed)])
+
+    columns = list(dict.fromkeys([*groups, *strata, "unit_no", "n_units", "score", "pos", "neg"]))
     order = [F.col(c) for c in (*groups, "score", *strata, "unit_no")]
-    rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score")).select(*dict.fromkeys([*groups, *strata, "unit_no", "n_units", "score", "pos", "neg"]))
-    return durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    rows = _by_unit(rows.where(F.col("score").isNotNull() & ~F.isnan("score")), columns, strata)
+    rows = durable(rows.mapInPandas(run, ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["w binary"])))
+    return durable(rows.repartitionByRange(tasks_of(rows), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
 
 
-def _stretches(ranged: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str]) -> DataFrame:
+def stretches(ranged: DataFrame, groups: list[str], replicates: int) -> DataFrame:
     """groups, replicate, at, tie, part, p, n, u, durable: by replicate the sums of stretches of scores, in the order of `at`.
 
     A tied score may be in several tasks: a task tells its first and its last score apart (tie), which are
@@ -166,7 +234,7 @@ def _stretches(ranged: DataFrame, groups: list[str], replicates: int, seed: str,
                     part[:] = [int(b["part"].iloc[0])]
                     yield b
 
-        for this, score, p, n in _weighted(seen(batches), groups, strata, replicates, seed):
+        for this, score, p, n in _weighted(seen(batches), groups, replicates):
             if this != key:
                 yield from flush()
                 key, first, inner, last = this, None, None, None
@@ -186,32 +254,35 @@ def _stretches(ranged: DataFrame, groups: list[str], replicates: int, seed: str,
     return durable(out)
 
 
-def resampled_auc(rows: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str]) -> DataFrame:
-    """groups, replicate, auc of rows (groups, strata, unit_no, n_units, score, pos, neg) under each replicate's counts; ties count half; replicates of one class have none."""
-    parts = _stretches(_ranged(rows, groups, strata), groups, replicates, seed, strata)
+def resampled_auc(rows: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str], held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """groups, replicate, auc of rows (groups, strata, unit_no, n_units, score, pos, neg) under each replicate's counts; ties count half; replicates of one class have none.
+
+    held: ranged() rows and their stretches(), if other metrics want them too.
+    """
+    parts = held[1] if held else stretches(ranged(rows, groups, replicates, seed, strata), groups, replicates)
     before = W.partitionBy(*groups, "replicate").orderBy("at").rowsBetween(W.unboundedPreceding, -1)  # some three rows a task
     pairs = F.when(F.col("tie"), F.col("p") * F.col("n") / 2).otherwise(F.col("u")) + F.col("p") * F.coalesce(F.sum("n").over(before), F.lit(0.0))
     out = parts.withColumn("pairs", pairs).groupBy(*groups, "replicate").agg(F.sum("pairs").alias("pairs"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.where("p > 0 and n > 0").select(*groups, "replicate", (F.col("pairs") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def resampled_ap(rows: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str]) -> DataFrame:
+def resampled_ap(rows: DataFrame, groups: list[str], replicates: int, seed: str, strata: list[str], held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """groups, replicate, ap: step-wise average precision of the same rows; a tied score is one threshold.
 
     What stands above a stretch is known from the stretches' sums; each task then goes down its own scores from there.
     """
-    ranged = _ranged(rows, groups, strata)
-    parts = _stretches(ranged, groups, replicates, seed, strata)
+    own = held[0] if held else ranged(rows, groups, replicates, seed, strata)
+    parts = held[1] if held else stretches(own, groups, replicates)
     above = W.partitionBy(*groups, "replicate").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)  # some three rows a task
     parts = durable(parts.withColumns({"tp": F.coalesce(F.sum("p").over(above), F.lit(0.0)), "fp": F.coalesce(F.sum("n").over(above), F.lit(0.0))}))
     t = F.col("tp") + F.col("p")
     ties = parts.where("tie and p > 0").select(*groups, "replicate", (F.col("p") * t / (t + F.col("fp") + F.col("n"))).alias("s"))
     total = parts.groupBy(*groups, "replicate").agg(F.sum("p").alias("p"))
-    ends = ranged.groupBy(*groups, "part").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    ends = own.groupBy(*groups, "part").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     heads = parts.where("not tie").groupBy(*groups, "part").agg(F.array_sort(F.collect_list(F.struct("replicate", "tp", "fp"))).alias("r"))  # a row a replicate
     heads = heads.join(ends, [*groups, "part"]).select(*groups, "part", "lo", "hi", F.col("r.tp").alias("tp"), F.col("r.fp").alias("fp"), F.lit(0).alias("kind"))
-    both = ranged.withColumn("kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    kinds = dict(ranged.dtypes)
+    both = own.withColumn("kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    kinds = dict(own.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads: dict[tuple, tuple] = {}
@@ -234,7 +305,7 @@ def resampled_ap(rows: DataFrame, groups: list[str], replicates: int, seed: str,
 
         now: list[tuple] = []
         held: dict[tuple, list] = {}
-        for key, score, p, n in _weighted(inside(batches), groups, strata, replicates, seed):
+        for key, score, p, n in _weighted(inside(batches), groups, replicates):
             place = now[0]
             if place not in held:
                 held[place] = [*heads[place][2:], np.zeros(replicates), score, np.zeros(replicates), np.zeros(replicates)]
@@ -249,7 +320,7 @@ def resampled_ap(rows: DataFrame, groups: list[str], replicates: int, seed: str,
             yield pd.DataFrame({**{g: [k] * replicates for g, k in zip(groups, place[1:])}, "replicate": np.arange(replicates), "s": x[2]})
 
     schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["replicate long", "s double"])
-    dealt = both.repartition("part").sortWithinPartitions("part", *groups, "kind", F.desc("score"), *strata, "unit_no")
+    dealt = both.repartition(tasks_of(both), "part").sortWithinPartitions("part", *groups, "kind", F.desc("score"), *strata, "unit_no")
     every = ties.unionByName(dealt.mapInPandas(run, schema)).groupBy(*groups, "replicate").agg(F.sum("s").alias("s"))
     return total.where("p > 0").join(every, [*groups, "replicate"]).select(*groups, "replicate", (F.col("s") / F.col("p")).alias("ap"))
 
