@@ -1,18 +1,22 @@
-"""Units, intervals and p-values of the bootstrap (its counts: multinomial.py; by facet: unit_counts), and agreement statistics.
+"""Units, intervals and p-values of the bootstrap (its counts: multinomial.py; by facet: resampled_shares), and agreement statistics.
 
 Resamples are weights of rows that were summed by unit first; no replicate's rows are made one by one.
 """
 
+from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import draw
-from ..storage import numbered
+from ..functions.digests import md5_words
+from ..storage import durable, numbered
+from .multinomial import tasks_of
 
-#: Units drawn at a time.
-BLOCK = 4096
+#: Units at a time (whole bytes of bits), and replicates of a task.
+BLOCK, AT_ONCE = 4096, 16
 
 
 def numbered_units(rows: DataFrame, unit: str, strata: list[str]) -> DataFrame:
@@ -23,17 +27,36 @@ def numbered_units(rows: DataFrame, unit: str, strata: list[str]) -> DataFrame:
     return units.select(*strata, unit, (F.col("no") - F.col("first")).alias("unit_no"))
 
 
-def unit_counts(units: DataFrame, replicates: int, seed: str, strata: list[str] | None = None) -> DataFrame:
-    """strata, replicate, unit_no, w: how often each unit (numbered 0..n-1 within its stratum) is drawn."""
-    keys = strata or []
-    n = units.groupBy(*keys).agg(F.count("*").alias("n"))  # a row a stratum
-    spark = units.sparkSession
-    tasks = min(replicates, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    drawn = spark.range(0, replicates, 1, tasks).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(n))
-    block = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(BLOCK).cast("long")))  # no array of all units
-    drawn = drawn.withColumn("from", block).withColumn("k", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + BLOCK) - 1))).drop("from")
-    pick = draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("k")) % F.col("n")
-    return drawn.select(*keys, "replicate", pick.alias("unit_no")).groupBy(*keys, "replicate", "unit_no").agg(F.count("*").alias("w"))
+def resampled_shares(outcomes: DataFrame, group: str, unit: str, ok: str, replicates: int, seed: str) -> DataFrame:
+    """group, replicate, share: of as many draws as the group has units (one row each), how many meet one with ok (0 or 1), over their number.
+
+    Draw k of a replicate is that of keys.draw(seed, group, replicate, k), modulo the units, which are numbered in order. A task
+    has some replicates of a group, counts along its draws and looks them up in the group's outcomes, a bit each: no row a draw is made.
+    """
+    o = outcomes.where(F.col(group).isNotNull())
+    o = o.join(numbered_units(o, unit, [group]), [group, unit]).select(F.col(group).alias("g"), "unit_no", F.col(ok).cast("int").alias("ok"))
+    n = o.groupBy("g").agg(F.count("*").alias("n"))  # a row a group
+
+    @F.pandas_udf("binary")
+    def packed(rows: pd.Series) -> pd.Series:
+        return pd.Series([np.packbits(np.fromiter((r["ok"] for r in x), dtype=np.uint8, count=len(x))).tobytes() for x in rows])
+
+    part = o.groupBy("g", F.floor(F.col("unit_no") / BLOCK).alias("b")).agg(F.array_sort(F.collect_list(F.struct("unit_no", "ok"))).alias("rows")).select("g", "b", packed("rows").alias("bits"))
+    bits = durable(part.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "bits"))).alias("x")).join(n, "g").select("g", "n", F.col("x.bits").alias("bits")))  # a bit a unit
+    tasks = bits.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(AT_ONCE)))).repartition(4 * tasks_of(bits), "g", "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, n, bits, first in zip(b["g"], b["n"], b["bits"], b["first"]):
+                held = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8))[:n]
+                own = np.arange(first, min(first + AT_ONCE, replicates))
+                prefixes, hits = [f"{seed}:{g}:{k}:".encode() for k in own], np.zeros(len(own), dtype=np.int64)
+                for at in range(0, n, BLOCK):
+                    drawn = md5_words(prefixes, np.arange(at, min(n, at + BLOCK)), 1)[:, :, 0] % np.uint32(n)
+                    hits += held[drawn].sum(axis=1, dtype=np.int64)
+                yield pd.DataFrame({group: g, "replicate": own, "share": hits / n})
+
+    return tasks.mapInPandas(run, f"`{group}` {dict(outcomes.dtypes)[group]}, replicate long, share double")
 
 
 def interval(df: DataFrame, groups: list[str], value: str, level: float = 0.95) -> DataFrame:
