@@ -17,8 +17,8 @@ symbols and the rules alone; lengths locate it, and any token of it, without oth
 
 Words between ASCII white space are encoded by the tokenizers library one by one and kept in
 a bounded cache: this tokenizer drops white space, and no piece spans it. Words of letters below
-U+0130 are lower-cased first and a final full stop or comma is split off, as the tokenizer's own
-normaliser and pattern do; all else goes to the library as it is.
+U+0130 are lower-cased first and a final run of punctuation is split off and encoded by itself, as the
+tokenizer's own normaliser and pattern do; all else goes to the library as it is.
 
 Defined results: null text is empty (the end id alone); rows are ordered by doc_id, null first,
 then by text; repeated rows are each encoded; an empty table gives no rows; other columns are
@@ -50,11 +50,13 @@ LEAST = 6
 #: Pairs from which on their buckets are counted first, and the bits of a bucket.
 MANY, BUCKET_BITS = 1 << 16, 21
 #: Most words that are kept with their ids, and their most characters.
-CACHE_WORDS, CACHE_CHARS = 200_000, 8 << 20
+CACHE_WORDS, CACHE_CHARS = 600_000, 8 << 20
 #: Most bytes of text split into words at a time.
 PIECE_BYTES = 8 << 20
 #: Letters below U+0130, a normaliser that only lower-cases them, and a pattern that keeps a run of them whole.
 LETTERS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"
+#: Characters of which a run behind letters is a piece of its own by the pattern, and no part of an added token.
+MARKS = "!\"#$%&()*+,-./:;=?@"
 NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = {
     "type": "Sequence",
@@ -76,7 +78,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of words, by the tokenizers library, with a cache of at most CACHE_WORDS words and CACHE_CHARS characters, besides those of one call."""
+    """Ids of words, by the tokenizers library, with a cache of at most CACHE_WORDS words and CACHE_CHARS characters, or of the words of one call.
+
+    A full cache keeps the words of the call that fills it, so that frequent words are not encoded again.
+    """
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -87,20 +92,15 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for piece, i in self.tok.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.stop = {c: self.tok.encode(c, add_special_tokens=False).ids for c in ".,"}
         #: The same model without the normaliser and the pattern, which leave lower-case letters as they are; None for another tokenizer.
         self.bare = None
         steps = json.loads(self.tok.to_str())
-        if (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALISER, PATTERN) and all(len(i) == 1 for i in self.stop.values()):
+        if (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALISER, PATTERN) and all(set(x["content"]) & set("<|>") for x in steps["added_tokens"]):
             split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, PATTERN["pretokenizers"][1]]}
             self.bare = Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
-        self._empty()
-
-    def _empty(self) -> None:
-        #: The place of each cached word, whose ids are ids[at[place] : at[place + 1]].
-        self.place: dict[str, int] = {}
-        self.chars = 0
-        self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        #: The cached words; the ids of the one at a place are ids[at[place] : at[place + 1]].
+        self.words = pa.array([], pa.string())
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Ids, and how many each word has."""
@@ -113,40 +113,57 @@ class WordEncoder:
         cut = np.flatnonzero(self.ends[ids])
         return (ids, np.diff(cut, prepend=-1)) if len(cut) == len(words) and cut[-1] == len(ids) - 1 else self._encode(words)
 
-    def _learn(self, words: list[str], how) -> None:
-        got = [how(words[i : i + 512]) for i in range(0, len(words), 512)]
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.ids = np.concatenate([self.ids, *(np.array(ids, dtype=np.int64) for ids, _ in got)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in got)]))]).astype(np.int64)
+    def _keep(self, places: np.ndarray) -> None:
+        """Keeps the words at these places alone, in this order."""
+        n = np.diff(self.at)[places]
+        self.ids = self.ids[spread(self.at[places], n)]
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.words = self.words.take(pa.array(places))
+
+    def _learn(self, words: pa.StringArray, how) -> None:
+        ids, n = [self.ids], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(words), 512):
+            got = how(words.slice(i, 512).to_pylist())
+            ids.append(np.array(got[0], dtype=np.int32))
+            n.append(np.asarray(got[1], dtype=np.int64))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(n))])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Where these words, all different, are kept; those that are not yet are encoded."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        missing = words.take(pa.array(new))
+        chars = lambda x: pc.sum(pc.utf8_length(x)).as_py() or 0
+        if len(self.words) + len(missing) > CACHE_WORDS or chars(self.words) + chars(missing) > CACHE_CHARS:
+            held = np.unique(place[place >= 0])
+            self._keep(held)
+            place[place >= 0] = np.searchsorted(held, place[place >= 0])
+        plain = pc.match_substring_regex(missing, f"^{LETTERS}$").to_numpy(zero_copy_only=False) & (self.bare is not None)
+        for how, own in ((self._letters, plain), (self._encode, ~plain)):
+            place[new[own]] = len(self.words) + np.arange(own.sum())
+            self._learn(missing.filter(pa.array(own)), how)
+        return place
 
     def __call__(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, one word after another, and how many each word has."""
-        keys, tail = words, np.full(len(words), -1, dtype=np.int64)
+        keys, has = words, np.zeros(0, dtype=np.int64)
         if self.bare:
-            stopped = pc.match_substring_regex(words, f"^{LETTERS}[.,]$")
-            core = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words)
-            keys = pc.if_else(pc.match_substring_regex(core, f"^{LETTERS}$"), pc.utf8_lower(core), core)
-            tail[pc.if_else(stopped, pc.ends_with(words, "."), False).to_numpy(zero_copy_only=False)] = self.stop["."][0]
-            tail[pc.if_else(stopped, pc.ends_with(words, ","), False).to_numpy(zero_copy_only=False)] = self.stop[","][0]
+            core = pc.ascii_rtrim(words, MARKS)
+            plain = pc.match_substring_regex(core, f"^{LETTERS}$")
+            has = np.flatnonzero(pc.and_(plain, pc.not_equal(pc.binary_length(core), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+            keys = pc.if_else(plain, pc.utf8_lower(core), words)
+            keys = pa.concat_arrays([keys, pc.replace_substring_regex(words.take(pa.array(has)), f"^{LETTERS}", "")])
         coded = keys.dictionary_encode()
-        distinct, plain = (x.to_numpy(zero_copy_only=False).tolist() for x in (coded.dictionary, pc.match_substring_regex(coded.dictionary, f"^{LETTERS}$")))
-        words_of = [(self._letters, [k for k, p in zip(distinct, plain) if p and self.bare]), (self._encode, [k for k, p in zip(distinct, plain) if not (p and self.bare)])]
-        new = [(how, [k for k in keys if k not in self.place]) for how, keys in words_of]
-        self.chars += sum(len(k) for _, keys in new for k in keys)
-        if len(self.place) + sum(len(keys) for _, keys in new) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._empty()
-            new = words_of
-            self.chars = sum(len(k) for _, keys in new for k in keys)
-        for how, missing in new:
-            self._learn(missing, how)
-        place = np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
-        has = tail >= 0
-        core_n = self.at[place + 1] - self.at[place]
-        n = core_n + has
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        size = np.diff(self.at)[place]
+        n = size[: len(words)].copy()
+        n[has] += size[len(words) :]
         start = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), dtype=np.int64)
-        out[spread(start, core_n)] = self.ids[spread(self.at[place], core_n)]
-        out[(start + core_n)[has]] = tail[has]
+        start = np.concatenate([start, start[has] + size[has]])
+        out = np.empty(int(n.sum()), dtype=np.int32)
+        out[spread(start, size)] = self.ids[spread(self.at[place], size)]
         return out, n
 
 
@@ -163,7 +180,9 @@ def encoder(name: str) -> WordEncoder:
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + lengths[i] - 1 for all i, in order."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight: np.ndarray | None, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +192,16 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight:
     rare stays so, and only pairs that were frequent or hold a new symbol are counted in the next round.
     """
     at = np.flatnonzero(joined & alive)
-    key = seq[at] << 32 | seq[at + 1]
+    key = seq[at].astype(np.int64)
+    key <<= 32
+    key |= seq[at + 1]
     if len(at) >= MANY:  # rare pairs mostly fall into buckets that are rare in all, and need no count of their own
-        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        bucket = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket >>= np.uint64(64 - BUCKET_BITS)
+        bucket = bucket.view(np.int64)
         can = (np.bincount(bucket, weights=None if weight is None else weight[at], minlength=1 << BUCKET_BITS) >= LEAST)[bucket]
         at, key = at[can], key[can]
+        del bucket, can
     inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
     hit = (count >= LEAST)[inverse]
@@ -209,8 +233,9 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight:
 def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndarray, base: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, symbols of each document) of documents given as codes of word types; type i has n[i] of the ids in seq."""
     types = len(n)
-    owner = np.repeat(np.arange(types), n)
-    weight = np.bincount(codes, minlength=types).astype(np.int64)
+    seq = np.asarray(seq, dtype=np.int32)
+    owner = np.repeat(np.arange(types, dtype=np.int32), n)
+    weight = np.bincount(codes, minlength=types).astype(np.float64)
     rules: list[np.ndarray] = []
     size = base
     alive = np.ones(len(seq), dtype=bool)
@@ -225,10 +250,10 @@ def repair(seq: np.ndarray, n: np.ndarray, codes: np.ndarray, doc_words: np.ndar
     n = np.bincount(owner, minlength=types)
     start = np.cumsum(n) - n
     per_word = n[codes]
-    doc = np.repeat(np.arange(len(doc_words)), doc_words)
-    per_doc = np.bincount(doc, weights=per_word, minlength=len(doc_words)).astype(np.int64) + 1
+    before = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(doc_words)])]
+    per_doc = np.diff(before) + 1
     ends = np.cumsum(per_doc) - 1
-    out = np.full(int(per_doc.sum()), end_id, dtype=np.int64)
+    out = np.full(int(per_doc.sum()), end_id, dtype=np.int32)
     body = np.ones(len(out), dtype=bool)
     body[ends] = False
     out[body] = seq[spread(start[codes], per_word)]
@@ -280,14 +305,11 @@ class Shard:
         self.rules, self.length = self._take("<u4", 2 * rules).reshape(-1, 2), self._take("<u4", rules).astype(np.int64)
         self.symbols = self._take("<u4", symbols)
         self.start = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.length) - self.length]).astype(np.int64)
-        self.flat = np.zeros(self.base + int(self.length.sum()), dtype="<u4")
-        self.flat[: self.base] = np.arange(self.base)
         self.span = np.concatenate([np.ones(self.base, dtype=np.int64), self.length])
-        start, span, flat = self.start.tolist(), self.span.tolist(), self.flat
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            s, m = start[self.base + i], start[self.base + i] + span[a]
-            flat[s:m] = flat[start[a] : start[a] + span[a]]
-            flat[m : m + span[b]] = flat[start[b] : start[b] + span[b]]
+        told = [i.to_bytes(4, "little") for i in range(self.base)]
+        for a, b in self.rules.tolist():
+            told.append(told[a] + told[b])
+        self.flat = np.frombuffer(b"".join(told), dtype="<u4")
 
     def _take(self, kind: str, n: int) -> np.ndarray:
         out = np.frombuffer(self.data, dtype=kind, count=n, offset=self.at)

@@ -377,6 +377,22 @@ def test_repair_leaves_no_frequent_pair(corpus):
     assert set(range(enc.size, enc.size + len(rules))) <= set(used.tolist())
 
 
+def test_full_word_cache_keeps_what_recurs(monkeypatch):
+    monkeypatch.setattr(token_binary, "CACHE_WORDS", 80)
+    enc = token_binary.WordEncoder(token_binary.TOKENIZER)
+    learnt, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words, how: learnt.extend(words.to_pylist()) or learn(words, how))
+    common = [f"common{'xyz'[i % 3] * (i + 1)}" for i in range(20)] + ["Ärger***", "stop,###", "Stop.", "(547)", "it's", "x<|endoftext|>!", "don't...", "a%%%b", "été=?"]
+    for k in range(8):
+        words = [*common, *(f"rare{'abcdefgh'[k] * (i + 1)}{'!$#'[i % 3] * (i % 4)}" for i in range(25))]
+        ids, n = enc(pa.array(words))
+        want = [x.ids for x in enc.tok.encode_batch(words, add_special_tokens=False)]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+        assert len(enc.words) <= 80
+    seen = Counter(learnt)
+    assert all(seen[w] == 1 for w in common[:20]) and seen["ärger"] == seen["***"] == seen["stop"] == 1
+
+
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     enc = token_binary.encoder(token_binary.TOKENIZER)
     odd = spark.createDataFrame([(20, "İstanbul <|endoftext|> it's ẞ… can't, U.S.A. x1y2. Ünïcode, naïve."), (21, "日本語。テスト   été \x1c a"), (22, "<|ENDOFTEXT|> ok.,")], "doc_id long, text string")
