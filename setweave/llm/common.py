@@ -23,6 +23,14 @@ BROADCAST_ROWS = 100_000
 TASK_EDGES = 10_000
 
 
+def give_back() -> None:
+    """Gives memory of this process that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(run):
     """The function of batches `run`; when a task ends, its Python worker, which lives on, gives memory that is free back to the system."""
 
@@ -31,10 +39,7 @@ def tidied(run):
         try:
             yield from run(*args, **how)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return tidy
 

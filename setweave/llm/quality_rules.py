@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh
+from .common import columns_of, fresh, tidied
 
 TRAIN_ROWS = 8_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
@@ -64,7 +64,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             m = np.array([statistics(t) for t in b["text"]], dtype=np.float64).reshape(-1, len(STATS))
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(m, columns=STATS)], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above the threshold?, threshold)

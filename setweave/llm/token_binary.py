@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, shared_path, tidied
+from .common import checked_broadcast, give_back, shared_path, tidied
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -49,6 +49,8 @@ SHARD_WORDS = 1_000_000
 LEAST = 6
 #: Pairs from which on their buckets are counted first, and the bits of a bucket.
 MANY, BUCKET_BITS = 1 << 16, 21
+#: Places whose buckets are counted at a time.
+RUN = 1 << 18
 #: Most words that are kept with their ids, and their most characters.
 CACHE_WORDS, CACHE_CHARS = 600_000, 8 << 20
 #: Most bytes of text split into words at a time.
@@ -185,6 +187,31 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def keys_at(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs at these places, a number each."""
+    key = seq[at].astype(np.int64)
+    key <<= 32
+    key |= seq[at + 1]
+    return key
+
+
+def perhaps_frequent(seq: np.ndarray, at: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """The places whose pair falls into a bucket that is told LEAST times: rare pairs mostly don't, and need no count of their own. Some places at a time."""
+
+    def buckets(own: np.ndarray) -> np.ndarray:
+        bucket = keys_at(seq, own).view(np.uint64)
+        bucket *= np.uint64(0x9E3779B97F4A7C15)
+        bucket >>= np.uint64(64 - BUCKET_BITS)
+        return bucket.view(np.int64)
+
+    runs = [at[i : i + RUN] for i in range(0, len(at), RUN)]
+    told = np.zeros(1 << BUCKET_BITS)
+    for own in runs:
+        np.add.at(told, buckets(own), 1.0 if weight is None else weight[own])
+    frequent = told >= LEAST
+    return np.concatenate([own[frequent[buckets(own)]] for own in runs])
+
+
 def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight: np.ndarray | None, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One batch of replacements. joined[i]: seq[i] and seq[i + 1] may pair. (rules, new seq, kept positions, new alive).
 
@@ -192,16 +219,9 @@ def repair_round(seq: np.ndarray, joined: np.ndarray, alive: np.ndarray, weight:
     rare stays so, and only pairs that were frequent or hold a new symbol are counted in the next round.
     """
     at = np.flatnonzero(joined & alive)
-    key = seq[at].astype(np.int64)
-    key <<= 32
-    key |= seq[at + 1]
-    if len(at) >= MANY:  # rare pairs mostly fall into buckets that are rare in all, and need no count of their own
-        bucket = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        bucket >>= np.uint64(64 - BUCKET_BITS)
-        bucket = bucket.view(np.int64)
-        can = (np.bincount(bucket, weights=None if weight is None else weight[at], minlength=1 << BUCKET_BITS) >= LEAST)[bucket]
-        at, key = at[can], key[can]
-        del bucket, can
+    if len(at) >= MANY:
+        at = perhaps_frequent(seq, at, weight)
+    key = keys_at(seq, at)
     inverse, pairs = pd.factorize(key)
     count = np.bincount(inverse, weights=None if weight is None else weight[at], minlength=len(pairs))
     hit = (count >= LEAST)[inverse]
@@ -354,12 +374,19 @@ def encode_shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
     def flush() -> pa.RecordBatch:
         nonlocal nth, total
         words = pa.concat_arrays(held).dictionary_encode()
-        got = repair(*enc(words.dictionary), words.indices.to_numpy(), np.array(counts, dtype=np.int64), enc.size, end_id)
+        held.clear()
+        ids, n = enc(words.dictionary)
+        codes = words.indices.to_numpy()
+        del words
+        give_back()
+        got = repair(ids, n, codes, np.array(counts, dtype=np.int64), enc.size, end_id)
+        give_back()
         data, n = pack(doc_ids, *got, enc.size)
         out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "nth", "n_tokens", "shard"])
         nth, total = nth + 1, 0
-        for x in (doc_ids, counts, held):
-            x.clear()
+        doc_ids.clear()
+        counts.clear()
+        give_back()
         return out
 
     for batch in batches:

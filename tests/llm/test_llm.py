@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +394,17 @@ def test_full_word_cache_keeps_what_recurs(monkeypatch):
     assert all(seen[w] == 1 for w in common[:20]) and seen["ärger"] == seen["***"] == seen["stop"] == 1
 
 
+def test_repair_holds_few_bytes_an_id():
+    rng = np.random.default_rng(1)
+    n, codes = rng.integers(1, 6, 20_000), rng.zipf(1.3, 600_000) % 20_000
+    seq = rng.integers(2, 40_000, int(n.sum()))
+    tracemalloc.start()
+    token_binary.repair(seq, n, codes, np.full(600, 1000), 49_408, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / int(n[codes].sum()) < 25
+
+
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     enc = token_binary.encoder(token_binary.TOKENIZER)
     odd = spark.createDataFrame([(20, "İstanbul <|endoftext|> it's ẞ… can't, U.S.A. x1y2. Ünïcode, naïve."), (21, "日本語。テスト   été \x1c a"), (22, "<|ENDOFTEXT|> ok.,")], "doc_id long, text string")
