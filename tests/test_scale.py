@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from setweave.operators import blocks, completion
 from setweave.operators.learners import Logistic
 from setweave.plans import questions
+from setweave.queries import QUERIES
 from setweave.storage import scratch, shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,29 @@ def test_slices_make_the_same_sets_and_questions(spark, monkeypatch):
     assert made() == whole and all(whole)
 
 
+def test_questions_of_a_seed_go_before_those_of_the_next(spark):
+    seen = []
+
+    def told(q):
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in seen)
+        seen.extend(q.inputFiles())
+        return q.groupBy("seed").agg(F.count("*").alias("n"))
+
+    n = questions.fitb_each(spark, SF, (1, 2), told)
+    assert seen and {r["seed"]: r["n"] for r in n.collect()} == {r["seed"]: r["count"] for r in questions.fitb_questions(spark, SF, 1, 2).groupBy("seed").count().collect()}
+
+
+def test_audits_by_parts_are_those_of_the_whole_and_leave_little(spark, monkeypatch):
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared_dir(spark).removeprefix("file:")) for f in files)
+    for name in ("contains_category_auc",):
+        monkeypatch.setattr(questions, "AT_A_TIME", 20_000_000)
+        whole = sorted(QUERIES[name](spark, SF).collect())
+        monkeypatch.setattr(questions, "AT_A_TIME", 9000)
+        before = size()
+        assert sorted(QUERIES[name](spark, SF).collect()) == whole and whole
+        assert size() - before < 400_000
+
+
 def test_scores_by_code_equal_those_of_joined_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = spark.createDataFrame([(i, i % 5, rng.random(4).tolist()) for i in range(5)], "item_id long, code long, v array<float>")
