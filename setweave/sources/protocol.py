@@ -34,8 +34,9 @@ def read_sets(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(set_id, user_id, index, item_id, category, key); key is set_id_index."""
     names = [_split(split)] + (["validation"] if split == "valid" else [])
     path = first_existing(spark, *[f"{root}/{n}.json" for n in names])
-    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("head"))
-    if not head.where("head not in ('[', '')").isEmpty():
+    line = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), F.substring(F.ltrim("value"), 1, 1).alias("head"))
+    if not text.where("head <> ''").groupBy("file").agg(F.min_by("head", "line").alias("head")).where("head <> '['").isEmpty():
         raise ValueError(f"{path} is no list of sets")
     s = spark.read.schema(SET_SCHEMA).option("multiLine", True).json(path)
     s = s.select("set_id", "user_id", F.explode("items").alias("i"))
@@ -44,8 +45,8 @@ def read_sets(spark: SparkSession, root: str, split: str) -> DataFrame:
 
 def item_keys(items: DataFrame) -> DataFrame:
     """(key, item_id), one row a key; a key of two items raises."""
-    k = items.groupBy("key").agg(F.count_distinct("item_id").alias("n"), F.min("item_id").alias("item_id"))
-    return k.select("key", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("ambiguous key "), "key"))).otherwise(F.col("item_id")).alias("item_id"))
+    k = items.groupBy("key").agg(F.max("item_id").alias("last"), F.min("item_id").alias("item_id"))
+    return k.select("key", F.when(F.col("last") > F.col("item_id"), F.raise_error(F.concat(F.lit("ambiguous key "), "key"))).otherwise(F.col("item_id")).alias("item_id"))
 
 
 def resolve(examples: DataFrame, id_cols: list[str], keys: str, index: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,29 @@ def test_duplicates_are_told(spark):
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
     got = {tuple(r) for r in assembly.duplicate_log(df, order).collect()}
     assert got == {("1", "0", "valid"), ("1", "3", "train")}
+
+
+def test_lists_are_files_of_few_rows_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(assembly, "FILE_ROWS", 50)
+    path = str(tmp_path / "l")
+    assembly.write_lists(spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("set_id")), F.struct("set_id"), [F.col("set_id")], path)
+    lists = [json.load(open(f"{path}/{f}")) for f in sorted(os.listdir(path)) if f.startswith("part-") and os.path.getsize(f"{path}/{f}")]
+    assert len(lists) >= 15 and max(map(len, lists)) <= 150
+    assert [r["set_id"] for part in lists for r in part] == [f"{k:04d}" for k in range(1000)]
+
+
+def test_a_blank_is_drawn_once_an_item(spark, monkeypatch):
+    """No filter compares items with the blank: it would be drawn anew for each item, in a set of n items n times."""
+    from setweave.plans import questions
+
+    plans, real = [], questions.scratch
+
+    @contextmanager
+    def watched(spark):
+        with real(spark) as keep:
+            yield lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1]
+
+    monkeypatch.setattr(questions, "scratch", watched)
+    questions.fitb_questions(spark, "/root/testdata/sf0.001").count()
+    filters = [line for p in plans for line in p.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert any("md5" in p for p in plans) and filters and not any("md5" in f and "NOT (" in f for f in filters)
