@@ -45,28 +45,28 @@ def md5_words(prefixes: list[bytes], numbers: np.ndarray, words: int = 4) -> np.
     """(prefixes, numbers, words) uint32: the first words, big-endian as in the hex digest, of the MD5 of each prefix followed by each whole number in decimal."""
     out = np.empty((len(prefixes), len(numbers), words), dtype=np.uint32)
     lengths, digits = np.array([len(p) for p in prefixes]), np.char.str_len(numbers.astype(str))
+    tails = np.zeros((len(numbers), digits.max(initial=0) + 1), dtype=np.uint8)  # a number's digits, and the bit that ends the text
+    tails[:, :-1] = numbers.astype(f"S{tails.shape[1] - 1}").view(np.uint8).reshape(len(numbers), -1) if len(numbers) else 0
+    tails[np.arange(len(numbers)), digits] = 0x80
     for size in np.unique(lengths):
         own = np.flatnonzero(lengths == size)
+        end = int(size + tails.shape[1] - 1)
+        if end > LONGEST:
+            for i in own:
+                for j, number in enumerate(numbers):
+                    out[i, j] = np.frombuffer(hashlib.md5(prefixes[i] + str(number).encode()).digest(), dtype=">u4")[:words]
+            continue
         heads = np.frombuffer(b"".join(prefixes[i] for i in own), dtype=np.uint8).reshape(len(own), size)
-        for many in np.unique(digits):
-            at = np.flatnonzero(digits == many)
-            n, end = len(at), int(size + many)
-            if end > LONGEST:
-                for i in own:
-                    for j in at:
-                        out[i, j] = np.frombuffer(hashlib.md5(prefixes[i] + str(numbers[j]).encode()).digest(), dtype=">u4")[:words]
-                continue
-            tails = np.frombuffer(numbers[at].astype(f"S{many}").tobytes(), dtype=np.uint8).reshape(n, many)
-            step = max(1, RUN // n)
-            for k in range(0, len(own), step):
-                head = heads[k : k + step]
-                for j in range(0, n, RUN):
-                    tail = tails[j : j + RUN]
-                    text = np.zeros((len(head), len(tail), 64), dtype=np.uint8)
-                    text[:, :, :size], text[:, :, size:end], text[:, :, end] = head[:, None], tail[None], 0x80
-                    block = text.view("<u4").reshape(-1, 16)
-                    x: list = [np.ascontiguousarray(block[:, w]) if w <= end // 4 else 0 for w in range(16)]
-                    x[14] = 8 * end if end < 56 else x[14]
-                    got = _compressed(x)[:words]
-                    out[np.ix_(own[k : k + step], at[j : j + RUN])] = np.stack([w.byteswap() for w in got], axis=1).reshape(len(head), len(tail), words)
+        step = max(1, RUN // max(1, len(numbers)))
+        for k in range(0, len(own), step):
+            head = heads[k : k + step]
+            for j in range(0, len(numbers), RUN):
+                tail = tails[j : j + RUN]
+                text = np.zeros((len(head), len(tail), 4 * (end // 4 + 1)), dtype=np.uint8)
+                text[:, :, :size], text[:, :, size : end + 1] = head[:, None], tail[None]
+                block = text.view("<u4").reshape(len(head) * len(tail), -1)
+                x: list = [np.ascontiguousarray(block[:, w]) if w <= end // 4 else 0 for w in range(16)]
+                x[14] = np.tile(8 * (size + digits[j : j + RUN]).astype(np.uint32), len(head))
+                got = _compressed(x)[:words]
+                out[own[k : k + step], j : j + RUN] = np.stack([w.byteswap() for w in got], axis=1).reshape(len(head), len(tail), words)
     return out

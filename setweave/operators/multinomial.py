@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from ..functions.digests import md5_words
 from ..storage import durable
 
-#: Units whose counts of all replicates are held at a time; draws up to which splits come from one table.
-AT_A_TIME, FEW = 256, 12
+#: Rows whose units' packed counts are held at a time, and units whose counts are where rows are summed at once;
+#: draws up to which splits come from one table, and its steps along the uniform number.
+AT_A_TIME, UNITS, FEW, STEPS = 256, 1024, 32, 1024
 #: Least size of a range whose split is kept for the units that come next, and how many are.
 WIDE, KEPT = 64, 96
 
@@ -63,12 +64,19 @@ def few_cdfs(half: int, size: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def few_steps(half: int, size: int) -> np.ndarray:
+    """(draws, step) -> successes, for 0 to FEW draws and numbers within this step of [0, 1); -1 where the number itself decides."""
+    edges = np.arange(STEPS + 1) / STEPS
+    at = np.array([np.searchsorted(cdf, edges, side="left") for cdf in few_cdfs(half, size)])
+    return np.where(at[:, :-1] == at[:, 1:], at[:, :-1], -1).astype(np.int8).ravel()
+
+
 def lower_half(c: np.ndarray, half: int, size: int, u: np.ndarray) -> np.ndarray:
     """How many of c draws fall into the lower `half` of `size` units: the number of successes whose chance, with all below, is less than u."""
-    few = np.minimum(c, FEW)
-    k, table = np.zeros(len(c), dtype=np.int64), few_cdfs(half, size).T
-    for j in range(int(few.max(initial=0))):
-        k += table[j][few] < u
+    k = few_steps(half, size)[np.minimum(c, FEW) * STEPS + (u * STEPS).astype(np.int64)].astype(np.int64)
+    near = np.flatnonzero((k < 0) & (c <= FEW))
+    k[near] = (few_cdfs(half, size)[c[near]] < u[near, None]).sum(axis=1)
     many = np.flatnonzero(c > FEW)
     many = many[np.argsort(c[many], kind="stable")]
     values, starts = np.unique(c[many], return_index=True)
@@ -131,6 +139,16 @@ def weights_of(rows: pd.DataFrame, strata: list[str], replicates: int, seed: str
     return out
 
 
+def unit_batches(rows: pd.DataFrame, strata: list[str]) -> Iterator[tuple[list[str], pd.DataFrame]]:
+    """(stratum, rows) of at most UNITS units of rows in the order of strata and units."""
+    parts = rows.groupby(strata, dropna=False, sort=False).indices.items() if strata else [((), np.arange(len(rows)))]
+    for key, at in parts:
+        own = rows.iloc[at]
+        nth = np.cumsum(np.diff(own["unit_no"].to_numpy(), prepend=own["unit_no"].iloc[:1]) != 0) // UNITS
+        for lo, hi in zip(first := np.flatnonzero(np.diff(nth, prepend=-1)), [*first[1:], len(own)]):
+            yield [str(k) for k in (key if isinstance(key, tuple) else (key,))], own.iloc[lo:hi]
+
+
 def with_unit_totals(rows: DataFrame, units: DataFrame, strata: list[str], unit: str) -> DataFrame:
     """rows with unit_no and n_units, from units (strata, unit, unit_no)."""
     n = units.groupBy(*strata).agg(F.count("*").alias("n_units"))  # a row a stratum
@@ -166,12 +184,14 @@ def resampled_sums(rows: DataFrame, groups: list[str], values: list[str], replic
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, len(batch), AT_A_TIME):
-                b = batch.iloc[at : at + AT_A_TIME].reset_index(drop=True)
-                w = weights_of(b, strata, replicates, seed).astype(np.float64)
-                for key, own in b.groupby(groups, dropna=False, sort=False).indices.items():
+            for stratum, rows in unit_batches(batch, strata):
+                units, back = np.unique(rows["unit_no"].to_numpy(), return_inverse=True)
+                w = unit_weights(units, int(rows["n_units"].iloc[0]), replicates, ":".join([seed, *stratum])).astype(np.float64)
+                for key, own in rows.groupby(groups, dropna=False, sort=False).indices.items():
                     key = key if isinstance(key, tuple) else (key,)
-                    got = b[values].to_numpy(np.float64)[own].T @ w[own]
+                    at, v = np.unique(back[own]), np.zeros((len(units), len(values)))
+                    np.add.at(v, back[own], rows[values].to_numpy(np.float64)[own])
+                    got = v.T @ w if 2 * len(at) > len(units) else v[at].T @ w[at]
                     held[key] = held[key] + got if key in held else got
         for key, got in held.items():
             yield pd.DataFrame({**{g: [k] * replicates for g, k in zip(groups, key)}, "replicate": np.arange(replicates), **dict(zip(values, got))})

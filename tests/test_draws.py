@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,21 @@ def test_shares_equal_draws_one_by_one(spark, most):
         for k in (0, 15, 16, 20):
             drawn = [int(hashlib.md5(f"s:{g}:{k}:{i}".encode()).hexdigest()[:8], 16) % len(ok) for i in range(len(ok))]
             assert got[g, k] == pytest.approx(sum(ok[i] for i in drawn) / len(ok))
+
+
+def test_splits_by_steps_are_those_of_the_distribution():
+    for half, size in ((1, 2), (1, 3), (5, 11), (16, 32)):
+        edges = np.concatenate([M.few_cdfs(half, size).ravel(), np.arange(M.STEPS) / M.STEPS])
+        u = np.clip(np.concatenate([edges, edges + 1e-12, edges - 1e-12, np.random.default_rng(1).random(2000)]), 1e-13, 1 - 1e-13)
+        for c in range(M.FEW + 3):
+            exact = np.searchsorted(M.binomial_cdf(c, half, size)[1], u, side="left") if c else np.zeros(len(u))
+            assert (M.lower_half(np.full(len(u), c), half, size, u) == np.minimum(exact, c)).all()
+
+
+def test_units_are_drawn_together_and_none_is_parted():
+    n = 3 * M.UNITS + 7
+    rows = pd.DataFrame({"label": np.repeat([0, 1], 4 * n), "unit_no": np.tile(np.repeat(np.arange(n), 4), 2), "model": np.tile(np.arange(4), 2 * n)})
+    got = list(M.unit_batches(rows, ["label"]))
+    assert [len(b) for _, b in got] == [4 * M.UNITS, 4 * M.UNITS, 4 * M.UNITS, 28] * 2 and [s for s, _ in got] == [["0"]] * 4 + [["1"]] * 4
+    assert pd.concat([b for _, b in got]).equals(rows) and [s for s, _ in M.unit_batches(rows.drop(columns="label")[:8], [])] == [[]]
+    assert not list(M.unit_batches(rows[:0], []))
