@@ -58,18 +58,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _GAP), lambda t: t != "")
 
 
-def windows(toks: Column, n: int) -> Column:
-    """Hashes of all runs of n tokens, in order."""
-    at = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-    return F.when(F.size(toks) >= n, F.transform(at, lambda i: F.xxhash64(*[F.element_at(toks, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
-
-
 def both_windows(toks: Column, raw: Column, n: int) -> Column:
-    """(p, hash) of all runs of n tokens, and of n raw ones where they differ."""
-    t, r = windows(toks, n), windows(raw, n)
-    placed = lambda h, i: F.struct(i.alias("p"), h.alias("hash"))
-    other = F.filter(F.zip_with(F.transform(r, placed), t, lambda x, h: F.when(x["hash"] != h, x)), lambda x: x.isNotNull())
-    return F.when(toks == raw, F.transform(t, placed)).otherwise(F.concat(F.transform(t, placed), other))
+    """(p, hash, raw_hash) of all runs of n tokens, in order; raw_hash is that of the raw ones, null if a text's tokens are all as written."""
+    at = F.sequence(F.lit(0), F.size(toks) - n)
+    hashed = lambda c, p: F.xxhash64(*[F.get(c, p + k) for k in range(n)])
+    same = F.transform(at, lambda p: F.struct(p.alias("p"), hashed(toks, p).alias("hash"), F.lit(None).cast("long").alias("raw_hash")))
+    both = F.transform(at, lambda p: F.struct(p.alias("p"), hashed(toks, p).alias("hash"), hashed(raw, p).alias("raw_hash")))
+    none = F.array().cast("array<struct<p:int,hash:bigint,raw_hash:bigint>>")
+    return F.when(F.size(toks) < n, none).when(toks == raw, same).otherwise(both)
 
 
 def item_windows(bench: DataFrame, window: int, literals: int) -> DataFrame:
@@ -98,9 +94,12 @@ def leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literals: int
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("sha"), text.alias("text"))
     toks = base.withColumn("clean", spaced(F.col("text"))).select("doc_id", "sha", tokens(templated(F.col("clean"))).alias("t"), tokens(F.lower("clean")).alias("raw"))
-    with_len = lambda n: F.transform(both_windows(F.col("t"), F.col("raw"), n), lambda w: F.struct(w["p"], w["hash"], F.lit(n).alias("len")))
+    # one pass tells both hashes of a window; most are the same, so few windows are two rows
+    with_len = lambda n: F.transform(both_windows(F.col("t"), F.col("raw"), n), lambda w: F.struct(w["p"], w["hash"], w["raw_hash"], F.lit(n).alias("len")))
     lens = sorted(sizes) or [window]
-    seen = toks.select("doc_id", "sha", F.inline(with_len(lens[0]) if len(lens) == 1 else F.concat(*map(with_len, lens))))
+    placed = with_len(lens[0]) if len(lens) == 1 else F.concat(*map(with_len, lens))
+    hashes = F.when(F.col("raw_hash") != F.col("hash"), F.array("hash", "raw_hash")).otherwise(F.array("hash"))
+    seen = toks.select("doc_id", "sha", F.inline(placed)).select("doc_id", "sha", "p", "len", F.explode(hashes).alias("hash"))
     blocks = max(1, -(-sum(sizes.values()) // block_rows))
     found = None
     for k in range(blocks):

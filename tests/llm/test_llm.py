@@ -711,3 +711,14 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns and 0 < docs.count() <= n
             n = docs.count()
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first() == docs.agg(F.sum("n_tokens")).first()
+
+
+def test_windows_of_templates_and_raw_tokens_come_from_one_pass(spark):
+    from setweave.llm import decontaminate as D
+
+    rows = [(["a", "⟨n⟩", "c", "d"], ["a", "7", "c", "d"]), (["a", "b"], ["a", "b"]), (["a"], ["a"]), ([], [])]
+    df = spark.createDataFrame(rows, "t array<string>, raw array<string>")
+    got = [[tuple(w) for w in r[0]] for r in df.coalesce(1).select(D.both_windows(F.col("t"), F.col("raw"), 2)).collect()]
+    h = lambda a, b: spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0]
+    first = [(p, h(*rows[0][0][p : p + 2]), h(*rows[0][1][p : p + 2])) for p in range(3)]
+    assert got == [first, [(0, h("a", "b"), None)], [], []] and first[2][1] == first[2][2] and first[0][1] != first[0][2]
