@@ -67,3 +67,29 @@ def test_question_scores_are_those_of_candidates(spark):
     with scratch(spark) as keep:
         got = [x for part in completion.scored_parts(keep(q), vectors, model, keep) for x in part.select("key", F.posexplode("scores").alias("i", "s")).collect()]
     assert len(want) == 90 and {(x["key"], x["i"]): x["s"] for x in got} == pytest.approx(want)
+
+
+def test_audit_by_class_counts_broken_questions_as_the_sql_does(spark, monkeypatch):
+    import duckdb
+
+    from setweave import more_queries
+    from setweave.queries import SQL
+
+    q = questions.class_questions(spark, SF).orderBy("set_id").limit(300).toPandas()
+    for i, x in q.iterrows():
+        c, at = x["candidates"].split(","), (x["correct_index"] + 1) % 4
+        # an own item, one told twice, one that completes a positive set, one of another category
+        c[at] = [x["question"].split(",")[0], c[(at + 1) % 4], str(x["blank"]), str(int(c[at]) % 150 + 1), c[at]][i % 5]
+        q.at[i, "candidates"] = ",".join(c)
+    given = spark.createDataFrame(q)
+    monkeypatch.setattr(more_queries, "class_questions", lambda spark, sf, store: store(given))
+    monkeypatch.setattr(questions, "AT_A_TIME", 200)  # in parts
+    with duckdb.connect() as con:
+        for name in ("lineitem", "part", "embeddings"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.register("bad", q)
+        sql = SQL["class_safeguards"].replace(questions.CLASS_SQL, "SELECT * FROM bad")
+        want = con.execute(sql).fetchall()
+        names = [d[0] for d in con.description]
+    got = QUERIES["class_safeguards"](spark, SF)
+    assert got.columns == names and [tuple(x) for x in got.collect()] == want and min(want[0]) > 0
