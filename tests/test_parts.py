@@ -93,3 +93,18 @@ def test_audit_by_class_counts_broken_questions_as_the_sql_does(spark, monkeypat
         names = [d[0] for d in con.description]
     got = QUERIES["class_safeguards"](spark, SF)
     assert got.columns == names and [tuple(x) for x in got.collect()] == want and min(want[0]) > 0
+
+
+def test_sums_over_rows_are_those_over_blocks(spark):
+    import numpy as np
+
+    from setweave.operators.blocks import blocks, tree_sum
+
+    x = np.random.default_rng(4).normal(0, 1, (9000, 3))
+    rows = spark.createDataFrame([(v.tolist(), float(i % 2)) for i, v in enumerate(x)], "x array<double>, y double").repartition(3)
+    direct = blocks(rows, "x", "y", keep=False)
+    assert direct.columns == ["x", "y"]  # a pass takes rows as they are: no blocks are made for it
+    tell = lambda x, y: (len(x), x.T @ x, x.T @ y)
+    a, b = tree_sum(direct, tell), tree_sum(blocks(rows, "x", "y"), tell)
+    assert a[0] == b[0] == 9000 and all(np.allclose(p, q) for p, q in zip(a, b)) and np.allclose(a[1], x.T @ x)
+    assert tree_sum(direct.limit(0), tell) is None
